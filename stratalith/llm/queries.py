@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing, quality_gam, quality_rules, token_counts, toxicity, warc, word_bpe
+from . import exact_dedup, near_dedup, packing, quality_gam, quality_rules, substring_dedup, token_counts, toxicity, warc, word_bpe
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_pages(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -52,5 +56,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op4_quality_classifier, op5_bpe, op6_minhash_near_dedup, op7_toxicity, op8_token_counts, op9_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_substring_dedup, op4_quality_classifier, op5_bpe, op6_minhash_near_dedup, op7_toxicity, op8_token_counts, op9_quality_rules, op10_exact_dedup)}
 ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
