@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,13 +25,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("""SELECT l_partkey, count(DISTINCT l_suppkey) AS n_components, count(*) AS n_operations,
- string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS operation_types
- FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1""")
-def master_targets_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that more than one component works on, with the kinds of work."""
-    return (
-        read(spark, sf_dir, "lineitem").groupBy("l_partkey")
-        .agg(F.count_distinct("l_suppkey").alias("n_components"), F.count("*").alias("n_operations"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("operation_types"))
-        .where("n_components > 1")
-    )
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import extract, lineage, monitor, ordered, recon, relations, reports, search, text  # noqa: F401
+
+
+load()
