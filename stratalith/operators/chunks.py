@@ -25,7 +25,10 @@ def line_kinds(df: DataFrame, key: str, text: str, kinds: list[tuple[str, Callab
         return out
 
     marked = df.select(key, F.transform(F.split(text, "\n"), kind).alias("k"))
-    return marked.select(key, *[F.size(F.filter("k", lambda k, name=name: k == name)).cast("long").alias(name) for name, _ in kinds])
+    def count(name: str) -> Column:
+        return F.size(F.filter("k", lambda k: k == F.lit(name))).cast("long").alias(name)
+
+    return marked.select(key, *[count(name) for name, _ in kinds])
 
 
 def word_windows(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:

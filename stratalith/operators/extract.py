@@ -71,7 +71,7 @@ MQ = (
 )
 DB2 = (
     Rule("procedure", r"(?is)CREATE\s+(?:OR\s+REPLACE\s+)?PROCEDURE\s+([A-Z0-9_.]+)\s*(.*?)(?=\bBEGIN\b|$)", whole=True, groups=2, word="PROCEDURE"),
-    Rule("declare", r"(?i)^\s*DECLARE\s+([A-Z0-9_]+)\s+((?!CURSOR|CONTINUE|EXIT|UNDO)[A-Z]+(?:\([0-9, ]+\))?)", groups=2, word="DECLARE"),
+    Rule("declare", r"(?i)^\s*DECLARE\s+(?!CONTINUE\b|EXIT\b|UNDO\b)([A-Z0-9_]+)\s+((?!CURSOR|CONTINUE|EXIT|UNDO)[A-Z]+(?:\([0-9, ]+\))?)", groups=2, word="DECLARE"),
     Rule("cursor", r"(?is)DECLARE\s+([A-Z0-9_]+)\s+CURSOR\b.*?\bFOR\s+(.*?);", whole=True, groups=2, word="CURSOR"),
     Rule("handler", r"(?i)DECLARE\s+(CONTINUE|EXIT|UNDO)\s+HANDLER\s+FOR\s+([A-Z0-9_' ]+)", groups=2, word="HANDLER"),
     Rule("db2_control", r"(?i)^\s*(IF|CASE|WHILE|FOR|REPEAT|LOOP)\b"),
@@ -105,10 +105,14 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
         out = by_line.select(key, "f.*")
     if whole:
         def place(body: Column, m: Column) -> Column:
-            return F.size(F.split(F.substring_index(body, m, 1), "\n"))
+            return F.size(F.split(F.substr(body, F.lit(1), F.position(m, body)), "\n"))
 
         body = F.coalesce(F.col(text), F.lit(""))
-        found = [F.transform(F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0)), lambda m, r=r: row(r, place(body, m), m)) for r in whole]
+
+        def found_by(rule: Rule) -> Column:
+            return F.transform(F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0)), lambda m: row(rule, place(body, m), m))
+
+        found = [found_by(r) for r in whole]
         by_text = sources.select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
         out = by_text if out is None else out.unionByName(by_text)
     return out
@@ -202,7 +206,8 @@ def unreachable(found: DataFrame, key: str) -> DataFrame:
     """Paragraphs that no PERFORM or GO TO names; the first of a program is entered from the top."""
     from pyspark.sql import Window
 
-    paragraphs = found.where("kind = 'paragraph'").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("line")))
+    inside = F.max(((F.col("kind") == "division") & (F.upper("a") == "PROCEDURE")).cast("int")).over(Window.partitionBy(key).orderBy("line").rangeBetween(Window.unboundedPreceding, 0))
+    paragraphs = found.withColumn("inside", inside).where("kind = 'paragraph' and inside = 1").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("line")))
     named = found.where(F.col("kind").isin("perform", "goto")).select(key, F.explode(F.array_compact(F.array("a", F.when(F.col("kind") == "perform", F.col("b"))))).alias("a"))
     return paragraphs.where("n > 1").join(named.distinct(), [key, "a"], "left_anti").select(key, F.col("a").alias("paragraph"), "line")
 
@@ -251,10 +256,12 @@ def delimiter(text: Column) -> Column:
     """Of comma, bar, tab, semicolon and colon the one most frequent in the first five lines whose counts take two values at most; comma without any."""
     head = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 5)
     marks = (",", "|", "\t", ";", ":")
-    totals = []
-    for m in marks:
-        counts = F.transform(head, lambda x, m=m: F.length(x) - F.length(F.replace(x, F.lit(m), F.lit(""))))
-        totals.append(F.when(F.size(F.array_distinct(counts)) <= 2, F.aggregate(counts, F.lit(0), lambda a, c: a + c)).otherwise(0))
+
+    def total(mark: str) -> Column:
+        counts = F.transform(head, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit(""))))
+        return F.when(F.size(F.array_distinct(counts)) <= 2, F.aggregate(counts, F.lit(0), lambda a, c: a + c)).otherwise(0)
+
+    totals = [total(m) for m in marks]
     most = F.greatest(*totals)
     out = F.when(most == 0, ",")
     for m, n in zip(marks, totals, strict=True):

@@ -52,11 +52,6 @@ def both_sides(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return a.join(b, name, "full").select(name, F.col("_a").isNotNull().alias("on_left"), F.col("_b").isNotNull().alias("on_right"))
 
 
-def _grams(text: Column) -> Column:
-    n = F.length(text)
-    return F.when(n < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3)))))
-
-
 def contained(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Pairs of names, one of which contains the other whatever the case.
 
@@ -66,8 +61,11 @@ def contained(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """
     def inside(df: DataFrame) -> DataFrame:
         n = F.length("u")
-        short = F.flatten(F.array(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(F.col("u"), i, F.lit(k)))).otherwise(F.array()) for k in (1, 2, 3)]))
-        return df.select("x", "u", F.explode(F.array_distinct(short)).alias("g"))
+
+        def grams(k: int) -> Column:
+            return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("u"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+        return df.select("x", "u", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("g"))
 
     def lookup(inner: DataFrame, outer: DataFrame) -> DataFrame:
         probe = inner.select(F.col("x").alias("y"), F.col("u").alias("v"), F.substring("u", 1, 3).alias("g"))

@@ -169,7 +169,7 @@ def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.content_kind(F.col("text")).alias("kind"))
 
 
-_COUNTS = "list_transform(list_slice(string_split(text, chr(10)), 1, 5), x -> length(x) - length(replace(x, {m}, '')))"
+_COUNTS = "list_transform(list_slice(string_split(text, chr(10)), 1, 5), lambda x: length(x) - length(replace(x, {m}, '')))"
 _TOTAL = ", ".join(f"CASE WHEN len(list_distinct({_COUNTS.format(m=m)})) <= 2 THEN list_sum({_COUNTS.format(m=m)}) ELSE 0 END AS {n}" for m, n in (("','", "a"), ("'|'", "b"), ("chr(9)", "c"), ("';'", "d"), ("':'", "e")))
 
 

@@ -14,11 +14,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
-_LINES = "lines AS (SELECT doc_id, CAST(unnest(generate_series(0, len(s) - 1)) AS INTEGER) AS at, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
+_LINES = '''lines AS (SELECT doc_id, CAST(unnest(generate_series(0, len(s) - 1)) AS INTEGER) AS "at", unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))'''
 
 
-@query(f"""WITH {_LINES} SELECT doc_id, at, last_value(CASE WHEN length(line) > 200 THEN at END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS section,
- last_value(CASE WHEN length(line) > 200 THEN at END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY at ROWS 20 PRECEDING) AS near_section FROM lines""")
+@query(f"""WITH {_LINES} SELECT doc_id, "at", last_value(CASE WHEN length(line) > 200 THEN "at" END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS section,
+ last_value(CASE WHEN length(line) > 200 THEN "at" END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY "at" ROWS 20 PRECEDING) AS near_section FROM lines""")
 def carry_forward_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading above each line: any before it, and one at most 20 lines before."""
     lines, hit = _lines(spark, sf_dir), F.length("line") > 200
@@ -58,8 +58,8 @@ def round_robin_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.round_robin(read(spark, sf_dir, "events"), ["event_id"], 3, ["event_type"]).select("event_id", "event_type", "slot")
 
 
-@query("""WITH i AS (SELECT l_orderkey, l_linenumber AS at, CAST(l_quantity AS INTEGER) % 5 AS lv, CAST(l_partkey AS VARCHAR) AS nm FROM lineitem)
- SELECT a.l_orderkey, a.at, a.lv AS level, a.nm AS name, (SELECT b.nm FROM i b WHERE b.l_orderkey = a.l_orderkey AND b.at < a.at AND b.lv < a.lv ORDER BY b.at DESC LIMIT 1) AS parent FROM i a""")
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber AS pos, CAST(l_quantity AS INTEGER) % 5 AS lv, CAST(l_partkey AS VARCHAR) AS nm FROM lineitem)
+ SELECT a.l_orderkey, a.pos AS "at", a.lv AS level, a.nm AS name, (SELECT b.nm FROM i b WHERE b.l_orderkey = a.l_orderkey AND (b.pos, b.lv, b.nm) < (a.pos, a.lv, a.nm) AND b.lv < a.lv ORDER BY b.pos DESC, b.lv DESC, b.nm DESC LIMIT 1) AS parent FROM i a""")
 def parent_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest item before with a smaller level number."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("at"), (F.col("l_quantity").cast("int") % 5).alias("level"), F.col("l_partkey").cast("string").alias("name"))

@@ -10,8 +10,8 @@ from .catalog import query, read
 
 _COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 _BASE = f"l AS (SELECT {', '.join(_COLS)} FROM orders)"
-_RIGHT = """k AS (SELECT o_orderkey AS ok, row_number() OVER (ORDER BY o_orderkey) AS at FROM (SELECT DISTINCT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10)),
- r AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN at <= greatest(1, least((SELECT count(*) FROM orders) // 20, 10)) THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM l LEFT JOIN k ON o_orderkey = ok)"""
+_RIGHT = """k AS (SELECT o_orderkey AS ok, row_number() OVER (ORDER BY o_orderkey) AS pos FROM (SELECT DISTINCT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10)),
+ r AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN pos <= greatest(1, least((SELECT count(*) FROM orders) // 20, 10)) THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM l LEFT JOIN k ON o_orderkey = ok)"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def _words(text: str, *words: str) -> str:
 _DECISIONS = _words("text", "IF", "WHEN", "PERFORM", "UNTIL", "WHILE", "CASE", "THE", "DE")
 
 
-@query(f"""SELECT doc_id, CAST(least(10.0, 1 + {_words("t", "IF", "WHEN", "PERFORM", "UNTIL", "WHILE", "CASE")} + 0.5 * len(list_filter(string_split(t, chr(10)), x -> {_words("x", "IF", "PERFORM")} > 0))) AS DOUBLE) AS complexity
+@query(f"""SELECT doc_id, CAST(least(10.0, 1 + {_words("t", "IF", "WHEN", "PERFORM", "UNTIL", "WHILE", "CASE")} + 0.5 * len(list_filter(string_split(t, chr(10)), lambda x: {_words("x", "IF", "PERFORM")} > 0))) AS DOUBLE) AS complexity
  FROM (SELECT doc_id, replace(replace(text, ' the ', ' if '), ' la ', ' perform ') AS t FROM documents)""")
 def complexity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two frequent words stand for IF and PERFORM, which the texts lack."""
@@ -33,12 +33,12 @@ def complexity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQLS = ["SELECT a FROM t", "SELECT a FROM t INNER JOIN u ON t.k = u.k WHERE a > (SELECT max(b) FROM v) GROUP BY a ORDER BY a", "UPDATE t SET a = 1", "WITH x AS (SELECT 1) SELECT sum(a) OVER (PARTITION BY b) FROM t LEFT JOIN x ON 1 = 1 FULL JOIN y ON 2 = 2"]
 
 
-@query("SELECT unnest([0, 1, 2, 3]) AS id, unnest([1, 11, 2, 19]) AS complexity")
+@query("SELECT unnest([0, 1, 2, 3]) AS id, unnest([1, 10, 2, 18]) AS complexity")
 def sql_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_SQLS)), "id int, sql string").select("id", S.sql_complexity(F.col("sql")).alias("complexity"))
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), c AS (SELECT doc_id, len(s) AS n, len(list_filter(s, x -> trim(x) = '')) AS e, len(list_filter(s, x -> x LIKE 'L%')) AS k FROM l)
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), c AS (SELECT doc_id, len(s) AS n, len(list_filter(s, lambda x: trim(x) = '')) AS e, len(list_filter(s, lambda x: x LIKE 'L%')) AS k FROM l)
  SELECT doc_id, CAST(n AS INTEGER) AS n_lines, round(e::DOUBLE / n, 4) AS empty_ratio, round(k::DOUBLE / n, 4) AS comment_ratio, round((n - e - k)::DOUBLE / n, 4) AS code_ratio FROM c""")
 def code_line_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that begin with L stand for comments."""
@@ -70,7 +70,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", S.estimated_tokens(F.col("text")).alias("tokens"), F.floor(F.length("text") / 4).alias("simple_tokens"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), x -> x <> '') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(0, CASE WHEN len(ws) <= 1500 THEN 0 ELSE CAST(ceil((len(ws) - 1500) / 1300.0) AS BIGINT) END))) AS k FROM w)
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(0, CASE WHEN len(ws) <= 1500 THEN 0 ELSE CAST(ceil((len(ws) - 1500) / 1300.0) AS BIGINT) END))) AS k FROM w)
  SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(len(list_slice(ws, k * 1300 + 1, k * 1300 + 1500)) AS INTEGER) AS n_words, md5(array_to_string(list_slice(ws, k * 1300 + 1, k * 1300 + 1500), ' ')) AS digest FROM s""")
 def chunk_words_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 1500 words, 200 of them shared with the next."""
