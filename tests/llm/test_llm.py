@@ -156,19 +156,19 @@ def test_substring(docs):
     windows = defaultdict(set)
     for i, t in rows.items():
         w = words_of(t, True)
-        for k in range(len(w) - 24):
-            windows[tuple(w[k : k + 25])].add(i)
+        for k in range(len(w) - 21):
+            windows[tuple(w[k : k + 22])].add(i)
     long_windows = defaultdict(set)
     for i, t in rows.items():
         w = words_of(t, True)
-        for k in range(len(w) - 59):
-            long_windows[tuple(w[k : k + 60])].add(i)
+        for k in range(len(w) - 55):
+            long_windows[tuple(w[k : k + 56])].add(i)
     may = set().union(*(s for s in windows.values() if len(s) > 1))
     must = set().union(*(s for s in long_windows.values() if len(s) > 1))
     found = {r["doc_id"] for r in got}
     assert must <= found <= may
     for r in got:
-        assert len(words_of(rows[r["doc_id"]][r["start"] : r["end"]])) >= r["n_words"] >= 25
+        assert len(words_of(rows[r["doc_id"]][r["start"] : r["end"]])) >= r["n_words"] >= 22
     assert min(must) not in {r["doc_id"] for r in got if r["removed"]}
 
 
