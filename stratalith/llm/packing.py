@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SCHEMA = "doc_id long, piece int, start long, n_tokens long, shard int, bin long, position int, bin_offset long, bin_used long, bin_length long"
@@ -75,6 +75,7 @@ def best_fit(lengths_of: DataFrame, permitted: Sequence[int] = LENGTHS, overhead
         raise ValueError("permitted needs positive lengths")
     most, sizes = max(permitted), sorted(permitted)
     rows = lengths_of.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
+    rows = table(rows, "lengths")  # they are read twice and may cost an encoding
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
 
