@@ -80,3 +80,13 @@ def occurs(text: Column) -> Column:
     return F.when(u.rlike("OCCURS [0-9]+"), F.struct(
         a.cast("int").alias("min"), F.when(b != "", b).otherwise(a).cast("int").alias("max"),
         F.nullif(F.regexp_extract(u, f"DEPENDING ON {name}", 1), F.lit("")).alias("depending_on"), F.nullif(F.regexp_extract(u, f"INDEXED BY {name}", 1), F.lit("")).alias("indexed_by")))
+
+
+def glob(name: Column, patterns: list[str]) -> Column:
+    """Whether a name fits one of the shell patterns (* and ? alone are special)."""
+    import re
+
+    def regex(p: str) -> str:
+        return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p) + "$"
+
+    return name.rlike("|".join(regex(p) for p in patterns))

@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import documents, extract, lineage, monitor, ordered, recon, relations, reports, search, text  # noqa: F401
+    from . import documents, extract, ingest, lineage, monitor, ordered, recon, relations, reports, search, text  # noqa: F401
 
 
 load()

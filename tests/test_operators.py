@@ -167,3 +167,21 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     for rows in ([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")]):
         files.save_latest(spark.createDataFrame(rows, "k int, n int, v string"), path, ["k"], [F.desc("n")])
     assert sorted(one(spark.read.parquet(path))) == [(1, 2, "c"), (2, 1, "b")]
+
+
+def test_line_chunks_like_a_loop(spark, sf_dir):
+    from stratalith.plans import catalog
+
+    got = {(r["doc_id"], r["chunk"]): (r["first_line"], r["n_lines"], r["n_chars"]) for r in catalog.QUERIES["line_chunks"](spark, sf_dir).collect()}
+    expected = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        parts, used = [], 0
+        for i, line in enumerate(r["text"].split("\n")):
+            if not parts or used + len(line) > 3000:
+                parts.append((i, [line]))
+                used = len(line)
+            else:
+                parts[-1][1].append(line)
+                used += len(line)
+        expected |= {(r["doc_id"], k): (i, len(x), len("\n".join(x))) for k, (i, x) in enumerate(parts)}
+    assert got == expected
