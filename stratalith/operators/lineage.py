@@ -65,17 +65,19 @@ def access_class(access: Column, mode: Column) -> Column:
 
 
 def within(edges_: DataFrame, starts: DataFrame, source: str, target: str, max_hops: int) -> DataFrame:
-    """(start, node, hops): what is reached from each start in at most so many steps, by the shortest way; cycles end by themselves.
+    """(start, node, hops): what is reached from each start in at most so many steps, by the shortest way.
 
-    Every hop joins only the pairs that are new with the edges.
+    A front holds each node once for a start, so cycles add no rows; the plan
+    grows by one join for each hop.
     """
     links = edges_.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    front = starts.select("start", F.col("start").alias("node"))
-    seen = front.withColumn("hops", F.lit(0))
+    front = starts.select("start", F.col("start").alias("node")).distinct()
+    fronts = None
     for hop in range(1, max_hops + 1):
-        front = front.join(links, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
-    return seen.where("hops > 0")
+        front = front.join(links, "node").select("start", F.col("next").alias("node")).distinct()
+        here = front.withColumn("hops", F.lit(hop))
+        fronts = here if fronts is None else fronts.unionByName(here)
+    return fronts.where(F.col("node") != F.col("start")).groupBy("start", "node").agg(F.min("hops").alias("hops"))
 
 
 def references(chunks: DataFrame, text: str, name: str) -> DataFrame:
