@@ -27,10 +27,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     """
     queries = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("q"), F.col(vector).alias("v"))
     out = None
-    bounds = [r["q"] for r in queries.select("q", F.row_number().over(Window.orderBy("q")).alias("n")).where(F.col("n") % BLOCK == 1).orderBy("q").collect()]  # one id for each block
-    for i, low in enumerate(bounds):
-        block = queries.where(F.col("q") >= low)
-        block = block.where(F.col("q") < bounds[i + 1]) if i + 1 < len(bounds) else block
+    blocks = -(-queries.count() // BLOCK)
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)  # about BLOCK queries each
         got = block.toArrow().sort_by("q")
         ids, vectors = got.column("q").to_numpy(), _matrix(got.column("v"))
 

@@ -15,14 +15,11 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder as a stream; event times become timestamps with a zone, as watermarks need."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    glob = path.rpartition("/")
-    try:
-        single = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        is_file = single.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(single).isFile()
-    except AttributeError:
-        is_file = False
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    is_file = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(there).isFile()
+    folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema)
-    return reader.option("pathGlobFilter", glob[2]).parquet(glob[0]) if is_file else reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder) if is_file else reader.parquet(path)
 
 
 def _timed(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
