@@ -5,11 +5,13 @@ by itself, so no task holds more than its shard.  A document longer than the
 largest length is cut into pieces of that length and a rest.  Pieces are taken
 from long to short and go to the open bin that they leave with the least room
 (best fit over the contents of all bins of the shard, whatever their size).
-If none has room, the bin is opened whose cost for its expected filling is
-least: for each permitted length that holds the piece, the room that the
-shard's remaining shorter pieces cannot fill is counted, plus ``overhead``
-tokens for each sequence.  When all pieces are placed, every bin is downsized
-to the least permitted length that holds its contents.
+If none has room, the bin is opened whose cost for each token it is expected
+to hold is least among the permitted lengths that hold the piece.  A sequence
+costs its length, ``overhead`` tokens, and length**2 / ``square`` for
+attention; it is expected to be filled but for half the shortest piece, as far
+as the shard's pieces still to come suffice.  So long sequences save overhead
+and short ones attention.  When all pieces are placed, every bin is downsized to the least permitted
+length that holds its contents.
 
 Edge cases: null and negative lengths count as 0, and documents without tokens
 get a row with no bin.  Rows that repeat an id are packed each.  An empty
@@ -32,28 +34,28 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 SCHEMA = "doc_id long, piece int, start long, n_tokens long, shard int, bin long, position int, bin_offset long, bin_used long, bin_length long"
 
 
-def cheapest(size: int, rest: int, lengths: Sequence[int], overhead: int) -> int:
-    """The length to open for a piece of this size when the pieces still to come have ``rest`` tokens in all."""
+def cheapest(size: int, rest: int, shortest: int, lengths: Sequence[int], overhead: int, square: int) -> int:
+    """The length to open for a piece of this size when the pieces still to come have ``rest`` tokens in all, the shortest of them so many."""
     def cost(length: int) -> float:
-        filled = min(length, size + rest)
-        return (length - filled + overhead) / filled
+        filled = min(length - min(length - size, shortest / 2), size + rest)
+        return (length + overhead + length * length / square) / filled
 
     return min((x for x in lengths if x >= size), key=lambda x: (cost(x), x))
 
 
-def pack(sizes: np.ndarray, lengths: Sequence[int], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, lengths: Sequence[int], overhead: int = 8, square: int = 65_536) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For pieces in the order given, from long to short: bin and offset of each; used and final length of each bin."""
     room: list[tuple[int, int]] = []  # of open bins, sorted: (room, bin)
     where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     used: list[int] = []
-    rest = int(sizes.sum())
+    rest, shortest = int(sizes.sum()), int(sizes[-1]) if len(sizes) else 0
     for k, size in enumerate(sizes.tolist()):
         rest -= size
         at = bisect_left(room, (size, -1))
         if at < len(room):
             left, b = room.pop(at)
         else:
-            b, left = len(used), cheapest(size, rest, lengths, overhead)
+            b, left = len(used), cheapest(size, rest, shortest, lengths, overhead, square)
             used.append(0)
         where[k], offset[k] = b, used[b]
         used[b] += size
@@ -64,7 +66,7 @@ def pack(sizes: np.ndarray, lengths: Sequence[int], overhead: int) -> tuple[np.n
     return where, offset, total, final[np.searchsorted(final, total)] if len(total) else total
 
 
-def best_fit(lengths_of: DataFrame, permitted: Sequence[int] = LENGTHS, overhead: int = 8, shard_rows: int = 20_000, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+def best_fit(lengths_of: DataFrame, permitted: Sequence[int] = LENGTHS, overhead: int = 8, square: int = 65_536, shard_rows: int = 20_000, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
     """A row for each piece of each document, with its place in a bin; see SCHEMA.
 
     Documents are counted once to choose the number of shards, about one for
@@ -89,7 +91,7 @@ def best_fit(lengths_of: DataFrame, permitted: Sequence[int] = LENGTHS, overhead
         size = np.minimum(most, n[row] - start)
         order = np.lexsort((np.arange(len(row)), -size))
         order = order[size[order] > 0]
-        bin_of, offset, used, final = pack(size[order], sizes, overhead)
+        bin_of, offset, used, final = pack(size[order], sizes, overhead, square)
         none = np.ones(len(row), bool)
         none[order] = False
         values = np.zeros((5, len(row)), np.int64)
