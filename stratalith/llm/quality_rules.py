@@ -82,3 +82,23 @@ def quality_rules(docs: DataFrame, max_docs: int = 100, max_share: float = 0.001
     left = F.col("n_words") - F.col("n_removed_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed",
                       (~F.col("base_failed") & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"))
+
+
+#: With the parameters' defaults.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+u AS (SELECT rid, unnest(list_transform(generate_series(1, len(ws) - 7), lambda i: array_to_string(list_slice(ws, i, i + 7), ' '))) AS x, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM u) WHERE c > 1),
+c AS (SELECT rid, CAST(sum(least(8, i - coalesce(b, i - 8))) AS BIGINT) AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS b FROM r) GROUP BY rid),
+l AS (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+m AS (SELECT rid, host, t, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+h AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+o AS (SELECT host, norm FROM m JOIN h USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT t) > 100 AND count(DISTINCT t) > 0.001 * docs),
+x AS (SELECT rid, CAST(sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS lost FROM m JOIN o USING (host, norm) GROUP BY rid),
+k AS (SELECT rid, count(*) - count(DISTINCT line) AS dup FROM m GROUP BY rid),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(lost, 0) AS n_removed_words FROM d JOIN w USING (rid) LEFT JOIN c USING (rid) LEFT JOIN k USING (rid) LEFT JOIN x USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM b
+"""

@@ -57,4 +57,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_substring_dedup, op4_quality_classifier, op5_bpe, op6_minhash_near_dedup, op7_toxicity, op8_token_counts, op9_quality_rules, op10_exact_dedup)}
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op6_minhash_near_dedup": near_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
