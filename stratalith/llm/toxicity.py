@@ -96,12 +96,11 @@ def fit(y: np.ndarray, doc: np.ndarray, entries: np.ndarray, features: int, plai
     doc: the document of each sentence that has a feature; entries: (sentence,
     feature) pairs; plain: how many sentences without features each document has.
     """
-    w, out = np.zeros(features + 1), np.zeros(features + 1)
-    w[-1] = -6.0
+    w = np.zeros(features + 1)
+    w[-1] = -6.0  # few sentences are toxic
     m, v = np.zeros_like(w), np.zeros_like(w)
     sentence, feature = entries
-    start = np.bincount(feature, minlength=features) > 0
-    w[:-1][start] = 1.0
+    w[:-1][np.bincount(feature, minlength=features) > 0] = 1.0
     for step in range(1, steps + 1):
         z = w[-1] + np.bincount(sentence, w[feature], len(doc))
         s, s0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[-1]))
@@ -113,8 +112,7 @@ def fit(y: np.ndarray, doc: np.ndarray, entries: np.ndarray, features: int, plai
         grad[:-1] -= decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        out = w
-    return out[:-1], float(out[-1])
+    return w[:-1], float(w[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_docs: int = 4) -> SentenceModel:
