@@ -14,7 +14,7 @@ def choose(requests: DataFrame, servers: DataFrame, key: str, order: str, tokens
     ranked = servers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("active", "server"))).alias("_by_load"), F.array_sort(F.collect_list("server")).alias("_names"))
     light = F.col(tokens) <= heavy
     turn = F.sum(light.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - 1
-    out = requests.withColumn("_turn", turn).join(F.broadcast(ranked), key, "left")
+    out = requests.withColumn("_turn", turn).join(ranked, key, "left")
     return out.select(key, order, F.when(light, F.element_at("_names", (F.pmod(F.col("_turn"), F.size("_names")) + 1).cast("int"))).otherwise(F.col("_by_load")[0]["server"]).alias("server"))
 
 

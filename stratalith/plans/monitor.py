@@ -15,7 +15,7 @@ _ALERTS = "a AS (SELECT event_id, event_type, user_id, ts, value, CASE WHEN valu
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = spark.createDataFrame(_LIMITS, "metric string, warning double, critical double")
-    return M.alerts(read(spark, sf_dir, "events"), F.broadcast(limits), "event_type", "value")
+    return M.alerts(read(spark, sf_dir, "events"), limits, "event_type", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -69,7 +69,7 @@ def alerts(df: DataFrame, limits: DataFrame, name: str, value: str) -> DataFrame
     """A stream of metrics against a static table of limits."""
     from ..operators.monitor import alerts as batch_alerts
 
-    return batch_alerts(df, F.broadcast(limits), name, value)
+    return batch_alerts(df, limits, name, value)
 
 
 def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
