@@ -100,7 +100,7 @@ def records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]
         yield heads, block
 
 
-def write_archive(pages: DataFrame, path: str, shard_bytes: int = 1 << 27, roll_bytes: int = 1 << 25, least_revisit: int = 0) -> list[dict]:
+def write_archive(pages: DataFrame, path: str, shard_bytes: int = 1 << 25, roll_bytes: int = 1 << 25, least_revisit: int = 0) -> list[dict]:
     """Writes a record for each row of pages below path, a folder that executors share; returns the manifest's files."""
     spark = pages.sparkSession
     prepare(spark)
