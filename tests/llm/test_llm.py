@@ -172,6 +172,25 @@ def test_substring(docs):
     assert min(must) not in {r["doc_id"] for r in got if r["removed"]}
 
 
+@pytest.mark.parametrize("width", [4, 6, 10, 15, 20])
+def test_passages_over_many_lines_are_found(spark, width):
+    rnd = random.Random(width)
+
+    def prose(n):
+        return ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+
+    texts = []
+    for _ in range(40):  # each passage once in lines and once in a line
+        shared = prose(51)
+        texts += [wrapped(prose(33) + shared + prose(35), width), " ".join(prose(31)) + "\n" + " ".join(shared) + "\n" + " ".join(prose(30))]
+    texts += [wrapped(prose(120), width) for _ in range(10)]
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(found) >= 76 and max(found) < 80
+
+
 def test_cutting_keeps_clean_documents(docs):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     hit = {r["doc_id"] for r in substring_dedup.repeated_passages(docs).where("removed").collect()}
