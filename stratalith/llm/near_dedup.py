@@ -8,13 +8,17 @@ is small all its pairs are candidates; where it is large, it is split by the
 next value, so the depth adapts to how crowded the region is.  In a region
 that is large at its depth, every member is also paired with the region's
 ``PIVOTS`` most central members, those that agree best with the region's most
-frequent values; at full depth also with its ``NEIGHBOURS`` next in order.  So a group of any size gives a
-number of candidates in proportion to its size, and none is left out.
+frequent values; at full depth also with its ``NEIGHBOURS`` next in order.  So a large group is closed to a
+few components by candidates in proportion to its size.  What is left is done exactly: in a region that is
+large at full depth, all members of different components are compared by full sets, in blocks
+of bounded size, so that no task holds a large region's sets.  A pair at similarity j is thus compared, or its
+members are in one component anyway, with a probability of 1 - (1 - j**DEPTH)**TREES at least, however crowded it stands.
 
 A row carries a byte of each of its first ``MARKS`` MinHash values; pairs whose bytes say
 that they are far from similar (by more than four standard errors) are dropped
 before they are written.  The rest are confirmed by intersecting full sets.
-Links are then closed to components.
+Links are then closed to components.  Between members of a large region that other links join already, not every
+link is looked for, so ``n_links`` counts the links found.
 
 Edge cases: a null or blank text has an empty set, is linked with nothing and
 kept.  Fewer words than a shingle has make one shingle.  Rows that repeat a
@@ -38,6 +42,8 @@ WORDS, PERCENT = 5, 85
 TREES, DEPTH = 24, 8
 SMALL, PIVOTS, NEIGHBOURS = 24, 4, 4
 HASHES = TREES * DEPTH
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19  # about what a block of a large region holds
+FEW = 16  # members that share a shingle, up to which their pairs are listed
 MARKS = 96  # the values of which a row carries a byte
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,8 +149,22 @@ def region_pairs(tree: np.ndarray, keys: np.ndarray, marks: np.ndarray, sizes: n
     return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
 
+def crowds(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by tree and key, those in regions that are large at full depth, and the first row of each one's region."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1]).any(1)))
+    size = np.diff(np.append(cut, len(keys)))
+    members = np.flatnonzero(np.repeat(size > SMALL, size))
+    return members, np.repeat(cut, size)[members]
+
+
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a > b of class ids, from all trees.  classes: rep, size, signature."""
+    """What the trees say of the classes (rep, size, signature).
+
+    Rows without a tree: pairs a > b of class ids, perhaps repeated.  Rows with a tree: class a, of this size, is in
+    the large region of this tree whose least id is b.
+    """
     def key(t: int):
         return F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key"))
 
@@ -158,7 +178,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     rows = classes.mapInArrow(thin, "rep long, size long, signature binary, marks binary")
     rows = rows.select("rep", "size", "marks", F.explode(F.array(*[key(t) for t in range(TREES)])).alias("k")).select("k.tree", "k.key", "rep", "size", "marks")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    rows = rows.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key", "rep")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -167,18 +187,24 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         rows = pa.Table.from_batches(held).combine_chunks()
         keys = textkit.flat(rows.column("key"))[0].reshape(-1, DEPTH * 4).view(">u4")
         marks = textkit.flat(rows.column("marks"))[0].reshape(-1, MARKS)
-        rep = rows.column("rep").to_numpy()
-        a, b = rep[region_pairs(rows.column("tree").to_numpy(), keys, marks, rows.column("size").to_numpy(), percent)]
+        rep, tree, sizes = (rows.column(c).to_numpy() for c in ("rep", "tree", "size"))
+        a, b = rep[region_pairs(tree, keys, marks, sizes, percent)]
         pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        pair = pair[:, pair[0] != pair[1]]
         for k in range(0, pair.shape[1], 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0, k : k + (1 << 16)]), pa.array(pair[1, k : k + (1 << 16)])], ["a", "b"])
+            a, b = pair[:, k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())], ["a", "b", "tree", "size"])
+        members, lead = crowds(tree, keys)
+        for k in range(0, len(members), 1 << 16):
+            m = members[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[m]), pa.array(rep[lead[k : k + (1 << 16)]]), pa.array(tree[m]), pa.array(sizes[m])], ["a", "b", "tree", "size"])
 
-    return rows.mapInArrow(pairs, "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(pairs, "a long, b long, tree int, size long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar; docs: doc_id and text, one row for each id in pairs at least."""
-    wanted = IdFilter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and shingles of the documents in ids (distinct, column id) and of few others."""
+    wanted = IdFilter(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,13 +216,85 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(at, pa.array(values))], ["doc_id", "shingles"])
 
-    sets = table(docs.select("doc_id", "text", IdFilter.probes("doc_id").alias("places")).mapInArrow(run, "doc_id long, shingles array<long>"), "shingles")
+    return table(docs.select("doc_id", "text", IdFilter.probes("doc_id").alias("places")).mapInArrow(run, "doc_id long, shingles array<long>"), "shingles")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar; docs: doc_id and text, one row for each id in pairs at least."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same * 100 >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
+def similar_pairs(values: np.ndarray, sizes: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets of different roots that are similar; values: the sets' members, one set behind the other."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.lexsort((row, column))
+    row, column, count = row[order], column[order], count[column[order]]
+    shared = np.zeros((n, n), np.float32)
+    few = (count > 1) & (count <= FEW)
+    r, c = row[few], column[few]
+    for step in range(1, FEW):
+        k = np.flatnonzero(c[step:] == c[:-step])
+        np.add.at(shared, (r[k], r[k + step]), 1)
+    many = count > FEW
+    r, c = row[many], column[many]
+    c = np.cumsum(np.append(False, c[1:] != c[:-1])[: len(c)])
+    for first in range(0, int(c[-1]) + 1 if len(c) else 0, 2048):
+        a, b = np.searchsorted(c, [first, first + 2048])
+        has = np.zeros((n, 2048), np.float32)
+        has[r[a:b], c[a:b] - first] = 1
+        shared += has @ has.T
+    near = 100 * shared.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - shared.astype(np.int64))
+    return np.nonzero(np.triu(near & (root[:, None] != root[None, :]), 1))
+
+
+def crowd_links(docs: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different roots (root_a, root_b) within the large regions.
+
+    members: rep, size, tree and lead, the last two naming the region; roots: node and root of what is linked already.
+    A region's most frequent root is not compared with itself, so its members meet only the blocks of the rest.
+    """
+    region = ["tree", "lead"]
+    members = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    by_root = members.groupBy(*region, "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    open_ = by_root.groupBy(*region).agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("all")).where("n > top.n")
+
+    def parts(n, size):
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    open_ = open_.select(*region, F.col("top.root").alias("top"), parts(F.col("top.n"), F.col("top.size")).alias("p"), parts(F.col("n") - F.col("top.n"), F.col("all") - F.col("top.size")).alias("q"))
+    rows = table(members.select(*region, "rep", "root").join(open_, region), "crowds")
+    sets = _sets(docs, rows.select(F.col("rep").alias("id")).distinct())
+    hashed, q = F.xxhash64("rep", "tree"), F.col("q")
+    rest = F.pmod(hashed, q).cast("int")
+    top = (q + F.pmod(hashed, F.col("p"))).cast("int")
+
+    def to(first, behind, pair):
+        return F.transform(F.sequence(first, behind - 1), pair)
+
+    with_rest = to(F.lit(0), q, lambda j: F.struct(F.least(rest, j).alias("x"), F.greatest(rest, j).alias("y")))
+    with_top = to(q, q + F.col("p"), lambda j: F.struct(rest.alias("x"), j.alias("y")))
+    of_top = to(F.lit(0), q, lambda j: F.struct(j.alias("x"), top.alias("y")))
+    pair = F.when(F.col("root") == F.col("top"), of_top).otherwise(F.concat(with_rest, with_top))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*region, "rep", "root", "shingles", F.explode(pair).alias("k")).select(*region, "k.x", "k.y", "rep", "root", "shingles")
+
+    def linked(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lists = group.column("shingles").combine_chunks()
+        rep, root = group.column("rep").to_numpy(), group.column("root").to_numpy()
+        i, j = similar_pairs(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), root, percent)
+        high = rep[i] > rep[j]
+        i, j = np.where(high, i, j), np.where(high, j, i)
+        return pa.table({"a": rep[i], "b": rep[j], "root_a": root[i], "root_b": root[j]})
+
+    return rows.groupBy(*region, "x", "y").applyInArrow(linked, "a long, b long, root_a long, root_b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and n_links (of the document's class) of every row."""
     prepare(docs.sparkSession)
@@ -204,9 +302,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = table(_signed(rows), "signatures")
     classes = signed.where("size > 0").groupBy("size", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     classes = table(classes, "classes")
-    pairs = table(candidates(classes.where("rep is not null").select("rep", "size", "signature"), percent), "pairs")
+    met = table(candidates(classes.where("rep is not null").select("rep", "size", "signature"), percent), "met")
+    pairs = table(met.where("tree is null").select("a", "b").distinct(), "pairs")
     links = table(confirmed(rows, pairs, percent).distinct(), "links")
     roots = components(links)
+    members = met.where("tree is not null").select(F.col("a").alias("rep"), F.col("b").alias("lead"), "tree", "size")
+    if members.head(1):
+        roots = table(roots, "roots")
+        more = table(crowd_links(rows, members, roots, percent), "more")
+        links = links.union(more.select("a", "b")).distinct()
+        whole = components(more, "root_a", "root_b").select(F.col("node").alias("part"), F.col("root").alias("whole"))
+        parts = roots.union(more.select(F.explode(F.array("root_a", "root_b")).alias("node")).distinct().select("node", F.col("node").alias("root"))).distinct()
+        roots = parts.join(whole, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.select("size", "set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.select("size", "set_a", "set_b", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -136,6 +136,44 @@ def test_crowded_regions_lose_no_component(spark):
     assert wrong <= 2  # pairs at the very threshold may be missed by all trees
 
 
+def test_pairs_in_a_crowd_that_is_not_linked(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 100, raising=False)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(9))
+    base = [word() for _ in range(1000)]
+
+    def edited(words, places):
+        out = list(words)
+        for p in places:
+            out[p] = word()
+        return out
+
+    texts = []
+    for _ in range(1500):  # one template, mutual similarity about 0.81
+        texts.append(edited(base, [5 * k + 4 for k in rnd.sample(range(198), 11)]))
+    texts += [edited(t, [5 * k + 2 for k in rnd.sample(range(198), 14)]) for t in texts[:100]]  # 0.86 and more to its own, less to others
+    sets = [shingles(" ".join(t)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    column = {g: k for k, g in enumerate(g for g, n in Counter(itertools.chain(*sets)).items() if n > 1)}
+    has = np.zeros((len(sets), len(column)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [column[g] for g in own if g in column]] = 1
+    shared, size = (has @ has.T).astype(int), np.array([len(own) for own in sets])
+    for i, j in np.argwhere(np.triu(100 * shared >= 85 * (size[:, None] + size - shared), 1)).tolist():
+        x, y = root(i), root(j)
+        parent[max(x, y)] = min(x, y)
+    want = [root(i) for i in range(len(texts))]
+    assert 100 <= len(texts) - len(set(want)) < 300
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
