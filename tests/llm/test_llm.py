@@ -229,6 +229,23 @@ def test_passages_over_many_lines_are_found(spark, width):
     assert len(found) >= 76 and max(found) < 80
 
 
+def test_near_copies_in_crowded_bands_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWD", 30, raising=False)
+    rnd = random.Random(4)
+    words = list({"".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(120 + 60 * 42)})
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = textkit.words(data, np.array([0, len(data)]))
+    rank = dict(zip(words, textkit.word_hashes(data, starts, ends).tolist(), strict=True))
+    words.sort(key=rank.get)
+    common, rest, texts = words[:120], words[120:], []
+    rnd.shuffle(rest)
+    for k in range(60):  # words in the order of their hashes make one paragraph
+        own = sorted(rest[42 * k : 42 * k + 42], key=rank.get)
+        texts += [" ".join(common + own[:-1]), " ".join(common + own[:-2] + own[-1:])]
+    got = substring_dedup.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 120 and len({r["cluster"] for r in got}) == 60
+
+
 def test_cutting_keeps_clean_documents(docs):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     hit = {r["doc_id"] for r in substring_dedup.repeated_passages(docs).where("removed").collect()}
