@@ -229,6 +229,20 @@ def test_passages_over_many_lines_are_found(spark, width):
     assert len(found) >= 76 and max(found) < 80
 
 
+def test_text_of_short_runs_from_many_documents_is_clean(spark):
+    rnd = random.Random(6)
+    sources = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(60)) for _ in range(40)]
+    cut = substring_dedup.Paragraphs(*textkit.flat(pa.array(sources)))
+    pieces = defaultdict(list)
+    for d, a, b, size in zip(cut.doc.tolist(), cut.first_char.tolist(), cut.last_char.tolist(), cut.size.tolist(), strict=True):
+        if size < 18:
+            pieces[d].append(sources[d][a:b])
+    mosaic = " ".join(rnd.choice(pieces[d][1:-1] or pieces[d]) for d in pieces)
+    texts = [*sources, mosaic, sources[0] + " " + sources[1]]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 41} and {r["doc_id"] for r in got if r["removed"]} == {41}
+
+
 def test_near_copies_in_crowded_bands_are_linked(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CROWD", 30, raising=False)
     rnd = random.Random(4)
