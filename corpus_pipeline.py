@@ -10,41 +10,42 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalith.llm import exact_dedup, near_dedup, packing, quality_gam, substring_dedup, token_counts
 from stratalith.llm.common import prepare, release, shared_dir
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in kept (doc_id), one for each id."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model does not reject; rows without an id go, as later stages name documents by it."""
+    """Documents that the quality model does not reject."""
     release(spark)
     prepare(spark)
-    docs = docs.where("doc_id is not null")
     model = quality_gam.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_gam.keep_good(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One document of each group with equal texts; a row is named by its id, if any, and its text."""
     release(spark)
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    rows = rows.join(kept.withColumnRenamed("_sha", "_kept"), (F.col("_sha") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates; rows that share an id are apart."""
     release(spark)
-    return _keep(docs, near_dedup.near_duplicates(docs).where("kept"))
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    kept = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that earlier documents have."""
+    """Documents without the passages that earlier documents have; one without an id is placed by a hash of its text."""
     release(spark)
-    return substring_dedup.without_repeats(docs)
+    rows = docs.withColumns({"_id": F.col("doc_id"), "doc_id": F.coalesce(F.col("doc_id"), F.xxhash64("text").cast(docs.schema["doc_id"].dataType))})
+    return substring_dedup.without_repeats(rows).withColumn("doc_id", F.col("_id")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

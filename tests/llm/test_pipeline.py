@@ -1,5 +1,6 @@
 """The pipeline's stages, each on its own input, against brute force."""
 
+import random
 import re
 
 import pytest
@@ -52,6 +53,17 @@ def test_near_and_substring_shrink(outputs):
     assert all(r["n_chars"] == len(r["text"]) for r in outputs[3][1].collect())
 
 
+def test_rows_without_or_with_a_repeated_id_stay(spark):
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(60)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (2, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (P.exact, P.near, P.substring):
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert sorted(r["text"] for r in docs.collect()) == sorted(texts)
+    assert {(r["doc_id"], r["text"]) for r in docs.collect()} == set(rows) - {(None, texts[4])}
+
+
 def test_all_documents_are_packed(outputs):
     before, after = outputs[4]
     assert set(ids(before)) == set(ids(after))
