@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEYWORDS = ("MOVE", "TO", "FROM", "IF", "ELSE", "END", "PERFORM", "UNTIL", "VARYING", "CALL", "USING", "READ", "WRITE", "OPEN", "CLOSE", "ADD", "SUBTRACT", "COMPUTE", "DISPLAY", "ACCEPT", "STOP", "RUN")
+#: Words that are no field, and words that are no file.
+KEYWORDS = ("IF", "THEN", "ELSE", "END", "MOVE", "TO", "FROM", "COMPUTE", "PERFORM", "UNTIL", "VARYING", "BY", "CALL", "USING", "RETURNING", "PIC", "PICTURE", "VALUE", "OCCURS", "REDEFINES", "DEPENDING")
+NEVER_FILES = (
+    "VALUE", "PIC", "PICTURE", "THE", "TO", "FROM", "INTO", "GIVING", "SPACES", "SPACE", "ZEROS", "ZEROES", "QUOTES", "HIGH-VALUES", "LOW-VALUES",
+    "YES", "NO", "TRUE", "FALSE", "ON", "OFF", "ERROR", "OVERFLOW", "EQUAL", "GREATER", "LESS", "THAN", "OR", "AND", "NOT",
+)
+#: Heads and tails by which a longer name is a file's all the same.
+FILE_HEADS = ("TMS", "FILE", "MST", "DTL", "HDR", "TRL", "MSTR", "DETAIL", "CUSTOMER", "ACCOUNT")
+FILE_TAILS = ("FILE", "MST", "DTL", "HDR", "TRL", "DAT", "REC")
 
 
 def clean_column(name: Column) -> Column:
@@ -36,11 +44,15 @@ def component_names(text: Column) -> Column:
 
 def valid_field(name: Column) -> Column:
     u = F.upper(name)
-    return (F.length(name) >= 2) & ~u.isin(*KEYWORDS) & F.regexp_replace(u, "[-_]", "").rlike("^[A-Z0-9]+$")
+    return (F.length(name) >= 2) & ~u.isin(*KEYWORDS) & F.regexp_replace(u, "[-_]", "").rlike("^[\\p{L}\\p{N}]+$")
 
 
-def valid_file(name: Column, stops: tuple[str, ...] = KEYWORDS, most: int = 15) -> Column:
-    return (F.length(name).between(3, most)) & name.rlike("^[A-Z][A-Z0-9-]*$") & ~name.isin(*stops)
+def valid_file(name: Column, context: Column | None = None) -> Column:
+    """Three to fifteen characters; longer with a head or tail of files, and up to thirty where the context is working storage or linkage."""
+    u = F.upper(name)
+    inside = F.upper(context).rlike("WORKING-STORAGE|LINKAGE") if context is not None else F.lit(False)
+    known = u.rlike("^(" + "|".join(FILE_HEADS) + ")") | u.rlike("(" + "|".join(FILE_TAILS) + ")$")
+    return (F.length(name) > 2) & ~u.isin(*NEVER_FILES) & u.rlike("^[A-Z][A-Z0-9-]*$") & ((F.length(name) <= 15) | known | (inside & (F.length(name) <= 30)))
 
 
 def url_host(url: Column) -> Column:

@@ -1,6 +1,6 @@
 """Ordered rules over names and texts: purposes, meanings, patterns.
 
-Word lists are fixed values: reports are compared by the names they give.
+Word lists and sentences marked so are fixed values: reports are compared by them.
 """
 
 from __future__ import annotations
@@ -10,37 +10,81 @@ from pyspark.sql import functions as F
 
 from .scoring import first_match
 
+#: Purposes of host variables by name; then by picture.
 HOST_PURPOSES = (
-    ("indicator", ("IND", "NULL")), ("key", ("KEY", "ID", "NBR", "NUM")), ("amount", ("AMT", "AMOUNT", "BAL", "TOTAL")), ("date", ("DATE", "TIME")),
-    ("name", ("NAME", "DESC")), ("status", ("STATUS", "FLAG", "CODE")), ("counter", ("CNT", "COUNT")),
+    ("customer_data", ("CUSTOMER", "CUST")), ("order_data", ("ORDER", "ORD")), ("account_data", ("ACCOUNT", "ACCT")), ("transaction_data", ("TRANS", "TXN")),
+    ("indicator_variables", ("IND", "NULL")), ("working_variables", ("WORK", "TEMP")),
 )
+#: What is said of a file by its name and what is done to it.
+FILE_CONTEXTS = (
+    (("CUSTOMER", "CUST"), "Customer data {} for CRM operations"), (("ACCOUNT", "ACCT"), "Account {} for financial processing"), (("TRANSACTION", "TXN"), "Transaction {} for payment processing"),
+    (("BALANCE",), "Balance {} for accounting operations"), (("MASTER",), "Master data {} for reference management"), (("TEMP", "WORK"), "Temporary {} for intermediate processing"),
+)
+#: What an OCCURS is for, with its count.
+OCCURS_PURPOSES = (
+    (("TRANSACTION", "TXN"), "Transaction history array ({} transactions max)"), (("BALANCE",), "Multi-currency or multi-account balance array ({} entries)"),
+    (("ADDRESS",), "Multiple address lines ({} lines max)"), (("PHONE",), "Multiple phone numbers ({} numbers max)"),
+)
+#: What a field means; all words of one of the groups have to occur.
 FIELD_MEANINGS = (
-    ("customer identification", ("CUST.*ID", "CUSTOMER.*ID")), ("account identification", ("ACCT", "ACCOUNT")), ("monetary amount", ("AMT", "BAL", "PRICE", "TOTAL")),
-    ("date or time", ("DATE", "TIME")), ("personal name", ("NAME",)), ("address", ("ADDR", "CITY", "ZIP")), ("status", ("STAT", "FLAG")),
+    ((("CUSTOMER", "ID"),), "Customer identification for CRM and transaction tracking"), ((("ACCOUNT", "NUM"), ("ACCOUNT", "ID")), "Account number for financial transaction processing"),
+    ((("BALANCE",),), "Financial balance for accounting and reporting"), ((("DATE",),), "Date field for temporal tracking and reporting"), ((("AMOUNT",),), "Monetary amount for financial calculations"),
+    ((("STATUS",),), "Status indicator for workflow and business rule processing"), ((("NAME",),), "Name field for identification and correspondence"),
 )
-FILE_CONTEXTS = (("customer master", ("CUST",)), ("account master", ("ACCT", "ACCOUNT")), ("transactions", ("TRAN", "TXN")), ("reports", ("RPT", "REPORT")), ("backup", ("BKUP", "BACKUP")))
-REDEFINES_PURPOSES = (("date breakdown", ("DATE",)), ("alternative amount", ("AMT", "NUM")), ("record variants", ("REC", "TYPE")), ("address parts", ("ADDR",)))
-OCCURS_PURPOSES = (("monthly values", ("MONTH", "MTH")), ("line items", ("LINE", "ITEM", "DTL")), ("history", ("HIST",)), ("lookup table", ("TBL", "TABLE")))
 
 
-def host_purpose(name: Column) -> Column:
-    return first_match(name, HOST_PURPOSES, "data")
+def _contains(text: Column, *words: str) -> Column:
+    out = F.lit(True)
+    for w in words:
+        out = out & F.contains(F.upper(text), F.lit(w))
+    return out
+
+
+def _worded(name: Column, rules: tuple, value: Column, default: str) -> Column:
+    """The sentence of the first rule one of whose words the name contains, with the value in its place."""
+    def said(sentence: str) -> Column:
+        before, after = sentence.split("{}")
+        return F.concat(F.lit(before), value, F.lit(after))
+
+    out = F.when(F.lit(False), "")
+    for words, sentence in rules:
+        out = out.when(F.upper(name).rlike("|".join(words)), said(sentence))
+    return out.otherwise(said(default))
+
+
+def host_purpose(name: Column, definition: Column) -> Column:
+    by_picture = F.when(_contains(definition, "PIC S9"), "numeric_data").when(_contains(definition, "PIC X"), "character_data").otherwise("general_purpose")
+    known = (F.coalesce(name, F.lit("")) != "") & (F.coalesce(definition, F.lit("")) != "")
+    by_name = first_match(name, HOST_PURPOSES, "")
+    return F.when(~known, "general_purpose").when(by_name != "", by_name).otherwise(by_picture)
+
 
+def field_meaning(name: Column, picture: Column) -> Column:
+    from .names import pic_length
 
-def field_meaning(name: Column) -> Column:
-    return first_match(name, FIELD_MEANINGS, "general data")
+    out = F.when(F.lit(False), "")
+    for groups, sentence in FIELD_MEANINGS:
+        hit = F.lit(False)
+        for words in groups:
+            hit = hit | _contains(name, *words)
+        out = out.when(hit, sentence)
+    text = F.concat(F.lit("Text/character data ("), pic_length(picture), F.lit(" chars max)"))
+    return out.when(F.contains(picture, F.lit("X")), text).when(F.contains(picture, F.lit("9")), "Numeric data for calculations and processing").otherwise("Business data field for operational processing")
 
 
-def file_context(name: Column) -> Column:
-    return first_match(name, FILE_CONTEXTS, "general file")
+def file_context(name: Column, operation: Column) -> Column:
+    return _worded(name, FILE_CONTEXTS, F.lower(operation), "File {} operation")
 
 
-def redefines_purpose(name: Column) -> Column:
-    return first_match(name, REDEFINES_PURPOSES, "alternative view")
+def redefines_purpose(name: Column, redefined: Column) -> Column:
+    return (F.when(_contains(name, "DATE") & _contains(redefined, "DATE"), "Date format conversion (YYYYMMDD vs DD/MM/YYYY)")
+            .when(_contains(name, "AMOUNT") | _contains(name, "BALANCE"), "Financial amount format conversion (signed vs unsigned)")
+            .when(_contains(name, "CODE"), "Code interpretation (numeric vs character representation)")
+            .otherwise("Data format transformation for different processing needs"))
 
 
-def occurs_purpose(name: Column) -> Column:
-    return first_match(name, OCCURS_PURPOSES, "repeating group")
+def occurs_purpose(name: Column, count: Column) -> Column:
+    return _worded(name, OCCURS_PURPOSES, count.cast("string"), "Repeating data structure for bulk processing ({} entries)")
 
 
 def logic_patterns(text: Column) -> Column:

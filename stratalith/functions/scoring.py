@@ -76,26 +76,55 @@ def component_complexity(lines: Column, cyclomatic: Column, file_ops: Column, fi
     return 0.1 * lines + 5 * cyclomatic + 2 * file_ops + 0.5 * fields
 
 
-CODE_SIGNS = ("IDENTIFICATION DIVISION", "PROCEDURE DIVISION", "WORKING-STORAGE", "PERFORM", "MOVE ", "EXEC SQL", "EXEC CICS", "PIC ")
-STRUCTURED_SIGNS = ("{", "}", "<", ">", "|", ": ")
+#: Signs of code (any case) and of structured text, operators that are tokens of their own, and characters to a token.
+CODE_SIGNS = (
+    "{", "}", "(", ")", "[", "]", ";", "function", "class", "def", "if", "else", "for", "while", "IDENTIFICATION DIVISION", "PROCEDURE DIVISION", "DATA DIVISION",
+    "EXEC CICS", "EXEC SQL", "PERFORM", "MOVE", "CALL", "//", "EXEC", "DD", "JOB", "STEP",
+)
+SURE_CODE_SIGNS = ("IDENTIFICATION DIVISION", "PROCEDURE DIVISION", "EXEC CICS", "EXEC SQL")
+STRUCTURED_SIGNS = ('{"', '"}', '":', '",', "[{", "}]", "<", ">", "<?xml", "</", "/>", "<!--", "PIC ", "OCCURS ", "REDEFINES ", "01 ", "05 ")
+OPERATOR_SIGNS = ("==", "!=", "<=", ">=", "->", "=>", "++", "--", "&&", "||", "**", "//", "/*", "*/", "<!--", "-->")
+CHARACTERS_PER_TOKEN = {"code": 3.2, "structured": 3.8, "prose": 4.2}
 
 
 def signs(text: Column, words: tuple[str, ...]) -> Column:
-    return sum((F.contains(F.upper(text), F.lit(w)).cast("int") for w in words), F.lit(0))
+    """How many of the words a text contains."""
+    return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+
+def occurrences(text: Column, part: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
 def estimated_tokens(text: Column) -> Column:
-    """Characters by 3.2 for code, 3.8 for structured text and 4.2 for prose, between a tenth of the length (1 at least) and the length."""
-    n = F.length(text)
-    per = F.when(signs(text, CODE_SIGNS) >= 3, 3.2).when(signs(text, STRUCTURED_SIGNS) >= 2, 3.8).otherwise(4.2)
-    return F.greatest(F.greatest(F.lit(1), F.floor(n / 10)), F.least(F.floor(n / per), n)).cast("long")
+    """Characters by those to a token of code, structured text or prose, with additions for marks, short words, line ends and operators.
 
+    Between a tenth of the length (1 at least) and the length; 0 for no text.
+    """
+    text = F.coalesce(text, F.lit(""))
+    upper, n = F.upper(text), F.length(text)
+    code = (signs(upper, tuple(w.upper() for w in CODE_SIGNS)) >= 3) | (signs(upper, SURE_CODE_SIGNS) > 0)
+    per = F.when(code, CHARACTERS_PER_TOKEN["code"]).when(signs(text, STRUCTURED_SIGNS) >= 2, CHARACTERS_PER_TOKEN["structured"]).otherwise(CHARACTERS_PER_TOKEN["prose"])
+    blank = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+    words, letters, marks = (F.regexp_count(text, F.lit(x)) for x in (f"[^{blank}]+", r"[\p{L}\p{N}]", rf"[^\p{{L}}\p{{N}}{blank}]"))
+    more = (
+        F.when(marks / n > 0.1, marks * 0.3).otherwise(0.0) + F.when((words > 0) & (letters / words < 4), words * 0.1).otherwise(0.0) + occurrences(text, "\n") * 0.5
+        + sum((occurrences(text, x) * 0.5 for x in OPERATOR_SIGNS), F.lit(0.0))
+    )
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10), F.least(F.floor(n / per + more), n))).cast("long")
 
-#: The first domain whose words occur in a name wins.
+
+#: The first domain one of whose words occurs in a name wins.
 DOMAINS = (
-    ("financial", ("AMT", "AMOUNT", "BAL", "BALANCE", "PRICE", "COST", "TOTAL")), ("temporal", ("DATE", "TIME", "YEAR", "MONTH", "DAY")),
-    ("customer", ("CUST", "CLIENT", "NAME")), ("account", ("ACCT", "ACCOUNT")), ("transaction", ("TRAN", "TXN")),
-    ("control", ("FLAG", "SWITCH", "IND", "STATUS")), ("product", ("PROD", "ITEM", "PART")), ("location", ("ADDR", "CITY", "STATE", "ZIP", "NATION", "REGION")),
+    ("financial", ("AMOUNT", "AMT", "BALANCE", "BAL", "RATE", "FEE", "COST", "PRICE")), ("temporal", ("DATE", "TIME", "TIMESTAMP", "DT", "TM", "YEAR", "MONTH", "DAY")),
+    ("customer", ("CUSTOMER", "CUST", "CLIENT", "NAME", "ADDR", "ADDRESS", "PHONE", "EMAIL")), ("account", ("ACCOUNT", "ACCT", "ACC", "NUMBER", "NUM", "ID", "IDENTIFIER")),
+    ("transaction", ("TRANS", "TXN", "TRANSACTION", "PAYMENT", "TRANSFER")), ("control", ("STATUS", "STAT", "FLAG", "IND", "INDICATOR", "CODE", "TYPE")),
+    ("product", ("PRODUCT", "PROD", "ITEM", "SERVICE", "SVC")), ("location", ("BRANCH", "LOCATION", "LOC", "REGION", "AREA", "ZONE")),
+)
+#: The domains of the reports in upper case, in their own order.
+REPORT_DOMAINS = (
+    ("CUSTOMER", ("CUST", "CUSTOMER", "CLIENT")), ("FINANCIAL", ("AMT", "AMOUNT", "BAL", "BALANCE", "RATE", "FEE")), ("ACCOUNT", ("ACCT", "ACCOUNT", "ACC")),
+    ("TEMPORAL", ("DATE", "TIME", "TIMESTAMP", "DT")), ("TRANSACTION", ("TXN", "TRANS", "TRANSACTION")), ("ADDRESS", ("ADDR", "ADDRESS", "STREET", "CITY", "STATE", "ZIP")),
 )
 
 
@@ -112,19 +141,26 @@ def domain(name: Column) -> Column:
     return first_match(name, DOMAINS, "general")
 
 
-#: What a chat question asks for.
+def report_domain(name: Column) -> Column:
+    return first_match(name, REPORT_DOMAINS, "GENERAL")
+
+
+#: Patterns of what a chat question asks for; a class has a point for each pattern that is found.
 INTENTS = (
-    ("analysis", ("analy", "explain", "what does", "describe")), ("lineage", ("lineage", "trace", "flow", "where used")), ("search", ("find", "search", "show", "list")),
-    ("comparison", ("compare", "difference", "versus")), ("impact", ("impact", "affect", "change", "depend")),
+    ("analysis", ("analyze|analysis|examine|investigate|study", "what (is|are|does)|how (does|is|are)", "explain|describe|tell me about", "show me|find|search for")),
+    ("lineage", ("trace|lineage|flow|path|journey", "where (is|does|comes|goes)", "source|destination|origin", "upstream|downstream|dependencies")),
+    ("comparison", ("compare|difference|similar|contrast", "versus|vs|against|between", "same|different|alike")),
+    ("impact", ("impact|effect|affect|change", "what happens if|what if", "consequences|result|outcome")),
+    ("search", ("find|search|look for|locate", "contains|includes|has", "pattern|like|similar to")),
 )
 
 
 def best_class(text: Column, classes: tuple[tuple[str, tuple[str, ...]], ...], default: str) -> Column:
-    """The class with most hits, the first on ties, the default without any."""
+    """The class with most patterns found, the first on ties, the default without any."""
     low = F.lower(text)
-    counts = [sum((F.regexp_count(low, F.lit(w)) for w in words), F.lit(0)) for _, words in classes]
+    counts = [sum((low.rlike(w).cast("int") for w in words), F.lit(0)) for _, words in classes]
     most = F.greatest(*counts)
-    out = F.when(most == 0, default)
+    out = F.when(F.coalesce(most, F.lit(0)) == 0, default)
     for (name, _), n in zip(classes, counts, strict=True):
         out = out.when(n == most, name)
     return out

@@ -10,10 +10,6 @@ from ..operators import documents as D
 from .catalog import query, read
 
 
-def _case(column: str, classes: tuple, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(upper({column}), '{'|'.join(words)}') THEN '{name}'" for name, words in classes) + f" ELSE '{default}' END"
-
-
 @query("""SELECT l_orderkey, l_partkey, l_linenumber, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_discount DESC, l_linenumber, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
 def max_confidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
@@ -89,11 +85,28 @@ def file_lifecycle_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.stages(read(spark, sf_dir, "events"), "user_id", op)
 
 
-@query(f"""SELECT p_partkey, {_case("p_name", U.HOST_PURPOSES, "data")} AS purpose, {_case("p_name", U.FIELD_MEANINGS, "general data")} AS meaning, {_case("p_name", U.FILE_CONTEXTS, "general file")} AS context,
- {_case("p_type", U.REDEFINES_PURPOSES, "alternative view")} AS redefines, {_case("p_type", U.OCCURS_PURPOSES, "repeating group")} AS occurs FROM part""")
+@query("""WITH f AS (SELECT p_partkey, p_size AS k, CASE p_size % 12 WHEN 0 THEN 'CUSTOMER-ID' WHEN 1 THEN 'ACCOUNT-NUM' WHEN 2 THEN 'TXN-DATE' WHEN 3 THEN 'ORD-AMOUNT' WHEN 4 THEN 'BALANCE' WHEN 5 THEN 'STATUS-CODE' WHEN 6 THEN 'WORK-NAME'
+  WHEN 7 THEN 'ADDRESS' WHEN 8 THEN 'PHONE' WHEN 9 THEN 'MASTER' ELSE 'F-' || upper(split_part(p_name, ' ', 1)) END AS n, CASE p_size % 3 WHEN 0 THEN 'X(' || p_size || ')' WHEN 1 THEN 'S9(4)' ELSE 'Z' END AS p FROM part)
+ SELECT p_partkey, CASE WHEN regexp_matches(n, 'CUSTOMER|CUST') THEN 'customer_data' WHEN regexp_matches(n, 'ORDER|ORD') THEN 'order_data' WHEN regexp_matches(n, 'ACCOUNT|ACCT') THEN 'account_data' WHEN regexp_matches(n, 'TRANS|TXN') THEN 'transaction_data' WHEN regexp_matches(n, 'IND|NULL') THEN 'indicator_variables'
+  WHEN regexp_matches(n, 'WORK|TEMP') THEN 'working_variables' WHEN starts_with(p, 'S9') THEN 'numeric_data' WHEN starts_with(p, 'X') THEN 'character_data' ELSE 'general_purpose' END AS purpose,
+  CASE WHEN contains(n, 'CUSTOMER') AND contains(n, 'ID') THEN 'Customer identification for CRM and transaction tracking' WHEN contains(n, 'ACCOUNT') AND (contains(n, 'NUM') OR contains(n, 'ID')) THEN 'Account number for financial transaction processing' WHEN contains(n, 'BALANCE') THEN 'Financial balance for accounting and reporting'
+   WHEN contains(n, 'DATE') THEN 'Date field for temporal tracking and reporting' WHEN contains(n, 'AMOUNT') THEN 'Monetary amount for financial calculations' WHEN contains(n, 'STATUS') THEN 'Status indicator for workflow and business rule processing' WHEN contains(n, 'NAME') THEN 'Name field for identification and correspondence'
+   WHEN contains(p, 'X') THEN 'Text/character data (' || k || ' chars max)' WHEN contains(p, '9') THEN 'Numeric data for calculations and processing' ELSE 'Business data field for operational processing' END AS meaning,
+  CASE WHEN regexp_matches(n, 'CUSTOMER|CUST') THEN 'Customer data read for CRM operations' WHEN regexp_matches(n, 'ACCOUNT|ACCT') THEN 'Account read for financial processing' WHEN regexp_matches(n, 'TRANSACTION|TXN') THEN 'Transaction read for payment processing' WHEN contains(n, 'BALANCE') THEN 'Balance read for accounting operations'
+   WHEN contains(n, 'MASTER') THEN 'Master data read for reference management' WHEN regexp_matches(n, 'TEMP|WORK') THEN 'Temporary read for intermediate processing' ELSE 'File read operation' END AS context,
+  CASE WHEN contains(n, 'DATE') THEN 'Date format conversion (YYYYMMDD vs DD/MM/YYYY)' WHEN contains(n, 'AMOUNT') OR contains(n, 'BALANCE') THEN 'Financial amount format conversion (signed vs unsigned)' WHEN contains(n, 'CODE') THEN 'Code interpretation (numeric vs character representation)' ELSE 'Data format transformation for different processing needs' END AS redefines,
+  CASE WHEN regexp_matches(n, 'TRANSACTION|TXN') THEN 'Transaction history array (' || k || ' transactions max)' WHEN contains(n, 'BALANCE') THEN 'Multi-currency or multi-account balance array (' || k || ' entries)' WHEN contains(n, 'ADDRESS') THEN 'Multiple address lines (' || k || ' lines max)'
+   WHEN contains(n, 'PHONE') THEN 'Multiple phone numbers (' || k || ' numbers max)' ELSE 'Repeating data structure for bulk processing (' || k || ' entries)' END AS occurs FROM f""")
 def business_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, t = F.col("p_name"), F.col("p_type")
-    return read(spark, sf_dir, "part").select("p_partkey", U.host_purpose(n).alias("purpose"), U.field_meaning(n).alias("meaning"), U.file_context(n).alias("context"), U.redefines_purpose(t).alias("redefines"), U.occurs_purpose(t).alias("occurs"))
+    """Parts stand for fields and files: names and pictures come from their size and name."""
+    k = F.col("p_size")
+    names = dict(enumerate(("CUSTOMER-ID", "ACCOUNT-NUM", "TXN-DATE", "ORD-AMOUNT", "BALANCE", "STATUS-CODE", "WORK-NAME", "ADDRESS", "PHONE", "MASTER")))
+    n = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[k % 12], F.concat(F.lit("F-"), F.upper(F.split("p_name", " ")[0])))
+    p = F.when(k % 3 == 0, F.concat(F.lit("X("), k, F.lit(")"))).when(k % 3 == 1, "S9(4)").otherwise("Z")
+    fields = read(spark, sf_dir, "part").select("p_partkey", k.alias("k"), n.alias("n"), p.alias("p"))
+    n, p = F.col("n"), F.col("p")
+    return fields.select("p_partkey", U.host_purpose(n, F.concat(F.lit("05 F PIC "), p)).alias("purpose"), U.field_meaning(n, p).alias("meaning"), U.file_context(n, F.lit("READ")).alias("context"),
+                         U.redefines_purpose(n, F.lit("OLD-DATE")).alias("redefines"), U.occurs_purpose(n, F.col("k")).alias("occurs"))
 
 
 @query("""SELECT doc_id, length(trim(text)) >= 10 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '*'))) > 0 AS valid,

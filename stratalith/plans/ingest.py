@@ -27,14 +27,14 @@ def target_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", files.target_folder(name).alias("folder"))
 
 
-_STOPS = ", ".join(f"'{k}'" for k in N.KEYWORDS)
-
-
-@query(f"""WITH n AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS n FROM part) SELECT p_partkey, length(n) >= 2 AND n NOT IN ({_STOPS}) AND regexp_matches(regexp_replace(n, '[-_]', '', 'g'), '^[A-Z0-9]+$') AS field_ok,
- length(n) BETWEEN 3 AND 15 AND regexp_matches(n, '^[A-Z][A-Z0-9-]*$') AND n NOT IN ({_STOPS}) AS file_ok FROM n""")
+@query("""WITH n AS (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'TO' WHEN 1 THEN 'PIC' WHEN 2 THEN 'HIGH-VALUES' WHEN 3 THEN '12-34' WHEN 4 THEN 'CUSTOMER-' || upper(split_part(p_name, ' ', 1)) || '-LONG' WHEN 5 THEN 'A-VERY-LONG-NAME-OF-NOTHING' ELSE upper(split_part(p_name, ' ', 1)) END AS n FROM part)
+ SELECT p_partkey, length(n) >= 2 AND n NOT IN ('IF', 'THEN', 'ELSE', 'END', 'MOVE', 'TO', 'FROM', 'COMPUTE', 'PERFORM', 'UNTIL', 'VARYING', 'BY', 'CALL', 'USING', 'RETURNING', 'PIC', 'PICTURE', 'VALUE', 'OCCURS', 'REDEFINES', 'DEPENDING') AND regexp_matches(replace(n, '-', ''), '^[A-Z0-9]+$') AS field_ok,
+  length(n) > 2 AND n NOT IN ('VALUE', 'PIC', 'THE', 'TO', 'FROM', 'HIGH-VALUES', 'LOW-VALUES') AND regexp_matches(n, '^[A-Z][A-Z0-9-]*$') AND (length(n) <= 15 OR starts_with(n, 'CUSTOMER')) AS file_ok,
+  length(n) > 2 AND n NOT IN ('VALUE', 'PIC', 'THE', 'TO', 'FROM', 'HIGH-VALUES', 'LOW-VALUES') AND regexp_matches(n, '^[A-Z][A-Z0-9-]*$') AND (length(n) <= 30 OR starts_with(n, 'CUSTOMER')) AS storage_ok FROM n""")
 def valid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.upper(F.split("p_name", " ")[0])
-    return read(spark, sf_dir, "part").select("p_partkey", N.valid_field(n).alias("field_ok"), N.valid_file(n).alias("file_ok"))
+    word, k = F.upper(F.split("p_name", " ")[0]), F.col("p_size") % 8
+    n = F.when(k == 0, "TO").when(k == 1, "PIC").when(k == 2, "HIGH-VALUES").when(k == 3, "12-34").when(k == 4, F.concat(F.lit("CUSTOMER-"), word, F.lit("-LONG"))).when(k == 5, "A-VERY-LONG-NAME-OF-NOTHING").otherwise(word)
+    return read(spark, sf_dir, "part").select("p_partkey", N.valid_field(n).alias("field_ok"), N.valid_file(n).alias("file_ok"), N.valid_file(n, F.lit("WORKING-STORAGE SECTION")).alias("storage_ok"))
 
 
 @query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM c)

@@ -61,11 +61,16 @@ def control_flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_kinds(_docs(spark, sf_dir), "doc_id", "text", [("n_if", lambda x: F.contains(F.lower(x), F.lit(" the "))), ("n_perform", lambda x: F.contains(F.lower(x), F.lit(" de "))), ("n_other", lambda x: F.trim(x) != "")])
 
 
-_SIGNS = "(CASE WHEN contains(text, '{') THEN 1 ELSE 0 END + CASE WHEN contains(text, '}') THEN 1 ELSE 0 END + CASE WHEN contains(text, '<') THEN 1 ELSE 0 END + CASE WHEN contains(text, '>') THEN 1 ELSE 0 END + CASE WHEN contains(text, '|') THEN 1 ELSE 0 END + CASE WHEN contains(text, ': ') THEN 1 ELSE 0 END)"
-
-
-@query(f"""WITH p AS (SELECT doc_id, length(text) AS n, CASE WHEN {_SIGNS} >= 2 THEN 3.8::DOUBLE ELSE 4.2::DOUBLE END AS per FROM documents)
- SELECT doc_id, CAST(greatest(greatest(1, n // 10), least(floor(n / per), n)) AS BIGINT) AS tokens, CAST(n // 4 AS BIGINT) AS simple_tokens FROM p""")
+@query(r"""WITH t AS (SELECT doc_id, text AS t, upper(text) AS u, length(text) AS n FROM documents),
+ c AS (SELECT *, (SELECT count(*) FROM (VALUES ('{'), ('}'), ('('), (')'), ('['), (']'), (';'), ('FUNCTION'), ('CLASS'), ('DEF'), ('IF'), ('ELSE'), ('FOR'), ('WHILE'), ('IDENTIFICATION DIVISION'), ('PROCEDURE DIVISION'), ('DATA DIVISION'),
+  ('EXEC CICS'), ('EXEC SQL'), ('PERFORM'), ('MOVE'), ('CALL'), ('//'), ('EXEC'), ('DD'), ('JOB'), ('STEP')) w(w) WHERE contains(u, w)) AS code,
+  (SELECT count(*) FROM (VALUES ('{"'), ('"}'), ('":'), ('",'), ('[{'), ('}]'), ('<'), ('>'), ('<?xml'), ('</'), ('/>'), ('<!--'), ('PIC '), ('OCCURS '), ('REDEFINES '), ('01 '), ('05 ')) w(w) WHERE contains(t, w)) AS structured,
+  len(regexp_extract_all(t, '[^\s\x0B\x1C-\x1F\x85\pZ]+')) AS words, len(regexp_extract_all(t, '[\pL\pN]')) AS letters, len(regexp_extract_all(t, '[^\pL\pN\s\x0B\x1C-\x1F\x85\pZ]')) AS marks,
+  (SELECT sum((n - length(replace(t, w, ''))) // length(w)) FROM (VALUES ('=='), ('!='), ('<='), ('>='), ('->'), ('=>'), ('++'), ('--'), ('&&'), ('||'), ('**'), ('//'), ('/*'), ('*/'), ('<!--'), ('-->')) w(w)) AS operators,
+  n - length(replace(t, chr(10), '')) AS line_ends FROM t),
+ e AS (SELECT doc_id, n, n / CASE WHEN code >= 3 THEN 3.2::DOUBLE WHEN structured >= 2 THEN 3.8::DOUBLE ELSE 4.2::DOUBLE END + CASE WHEN marks / n > 0.1 THEN marks * 0.3::DOUBLE ELSE 0 END
+  + CASE WHEN words > 0 AND letters / words < 4 THEN words * 0.1::DOUBLE ELSE 0 END + line_ends * 0.5::DOUBLE + operators * 0.5::DOUBLE AS x FROM c)
+ SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, n // 10, least(floor(x), n)) END AS BIGINT) AS tokens, CAST(n // 4 AS BIGINT) AS simple_tokens FROM e""".replace("\\\\", "\\"))
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", S.estimated_tokens(F.col("text")).alias("tokens"), F.floor(F.length("text") / 4).alias("simple_tokens"))
 
@@ -78,22 +83,30 @@ def chunk_words_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
-def _case(text: str, classes: tuple, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(upper({text}), '{'|'.join(words)}') THEN '{name}'" for name, words in classes) + f" ELSE '{default}' END"
-
-
-@query(f"SELECT p_partkey, {_case('p_name', S.DOMAINS, 'general')} AS domain FROM part")
+@query("""WITH n AS (SELECT p_partkey, CASE p_size % 12 WHEN 0 THEN 'CUST-' WHEN 1 THEN 'ACCT-' WHEN 2 THEN 'TXN-' WHEN 3 THEN 'ORDER-AMT-' WHEN 4 THEN 'SVC-' WHEN 5 THEN 'BRANCH-' WHEN 6 THEN 'FLAG-' WHEN 7 THEN 'ZIP-' ELSE 'X' END || upper(p_name) AS n FROM part)
+ SELECT p_partkey, CASE WHEN regexp_matches(n, 'AMOUNT|AMT|BALANCE|BAL|RATE|FEE|COST|PRICE') THEN 'financial' WHEN regexp_matches(n, 'DATE|TIME|TIMESTAMP|DT|TM|YEAR|MONTH|DAY') THEN 'temporal' WHEN regexp_matches(n, 'CUSTOMER|CUST|CLIENT|NAME|ADDR|ADDRESS|PHONE|EMAIL') THEN 'customer'
+  WHEN regexp_matches(n, 'ACCOUNT|ACCT|ACC|NUMBER|NUM|ID|IDENTIFIER') THEN 'account' WHEN regexp_matches(n, 'TRANS|TXN|TRANSACTION|PAYMENT|TRANSFER') THEN 'transaction' WHEN regexp_matches(n, 'STATUS|STAT|FLAG|IND|INDICATOR|CODE|TYPE') THEN 'control'
+  WHEN regexp_matches(n, 'PRODUCT|PROD|ITEM|SERVICE|SVC') THEN 'product' WHEN regexp_matches(n, 'BRANCH|LOCATION|LOC|REGION|AREA|ZONE') THEN 'location' ELSE 'general' END AS domain,
+  CASE WHEN regexp_matches(n, 'CUST|CUSTOMER|CLIENT') THEN 'CUSTOMER' WHEN regexp_matches(n, 'AMT|AMOUNT|BAL|BALANCE|RATE|FEE') THEN 'FINANCIAL' WHEN regexp_matches(n, 'ACCT|ACCOUNT|ACC') THEN 'ACCOUNT' WHEN regexp_matches(n, 'DATE|TIME|TIMESTAMP|DT') THEN 'TEMPORAL'
+  WHEN regexp_matches(n, 'TXN|TRANS|TRANSACTION') THEN 'TRANSACTION' WHEN regexp_matches(n, 'ADDR|ADDRESS|STREET|CITY|STATE|ZIP') THEN 'ADDRESS' ELSE 'GENERAL' END AS report_domain FROM n""")
 def business_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", S.domain(F.col("p_name")).alias("domain"))
-
-
-_HITS = {name: " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in words) for name, words in S.INTENTS}
-
-
-@query(f"""WITH h AS (SELECT conv_id, turn, {', '.join(f'{sql} AS {name}' for name, sql in _HITS.items())} FROM conversations), m AS (SELECT *, greatest({', '.join(_HITS)}) AS most FROM h)
- SELECT conv_id, turn, CASE WHEN most = 0 THEN 'general' {' '.join(f"WHEN {n} = most THEN '{n}'" for n in _HITS)} END AS intent FROM m""")
+    """Parts stand for fields; a head by size makes names of every domain."""
+    head = S.mapped(F.col("p_size") % 12, dict(enumerate(("CUST-", "ACCT-", "TXN-", "ORDER-AMT-", "SVC-", "BRANCH-", "FLAG-", "ZIP-"))), "X")
+    name = F.concat(head, F.upper("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", S.domain(name).alias("domain"), S.report_domain(name).alias("report_domain"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, lower(text) || CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN ' what is the impact, what if it has changed' WHEN 2 THEN ' trace where it comes from' WHEN 3 THEN ' compare a versus b' ELSE ' find and locate the pattern' END AS q FROM conversations),
+ s AS (SELECT conv_id, turn, regexp_matches(q, 'analyze|analysis|examine|investigate|study')::INT + regexp_matches(q, 'what (is|are|does)|how (does|is|are)')::INT + regexp_matches(q, 'explain|describe|tell me about')::INT + regexp_matches(q, 'show me|find|search for')::INT AS a,
+  regexp_matches(q, 'trace|lineage|flow|path|journey')::INT + regexp_matches(q, 'where (is|does|comes|goes)')::INT + regexp_matches(q, 'source|destination|origin')::INT + regexp_matches(q, 'upstream|downstream|dependencies')::INT AS l,
+  regexp_matches(q, 'compare|difference|similar|contrast')::INT + regexp_matches(q, 'versus|vs|against|between')::INT + regexp_matches(q, 'same|different|alike')::INT AS c,
+  regexp_matches(q, 'impact|effect|affect|change')::INT + regexp_matches(q, 'what happens if|what if')::INT + regexp_matches(q, 'consequences|result|outcome')::INT AS i,
+  regexp_matches(q, 'find|search|look for|locate')::INT + regexp_matches(q, 'contains|includes|has')::INT + regexp_matches(q, 'pattern|like|similar to')::INT AS f FROM q)
+ SELECT conv_id, turn, CASE WHEN greatest(a, l, c, i, f) = 0 THEN 'general' WHEN a = greatest(a, l, c, i, f) THEN 'analysis' WHEN l = greatest(l, c, i, f) THEN 'lineage' WHEN c = greatest(c, i, f) THEN 'comparison' WHEN i >= f THEN 'impact' ELSE 'search' END AS intent FROM s""")
 def intent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.intent(F.col("text")).alias("intent"))
+    """Messages with a question added by turn, which makes some of every kind."""
+    asked = S.mapped(F.col("turn") % 5, {0: "", 1: " what is the impact, what if it has changed", 2: " trace where it comes from", 3: " compare a versus b", 4: " find and locate the pattern"}, "")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.intent(F.concat("text", asked)).alias("intent"))
 
 
 @query("""WITH u AS (SELECT conv_id, turn, list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_-])([A-Z][A-Z0-9-]{2,})', 1), regexp_extract_all(text, '"([A-Za-z0-9_.-]+)"', 1)), regexp_extract_all(text, '(?i)program ([A-Za-z0-9_-]+)', 1)))) AS n FROM conversations)

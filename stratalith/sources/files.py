@@ -18,7 +18,8 @@ from ..functions import names as N
 from ..operators import extract as X
 from ..operators.reports import latest
 
-CHARSETS = ("UTF-8", "windows-1252")
+#: A file is EBCDIC if it holds that blank more often than the ASCII one, and in a twentieth of its bytes.
+EBCDIC, EBCDIC_BLANK = "cp037", 0x40
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -27,23 +28,39 @@ def source_files(spark: SparkSession, path: str, pattern: str = "*", recursive:
     return files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("modificationTime").alias("modified"), "length", "content")
 
 
-def decoded(content: Column, ebcdic: str = "IBM037") -> Column:
-    """Text of unknown coding: EBCDIC if the bytes hold its blank (0x40) more often than the ASCII one, UTF-8 if that is valid, else Windows-1252."""
-    hexed = F.hex(content)
-    blanks = F.regexp_count(F.regexp_replace(hexed, "(..)", "$1 "), F.lit("20 "))
-    foreign = F.regexp_count(F.regexp_replace(hexed, "(..)", "$1 "), F.lit("40 "))
-    return F.when((foreign > blanks) & (foreign * 20 > F.length(content)), F.decode(content, ebcdic)).otherwise(F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, CHARSETS[1])))
+def decode(data: bytes) -> str:
+    """Text of unknown coding: EBCDIC, UTF-16 with a mark, UTF-8 if that is valid, else Windows-1252, what that lacks being dropped."""
+    foreign = data.count(EBCDIC_BLANK)
+    if foreign > data.count(b" ") and foreign * 20 > len(data):
+        return data.decode(EBCDIC)
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", errors="ignore")
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return data.decode("cp1252", errors="ignore")
 
 
-def file_key(name: Column, modified: Column, text: Column) -> Column:
-    """By what a file is known again: name, time, length and head."""
-    return F.sha2(F.concat_ws(":", name, modified.cast("string"), F.length(text).cast("string"), F.substring(text, 1, 100)), 256)
+def decoded(files: DataFrame) -> DataFrame:
+    """Files (path, name, modified, length, content) with their text instead of the content; Spark has no EBCDIC, hence the Arrow batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):  # a file a batch: files can be large
+                one = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([decode(one.column("content")[0].as_py() or b"")], pa.string())], [*one.schema.names[:-1], "text"])
+
+    return files.select("path", "name", "modified", "length", "content").mapInArrow(run, "path string, name string, modified timestamp, length long, text string")
+
+
+def file_key(name: Column, text: Column) -> Column:
+    """By what a file is known again: its name and all of its text."""
+    return F.sha2(F.concat_ws(":", name, text), 256)
 
 
 def ingest(spark: SparkSession, path: str, known: DataFrame | None = None, pattern: str = "*") -> DataFrame:
     """Sources with text, kind and key, without those whose key is in ``known`` (file_hash), each once."""
-    rows = source_files(spark, path, pattern).withColumn("text", decoded(F.col("content"))).drop("content")
-    rows = rows.withColumns({"file_hash": file_key(F.col("name"), F.col("modified"), F.col("text")), "kind": X.source_kind(F.col("text"), F.col("name"))}).dropDuplicates(["file_hash"])
+    rows = decoded(source_files(spark, path, pattern))
+    rows = rows.withColumns({"file_hash": file_key(F.col("name"), F.col("text")), "kind": X.source_kind(F.col("text"), F.col("name"))}).dropDuplicates(["file_hash"])
     return rows.join(known.select("file_hash"), "file_hash", "left_anti") if known is not None else rows
 
 
@@ -119,28 +136,67 @@ def restricted(df: DataFrame, columns: list[str] | None = None, where: str | Non
     return df.limit(limit) if limit else df
 
 
-def save_latest(df: DataFrame, path: str, keys: list[str], order: list[Column]) -> None:
-    """An upsert into a Parquet folder: of old and new rows with the same keys the first by order stays.
+def _swap(df: DataFrame, path: str) -> None:
+    """Puts df, which may read the folder, in the place of a folder: written beside it, then the old one steps aside, the new one in, and the old one goes.
 
-    The result goes to a folder beside it and takes its place at the end.
+    A crash between the steps leaves a whole folder under one of the names path, path.old and path.new; ``recovered`` puts it back.
     """
-    spark = df.sparkSession
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    here, aside, beside = (hadoop.Path(path.rstrip("/") + end) for end in ("", ".old", ".new"))
+    store = here.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(str(beside))
+    store.delete(aside, True)
+    if store.exists(here):
+        store.rename(here, aside)
+    store.rename(beside, here)
+    store.delete(aside, True)
+
+
+def recovered(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table in a folder that ``_swap`` writes, None if there is none; a swap that broke off is undone first."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    here, beside = hadoop.Path(path), hadoop.Path(path.rstrip("/") + ".new")
+    here, aside = hadoop.Path(path), hadoop.Path(path.rstrip("/") + ".old")
     store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = spark.read.parquet(path) if store.exists(here) else None
-    latest(df.unionByName(old, allowMissingColumns=True) if old is not None else df, keys, order).write.mode("overwrite").parquet(str(beside))
-    store.delete(here, True)
-    store.rename(beside, here)
+    if not store.exists(here) and store.exists(aside):
+        store.rename(aside, here)
+    return spark.read.parquet(path) if store.exists(here) else None
+
+
+def save_latest(df: DataFrame, path: str, keys: list[str], order: list[Column]) -> None:
+    """An upsert into a Parquet folder: of old and new rows with the same keys the first by order stays."""
+    old = recovered(df.sparkSession, path)
+    _swap(latest(df.unionByName(old, allowMissingColumns=True) if old is not None else df, keys, order), path)
 
 
 def save_without_old(df: DataFrame, path: str, ts: str, days: int) -> int:
-    """Writes the rows of the last days before the newest and returns how many were dropped."""
+    """Writes the rows of the last days before the newest and returns how many were dropped; df may be what the folder holds."""
     from ..operators.reports import since
 
-    kept = since(df, ts, f"{days} days")
-    kept.write.mode("overwrite").parquet(path)
-    return df.count() - df.sparkSession.read.parquet(path).count()
+    before = df.count()
+    _swap(since(df, ts, f"{days} days"), path)
+    return before - df.sparkSession.read.parquet(path).count()
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows to the end of a log or sample table."""
+    df.write.mode("append").parquet(path)
+
+
+def create_table(spark: SparkSession, path: str, columns: DataFrame) -> None:
+    """An empty table from a layout (at, column, sql_type), as ``profile`` and layouts give it; names are cleaned and made unique."""
+    kinds = F.when(F.col("sql_type") == "INTEGER", "int").when(F.col("sql_type") == "BIGINT", "bigint").when(F.col("sql_type") == "REAL", "double").when(F.col("sql_type").startswith("DECIMAL"), F.lower("sql_type")).when(F.col("sql_type") == "TIMESTAMP", "timestamp").otherwise("string")
+    rows = columns.select("at", N.clean_column(F.col("column")).alias("column"), kinds.alias("kind")).orderBy("at").collect()  # a row for each column
+    seen: dict[str, int] = {}
+    names = []
+    for r in rows:
+        n = seen[r["column"].lower()] = seen.get(r["column"].lower(), -1) + 1
+        names.append(f"`{r['column']}{f'_{n}' if n else ''}` {r['kind']}")
+    spark.createDataFrame([], ", ".join(names)).write.mode("errorifexists").parquet(path)
+
+
+def save_schema(spark: SparkSession, catalogue: str, table: str, columns: DataFrame, version: int) -> None:
+    """An entry of the schema catalogue for each column of a table; of entries with the same name the latest version stays."""
+    save_latest(columns.withColumns({"table": F.lit(table), "version": F.lit(version)}), catalogue, ["table", "column"], [F.desc("version")])
 
 
 def export_json(df: DataFrame, path: str) -> None:

@@ -81,7 +81,8 @@ def test_scores(spark):
     assert got[0] == 1 + 3 + 1.5 and got[2] == 1.0
     assert df.select(S.complexity_strict(F.col("t"))).first()[0] == 1 + 2 + 1.0
     assert spark.range(1).select(S.domain(F.lit("CUST-ACCT-BAL"))).first()[0] == "financial"
-    assert spark.range(1).select(S.intent(F.lit("compare and find"))).first()[0] == "search"
+    assert spark.range(1).select(S.intent(F.lit("compare a versus b, find it"))).first()[0] == "comparison"
+    assert spark.range(1).select(S.intent(F.lit("hello"))).first()[0] == "general"
     assert spark.range(1).select(S.system_risk(F.lit(0.5), F.lit(0.5), F.lit(0.5))).first()[0] == "HIGH"
 
 
