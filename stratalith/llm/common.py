@@ -10,12 +10,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit
+
 #: The white space that separates words: tab to carriage return, and blank.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -37,28 +41,38 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one where none is set, in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and (master.startswith("local-cluster") or not master.startswith("local")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder and not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="stratalith-"))
     return (folder or _own[0]).rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which ``release`` deletes."""
+    _tables.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and Spark knows its size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the scratch tables made so far; call it when no result that reads them is still to run."""
-    jvm = spark.sparkContext._jvm
     while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _tables.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class IdFilter:
@@ -72,21 +86,31 @@ class IdFilter:
     PROBES = 4
 
     def __init__(self, ids: DataFrame, bits: int = 1 << 26):
-        """ids: the distinct ids (column id).  Spark sets the bits; bits / 64 words come to the driver at most."""
+        """ids: one column of longs, nulls aside.  Spark sets the bits; bits / 64 words come to the driver at most."""
         self.bits = bits
-        bit = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(self.PROBES)]))
-        words = ids.where("id is not null").select(bit.alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("word")).toArrow()
+
+        def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(places(batch.column(0).drop_null().to_numpy(), bits))
+                word, first = np.unique(at >> 6, return_index=True)
+                value = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value)], ["at", "word"])
+
+        words = ids.mapInArrow(set_bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
         self.words = np.zeros(bits // 64, np.int64)
         self.words[words.column("at").to_numpy()] = words.column("word").to_numpy()
 
-    @classmethod
-    def probes(cls, column: str, bits: int = 1 << 26):
-        """The places to look at, as a column for ``has``."""
-        return F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(cls.PROBES)])
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each id may be in the filter."""
+        at = places(ids, self.bits)
+        return ((self.words[at >> 6] >> (at & 63)) & 1).astype(bool).all(1)
+
 
-    def has(self, places: np.ndarray) -> np.ndarray:
-        """places: PROBES numbers of each row."""
-        return ((self.words[places >> 6] >> (places & 63)) & 1).astype(bool).all(1)
+def places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bits that stand for each id."""
+    x = np.asarray(ids, np.int64).view(np.uint64)
+    steps = np.arange(1, IdFilter.PROBES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (textkit.mix(x[:, None] ^ steps) % np.uint64(bits)).astype(np.int64)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -108,7 +132,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")  # apart, so that Spark can split a hub's join
         large = clean(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         large = table(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))

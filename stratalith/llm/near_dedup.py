@@ -5,20 +5,18 @@ class gets ``TREES`` signatures of ``DEPTH`` MinHash values.  For each tree the
 classes are range-sorted by signature; neighbours with a long common prefix
 stand side by side.  A region is a run with a common prefix.  Where a region
 is small all its pairs are candidates; where it is large, it is split by the
-next value, so the depth adapts to how crowded the region is.  In a region
-that is large at its depth, every member is also paired with the region's
-``PIVOTS`` most central members, those that agree best with the region's most
-frequent values; at full depth also with its ``NEIGHBOURS`` next in order.  So a large group is closed to a
-few components by candidates in proportion to its size.  What is left is done exactly: in a region that is
-large at full depth, all members of different components are compared by full sets, in blocks
-of bounded size, so that no task holds a large region's sets.  A pair at similarity j is thus compared, or its
-members are in one component anyway, with a probability of 1 - (1 - j**DEPTH)**TREES at least, however crowded it stands.
-
-A row carries a byte of each of its first ``MARKS`` MinHash values; pairs whose bytes say
-that they are far from similar (by more than four standard errors) are dropped
-before they are written.  The rest are confirmed by intersecting full sets.
-Links are then closed to components.  Between members of a large region that other links join already, not every
-link is looked for, so ``n_links`` counts the links found.
+next value, so the depth adapts to how crowded the region is.  A region that
+is large at full depth is compared exactly: first every member with the
+region's ``PIVOTS`` most central rows, then, what these links have not joined,
+by full sets in blocks of bounded size.  A pair at similarity j is thus
+compared, or its members are in one component anyway, with a probability of
+1 - (1 - j**DEPTH)**TREES at least, however crowded it stands (0.9995 at 0.85).
+
+Tasks go through their sorted rows in chunks and hold no region as a whole.  A
+row carries a byte of each of its first ``MARKS`` MinHash values; pairs whose
+bytes say that they are far from similar (by more than four standard errors)
+are dropped before they are written.  The rest are confirmed by intersecting
+full sets, and links are closed to components.
 
 Edge cases: a null or blank text has an empty set, is linked with nothing and
 kept.  Fewer words than a shingle has make one shingle.  Rows that repeat a
@@ -28,7 +26,7 @@ their smallest id; their component is null if no row of it has an id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +38,13 @@ from .common import IdFilter, components, prepare, table
 
 WORDS, PERCENT = 5, 85
 TREES, DEPTH = 24, 8
-SMALL, PIVOTS, NEIGHBOURS = 24, 4, 4
+SMALL, PIVOTS = 16, 2
 HASHES = TREES * DEPTH
+CHUNK = 1 << 17  # rows that a task looks at together
+TASK_ROWS = 1 << 21  # rows of all trees for each task, about
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19  # about what a block of a large region holds
 FEW = 16  # members that share a shingle, up to which their pairs are listed
-MARKS = 96  # the values of which a row carries a byte
+MARKS = 32  # the values of which a row carries a byte
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -73,18 +73,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """HASHES values of 32 bits for each set; empty sets get zeros."""
-    out = np.zeros((len(sets), HASHES), np.uint32)
+    """HASHES values of 16 bits for each set; empty sets get zeros."""
+    out = np.zeros((len(sets), HASHES), np.uint16)
     full = [k for k, s in enumerate(sets) if len(s)]
     if not full:
         return out
     values = np.concatenate([sets[k] for k in full])
     at = np.cumsum([0] + [len(sets[k]) for k in full[:-1]])
     for h in range(HASHES):
-        out[full, h] = (np.minimum.reduceat(values * _FACTOR[h] + _ADD[h], at) >> np.uint64(32)).astype(np.uint32)
+        out[full, h] = (np.minimum.reduceat(values * _FACTOR[h] + _ADD[h], at) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value of each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * (rows.shape[1] * rows.itemsize)).astype(np.int32)), pa.py_buffer(rows)])
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, size, set_a and set_b (128 bits that name the set), signature (big-endian bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,112 +98,125 @@ def _signed(docs: DataFrame) -> DataFrame:
             for first, last, data, offsets in textkit.blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets)
                 sums = np.array([(s.sum(dtype=np.uint64), textkit.mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-                packed = signatures(sets).astype(">u4").tobytes()
-                step = HASHES * 4
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
-                     pa.array([packed[k : k + step] for k in range(0, len(packed), step)], pa.binary())],
+                    [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), _binary(signatures(sets).astype(">u2"))],
                     ["doc_id", "size", "set_a", "set_b", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, set_a long, set_b long, signature binary")
 
 
-def region_pairs(tree: np.ndarray, keys: np.ndarray, marks: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Candidate pairs (row numbers) of rows sorted by tree and key.
+class Regions:
+    """Goes through rows sorted by tree and key, chunk by chunk.
 
-    keys: DEPTH values of a row; marks: MARKS bytes of it; sizes: of its set.
+    Rows are arrays by name: tree, keys (DEPTH values each), marks (MARKS bytes
+    each), sizes (of their sets) and rep.  The last SMALL + 1 rows of a chunk
+    are seen again with the next one, so a small region is seen as a whole; of
+    a region that is large at full depth only the pivots are kept.
     """
-    n, least, found = len(keys), least_agreement(percent), []
 
-    def add(a: np.ndarray, b: np.ndarray) -> None:
+    NAMES = ("tree", "keys", "marks", "sizes", "rep")
+
+    def __init__(self, percent: int):
+        self.percent, self.least = percent, least_agreement(percent)
+        self.rest: dict[str, np.ndarray] | None = None
+        self.told = np.zeros(0, bool)  # which of the rest are reported as members of a large region
+        self.crowd: tuple | None = None  # tree, key, lead and pivots of the large region at the end of the last chunk
+        self.found: list[np.ndarray] = []
+
+    def pair(self, x: dict[str, np.ndarray], a: np.ndarray, y: dict[str, np.ndarray], b: np.ndarray) -> None:
         for k in range(0, len(a), 1 << 16):
-            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            near = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
-            x, y = x[near], y[near]
-            near = (marks[x] == marks[y]).sum(1) >= least
-            found.append(np.stack([x[near], y[near]]))
-
-    if n < 2:
-        return np.zeros((2, 0), np.int64)
-    common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1)
-    common[tree[1:] != tree[:-1]] = 0
-    row = np.arange(n)
-    waiting = np.ones(n, bool)  # rows whose region is still too large
-    for depth in range(1, DEPTH + 1):
-        cut = np.flatnonzero(np.append(True, common < depth))
-        size = np.diff(np.append(cut, n))
-        region = np.repeat(np.arange(len(cut)), size)
-        mine = size[region]
-        open_ = waiting & (mine > 1)
-        small = open_ & (mine <= SMALL)
-        for step in range(1, SMALL):
-            a = np.flatnonzero(small[: n - step] & (region[: n - step] == region[step:]))
-            if not len(a):
-                break
-            add(a, a + step)
-        for k in np.flatnonzero((size > SMALL) & waiting[cut]).tolist():
-            members = row[cut[k] : cut[k] + size[k]]
-            usual = np.array([np.bincount(marks[members, h], minlength=1).argmax() for h in range(MARKS)], np.uint8)
-            agree = (marks[members] == usual).sum(1)
-            for p in members[np.argsort(-agree, kind="stable")[:PIVOTS]].tolist():
-                others = members[members != p]
-                add(np.full(len(others), p), others)
-            if depth == DEPTH:
-                for step in range(1, NEIGHBOURS + 1):
-                    add(members[:-step], members[step:])
-        waiting &= mine > SMALL
-    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-
-
-def crowds(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by tree and key, those in regions that are large at full depth, and the first row of each one's region."""
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1]).any(1)))
-    size = np.diff(np.append(cut, len(keys)))
-    members = np.flatnonzero(np.repeat(size > SMALL, size))
-    return members, np.repeat(cut, size)[members]
+            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            m, n = x["sizes"][i], y["sizes"][j]
+            near = 100 * np.minimum(m, n) >= self.percent * np.maximum(m, n)
+            i, j = i[near], j[near]
+            near = (x["marks"][i] == y["marks"][j]).sum(1) >= self.least
+            p, q = x["rep"][i[near]], y["rep"][j[near]]
+            self.found.append(np.stack([np.maximum(p, q), np.minimum(p, q)]))
+
+    def chunk(self, rows: dict[str, np.ndarray], last: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidate pairs (two rows of ids), and of the members of large regions: rep, lead, tree and size."""
+        told = np.concatenate([self.told, np.zeros(len(rows["rep"]), bool)])
+        if self.rest is not None:
+            rows = {k: np.concatenate([self.rest[k], rows[k]]) for k in self.NAMES}
+        n, self.found, members = len(rows["rep"]), [], []
+        common = np.cumprod(rows["keys"][1:] == rows["keys"][:-1], axis=1).sum(1) if n else np.zeros(0, np.int64)
+        common[rows["tree"][1:] != rows["tree"][:-1]] = 0
+        waiting, crowd = np.ones(n, bool), None  # waiting: rows whose region is still too large, or not at its end
+        for depth in range(1, DEPTH + 1) if n else ():
+            cut = np.flatnonzero(np.append(True, common < depth))
+            size = np.diff(np.append(cut, n))
+            region = np.repeat(np.arange(len(cut)), size)
+            small = size <= SMALL
+            small[-1] &= last
+            go = waiting & small[region]
+            for step in range(1, SMALL):
+                a = np.flatnonzero(go[: n - step] & (region[: n - step] == region[step:]))
+                if not len(a):
+                    break
+                self.pair(rows, a, rows, a + step)
+            waiting &= ~small[region]
+            for k in np.flatnonzero(size > SMALL).tolist() if depth == DEPTH else ():
+                own = np.arange(cut[k], cut[k] + size[k])
+                name = (int(rows["tree"][own[0]]), rows["keys"][own[0]].tobytes())
+                if k == 0 and self.crowd is not None and self.crowd[0] == name:
+                    _, lead, pivots = self.crowd
+                else:
+                    usual = np.array([np.bincount(rows["marks"][own, h], minlength=1).argmax() for h in range(MARKS)], np.uint8)
+                    top = own[np.argsort(-(rows["marks"][own] == usual).sum(1), kind="stable")[:PIVOTS]]
+                    lead, pivots = int(rows["rep"][own[0]]), {c: rows[c][top] for c in self.NAMES}
+                own = own[~told[own]]
+                for p in range(PIVOTS):
+                    self.pair(rows, own, pivots, np.full(len(own), p))
+                members.append((rows["rep"][own], np.full(len(own), lead), rows["tree"][own], rows["sizes"][own]))
+                told[own] = True
+                crowd = (name, lead, pivots)
+        at = max(0, n - SMALL - 1)
+        self.rest, self.told = {k: rows[k][at:] for k in self.NAMES}, told[at:]
+        at_end = crowd is not None and crowd[0] == (int(rows["tree"][-1]), rows["keys"][-1].tobytes())
+        self.crowd = crowd if at_end else None
+        pairs = np.unique(np.concatenate(self.found, axis=1), axis=1) if self.found else np.zeros((2, 0), np.int64)
+        groups = tuple(np.concatenate(x) for x in zip(*members, strict=True)) if members else (np.zeros(0, np.int64),) * 4
+        return pairs[:, pairs[0] != pairs[1]], groups
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """What the trees say of the classes (rep, size, signature).
 
     Rows without a tree: pairs a > b of class ids, perhaps repeated.  Rows with a tree: class a, of this size, is in
-    the large region of this tree whose least id is b.
+    the large region of this tree that is named by b, the least id seen of it.
     """
-    def key(t: int):
-        return F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key"))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, _ = textkit.flat(batch.column("signature"))
-            marks = np.ascontiguousarray(data.reshape(-1, HASHES, 4)[:, :MARKS, 3])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("size"), batch.column("signature"), pa.array([m.tobytes() for m in marks], pa.binary())], ["rep", "size", "signature", "marks"])
-
-    rows = classes.mapInArrow(thin, "rep long, size long, signature binary, marks binary")
-    rows = rows.select("rep", "size", "marks", F.explode(F.array(*[key(t) for t in range(TREES)])).alias("k")).select("k.tree", "k.key", "rep", "size", "marks")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            n = batch.num_rows
+            values = np.frombuffer(textkit.flat(batch.column("signature"))[0], ">u2").reshape(n, HASHES)
+            marks = _binary(values[:, :MARKS].astype(np.uint8))
+            for t in range(TREES):
+                key = _binary(values[:, DEPTH * t : DEPTH * (t + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), key, batch.column("rep"), batch.column("size"), marks], ["tree", "key", "rep", "size", "marks"])
+
+    rows = classes.mapInArrow(planted, "tree int, key binary, rep long, size long, marks binary")
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * TREES // TASK_ROWS))
     rows = rows.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key", "rep")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        keys = textkit.flat(rows.column("key"))[0].reshape(-1, DEPTH * 4).view(">u4")
-        marks = textkit.flat(rows.column("marks"))[0].reshape(-1, MARKS)
-        rep, tree, sizes = (rows.column(c).to_numpy() for c in ("rep", "tree", "size"))
-        a, b = rep[region_pairs(tree, keys, marks, sizes, percent)]
-        pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        pair = pair[:, pair[0] != pair[1]]
-        for k in range(0, pair.shape[1], 1 << 16):
-            a, b = pair[:, k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())], ["a", "b", "tree", "size"])
-        members, lead = crowds(tree, keys)
-        for k in range(0, len(members), 1 << 16):
-            m = members[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[m]), pa.array(rep[lead[k : k + (1 << 16)]]), pa.array(tree[m]), pa.array(sizes[m])], ["a", "b", "tree", "size"])
+        regions, held = Regions(percent), []
+
+        def looked(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            pair, (rep, lead, tree, size) = regions.chunk({
+                "tree": rows.column("tree").to_numpy(), "keys": np.frombuffer(textkit.flat(rows.column("key"))[0], ">u2").reshape(-1, DEPTH), "marks": textkit.flat(rows.column("marks"))[0].reshape(-1, MARKS),
+                "sizes": rows.column("size").to_numpy(), "rep": rows.column("rep").to_numpy()}, last)
+            none = pa.nulls(pair.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), none.cast(pa.int32()), none], ["a", "b", "tree", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(lead), pa.array(tree.astype(np.int32)), pa.array(size)], ["a", "b", "tree", "size"])
+
+        for batch in batches:
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield from looked(False)
+            held.append(batch)
+        if held:
+            yield from looked(True)
 
     return rows.mapInArrow(pairs, "a long, b long, tree int, size long")
 
@@ -208,22 +227,20 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2).flatten().to_numpy().reshape(-1, IdFilter.PROBES)
-            batch = batch.filter(pa.array(wanted.has(places)))
+            batch = batch.filter(pa.array(wanted.has(batch.column(0).fill_null(0).to_numpy())))
             for first, last, data, offsets in textkit.blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets)
                 at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(at, pa.array(values))], ["doc_id", "shingles"])
 
-    return table(docs.select("doc_id", "text", IdFilter.probes("doc_id").alias("places")).mapInArrow(run, "doc_id long, shingles array<long>"), "shingles")
+    return table(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>"), "shingles")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar; docs: doc_id and text, one row for each id in pairs at least."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (doc_id, shingles) are similar; neither side has a bound, so neither is broadcast."""
+    right = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = right.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same * 100 >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
@@ -253,10 +270,11 @@ def similar_pairs(values: np.ndarray, sizes: np.ndarray, root: np.ndarray, perce
     return np.nonzero(np.triu(near & (root[:, None] != root[None, :]), 1))
 
 
-def crowd_links(docs: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def crowd_links(members: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between different roots (root_a, root_b) within the large regions.
 
-    members: rep, size, tree and lead, the last two naming the region; roots: node and root of what is linked already.
+    members: rep, size, tree and lead, the last two naming the region; roots: node and root of what is linked already;
+    sets_of: gives doc_id and shingles of the ids (column id) at least.
     A region's most frequent root is not compared with itself, so its members meet only the blocks of the rest.
     """
     region = ["tree", "lead"]
@@ -269,7 +287,7 @@ def crowd_links(docs: DataFrame, members: DataFrame, roots: DataFrame, percent:
 
     open_ = open_.select(*region, F.col("top.root").alias("top"), parts(F.col("top.n"), F.col("top.size")).alias("p"), parts(F.col("n") - F.col("top.n"), F.col("all") - F.col("top.size")).alias("q"))
     rows = table(members.select(*region, "rep", "root").join(open_, region), "crowds")
-    sets = _sets(docs, rows.select(F.col("rep").alias("id")).distinct())
+    sets = sets_of(rows.select(F.col("rep").alias("id")).distinct())
     hashed, q = F.xxhash64("rep", "tree"), F.col("q")
     rest = F.pmod(hashed, q).cast("int")
     top = (q + F.pmod(hashed, F.col("p"))).cast("int")
@@ -295,8 +313,20 @@ def crowd_links(docs: DataFrame, members: DataFrame, roots: DataFrame, percent:
     return rows.groupBy(*region, "x", "y").applyInArrow(linked, "a long, b long, root_a long, root_b long").distinct()
 
 
+def closed(pairs: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """node and root of all that is linked: by similar pairs (a, b), and between the members of large regions (see crowd_links)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    roots = table(components(confirmed(pairs, sets_of(ids), percent)), "roots")
+    if not members.head(1):
+        return roots
+    more = table(crowd_links(members, roots, sets_of, percent), "more")
+    whole = components(more, "root_a", "root_b").select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    parts = roots.union(more.select(F.explode(F.array("root_a", "root_b")).alias("node")).distinct().select("node", F.col("node").alias("root"))).distinct()
+    return table(parts.join(whole, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (of the document's class) of every row."""
+    """doc_id, n_shingles, component_id and kept of every row."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = table(_signed(rows), "signatures")
@@ -304,23 +334,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = table(classes, "classes")
     met = table(candidates(classes.where("rep is not null").select("rep", "size", "signature"), percent), "met")
     pairs = table(met.where("tree is null").select("a", "b").distinct(), "pairs")
-    links = table(confirmed(rows, pairs, percent).distinct(), "links")
-    roots = components(links)
     members = met.where("tree is not null").select(F.col("a").alias("rep"), F.col("b").alias("lead"), "tree", "size")
-    if members.head(1):
-        roots = table(roots, "roots")
-        more = table(crowd_links(rows, members, roots, percent), "more")
-        links = links.union(more.select("a", "b")).distinct()
-        whole = components(more, "root_a", "root_b").select(F.col("node").alias("part"), F.col("root").alias("whole"))
-        parts = roots.union(more.select(F.explode(F.array("root_a", "root_b")).alias("node")).distinct().select("node", F.col("node").alias("root"))).distinct()
-        roots = parts.join(whole, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("size", "set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("size", "set_a", "set_b", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    roots = closed(pairs, members, lambda ids: _sets(rows, ids), percent)
+    named = classes.select("size", "set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("size", "set_a", "set_b", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "size", "set_a", "set_b").join(named, ["size", "set_a", "set_b"], "left")
     component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("root"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (component.isNull() | component.eqNullSafe(F.col("doc_id"))).alias("kept"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (component.isNull() | component.eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
 #: All pairs, exactly; the forest finds the same links on tables of this size.
@@ -334,6 +354,6 @@ l AS (SELECT a, b FROM p JOIN c ca ON ca.rep = a JOIN c cb ON cb.rep = b WHERE 1
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
 m AS (SELECT x, min(y) AS root FROM r GROUP BY x)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id, coalesce(m.root, d.doc_id) = d.doc_id AS kept, (SELECT count(*) FROM e WHERE e.a = c.rep) AS n_links
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id, coalesce(m.root, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN m ON m.x = c.rep
 """
