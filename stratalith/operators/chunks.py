@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +40,45 @@ def word_windows(df: DataFrame, key: str, text: str, size: int, overlap: int) ->
     return words.select(key, "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk")).select(key, "chunk", F.slice("w", F.col("chunk") * step + 1, F.lit(size)).alias("words"))
 
 
+PART = "array<struct<at:int,n:long,size:long,kind:string,x:string>>"
+
+
+def packed(parts: DataFrame, key: str, budget: int) -> DataFrame:
+    """Parts of texts (at, n lines, size, kind, x) packed in order into chunks of at most ``budget``; a larger part is a chunk of its own."""
+    part = F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("long").alias("n"), F.col("size").cast("long").alias("size"), F.col("kind").cast("string").alias("kind"), "x")
+    return _pack(parts.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("p")), key, budget)
+
+
 def packed_lines(df: DataFrame, key: str, text: str, budget: int, cost: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Whole lines packed in order into chunks of at most ``budget`` (characters, or what cost gives); a longer line is a chunk of its own."""
+    """Whole lines packed in order into chunks of at most ``budget`` (characters, or what cost gives); a longer line is a chunk of its own.  No shuffle."""
     cost = cost or F.length
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), cost(x).cast("long").alias("c")))
-    zero = F.from_json(F.lit('{"used":0,"chunk":-1,"out":[]}'), "struct<used:long,chunk:int,out:array<struct<chunk:int,line:string>>>")
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("int").alias("at"), F.lit(1).cast("long").alias("n"), cost(x).cast("long").alias("size"), F.lit(None).cast("string").alias("kind"), x.alias("x")))
+    return _pack(df.select(key, F.coalesce(lines, F.array().cast(PART)).alias("p")), key, budget).drop("starts_with")
+
+
+def _pack(rows: DataFrame, key: str, budget: int) -> DataFrame:
+    """The greedy walk over each text's parts, in Arrow batches; its cost grows with the number of parts."""
+    kind = rows.schema[key].dataType.simpleString()
+    names = [key, "chunk", "first_line", "n_lines", "starts_with", "text"]
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["chunk"] < 0) | (acc["used"] + x["c"] > budget)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(F.when(new, x["c"]).otherwise(acc["used"] + x["c"]).alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(F.struct(chunk.alias("chunk"), x["line"].alias("line")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, count = batch.column(1).flatten(), batch.column(1).value_lengths().to_pylist()
+            at, n, size, kinds, x = (p.field(k).to_pylist() for k in range(5))
+            owner, out, k = [], [], 0
+            for row, parts in enumerate(count):
+                chunk, used = -1, 0
+                for i in range(k, k + parts):
+                    if chunk < 0 or used + size[i] > budget:
+                        chunk, used = chunk + 1, 0
+                        owner.append(row)
+                        out.append((chunk, at[i], [], [], kinds[i]))
+                    used += size[i]
+                    out[-1][2].append(n[i])
+                    out[-1][3].append(x[i])
+                k += parts
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([sum(o[2]) for o in out], pa.int64()),
+                 pa.array([o[4] for o in out], pa.string()), pa.array(["\n".join(o[3]) for o in out], pa.string())], names)
 
-    rows = df.select(key, F.posexplode(F.aggregate(lines, zero, step, lambda a: a["out"])).alias("at", "x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("x.line").alias("line")))), lambda l: l["line"]), "\n")
-    return rows.groupBy(key, F.col("x.chunk").alias("chunk")).agg(F.min("at").alias("first_line"), F.count("*").alias("n_lines"), joined.alias("text"))
+    return rows.mapInArrow(run, f"{key} {kind}, chunk int, first_line int, n_lines long, starts_with string, text string")

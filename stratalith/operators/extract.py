@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAME = "([A-Za-z0-9][A-Za-z0-9_#@$-]*)"
@@ -42,6 +42,8 @@ COBOL = (
     Rule("perform", r"(?i)(?<![A-Z0-9-])PERFORM\s+(?!UNTIL|VARYING|[0-9]+\s+TIMES)" + NAME + r"(?:\s+(?:THRU|THROUGH)\s+" + NAME + r")?(?:\s+(UNTIL|VARYING|TIMES)\b)?", groups=3, word="PERFORM"),
     Rule("perform_inline", r"(?i)(?<![A-Z0-9-])PERFORM\s+(UNTIL|VARYING|[0-9]+\s+TIMES)", word="PERFORM"),
     Rule("decision", r"(?i)(?<![A-Z0-9-])(IF|EVALUATE|WHEN)\s+(.*?)\s*\.?\s*$", groups=2),
+    Rule("error_handling", r"(?i)(?<![A-Z0-9-])(NOT\s+ON\s+EXCEPTION|ON\s+EXCEPTION|ON\s+ERROR|INVALID\s+KEY|AT\s+END)(?![A-Z0-9-])"),
+    Rule("end_decision", r"(?i)(?<![A-Z0-9-])END-(IF|EVALUATE)", word="END-"),
     Rule("goto", r"(?i)(?<![A-Z0-9-])GO\s+TO\s+" + NAME, word="GO"),
     Rule("move", r"(?i)(?<![A-Z0-9-])MOVE\s+(\S+)\s+TO\s+" + NAME, groups=2, word="MOVE"),
     Rule("compute", r"(?i)(?<![A-Z0-9-])COMPUTE\s+" + NAME + r"(?:\s+ROUNDED)?\s*=\s*(.*?)\s*\.?\s*$", groups=2, word="COMPUTE"),
@@ -104,27 +106,42 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
         by_line = sources.select(key, F.explode(split).alias("s")).select(key, F.explode(F.flatten(F.array(*[matches(r, F.col("s.i"), F.col("s.x")) for r in lines]))).alias("f"))
         out = by_line.select(key, "f.*")
     if whole:
-        def place(body: Column, m: Column) -> Column:
-            return F.size(F.split(F.substr(body, F.lit(1), F.position(m, body)), "\n"))
-
-        body = F.coalesce(F.col(text), F.lit(""))
+        def ends(x: Column) -> Column:
+            return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
         def found_by(rule: Rule) -> Column:
-            return F.transform(F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0)), lambda m: row(rule, place(body, m), m))
+            """Between the matches stand the parts of the split text, so a match's line is known from what stands before it."""
+            hits, parts = F.regexp_extract_all("_t", F.lit(rule.pattern), F.lit(0)), F.split("_t", rule.pattern)
+            before = F.transform(hits, lambda m, k: F.array_join(F.concat(F.slice(parts, 1, k + 1), F.slice(hits, 1, k)), ""))
+            return F.transform(F.arrays_zip(hits.alias("m"), before.alias("b")), lambda z: row(rule, ends(z["b"]) + 1, z["m"]))
 
+        bare = F.array_join(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(x.rlike(comment), "").otherwise(x)), "\n")
         found = [found_by(r) for r in whole]
-        by_text = sources.select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
+        by_text = sources.select(key, bare.alias("_t")).select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
         out = by_text if out is None else out.unionByName(by_text)
     return out
 
 
 def calls(found: DataFrame, key: str) -> DataFrame:
-    """Call edges of COBOL, CICS and JCL facts: calling, called, call_type, line, parameters, conditional."""
+    """Call edges of COBOL, CICS and JCL facts: calling, called, call_type, line, parameters, conditional (see ``conditional``)."""
     target = F.when(F.col("kind").isin("call", "dynamic_call"), F.col("b")).when(F.col("kind") == "step", F.coalesce("b", "c")).when(
         (F.col("kind") == "cics") & F.col("a").isin("LINK", "XCTL"), F.nullif(F.regexp_extract("b", r"(?i)PROGRAM\s*\(\s*['\"]?([A-Z0-9#@$-]+)", 1), F.lit("")))
     kind = F.when(F.col("kind") == "call", "COBOL_CALL").when(F.col("kind") == "dynamic_call", "COBOL_DYNAMIC_CALL").when(F.col("kind") == "cics", F.concat(F.lit("CICS_"), F.col("a"))).when(F.col("b").isNotNull(), "JCL_EXEC_PGM").otherwise("JCL_EXEC_PROC")
     parameters = F.when(F.col("kind") == "call", F.array_remove(F.split(F.coalesce("c", F.lit("")), "[ ,]+"), ""))
-    return found.where(F.col("kind").isin("call", "dynamic_call", "step", "cics")).select(F.col(key).alias("calling"), target.alias("called"), kind.alias("call_type"), "line", parameters.alias("parameters")).where("called is not null")
+    rows = conditional(found, key).where(F.col("kind").isin("call", "dynamic_call", "step", "cics"))
+    return rows.select(F.col(key).alias("calling"), target.alias("called"), kind.alias("call_type"), "line", parameters.alias("parameters"), "conditional").where("called is not null")
+
+
+def conditional(found: DataFrame, key: str) -> DataFrame:
+    """Adds whether a fact stands below an IF or EVALUATE (with a WHEN) that has not ended yet."""
+    before = Window.partitionBy(key).orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+
+    def n(kind: str, word: str) -> Column:
+        return F.coalesce(F.count_if((F.col("kind") == kind) & (F.upper("a") == word)).over(before), F.lit(0))
+
+    open_if = n("decision", "IF") > n("end_decision", "IF")
+    open_case = (n("decision", "EVALUATE") > n("end_decision", "EVALUATE")) & (n("decision", "WHEN") > 0)
+    return found.withColumn("conditional", open_if | open_case)
 
 
 def copies(found: DataFrame, key: str) -> DataFrame:
@@ -138,7 +155,9 @@ def file_access(found: DataFrame, key: str) -> DataFrame:
     is_open, is_select = F.col("kind") == "open", F.col("kind") == "select"
     file = F.when(F.col("kind").isin("select", "fd"), F.col("a")).otherwise(F.col("b"))
     access = F.when(is_select, "SELECT").when(F.col("kind") == "fd", "FD").when(is_open, "OPEN").otherwise(F.upper("a"))
-    return rows.select(F.col(key).alias("program"), F.upper(file).alias("file"), F.when(is_select, F.col("b")).alias("physical"), access.alias("access_type"), F.when(is_open, F.upper("a")).alias("access_mode"), "line")
+    rows = rows.select(F.col(key).alias("program"), F.upper(file).alias("file"), F.when(is_select, F.col("b")).alias("physical"), access.alias("access_type"), F.when(is_open, F.upper("a")).alias("_mode"), "line")
+    latest = F.last("_mode", ignorenulls=True).over(Window.partitionBy("program", "file").orderBy("line"))
+    return rows.select("program", "file", "physical", "access_type", F.when(~F.col("access_type").isin("SELECT", "FD"), latest).alias("access_mode"), "line")
 
 
 def field_usage(found: DataFrame, key: str) -> DataFrame:
@@ -173,8 +192,6 @@ def dd_operation(rest: Column) -> Column:
 
 def datasets(found: DataFrame, key: str) -> DataFrame:
     """DD statements with their data set, disposition's operation and step."""
-    from pyspark.sql import Window
-
     step = F.last(F.when(F.col("kind") == "step", F.col("a")), ignorenulls=True).over(Window.partitionBy(key).orderBy("line"))
     rows = found.withColumn("step", step).where("kind = 'dd'")
     return rows.select(key, "step", F.col("a").alias("dd"), F.nullif(F.regexp_extract("b", r"DSN=([A-Z0-9.#@$()+-]+)", 1), F.lit("")).alias("dataset"), dd_operation(F.col("b")).alias("operation"), "line")
@@ -204,8 +221,6 @@ def violations(sources: DataFrame, key: str, text: str, language: str) -> DataFr
 
 def unreachable(found: DataFrame, key: str) -> DataFrame:
     """Paragraphs that no PERFORM or GO TO names; the first of a program is entered from the top."""
-    from pyspark.sql import Window
-
     inside = F.max(((F.col("kind") == "division") & (F.upper("a") == "PROCEDURE")).cast("int")).over(Window.partitionBy(key).orderBy("line").rangeBetween(Window.unboundedPreceding, 0))
     paragraphs = found.withColumn("inside", inside).where("kind = 'paragraph' and inside = 1").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("line")))
     named = found.where(F.col("kind").isin("perform", "goto")).select(key, F.explode(F.array_compact(F.array("a", F.when(F.col("kind") == "perform", F.col("b"))))).alias("a"))
@@ -226,6 +241,97 @@ def message_flow(found: DataFrame, key: str) -> DataFrame:
     return calls_.select(key, flow.alias("flow"), F.array_sort("c").alias("calls"))
 
 
+#: The words of main operations, and the tests of a layout's kind with the points of each in its complexity.
+OPERATIONS = ("READ", "WRITE", "COMPUTE", "MOVE", "PERFORM", "CALL", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "OPEN", "CLOSE")
+LAYOUT_POINTS = {"layout_indicators": 3, "record_types": 2, "redefines_count": 2, "occurs_count": 1, "conditional_fields": 2}
+
+
+def logic(found: DataFrame, key: str) -> DataFrame:
+    """What a program does: its operations, decision points, transformations and error handling, each in order of first lines.
+
+    A program without a fact of any of these kinds has no row.
+    """
+    def said(*parts: Column) -> Column:
+        return F.concat_ws(" ", *parts)
+
+    kind, a, b = F.col("kind"), F.upper("a"), F.col("b")
+    operation = F.when(kind.isin("move", "compute", "perform", "call", "open"), F.upper("kind")).when(kind == "perform_inline", "PERFORM").when(kind == "dynamic_call", "CALL").when(kind.isin("file_op", "arithmetic"), a)
+    what = F.array(
+        F.struct(F.lit("operation").alias("what"), F.when(operation.isin(*OPERATIONS), operation).alias("item")),
+        F.struct(F.lit("decision").alias("what"), F.when((kind == "decision") & a.isin("IF", "WHEN"), said(a, b)).alias("item")),
+        F.struct(F.lit("transformation").alias("what"), F.when(kind == "move", said(F.lit("MOVE"), F.col("a"), F.lit("TO"), b)).when(kind == "compute", said(F.lit("COMPUTE"), F.col("a"), F.lit("="), b)).alias("item")),
+        F.struct(F.lit("error_handling").alias("what"), F.when(kind == "error_handling", F.regexp_replace(a, r"\s+", " ")).alias("item")))
+    items = found.select(key, "line", F.explode(what).alias("w")).select(key, "line", "w.*").where("item is not null").groupBy(key, "what", "item").agg(F.min("line").alias("line"))
+
+    def listed(name: str) -> Column:
+        of = F.array_sort(F.collect_list(F.when(F.col("what") == name, F.struct("line", "item"))))
+        return F.transform(of, lambda x: x["item"])
+
+    return items.groupBy(key).agg(*[listed(n).alias(c) for n, c in (("operation", "operations"), ("decision", "decisions"), ("transformation", "transformations"), ("error_handling", "error_handling"))])
+
+
+def layout_kind(text: Column) -> Column:
+    """kind, complexity (20 at most) and the counts of a copybook's layout."""
+    u = F.upper(F.coalesce(text, F.lit("")))
+    counts = {
+        "layout_indicators": F.regexp_count(u, F.lit(r"(?m)^\s*01\s+[A-Z0-9-]+")), "record_types": F.regexp_count(u, F.lit(r"(?m)^\s*[0-9]{2}\s+[A-Z0-9-]*(?:REC(?:ORD)?-TYPE|TYPE-CODE)\b")),
+        "redefines_count": F.regexp_count(u, F.lit(r"\sREDEFINES\s")), "occurs_count": F.regexp_count(u, F.lit(r"\sOCCURS\s")), "conditional_fields": F.regexp_count(u, F.lit(r"\sDEPENDING\s+ON\s"))}
+    kind = (F.when((counts["layout_indicators"] > 1) | (counts["record_types"] > 1), "multi_record").when(counts["conditional_fields"] > 0, "conditional_layout")
+            .when(counts["redefines_count"] > 2, "redefines_layout").when(counts["occurs_count"] > 1, "occurs_layout").otherwise("single_record"))
+    points = sum((counts[c] * n for c, n in LAYOUT_POINTS.items()), F.lit(0))
+    return F.struct(kind.alias("kind"), F.least(points, F.lit(20)).alias("complexity"), *[c.alias(n) for n, c in counts.items()])
+
+
+def records(items: DataFrame, key: str) -> DataFrame:
+    """The records of layouts: each level 01 with its fields up to the next; fillers are numbered, FILLER-1 first."""
+    w = Window.partitionBy(key).orderBy("line")
+    rows = items.withColumn("record", F.last(F.when(F.col("level") == 1, F.col("name")), ignorenulls=True).over(w))
+    filler = F.sum((F.col("name") == "FILLER").cast("int")).over(Window.partitionBy(key, "record").orderBy("line"))
+    return rows.where("level not in (1, 66, 88)").withColumn("field", F.when(F.col("name") == "FILLER", F.concat(F.lit("FILLER-"), filler)).otherwise(F.col("name")))
+
+
+def simple_fields(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """Fields of a layout by level and name alone, when no picture can be read: every line that begins with both, but levels 01."""
+    lines = sources.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "x")).where(~F.col("x").rlike(r"^\s*\*"))
+    rows = lines.select(key, (F.col("at") + 1).alias("line"), F.regexp_extract("x", r"(?i)^\s*([0-9]+)\s+[A-Z][A-Z0-9-]+", 1).alias("level"), F.regexp_extract("x", r"(?i)^\s*[0-9]+\s+([A-Z][A-Z0-9-]+)", 1).alias("name"))
+    return rows.where("level <> ''").withColumn("level", F.col("level").cast("int")).where("level <> 1").withColumn("sql_type", F.lit("VARCHAR(50)"))
+
+
+def level_violations(items: DataFrame, key: str) -> DataFrame:
+    """Levels outside 1 to 49, 66, 77 and 88, and condition names (88) that follow no item: key, line, name, rule."""
+    before = F.lag("level").over(Window.partitionBy(key).orderBy("line"))
+    rule = F.when(~(F.col("level").between(1, 49) | F.col("level").isin(66, 77, 88)), "INVALID_LEVEL_NUMBER").when((F.col("level") == 88) & F.col("_before").isNull(), "ORPHANED_CONDITION_NAME")
+    return items.withColumn("_before", before).select(key, "line", "name", rule.alias("rule")).where("rule is not null")
+
+
+#: Where structured chunks may begin, by language: pattern and name.
+BOUNDARIES = {
+    "cobol": ((r"(?i)^\s*([A-Z]+)\s+DIVISION", "division"), (r"(?i)^\s*[A-Z][A-Z0-9-]*\s+SECTION", "section")),
+    "sql": ((r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?PROCEDURE", "create_procedure"), (r"(?i)\bBEGIN\b", "begin_block"), (r"(?i)DECLARE\s+\w+\s+CURSOR", "cursor_declare"), (r"(?i)DECLARE\s+\w+\s+HANDLER", "handler_declare"),
+            (r"(?i)\bIF\s+.*?\s+THEN", "if_statement"), (r"(?i)\bWHILE\s+.*?\s+DO\b", "while_loop"), (r"(?i)\bFOR\s+.*?\s+DO\b", "for_loop")),
+    "jcl": ((r"(?i)^//\w+\s+JOB\s", "job_card"), (r"(?i)^//\w+\s+EXEC\s", "exec_step"), (r"(?i)^//\w+\s+DD\s", "dd_statement"), (r"(?i)^//\s+IF\s", "if_statement"), (r"(?i)^//\s+ENDIF", "endif_statement")),
+}
+
+
+def structured_chunks(sources: DataFrame, key: str, text: str, language: str, most_tokens: int = 1500) -> DataFrame:
+    """Chunks of whole parts, a part being the lines from one boundary of the language to the next.
+
+    Parts follow each other in a chunk until the next one would lift it over most_tokens estimated tokens; a longer part
+    is a chunk of its own.  key, chunk, first_line, n_lines, starts_with (the first part's boundary), text.
+    """
+    from ..functions.scoring import estimated_tokens
+    from .chunks import packed
+
+    kind = None
+    for pattern, name in BOUNDARIES[language]:
+        hit = F.col("x").rlike(pattern)
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    lines = sources.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "x")).withColumn("kind", kind)
+    part = F.count("kind").over(Window.partitionBy(key).orderBy("at"))
+    parts = lines.withColumn("part", part).groupBy(key, "part").agg(F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]), "\n").alias("x"), F.count("*").alias("n"), F.min_by("kind", "at").alias("kind"))
+    return packed(parts.withColumn("size", estimated_tokens(F.col("x"))), key, most_tokens)
+
+
 def source_kind(text: Column, name: Column | None = None) -> Column:
     """What a source is, by the first test that holds: stored procedure, MQ, COBOL with SQL procedures, BMS, CICS, JCL, COBOL, copybook, ending, unknown."""
     u = F.upper(F.coalesce(text, F.lit("")))

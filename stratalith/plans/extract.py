@@ -1,167 +1,311 @@
-"""Extraction queries: sources are given in the query, since the data folder has none."""
+"""Extraction queries over sources that are made from the rows of a table.
+
+The data folders have no sources, so a program, a job, a procedure and so on is
+written for each part, its names and clauses taken from the part's key and
+size.  The SQL gives the facts from the same columns without reading any
+source, so both sides are independent.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import extract as X
+from ..operators import services as V
 from .catalog import query, read
 
+def made(template: str) -> Column:
+    """A text with the SQL expressions in braces put in."""
+    parts = re.split(r"\{([^{}]*)\}", template)
+    quoted = ["'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" if k % 2 == 0 else f"CAST({x} AS STRING)" for k, x in enumerate(parts)]
+    return F.expr(f"concat({', '.join(quoted)})")
+
+
+def _of(names: str, by: str) -> str:
+    """One of the texts (with commas between; semicolons end their lines) by number, as an expression in braces."""
+    return "{" + f"replace(split('{names}', ',')[CAST({by} AS INT)], ';', '\\n')" + "}"
+
+
 COBOL = """       IDENTIFICATION DIVISION.
-       PROGRAM-ID. ORDERS1.
-      * a comment with CALL 'NOTHING'
+       PROGRAM-ID. P{k}.
+      * CALL 'NOTHING{k}'
        ENVIRONMENT DIVISION.
-       FILE-CONTROL.
-           SELECT ORDER-FILE ASSIGN TO 'ORDFILE'.
+           SELECT F{k % 7}-FILE ASSIGN TO 'DD{k % 11}'.
        DATA DIVISION.
-       FD  ORDER-FILE.
-       01  ORDER-RECORD.
-           05  ORDER-ID            PIC 9(8).
-           05  ORDER-LINES OCCURS 3 TO 9 TIMES DEPENDING ON LINE-COUNT.
-               10  LINE-TEXT       PIC X(30).
-               10  LINE-PRICE      PIC S9(7)V99 COMP-3.
-           05  ORDER-SUM           PIC S9(9)V99.
+       FD  F{k % 7}-FILE.
+       01  REC-{k % 5}.
+           05  FLD-{k % 3}   PIC 9({s % 9 + 1}).
+           05  TXT-{k % 4} PIC X({s}).
+           05  TAB-A OCCURS {s % 5 + 1} TIMES.
+               10  CELL PIC S9(7)V99 COMP-3.
+           05  ALT-B REDEFINES TXT-{k % 4} PIC X(4).
        WORKING-STORAGE SECTION.
-       COPY CUSTCPY.
+       COPY CPY{k % 13}.
        PROCEDURE DIVISION.
        MAIN-PART.
-           OPEN INPUT ORDER-FILE
-           PERFORM READ-PART UNTIL AT-END
-           CALL 'PRICER' USING ORDER-ID ORDER-SUM
-           MOVE ORDER-ID TO LAST-ID
-           COMPUTE ORDER-SUM = ORDER-SUM * 2
-           IF ORDER-SUM > 100
-              PERFORM BIG-PART
-           END-IF
-           EXEC CICS LINK PROGRAM('AUDIT')
+           OPEN """ + _of("INPUT,OUTPUT,I-O", "s % 3") + """ F{k % 7}-FILE
+           PERFORM PART-{k % 2} UNTIL DONE
+           CALL 'P{k div 3}' USING FLD-{k % 3} TXT-{k % 4}
+           MOVE FLD-{k % 3} TO LAST-{k % 6}
+           COMPUTE SUM-{s % 4} = SUM * 2
+           IF FLD-{k % 3} > {s}
+             EXEC CICS RETURN END-EXEC
+             EXEC CICS LINK PROGRAM('C{k % 17}')
               COMMAREA(X) END-EXEC
-           EXEC SQL SELECT A INTO :B
-              FROM T END-EXEC
-           CLOSE ORDER-FILE
+           END-IF
+           EXEC SQL SELECT A INTO :B FROM T{k % 9}
+              WHERE C = 1 END-EXEC
+      * EXEC SQL DELETE FROM GONE END-EXEC
+           """ + _of("READ,WRITE", "s % 2") + """ F{k % 7}-FILE AT END CONTINUE
+           CLOSE F{k % 7}-FILE
+           EXEC CICS RETURN END-EXEC
            STOP RUN.
-       READ-PART.
-           READ ORDER-FILE.
-       BIG-PART.
-           DISPLAY 'BIG'.
-       LOST-PART.
-           DISPLAY 'NEVER'.
-"""
-JCL = """//NIGHTLY  JOB (ACCT),'RUN',CLASS=A
-//STEP1    EXEC PGM=ORDERS1
-//ORDFILE  DD DSN=PROD.ORDERS.DATA,DISP=SHR
-//OUTFILE  DD DSN=PROD.ORDERS.OUT,DISP=(NEW,CATLG,DELETE)
-//STEP2    EXEC BACKUP
-//LOGFILE  DD DSN=PROD.LOG,DISP=MOD
-"""
-DDL = "CREATE TABLE ORDERS (ID INTEGER NOT NULL, TOTAL DECIMAL(10,2), NOTE VARCHAR(40), PRIMARY KEY (ID)); EXEC SQL DECLARE LINES TABLE ( LINE_ID CHAR(8) NOT NULL, QTY SMALLINT ) END-EXEC"
-MQ = "CALL 'MQCONN' USING H\nCALL 'MQOPEN' USING H\nCALL 'MQPUT' USING H MQMD\nCALL 'MQGET' USING H\nIF RC = MQRC_NO_MSG_AVAILABLE\n"
-DB2 = "CREATE PROCEDURE BONUS (IN X INT)\nBEGIN\nDECLARE N INTEGER;\nDECLARE C1 CURSOR FOR SELECT A\n FROM T;\nDECLARE CONTINUE HANDLER FOR NOT FOUND\nWHILE N > 0 DO\nEXECUTE IMMEDIATE S1;\nUPDATE T SET A = 1;\nEND"
-BMS = "ORDSET   DFHMSD TYPE=MAP\nORDMAP   DFHMDI SIZE=(24,80)\nORDNO    DFHMDF POS=(3,10),LENGTH=8\n"
+       PART-0.
+           CONTINUE.
+       PART-1.
+           CONTINUE."""
+JCL = """//J{k}  JOB (ACCT),'RUN',CLASS=A
+//STEP1    EXEC PGM=P{k}
+//IN1      DD DSN=PROD.D{k % 19}.DATA,DISP=SHR
+//OUT1     DD DSN=PROD.O{k % 23},DISP=(""" + _of("NEW,MOD,OLD", "s % 3") + """,CATLG)
+//STEP2    EXEC BACK{s % 3}
+//LOG1     DD DSN=PROD.LOG{s % 4},DISP=MOD"""
+DDL = """CREATE TABLE T{k} (ID INTEGER NOT NULL, TOTAL DECIMAL({s % 20 + 1},2),
+  NOTE VARCHAR({s}), PRIMARY KEY (ID));
+EXEC SQL DECLARE L{k % 8} TABLE ( LINE_ID CHAR(8) NOT NULL, QTY SMALLINT ) END-EXEC"""
+MQ = "CALL '" + _of("MQCONN;MQOPEN;MQPUT;MQGET,MQPUT1,MQSUB;MQGET,MQBEGIN;MQPUT;MQCMIT,MQOPEN;MQPUT;MQCLOSE", "s % 5") + "' USING H"
+DB2 = """CREATE PROCEDURE B{k} (IN X INT)
+BEGIN
+DECLARE N{s % 3} INTEGER;
+DECLARE C{s % 4} CURSOR FOR SELECT A
+ FROM T{k % 9};
+DECLARE CONTINUE HANDLER FOR NOT FOUND
+WHILE N > 0 DO
+EXECUTE IMMEDIATE S{s % 2};
+UPDATE T SET A = 1;
+END"""
+BMS = """SET{k % 30}   DFHMSD TYPE=MAP
+MAP{k % 20}   DFHMDI SIZE=(24,80)
+F{s}    DFHMDF POS=(3,10),LENGTH=8"""
+VSAM = """EXEC CICS READ FILE('M{s}') INTO(REC)
+ RIDFLD(K{k % 5}) RESP(R) END-EXEC
+EXEC CICS REWRITE DATASET('M{s}') FROM(R{s % 3}) END-EXEC"""
+LAYOUT = """01  REC-A.
+  05 REC-TYPE PIC X.
+  05 FILLER PIC X({s}).
+  05 NN PIC 99.
+    88 NN-NONE VALUE 0.
+  05 FILLER PIC X.
+""" + _of("""01  REC-B.;  05 BB PIC 9.;  05 FILLER PIC X.,  05 TT OCCURS 1 TO 9 TIMES DEPENDING ON NN.,  05 AA REDEFINES NN PIC X.;  05 AB REDEFINES NN PIC X.;  05 AC REDEFINES NN PIC X.,  51 ODD PIC X.""", "s % 4")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+
+
+def _texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """A source for each part."""
+    return _rows(spark, sf_dir).select(F.col("k").alias("program"), made(template).alias("text"))
+
+
+def _cobol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.facts(_texts(spark, sf_dir, COBOL), "program", "text", X.COBOL)
+
+
+@query("""SELECT p_partkey AS calling, 'P' || p_partkey // 3 AS called, 'COBOL_CALL' AS call_type, 20 AS line, 'FLD-' || p_partkey % 3 || ',TXT-' || p_partkey % 4 AS parameters, false AS conditional FROM part
+ UNION ALL SELECT p_partkey, 'C' || p_partkey % 17, 'CICS_LINK', 25, NULL, true FROM part""")
+def cobol_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.calls(_cobol(spark, sf_dir), "program").withColumn("parameters", F.array_join("parameters", ","))
+
+
+@query("SELECT p_partkey AS calling, 'P' || p_partkey AS called, 'JCL_EXEC_PGM' AS call_type, 2 AS line FROM part UNION ALL SELECT p_partkey, 'BACK' || p_size % 3, 'JCL_EXEC_PROC', 5 FROM part")
+def jcl_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.calls(X.facts(_texts(spark, sf_dir, JCL), "program", "text", X.JCL), "program").drop("parameters", "conditional")
+
+
+@query("""SELECT p_partkey AS program, 'STEP1' AS step, 'IN1' AS dd, 'PROD.D' || p_partkey % 19 || '.DATA' AS dataset, 'READ' AS operation, 3 AS line FROM part
+ UNION ALL SELECT p_partkey, 'STEP1', 'OUT1', 'PROD.O' || p_partkey % 23, ['CREATE', 'UPDATE', 'READ'][CAST(p_size % 3 AS INTEGER) + 1], 4 FROM part UNION ALL SELECT p_partkey, 'STEP2', 'LOG1', 'PROD.LOG' || p_size % 4, 'UPDATE', 6 FROM part""")
+def jcl_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.datasets(X.facts(_texts(spark, sf_dir, JCL), "program", "text", X.JCL), "program")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS program, 8 AS line, 1 AS level, 'REC-' || k % 5 AS name, NULL AS picture, NULL AS sql_type, NULL AS parent, NULL AS redefines FROM p
+ UNION ALL SELECT k, 9, 5, 'FLD-' || k % 3, '9(' || s % 9 + 1 || ')', 'INTEGER', 'REC-' || k % 5, NULL FROM p UNION ALL SELECT k, 10, 5, 'TXT-' || k % 4, 'X(' || s || ')', 'VARCHAR(' || s || ')', 'REC-' || k % 5, NULL FROM p
+ UNION ALL SELECT k, 11, 5, 'TAB-A', NULL, NULL, 'REC-' || k % 5, NULL FROM p UNION ALL SELECT k, 12, 10, 'CELL', 'S9(7)V99', 'DECIMAL(9,2)', 'TAB-A', NULL FROM p UNION ALL SELECT k, 13, 5, 'ALT-B', 'X(4)', 'VARCHAR(4)', 'REC-' || k % 5, 'TXT-' || k % 4 FROM p""")
+def copybook_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.data_items(_cobol(spark, sf_dir), "program").select("program", "line", "level", "name", "picture", "sql_type", "parent", "redefines")
+
+
+@query("SELECT p_partkey AS program, 'TXT-' || p_partkey % 4 AS original, 'ALT-B' AS variants, 1 AS n FROM part")
+def redefines_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.redefined(X.data_items(_cobol(spark, sf_dir), "program"), "program")
+
+
+@query("""WITH f AS (SELECT 'FLD_' || p_partkey % 3 AS name, 'INTEGER' AS t, p_partkey AS k, p_size AS s FROM part UNION ALL SELECT 'TXT_' || p_partkey % 4, 'VARCHAR(' || p_size || ')', p_partkey, p_size FROM part UNION ALL SELECT 'CELL', 'DECIMAL(9,2)', p_partkey, p_size FROM part UNION ALL SELECT 'ALT_B', 'VARCHAR(4)', p_partkey, p_size FROM part),
+ l AS (SELECT DISTINCT name, t FROM f), c AS (SELECT * FROM (VALUES ('CELL', 'DECIMAL(9,2)'), ('TXT_1', 'VARCHAR(10)'), ('OWNER', 'CHAR(8)')) c(name, t))
+ SELECT coalesce(l.name, c.name) AS name, l.t AS layout_type, c.t AS table_type, CASE WHEN c.t IS NULL THEN 'layout_only' WHEN l.t IS NULL THEN 'table_only' WHEN l.t = c.t THEN 'match' ELSE 'type_differs' END AS state FROM l FULL JOIN c ON l.name = c.name""")
+def layout_against_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of all layouts against the columns of a table."""
+    fields = X.data_items(_cobol(spark, sf_dir), "program").where("sql_type is not null").select("name", "sql_type").distinct()
+    table = spark.createDataFrame([("cell", "DECIMAL(9,2)"), ("txt_1", "VARCHAR(10)"), ("owner", "CHAR(8)")], "name string, sql_type string")
+    return V.layout_match(fields, table)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 30 + 1 AS n, p_size % 6 AS v, p_size % 4 + 1 AS d FROM part), q AS (SELECT k, v, n, CASE v WHEN 0 THEN '9(' || n || ')' WHEN 1 THEN 'X(' || n || ')' WHEN 2 THEN 'S9(' || n || ')V' || repeat('9', d) WHEN 3 THEN repeat('X', n) WHEN 4 THEN 'S9(' || n || ')' ELSE '99V9(' || d || ')' END AS pic, d FROM p)
+ SELECT k, pic, CASE WHEN v IN (1, 3) THEN 'VARCHAR(' || n || ')' WHEN v = 2 THEN 'DECIMAL(' || n + d || ',' || d || ')' WHEN v = 5 THEN 'DECIMAL(' || 2 + d || ',' || d || ')' WHEN n <= 9 THEN 'INTEGER' WHEN n <= 18 THEN 'BIGINT' ELSE 'DECIMAL(' || n || ',0)' END AS sql_type,
+ CAST(CASE v WHEN 2 THEN n + d WHEN 5 THEN 2 + d ELSE n END AS INTEGER) AS length FROM q""")
+def pic_to_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pic = F.expr("""CASE s % 6 WHEN 0 THEN concat('9(', s % 30 + 1, ')') WHEN 1 THEN concat('X(', s % 30 + 1, ')') WHEN 2 THEN concat('S9(', s % 30 + 1, ')V', repeat('9', CAST(s % 4 + 1 AS INT))) WHEN 3 THEN repeat('X', CAST(s % 30 + 1 AS INT))
+     WHEN 4 THEN concat('S9(', s % 30 + 1, ')') ELSE concat('99V9(', s % 4 + 1, ')') END""")
+    pics = _rows(spark, sf_dir).select("k", pic.alias("pic"))
+    return pics.select("k", "pic", N.pic_type(F.col("pic")).alias("sql_type"), N.pic_length(F.col("pic")).alias("length"))
 
 
-def _one(spark: SparkSession, name: str, text: str) -> DataFrame:
-    return spark.createDataFrame([(name, text)], "program string, text string")
+@query("""SELECT p_partkey AS k, CASE p_size % 3 WHEN 2 THEN NULL WHEN 1 THEN 1 ELSE CAST(p_size AS INTEGER) END AS "min", CASE p_size % 3 WHEN 2 THEN NULL ELSE CAST(p_size AS INTEGER) END AS "max",
+ CASE p_size % 3 WHEN 1 THEN 'N' || p_partkey % 5 END AS depending_on, CASE p_size % 3 WHEN 1 THEN 'IX' || p_partkey % 3 END AS indexed_by FROM part""")
+def occurs_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("s") % 3 == 0, made("OCCURS {s} TIMES")).when(F.col("s") % 3 == 1, made("OCCURS 1 TO {s} TIMES\n  DEPENDING ON N{k % 5} INDEXED BY IX{k % 3}")).otherwise("PIC X")
+    return _rows(spark, sf_dir).select("k", N.occurs(text).alias("o")).select("k", "o.*")
 
 
-def _values(columns: str, *rows: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t({columns})"
+@query("""SELECT p_partkey AS program, 'T' || p_partkey AS "table", 0 AS "at", 'ID' AS "column", 'INTEGER' AS type, false AS nullable FROM part UNION ALL SELECT p_partkey, 'T' || p_partkey, 1, 'TOTAL', 'DECIMAL(' || p_size % 20 + 1 || ',2)', true FROM part
+ UNION ALL SELECT p_partkey, 'T' || p_partkey, 2, 'NOTE', 'VARCHAR(' || p_size || ')', true FROM part UNION ALL SELECT p_partkey, 'L' || p_partkey % 8, 0, 'LINE_ID', 'CHAR(8)', false FROM part UNION ALL SELECT p_partkey, 'L' || p_partkey % 8, 1, 'QTY', 'SMALLINT', true FROM part""")
+def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.ddl_columns(_texts(spark, sf_dir, DDL), "program", "text")
 
 
-@query(_values("calling, called, call_type, line, parameters", "('ORDERS1.CBL', 'PRICER', 'COBOL_CALL', 21, 'ORDER-ID,ORDER-SUM')", "('ORDERS1.CBL', 'AUDIT', 'CICS_LINK', 27, NULL)"))
-def cobol_calls_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.calls(X.facts(_one(spark, "ORDERS1.CBL", COBOL), "program", "text", X.COBOL), "program").withColumn("parameters", F.array_join("parameters", ","))
+@query("""SELECT p_partkey AS program, 'cics' AS kind, 'RETURN' AS command, unnest([24, 33]) AS line FROM part UNION ALL SELECT p_partkey, 'cics', 'LINK', 25 FROM part UNION ALL SELECT p_partkey, 'sql', 'SELECT', 28 FROM part""")
+def embedded_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL and CICS statements, those that occur twice with a line each, none out of comments."""
+    return _cobol(spark, sf_dir).where(F.col("kind").isin("cics", "sql")).select("program", "kind", F.col("a").alias("command"), "line")
 
 
-@query(_values("calling, called, call_type, line", "('NIGHTLY', 'ORDERS1', 'JCL_EXEC_PGM', 2)", "('NIGHTLY', 'BACKUP', 'JCL_EXEC_PROC', 5)"))
-def jcl_steps_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.calls(X.facts(_one(spark, "NIGHTLY", JCL), "program", "text", X.JCL), "program").drop("parameters")
+@query("""WITH p AS (SELECT p_partkey AS k, 'F' || p_partkey % 7 || '-FILE' AS f, ['INPUT', 'OUTPUT', 'I-O'][CAST(p_size % 3 AS INTEGER) + 1] AS m, ['READ', 'WRITE'][CAST(p_size % 2 AS INTEGER) + 1] AS o FROM part)
+ SELECT k AS program, f AS file, 'DD' || k % 11 AS physical, 'SELECT' AS access_type, NULL AS access_mode, 5 AS line FROM p UNION ALL SELECT k, f, NULL, 'FD', NULL, 7 FROM p UNION ALL SELECT k, f, NULL, 'OPEN', m, 18 FROM p
+ UNION ALL SELECT k, f, NULL, o, m, 31 FROM p UNION ALL SELECT k, f, NULL, 'CLOSE', m, 32 FROM p""")
+def file_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.file_access(_cobol(spark, sf_dir), "program")
 
 
-@query(_values("program, step, dd, dataset, operation, line", "('NIGHTLY', 'STEP1', 'ORDFILE', 'PROD.ORDERS.DATA', 'READ', 3)", "('NIGHTLY', 'STEP1', 'OUTFILE', 'PROD.ORDERS.OUT', 'CREATE', 4)", "('NIGHTLY', 'STEP2', 'LOGFILE', 'PROD.LOG', 'UPDATE', 6)"))
-def jcl_datasets_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.datasets(X.facts(_one(spark, "NIGHTLY", JCL), "program", "text", X.JCL), "program")
+@query("""WITH p AS (SELECT p_partkey AS k, 'FLD-' || p_partkey % 3 AS f FROM part) SELECT k AS program, 21 AS line, f AS field, 'READ' AS "use" FROM p UNION ALL SELECT k, 21, 'LAST-' || k % 6, 'WRITE' FROM p
+ UNION ALL SELECT p_partkey, 22, 'SUM-' || p_size % 4, 'TRANSFORM' FROM part UNION ALL SELECT k, 23, f, 'VALIDATE' FROM p""")
+def field_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.field_usage(_cobol(spark, sf_dir), "program")
 
 
-@query(_values("line, level, name, picture, sql_type, parent", "(9, 1, 'ORDER-RECORD', NULL, NULL, NULL)", "(10, 5, 'ORDER-ID', '9(8)', 'INTEGER', 'ORDER-RECORD')", "(11, 5, 'ORDER-LINES', NULL, NULL, 'ORDER-RECORD')",
-                "(12, 10, 'LINE-TEXT', 'X(30)', 'VARCHAR(30)', 'ORDER-LINES')", "(13, 10, 'LINE-PRICE', 'S9(7)V99', 'DECIMAL(9,2)', 'ORDER-LINES')", "(14, 5, 'ORDER-SUM', 'S9(9)V99', 'DECIMAL(11,2)', 'ORDER-RECORD')"))
-def copybook_fields_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.data_items(X.facts(_one(spark, "ORDERS1", COBOL), "program", "text", X.COBOL), "program").select("line", "level", "name", "picture", "sql_type", "parent")
+@query("SELECT p_partkey AS program, 'PART-' || 1 - p_partkey % 2 AS paragraph, CASE p_partkey % 2 WHEN 0 THEN 37 ELSE 35 END AS line FROM part")
+def unreachable_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.unreachable(_cobol(spark, sf_dir), "program")
 
 
-@query(_values("pic, sql_type, length", "('9(8)', 'INTEGER', 8)", "('X(30)', 'VARCHAR(30)', 30)", "('9(10)V99', 'DECIMAL(12,2)', 12)", "('S9(15)', 'BIGINT', 15)", "('XXX', 'VARCHAR(3)', 3)", "('S9(20)', 'DECIMAL(20,0)', 20)"))
-def pic_to_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pics = spark.createDataFrame([(p,) for p in ("9(8)", "X(30)", "9(10)V99", "S9(15)", "XXX", "S9(20)")], "pic string")
-    return pics.select("pic", N.pic_type(F.col("pic")).alias("sql_type"), N.pic_length(F.col("pic")).alias("length"))
+@query("SELECT p_partkey AS program, 'CPY' || p_partkey % 13 AS copybook, 15 AS line FROM part")
+def copy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.copies(_cobol(spark, sf_dir), "program").select("program", "copybook", "line")
 
 
-@query(_values('text, "min", "max", depending_on, indexed_by', "('OCCURS 5 TIMES', 5, 5, NULL, NULL)", "('OCCURS 1 TO 20 TIMES DEPENDING ON N INDEXED BY IX', 1, 20, 'N', 'IX')", "('PIC X', NULL, NULL, NULL, NULL)"))
-def occurs_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in ("OCCURS 5 TIMES", "OCCURS 1 TO 20 TIMES DEPENDING ON N INDEXED BY IX", "PIC X")], "text string")
-    return rows.select("text", N.occurs(F.col("text")).alias("o")).select("text", "o.*")
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, 'FLD-' || p_partkey % 3 AS f FROM part)
+ SELECT k AS program, 'OPEN,PERFORM,CALL,MOVE,COMPUTE,' || ['READ', 'WRITE'][CAST(s % 2 AS INTEGER) + 1] AS operations, 'IF ' || f || ' > ' || s AS decisions, 'MOVE ' || f || ' TO LAST-' || k % 6 || ';COMPUTE SUM-' || s % 4 || ' = SUM * 2' AS transformations, 'AT END' AS error_handling FROM p""")
+def program_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations, decisions, transformations and error handling of each program, in order."""
+    out = X.logic(_cobol(spark, sf_dir), "program")
+    return out.select("program", F.array_join(F.array_remove("operations", "CLOSE"), ",").alias("operations"), F.array_join("decisions", ";").alias("decisions"), F.array_join("transformations", ";").alias("transformations"), F.array_join("error_handling", ",").alias("error_handling"))
+
 
+@query("""SELECT p_partkey AS program, ['multi_record', 'conditional_layout', 'redefines_layout', 'single_record'][CAST(p_size % 4 AS INTEGER) + 1] AS kind, [8, 8, 11, 5][CAST(p_size % 4 AS INTEGER) + 1] AS complexity, CASE p_size % 4 WHEN 0 THEN 2 ELSE 1 END AS layout_indicators, 1 AS record_types,
+ CASE p_size % 4 WHEN 2 THEN 3 ELSE 0 END AS redefines_count, CASE p_size % 4 WHEN 1 THEN 1 ELSE 0 END AS occurs_count, CASE p_size % 4 WHEN 1 THEN 1 ELSE 0 END AS conditional_fields FROM part""")
+def layout_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of layout a copybook has, and how complex it is."""
+    return _texts(spark, sf_dir, LAYOUT).select("program", X.layout_kind(F.col("text")).alias("l")).select("program", "l.*")
 
-@query(_values('"table", "at", "column", type, nullable', "('ORDERS', 0, 'ID', 'INTEGER', false)", "('ORDERS', 1, 'TOTAL', 'DECIMAL(10,2)', true)", "('ORDERS', 2, 'NOTE', 'VARCHAR(40)', true)", "('LINES', 0, 'LINE_ID', 'CHAR(8)', false)", "('LINES', 1, 'QTY', 'SMALLINT', true)"))
-def ddl_columns_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.ddl_columns(_one(spark, "x.ddl", DDL), "program", "text").drop("program")
 
+@query("""WITH p AS (SELECT p_partkey AS program, p_size % 4 AS v FROM part), f AS (SELECT program, v, unnest(['REC-TYPE', 'FILLER-1', 'NN', 'FILLER-2']) AS field, 'REC-A' AS record FROM p UNION ALL SELECT program, v, unnest(['BB', 'FILLER-1']), 'REC-B' FROM p WHERE v = 0
+ UNION ALL SELECT program, v, 'TT', 'REC-A' FROM p WHERE v = 1 UNION ALL SELECT program, v, unnest(['AA', 'AB', 'AC']), 'REC-A' FROM p WHERE v = 2 UNION ALL SELECT program, v, 'ODD', 'REC-A' FROM p WHERE v = 3) SELECT program, record, field FROM f""")
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each copybook with their fields, fillers numbered."""
+    return X.records(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.COBOL), "program"), "program").select("program", "record", "field")
 
-@query(_values("kind, command, line", "('cics', 'LINK', 27)", "('sql', 'SELECT', 29)"))
-def cics_commands_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.facts(_one(spark, "ORDERS1", COBOL), "program", "text", X.COBOL)
-    return found.where(F.col("kind").isin("cics", "sql")).select("kind", F.col("a").alias("command"), "line")
 
+@query("""WITH p AS (SELECT p_partkey AS program, p_size % 4 AS v FROM part) SELECT program, unnest(['REC-TYPE', 'FILLER', 'NN', 'NN-NONE', 'FILLER']) AS name, unnest([5, 5, 5, 88, 5]) AS level FROM p UNION ALL SELECT program, unnest(['BB', 'FILLER']), 5 FROM p WHERE v = 0
+ UNION ALL SELECT program, 'TT', 5 FROM p WHERE v = 1 UNION ALL SELECT program, unnest(['AA', 'AB', 'AC']), 5 FROM p WHERE v = 2 UNION ALL SELECT program, 'ODD', 51 FROM p WHERE v = 3""")
+def simple_layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and names alone."""
+    return X.simple_fields(_texts(spark, sf_dir, LAYOUT), "program", "text").select("program", "name", "level")
 
-@query(_values("program, file, physical, access_type, access_mode, line", "('ORDERS1', 'ORDER-FILE', 'ORDFILE', 'SELECT', NULL, 6)", "('ORDERS1', 'ORDER-FILE', NULL, 'FD', NULL, 8)", "('ORDERS1', 'ORDER-FILE', NULL, 'OPEN', 'INPUT', 19)",
-                "('ORDERS1', 'ORDER-FILE', NULL, 'CLOSE', NULL, 31)", "('ORDERS1', 'ORDER-FILE', NULL, 'READ', NULL, 34)"))
-def file_access_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.file_access(X.facts(_one(spark, "ORDERS1", COBOL), "program", "text", X.COBOL), "program")
 
+@query("SELECT p_partkey AS program, 'ODD' AS name, 'INVALID_LEVEL_NUMBER' AS rule FROM part WHERE p_size % 4 = 3")
+def level_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.level_violations(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.COBOL), "program"), "program").select("program", "name", "rule")
 
-@query(_values('field, "use", line', "('ORDER-ID', 'READ', 22)", "('LAST-ID', 'WRITE', 22)", "('ORDER-SUM', 'TRANSFORM', 23)", "('ORDER-SUM', 'VALIDATE', 24)"))
-def field_usage_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.field_usage(X.facts(_one(spark, "ORDERS1", COBOL), "program", "text", X.COBOL), "program").drop("program")
 
+@query("""WITH p AS (SELECT p_partkey AS program FROM part) SELECT program, unnest([0, 1, 2, 3]) AS chunk, unnest([0, 5, 13, 15]) AS first_line, unnest([5, 8, 2, 23]) AS n_lines, unnest(['division', 'division', 'section', 'division']) AS starts_with FROM p""")
+def cobol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divisions and sections packed into chunks of 80 tokens, those that are longer alone."""
+    return X.structured_chunks(_texts(spark, sf_dir, COBOL), "program", "text", "cobol", 80).select("program", "chunk", "first_line", F.col("n_lines").cast("int").alias("n_lines"), "starts_with")
 
-@query(_values("paragraph, line", "('LOST-PART', 37)"))
-def unreachable_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.unreachable(X.facts(_one(spark, "ORDERS1", COBOL), "program", "text", X.COBOL), "program").drop("program")
 
+@query("""WITH p AS (SELECT p_partkey AS program FROM part) SELECT program, unnest([0, 1, 2, 3, 4, 5]) AS chunk, unnest([0, 1, 2, 3, 4, 5]) AS first_line, unnest(['job_card', 'exec_step', 'dd_statement', 'dd_statement', 'exec_step', 'dd_statement']) AS starts_with FROM p""")
+def jcl_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement a chunk of its own where the limit is one token."""
+    return X.structured_chunks(_texts(spark, sf_dir, JCL), "program", "text", "jcl", 1).select("program", "chunk", "first_line", "starts_with")
 
-@query(_values("copybook, line", "('CUSTCPY', 16)"))
-def copies_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.copies(X.facts(_one(spark, "ORDERS1", COBOL), "program", "text", X.COBOL), "program").select("copybook", "line")
 
+@query("""SELECT p_partkey AS program, unnest([0, 1, 2, 3, 4]) AS chunk, unnest([0, 1, 3, 5, 6]) AS first_line, unnest(['create_procedure', 'begin_block', 'cursor_declare', 'handler_declare', 'while_loop']) AS starts_with FROM part""")
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.structured_chunks(_texts(spark, sf_dir, DB2), "program", "text", "sql", 1).select("program", "chunk", "first_line", "starts_with")
 
-@query(_values("language, rule", "('jcl', 'missing_exec')", "('cobol', 'missing_procedure')", "('cobol', 'missing_program_id')", "('bms', 'missing_map')", "('cics', 'missing_return')"))
-def validator_violations_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+@query("""SELECT p_partkey AS program, 'jcl' AS language, 'missing_exec' AS rule FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'cobol', unnest(['missing_procedure', 'missing_program_id']) FROM part WHERE p_size % 4 = 1
+ UNION ALL SELECT p_partkey, 'bms', 'missing_map' FROM part WHERE p_size % 4 = 2 UNION ALL SELECT p_partkey, 'cics', 'missing_return' FROM part WHERE p_size % 4 = 3""")
+def validator_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken sources of four languages."""
+    broken = (("jcl", "//J{k} JOB\n"), ("cobol", "IDENTIFICATION DIVISION.\n* P{k}"), ("bms", "X{k} DFHMSD TYPE=MAP"), ("cics", "EXEC CICS SEND MAP('M{k}') END-EXEC"))
     out = None
-    for language, text in (("jcl", "//A JOB\n"), ("cobol", "IDENTIFICATION DIVISION.\n"), ("bms", "X DFHMSD TYPE=MAP"), ("cics", "EXEC CICS SEND END-EXEC")):
-        one = X.violations(_one(spark, language, text), "program", "text", language).withColumnRenamed("program", "language")
+    for n, (language, template) in enumerate(broken):
+        rows = _rows(spark, sf_dir).where(F.col("s") % 4 == n).select(F.col("k").alias("program"), made(template).alias("text"))
+        one = X.violations(rows, "program", "text", language).withColumn("language", F.lit(language))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(_values("program, flow", "('P', 'request_reply')"))
-def mq_flow_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.message_flow(X.facts(_one(spark, "P", MQ), "program", "text", X.MQ), "program").drop("calls")
+@query("SELECT p_partkey AS program, ['request_reply', 'fire_and_forget', 'publish_subscribe', 'transactional', 'persistent'][CAST(p_size % 5 AS INTEGER) + 1] AS flow FROM part")
+def mq_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.message_flow(X.facts(_texts(spark, sf_dir, MQ), "program", "text", X.MQ), "program").drop("calls")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS program, 'procedure' AS kind, 'B' || k AS a, '(IN X INT)' AS b FROM p UNION ALL SELECT k, 'declare', 'N' || s % 3, 'INTEGER' FROM p UNION ALL SELECT k, 'cursor', 'C' || s % 4, 'SELECT A' || chr(10) || ' FROM T' || k % 9 FROM p
+ UNION ALL SELECT k, 'handler', 'CONTINUE', 'NOT FOUND' FROM p UNION ALL SELECT k, 'db2_control', 'WHILE', NULL FROM p UNION ALL SELECT k, 'dynamic_sql', 'EXECUTE IMMEDIATE', 'S' || s % 2 FROM p UNION ALL SELECT k, 'statement', 'UPDATE', NULL FROM p""")
+def db2_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.facts(_texts(spark, sf_dir, DB2), "program", "text", X.DB2).select("program", "kind", "a", "b")
+
+
+@query("SELECT p_partkey AS program, 'mapset' AS kind, 'SET' || p_partkey % 30 AS name FROM part UNION ALL SELECT p_partkey, 'map', 'MAP' || p_partkey % 20 FROM part UNION ALL SELECT p_partkey, 'field', 'F' || p_size FROM part")
+def bms_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.facts(_texts(spark, sf_dir, BMS), "program", "text", X.BMS).select("program", "kind", F.col("a").alias("name"))
 
 
-@query(_values("kind, a, b", "('procedure', 'BONUS', '(IN X INT)')", "('declare', 'N', 'INTEGER')", "('cursor', 'C1', 'SELECT A\n FROM T')", "('handler', 'CONTINUE', 'NOT FOUND')", "('db2_control', 'WHILE', NULL)", "('dynamic_sql', 'EXECUTE IMMEDIATE', 'S1')", "('statement', 'UPDATE', NULL)"))
-def db2_procedure_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.facts(_one(spark, "BONUS", DB2), "program", "text", X.DB2).select("kind", "a", "b")
+@query("SELECT p_partkey AS program, ['cobol', 'jcl', 'mq_program', 'db2_procedure', 'bms', 'copybook', 'unknown'][CAST(p_partkey % 7 AS INTEGER) + 1] AS kind FROM part WHERE p_partkey % 7 <> 2 OR p_size % 5 NOT IN (2, 3) UNION ALL SELECT p_partkey, 'unknown' FROM part WHERE p_partkey % 7 = 2 AND p_size % 5 IN (2, 3)")
+def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("k") % 7
+    text = F.lit("nothing")
+    for n, template in enumerate((COBOL, JCL, MQ, DB2, BMS)):
+        text = F.when(kind == n, made(template)).otherwise(text)
+    rows = _rows(spark, sf_dir).select(F.col("k").alias("program"), text.alias("text"), F.when(kind == 5, "f.cpy").otherwise("f").alias("name"))
+    return rows.select("program", X.source_kind(F.col("text"), F.col("name")).alias("kind"))
 
 
-@query(_values("kind, name", "('mapset', 'ORDSET')", "('map', 'ORDMAP')", "('field', 'ORDNO')"))
-def bms_fields_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.facts(_one(spark, "ORDSET", BMS), "program", "text", X.BMS).select("kind", F.col("a").alias("name"))
+@query("""SELECT p_partkey AS program, 'READ' AS command, 'M' || p_size AS file, 'K' || p_partkey % 5 AS ridfld, 'REC' AS into_area, NULL AS from_area FROM part UNION ALL SELECT p_partkey, 'REWRITE', 'M' || p_size, NULL, NULL, 'R' || p_size % 3 FROM part""")
+def vsam_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of CICS file commands."""
+    found = X.facts(_texts(spark, sf_dir, VSAM), "program", "text", X.COBOL).where("kind = 'cics'")
 
+    def option(names: str) -> Column:
+        return F.nullif(F.regexp_extract("b", rf"(?i)\b(?:{names})\s*\(\s*'?([A-Za-z0-9-]+)", 1), F.lit(""))
 
-@query(_values("program, kind", "('a', 'cobol')", "('b', 'jcl')", "('c', 'mq_program')", "('d', 'db2_procedure')", "('e', 'bms')", "('f.cpy', 'copybook')", "('g', 'unknown')"))
-def source_kinds_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", COBOL), ("b", JCL), ("c", MQ), ("d", DB2), ("e", BMS), ("f.cpy", "nothing"), ("g", "nothing")]
-    return spark.createDataFrame(rows, "program string, text string").select("program", X.source_kind(F.col("text"), F.col("program")).alias("kind"))
+    return found.select("program", F.col("a").alias("command"), option("FILE|DATASET").alias("file"), option("RIDFLD").alias("ridfld"), option("INTO").alias("into_area"), option("FROM").alias("from_area"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(upper(text), 'CREATE\\s+TABLE') THEN 'ddl' WHEN contains(upper(text), 'DECLARE') AND contains(upper(text), 'TABLE') THEN 'dclgen' WHEN contains(text, ',') AND contains(text, chr(10)) THEN 'csv' ELSE 'unknown' END AS kind FROM documents")

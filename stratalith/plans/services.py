@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract as X
 from ..operators import services as V
 from .catalog import query, read
 
@@ -29,22 +28,6 @@ def answer_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.new_part(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", F.md5("delta").alias("delta"))
 
 
-@query("""SELECT * FROM (VALUES ('ORDER_ID', 'INTEGER', 'INTEGER', 'match'), ('ORDER_SUM', 'DECIMAL(11,2)', 'DECIMAL(9,2)', 'type_differs'), ('NOTE', NULL, 'VARCHAR(40)', 'table_only'), ('LINE_TEXT', 'VARCHAR(30)', NULL, 'layout_only'), ('LINE_PRICE', 'DECIMAL(9,2)', NULL, 'layout_only')) t(name, layout_type, table_type, state)""")
-def layout_against_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .extract import COBOL, _one
-
-    fields = X.data_items(X.facts(_one(spark, "P", COBOL), "program", "text", X.COBOL), "program").where("sql_type is not null")
-    table = spark.createDataFrame([("order_id", "INTEGER"), ("order_sum", "DECIMAL(9,2)"), ("note", "VARCHAR(40)")], "name string, sql_type string")
-    return V.layout_match(fields, table)
-
-
-@query("SELECT * FROM (VALUES ('DATE-NUM', 'DATE-PARTS,DATE-TEXT', 2)) t(original, variants, n)")
-def redefines_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "01  R.\n  05 DATE-NUM PIC 9(8).\n  05 DATE-PARTS REDEFINES DATE-NUM.\n    10 Y PIC 9(4).\n  05 DATE-TEXT REDEFINES DATE-NUM PIC X(8).\n"
-    found = X.facts(spark.createDataFrame([("R", text)], "program string, text string"), "program", "text", X.COBOL)
-    return V.redefined(X.data_items(found, "program"), "program").drop("program")
-
-
 _W = "len(regexp_extract_all(' ' || regexp_replace(upper(t), '[^A-Z0-9_]', '  ', 'g') || ' ', ' ({}) '))"
 
 
@@ -78,15 +61,3 @@ def open_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size, max(doc_id) AS newest FROM documents GROUP BY 1, 2")
 def upload_bookkeeping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"), F.max("doc_id").alias("newest"))
-
-
-@query("""SELECT * FROM (VALUES ('READ', 'CUSTMAST', 'CUST-KEY', 'CUST-REC', NULL), ('REWRITE', 'CUSTMAST', NULL, NULL, 'CUST-REC')) t(command, file, ridfld, into_area, from_area)""")
-def vsam_commands_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options of CICS file commands."""
-    text = "EXEC CICS READ FILE('CUSTMAST') INTO(CUST-REC)\n RIDFLD(CUST-KEY) RESP(R) END-EXEC\nEXEC CICS REWRITE DATASET('CUSTMAST') FROM(CUST-REC) END-EXEC"
-    found = X.facts(spark.createDataFrame([("P", text)], "program string, text string"), "program", "text", X.COBOL).where("kind = 'cics'")
-
-    def option(names: str):
-        return F.nullif(F.regexp_extract("b", rf"(?i)\b(?:{names})\s*\(\s*'?([A-Za-z0-9-]+)", 1), F.lit(""))
-
-    return found.select(F.col("a").alias("command"), option("FILE|DATASET").alias("file"), option("RIDFLD").alias("ridfld"), option("INTO").alias("into_area"), option("FROM").alias("from_area"))
