@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keep import kept
+
 
 def nodes(rows: DataFrame, *kinds: tuple[str, str]) -> DataFrame:
     """Distinct (node_id, node_type, name) of the columns given as (column, type)."""
@@ -64,20 +66,19 @@ def access_class(access: Column, mode: Column) -> Column:
             .when(m.isin("OUTPUT", "EXTEND"), "creator").when(m == "I-O", "updater").otherwise("reader"))
 
 
-def within(edges_: DataFrame, starts: DataFrame, source: str, target: str, max_hops: int) -> DataFrame:
-    """(start, node, hops): what is reached from each start in at most so many steps, by the shortest way.
+def within(edges_: DataFrame, starts: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
+    """(start, node, hops): what is reached from each start, by the shortest way, in at most so many steps; None: until nothing is new.
 
-    A front holds each node once for a start, so cycles add no rows; the plan
-    grows by one join for each hop.
+    Each front is written and holds only what was not reached before, so cycles end and a hop costs one join of the front.
     """
-    links = edges_.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    front = starts.select("start", F.col("start").alias("node")).distinct()
-    fronts = None
-    for hop in range(1, max_hops + 1):
-        front = front.join(links, "node").select("start", F.col("next").alias("node")).distinct()
-        here = front.withColumn("hops", F.lit(hop))
-        fronts = here if fronts is None else fronts.unionByName(here)
-    return fronts.where(F.col("node") != F.col("start")).groupBy("start", "node").agg(F.min("hops").alias("hops"))
+    links = kept(edges_.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct())
+    front = kept(starts.select("start", F.col("start").alias("node")).distinct())
+    known, hop = front.withColumn("hops", F.lit(0)), 0
+    while not front.isEmpty() and (max_hops is None or hop < max_hops):
+        hop += 1
+        front = kept(front.join(links, "node").select("start", F.col("next").alias("node")).distinct().join(known, ["start", "node"], "left_anti"))
+        known = known.unionByName(front.withColumn("hops", F.lit(hop)))
+    return known.where("hops > 0")
 
 
 def references(chunks: DataFrame, text: str, name: str) -> DataFrame:
@@ -94,3 +95,37 @@ def step_of(text: Column) -> Column:
     from ..functions.scoring import first_match
 
     return first_match(text, STEPS, "reference")
+
+
+def subgraph(edges_: DataFrame, field: str, hops: int = 2) -> DataFrame:
+    """The edges (source_node, target_node, relationship) around a node, within so many steps in either direction."""
+    both = edges_.select(F.col("source_node").alias("a"), F.col("target_node").alias("b")).union(edges_.select("target_node", "source_node"))
+    start = edges_.sparkSession.createDataFrame([(field,)], "start string")
+    near = within(both, start, "a", "b", hops).select("node").union(start).distinct()
+    inside = edges_.join(near.withColumnRenamed("node", "source_node"), "source_node", "left_semi")
+    return inside.join(near.withColumnRenamed("node", "target_node"), "target_node", "left_semi").select("source_node", "target_node", "relationship")
+
+
+def usage_patterns(uses: DataFrame, field: str, program: str, use: Column) -> DataFrame:
+    """For each field: reads, writes and transformations, its programs, and whether it is shared, written in many places or read alone."""
+    kind = use
+    out = uses.groupBy(field).agg(*[F.count_if(kind == k).alias(f"n_{k.lower()}") for k in ("READ", "WRITE", "TRANSFORM")], F.count_distinct(program).alias("n_programs"), F.count_distinct(F.when(kind == "WRITE", F.col(program))).alias("n_writers"))
+    pattern = F.when(F.col("n_writers") > 1, "multiple_writers").when((F.col("n_write") == 0) & (F.col("n_transform") == 0), "read_only").when(F.col("n_programs") > 1, "shared").otherwise("private")
+    return out.withColumn("pattern", pattern)
+
+
+def journey(uses: DataFrame, file: str, program: str, order: list[str], access: Column) -> DataFrame:
+    """The steps of each file in order, equal neighbours once: where it is created, updated, read and deleted, and by whom first and last."""
+    step = F.struct(*order, F.col(program).cast("string").alias("_program"), access_class(access, F.lit(None).cast("string")).alias("_class"))
+    steps = uses.groupBy(file).agg(F.array_sort(F.collect_list(step)).alias("s"))
+    kinds = F.transform("s", lambda x: x["_class"])
+    changes = F.filter(kinds, lambda x, i: (i == 0) | (x != F.get(kinds, i - 1)))
+    return steps.select(file, F.size("s").alias("n_steps"), F.element_at("s", 1)["_program"].alias("first_program"), F.element_at("s", -1)["_program"].alias("last_program"), F.array_join(changes, ">").alias("journey"))
+
+
+def impact_chain(edges_: DataFrame, source: str, target: str) -> DataFrame:
+    """For each component all that depends on it, however far, with a risk by how much that is."""
+    starts = edges_.select(F.col(source).alias("start")).distinct()
+    reached = within(edges_, starts, source, target).where("start <> node")
+    out = reached.groupBy("start").agg(F.count("*").alias("n_dependents"), F.max("hops").alias("depth"))
+    return out.withColumn("risk", F.when(F.col("n_dependents") > 10, "HIGH").when(F.col("n_dependents") > 3, "MEDIUM").otherwise("LOW"))

@@ -77,7 +77,46 @@ def contained(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     return found.distinct().select(F.col("x").alias(a), F.col("y").alias(b))
 
 
-def overlapping(uses: DataFrame, component: str, target: str) -> DataFrame:
-    """Pairs a < b of components that share a target, once each."""
-    uses = uses.select(component, target).distinct()
-    return uses.select(F.col(component).alias("a"), target).join(uses.select(F.col(component).alias("b"), target), target).where("a < b").select("a", "b").distinct()
+def sharing(uses: DataFrame, component: str, target: str) -> DataFrame:
+    """Who shares a target with whom: (a, b, kind).
+
+    Components with equal sets of targets are one class, named by the least of them: kind same_targets has each further
+    member b of a class a.  Kind shares has the pairs a < b of classes that have a target in common.  So a target that
+    everybody uses costs one row for each component, and pairs only between classes that differ.
+    """
+    uses = uses.select(F.col(component).alias("c"), F.col(target).alias("t")).where("c is not null and t is not null").distinct()
+    of = lambda seed: F.sum(F.xxhash64("t", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}")
+    sets = uses.groupBy("c").agg(F.count("*").alias("n"), of(1), of(2))
+    classes = sets.groupBy("n", "h1", "h2").agg(F.min("c").alias("a"))
+    members = sets.join(classes, ["n", "h1", "h2"]).select("a", F.col("c").alias("b"))
+    own = uses.join(classes.select(F.col("a").alias("c")), "c", "left_semi")
+    pairs = own.select(F.col("c").alias("a"), "t").join(own.select(F.col("c").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
+    return members.where("a <> b").withColumn("kind", F.lit("same_targets")).unionByName(pairs.withColumn("kind", F.lit("shares")))
+
+
+def equal_or_containing(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows whose value is the name or contains it, whatever the case; the exact ones have rank 0, the others 1."""
+    u, n = F.upper(F.col(column)), F.upper(F.trim(F.lit(name)))
+    return rows.where(F.contains(u, n)).withColumn("rank", F.when(u == n, 0).otherwise(1))
+
+
+def probe(names: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """For each asked name the best match among the known ones: exact, starts with, ends with or contains, the least name on ties; null if none.
+
+    Joined by the first three characters of the asked name among all trigrams of the known ones; shorter names are matched by their whole.
+    """
+    n = F.length("k")
+    grams = F.array_distinct(F.concat(*[F.when(n >= w, F.transform(F.sequence(F.lit(1), n - w + 1), lambda i, w=w: F.substring(F.col("k"), i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in (1, 2, 3)]))
+    known = names.select(F.col(name).alias("known"), F.upper(name).alias("k")).distinct().select("known", "k", F.explode(grams).alias("g"))
+    wanted = asked.select(F.col(name).alias("asked"), F.upper(F.trim(name)).alias("q")).distinct().withColumn("g", F.substring("q", 1, 3))
+    k, q = F.col("k"), F.col("q")
+    rank = F.when(k == q, 1).when(F.startswith(k, q), 2).when(F.endswith(k, q), 3).when(F.contains(k, q), 4)
+    best = known.join(wanted, "g").withColumn("rank", rank).where("rank is not null").groupBy("asked").agg(F.min(F.struct("rank", "known")).alias("m"))
+    how = F.when(F.col("m.rank") == 1, "exact match").when(F.col("m.rank") == 2, "starts with").when(F.col("m.rank") == 3, "ends with").when(F.col("m.rank") == 4, "contains")
+    return wanted.select("asked").join(best, "asked", "left").select("asked", F.col("m.known").alias("match"), how.alias("how"))
+
+
+def present(rows: DataFrame, *columns: str) -> DataFrame:
+    """Those of the columns that the table has, in this order; the others are left out (a table written by an older version)."""
+    have = {c.lower() for c in rows.columns}
+    return rows.select(*[c for c in columns if c.lower() in have])

@@ -54,6 +54,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_chunks(vectors: DataFrame, chunks: DataFrame, vector_id: str, chunk_id: str) -> DataFrame:
+    """Vectors with the chunks that they stand for; vectors without one are left out, chunks without one too."""
+    return vectors.join(chunks.withColumnRenamed(chunk_id, vector_id), vector_id)
+
+
+def mined(hits: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
+    """What each query depends on, by its hits: the owners of the hit chunks, how many hits each has and its best rank."""
+    rows = hits.join(owners, "vec_id")
+    return rows.groupBy(F.col("query_id").alias("q"), F.col(owner).alias("dependency")).agg(F.count("*").alias("n"), F.min("rank").alias("best_rank"))
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -66,10 +66,9 @@ def filter_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.filtered(D.filtered(rows, newer=("ts", "7 days")), status="click", name=("user_id", "1")).select("event_id", "event_type")
 
 
-@query("SELECT conv_id, count(*) FILTER (role <> 'system') AS n_ok, count(*) FILTER (role = 'system') AS n_failed, coalesce(string_agg(CASE WHEN role <> 'system' THEN substr(text, 1, 20) END, ' ' ORDER BY turn, substr(text, 1, 20)), '') AS text FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) FILTER (role <> 'system') AS n_ok, count(*) FILTER (role = 'system') AS n_failed, md5(coalesce(string_agg(CASE WHEN role <> 'system' THEN text END, ' ' ORDER BY turn, text), '')) AS digest FROM conversations GROUP BY 1")
 def combine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").withColumn("t", F.substring("text", 1, 20))
-    return D.combined(rows, ["conv_id"], "turn", "t", F.col("role") != "system")
+    return D.combined(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", F.col("role") != "system").withColumn("digest", F.md5("text")).drop("text")
 
 
 @query("""WITH g AS (SELECT p_brand, max((p_size = 13)::INT) AS s, max((p_size % 4 = 0)::INT) AS w, max(p_size) AS m, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY 1)

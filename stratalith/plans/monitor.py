@@ -96,7 +96,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of failures of each user and whether its breaker ever opened, kept as state."""
-    return W.run_once(spark, W.breaker(W.stream_of(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("value") > 40, 3), "update")
+    return W.run_once(spark, W.breaker(W.stream_of(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("value") > 40, 3), "update", ("key",))
 
 
 query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(stream_tumbling)

@@ -9,11 +9,14 @@ from ..operators import relations as J
 from .catalog import query, read
 
 
-@query("""SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND b.l_suppkey <> a.l_suppkey WHERE a.l_suppkey % 10 = 1""")
+_SHARING = """WITH u AS (SELECT DISTINCT {c} AS c, {t} AS t FROM {f}), s AS (SELECT c, list(t ORDER BY t) AS ts FROM u GROUP BY 1), k AS (SELECT ts, min(c) AS a FROM s GROUP BY 1), o AS (SELECT u.* FROM u JOIN k ON k.a = u.c)
+ SELECT k.a, s.c AS b, 'same_targets' AS kind FROM s JOIN k USING (ts) WHERE k.a <> s.c UNION ALL SELECT DISTINCT x.c, y.c, 'shares' FROM o x JOIN o y ON x.t = y.t AND x.c < y.c"""
+
+
+@query(_SHARING.format(c="l_suppkey", t="l_partkey", f="lineitem"))
 def shared_copybook_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components that share a target with one of the asked components (here those numbered 1 in ten)."""
-    uses = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("component"), F.col("l_partkey").alias("target"))
-    return J.sharers(uses, "component", "target", F.col("component") % 10 == 1)
+    """Components that share a target: classes of equal sets, and pairs of classes."""
+    return J.sharing(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("""SELECT DISTINCT r.user_id, r.event_type AS source, w.event_type AS sink FROM events r JOIN events w ON r.user_id = w.user_id AND r.event_type <> w.event_type
@@ -29,10 +32,11 @@ def semi_join_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.having(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), big.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal > 0)")
 def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that are referred to but have no definition."""
-    return J.lacking(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Names that are referred to but have no definition (customers in debt count as undefined)."""
+    named = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return J.lacking(named, read(spark, sf_dir, "customer").where("c_acctbal > 0"), "c_custkey")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
@@ -82,9 +86,29 @@ def full_outer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.both_sides(left, right, "name")
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 20 = 3), p AS (SELECT DISTINCT a.user_id AS a, b.user_id AS b FROM u a JOIN u b ON a.event_type = b.event_type AND a.user_id < b.user_id)
- SELECT a, b FROM p""")
+@query(_SHARING.format(c="user_id", t="event_type", f="events"))
 def related_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the asked components that share a file, each pair once."""
-    uses = read(spark, sf_dir, "events").where("user_id % 20 = 3").select(F.col("user_id").alias("component"), F.col("event_type").alias("target"))
-    return J.overlapping(uses, "component", "target")
+    """The same for few, very frequent targets."""
+    return J.sharing(read(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN upper(p_brand) = 'BRAND#1' THEN 0 ELSE 1 END AS rank FROM part WHERE contains(upper(p_brand), 'BRAND#1')")
+def equality_or_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by a name or a part of it, exact ones first."""
+    return J.equal_or_containing(read(spark, sf_dir, "part"), "p_brand", " Brand#1").select("p_partkey", "p_name", "rank")
+
+
+@query("""WITH known AS (SELECT DISTINCT p_name AS n FROM part), asked AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS q FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT c_name FROM customer),
+ m AS (SELECT q, n, CASE WHEN upper(n) = upper(q) THEN 1 WHEN starts_with(upper(n), upper(q)) THEN 2 WHEN ends_with(upper(n), upper(q)) THEN 3 ELSE 4 END AS r FROM asked JOIN known ON contains(upper(n), upper(q)) WHERE q <> ''),
+ b AS (SELECT q, arg_min(n, (r, n)) AS n, min(r) AS r FROM m GROUP BY 1) SELECT asked.q AS asked, b.n AS match, ['exact match', 'starts with', 'ends with', 'contains'][b.r] AS how FROM asked LEFT JOIN b USING (q) WHERE asked.q <> ''""")
+def component_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which known component a name means, by the strongest way in which one matches."""
+    part = read(spark, sf_dir, "part")
+    words = part.select(F.explode(F.slice(F.split("p_name", " "), 1, 2)).alias("p_name")).union(read(spark, sf_dir, "customer").select("c_name")).where("p_name <> ''")
+    return J.probe(part, words, "p_name")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def adaptive_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted columns as far as the table has them."""
+    return J.present(read(spark, sf_dir, "supplier"), "s_suppkey", "parameters", "S_NAME", "conditional_call", "s_acctbal").toDF("s_suppkey", "s_name", "s_acctbal")

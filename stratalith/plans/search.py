@@ -49,15 +49,32 @@ def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size(v)).alias("least_size"), F.max(F.size(v)).alias("most_size"), F.round(F.avg(F.sqrt(V.inner_product(v, v))), 4).alias("mean_norm"))
 
 
-@query("SELECT doc_id, trim(substr(text, 1, 40)) || ' | Purpose: ' || lang || ' | Fields: ' || source || ', ' || lang AS prepared FROM documents")
+@query("SELECT doc_id, md5(trim(text) || ' | Purpose: ' || lang || ' | Fields: ' || source || ', ' || lang) AS prepared FROM documents")
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text that is embedded, here of a document's head (the feature is the form, not the head)."""
+    """A digest of the text that is embedded."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", V.embedding_text(F.substring("text", 1, 40), F.col("lang"), F.array("source", "lang"), F.array().cast("array<string>")).alias("prepared"))
+    return d.select("doc_id", F.md5(V.embedding_text(F.col("text"), F.col("lang"), F.array("source", "lang"), F.array().cast("array<string>"))).alias("prepared"))
 
 
-@query("SELECT event_id, list_contains(['a', 'b'], 'k') AS has_k, 2::INTEGER AS n FROM events")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN [event_type, 'k' || user_id % 10] ELSE [] END AS l FROM events""".replace("SELECT event_id, CASE", "SELECT event_id, list_contains(l, 'k3') AS has_k, CAST(len(l) AS INTEGER) AS n FROM (SELECT event_id, CASE").replace("FROM events", "FROM events)"))
 def metadata_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists out of JSON; whatever is no list is empty."""
-    good, bad = V.text_list(F.lit('["a", "b"]')), V.text_list(F.col("props"))
-    return read(spark, sf_dir, "events").select("event_id", F.array_contains(F.concat(good, bad), "k").alias("has_k"), F.size(F.concat(good, bad)).alias("n"))
+    json = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["'), "event_type", F.lit('", "k'), F.col("user_id") % 10, F.lit('"]'))).otherwise(F.col("props"))
+    return read(spark, sf_dir, "events").select("event_id", V.text_list(json).alias("l")).select("event_id", F.array_contains("l", "k3").alias("has_k"), F.size("l").alias("n"))
+
+
+@query("""SELECT vec_id, lang, source, n_chars, label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings JOIN documents ON doc_id = vec_id""")
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their vectors, as they are exported."""
+    v = F.col("embedding")
+    joined = V.with_chunks(read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents").drop("text"), "vec_id", "doc_id")
+    return joined.select("vec_id", "lang", "source", "n_chars", "label", F.round(F.sqrt(V.inner_product(v, v)), 4).alias("norm"))
+
+
+@query("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.q, v.vec_id, v.label, list_inner_product(q.e::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM q JOIN embeddings v ON v.vec_id <> q.q),
+ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5) SELECT q, label AS dependency, count(*) AS n, CAST(min(r) AS INTEGER) AS best_rank FROM t GROUP BY 1, 2""")
+def mined_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nearest chunks of each query chunk belong to; queries are the ids divisible by 100, against all rows."""
+    e = read(spark, sf_dir, "embeddings")
+    hits = V.top_k(e, e.where("vec_id % 100 = 0"), 5, leave_self=True)
+    return V.mined(hits, e.select("vec_id", "label"), "label")

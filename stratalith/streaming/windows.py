@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.keep import fresh
+
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder as a stream; event times become timestamps with a zone, as watermarks need."""
@@ -72,9 +73,25 @@ def alerts(df: DataFrame, limits: DataFrame, name: str, value: str) -> DataFrame
     return batch_alerts(df, limits, name, value)
 
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and returns its rows, for tests and bounded folders."""
-    name = f"s{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_once(spark: SparkSession, stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over all that is there into a Parquet folder and returns what it holds.
+
+    Batches are written by their number, so one that is run again after a failure replaces itself.  In complete mode the
+    last batch counts, in update mode the last row of each key.
+    """
+    folder = fresh(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{folder}/rows") if run.lastProgress else None
+    if out is None:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*").select(*stream.columns)
+    return out.drop("batch")
