@@ -52,6 +52,16 @@ def both_sides(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return a.join(b, name, "full").select(name, F.col("_a").isNotNull().alias("on_left"), F.col("_b").isNotNull().alias("on_right"))
 
 
+def _grams(column: str) -> Column:
+    """The distinct substrings of one to three characters."""
+    n = F.length(column)
+
+    def of(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(column), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
 def contained(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Pairs of names, one of which contains the other whatever the case.
 
@@ -60,12 +70,7 @@ def contained(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     looked up among all substrings of one and two characters.
     """
     def inside(df: DataFrame) -> DataFrame:
-        n = F.length("u")
-
-        def grams(k: int) -> Column:
-            return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("u"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-        return df.select("x", "u", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("g"))
+        return df.select("x", "u", F.explode(_grams("u")).alias("g"))
 
     def lookup(inner: DataFrame, outer: DataFrame) -> DataFrame:
         probe = inner.select(F.col("x").alias("y"), F.col("u").alias("v"), F.substring("u", 1, 3).alias("g"))
@@ -105,9 +110,7 @@ def probe(names: DataFrame, asked: DataFrame, name: str) -> DataFrame:
 
     Joined by the first three characters of the asked name among all trigrams of the known ones; shorter names are matched by their whole.
     """
-    n = F.length("k")
-    grams = F.array_distinct(F.concat(*[F.when(n >= w, F.transform(F.sequence(F.lit(1), n - w + 1), lambda i, w=w: F.substring(F.col("k"), i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in (1, 2, 3)]))
-    known = names.select(F.col(name).alias("known"), F.upper(name).alias("k")).distinct().select("known", "k", F.explode(grams).alias("g"))
+    known = names.select(F.col(name).alias("known"), F.upper(name).alias("k")).distinct().select("known", "k", F.explode(_grams("k")).alias("g"))
     wanted = asked.select(F.col(name).alias("asked"), F.upper(F.trim(name)).alias("q")).distinct().withColumn("g", F.substring("q", 1, 3))
     k, q = F.col("k"), F.col("q")
     rank = F.when(k == q, 1).when(F.startswith(k, q), 2).when(F.endswith(k, q), 3).when(F.contains(k, q), 4)
