@@ -135,19 +135,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    bits: there are 2**bits blocks of fingerprints; None: so many that a block has about CHUNK of them, 256 at least.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.length("text").alias("size"), normalised(F.col("text")).alias("bytes"))
+    bits = bits or max(8, (rows.count() // CHUNK).bit_length())
     candidates = table(repeated(rows.select(F.xxhash64("bytes").alias("fp")), bits), "fingerprints")
     same = (
         rows.withColumn("fp", F.xxhash64("bytes")).join(candidates, "fp", "left_semi")
-        .groupBy("fp", "bytes").agg(F.count("*").alias("n"), F.max(F.struct("size", (-F.col("doc_id")).alias("low"))).alias("best"))
-        .where("n > 1").select(F.sha2("bytes", 256).alias("text_sha256"), (-F.col("best.low")).alias("keep"), "n")
+        .groupBy("fp", "bytes").agg(F.count("*").alias("n"), F.max(F.struct("size", F.bitwise_not("doc_id").alias("high"))).alias("best"))
+        .where("n > 1").select(F.sha2("bytes", 256).alias("text_sha256"), F.bitwise_not("best.high").alias("keep"), "n")
     )
     groups = same.groupBy("text_sha256").agg(F.max("keep").alias("keep"), F.max("n").alias("n"), F.count("*").alias("texts")).select(
         "text_sha256", "keep", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts have one SHA-256"))).alias("n"))
+    groups = table(groups, "groups")  # apart, so that Spark can split the join of a hot text
     out = rows.select("doc_id", F.sha2("bytes", 256).alias("text_sha256")).join(groups, "text_sha256", "left")
     alone = F.col("n").isNull()
     return out.select(
