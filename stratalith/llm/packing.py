@@ -1,7 +1,8 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Documents are dealt to shards by a hash of their id, and every shard is packed
-by itself, so no task holds more than its shard.  A document longer than the
+Documents are dealt to shards by a hash of their id, length and, where rows
+repeat both, their number among these, and every shard is packed by itself, so
+no task holds more than its shard.  A document longer than the
 largest length is cut into pieces of that length and a rest.  Pieces are taken
 from long to short and go to the open bin that they leave with the least room
 (best fit over the contents of all bins of the shard, whatever their size).
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
+COPIES = 1 << 16  # rows that repeat an id and a length, made by one task
 SCHEMA = "doc_id long, piece int, start long, n_tokens long, shard int, bin long, position int, bin_offset long, bin_used long, bin_length long"
 
 
@@ -69,17 +71,21 @@ def pack(sizes: np.ndarray, lengths: Sequence[int], overhead: int = 8, square: i
 def best_fit(lengths_of: DataFrame, permitted: Sequence[int] = LENGTHS, overhead: int = 8, square: int = 65_536, shard_rows: int = 20_000, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
     """A row for each piece of each document, with its place in a bin; see SCHEMA.
 
-    Documents are counted once to choose the number of shards, about one for
-    each ``shard_rows`` documents.
+    Rows are counted once to choose the number of shards, about one for
+    each ``shard_rows`` of them.
     """
     prepare(lengths_of.sparkSession)
     if not permitted or min(permitted) <= 0:
         raise ValueError("permitted needs positive lengths")
     most, sizes = max(permitted), sorted(permitted)
     rows = lengths_of.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
-    rows = table(rows, "lengths")  # they are read twice and may cost an encoding
-    shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
+    rows = table(rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")), "lengths")  # they are read twice and may cost an encoding
+    shards = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // shard_rows))
+    once = rows.where("copies = 1").select("doc_id", "n_tokens", F.lit(0).cast("long").alias("copy"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))  # so that no task makes all copies of a row
+    again = rows.where("copies > 1").withColumn("part", part).repartition("doc_id", "n_tokens", "part")
+    again = again.select("doc_id", "n_tokens", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1)).alias("copy"))
+    rows = once.union(again).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(shards)).cast("int")).drop("copy")
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
