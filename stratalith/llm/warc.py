@@ -1,14 +1,16 @@
 """WARC archives: a deterministic sharded writer and a reader that checks digests.
 
-Shard bounds come from a histogram of bytes over at most ``BUCKETS`` ranges of
-page ids, so they depend on the data alone, not on how Spark happens to deal
-rows.  Within a shard records are sorted by page id and files roll when their
-compressed size reaches ``roll_bytes``; one record never spans files.  Headers
-and digests are generated anew for every record.
-
-Each task writes to names with an id of the attempt and reports its files; the
-driver moves the files of successful attempts to their final names and then
-writes the manifest, also by a move.  Readers take only files that the manifest
+Records are in the order of page id, url and payload digest, and a shard begins
+wherever the bytes before it in that order pass a multiple of ``shard_bytes``.
+So shards depend on the data alone, not on how Spark happens to deal rows, and
+are of like size however ids are spread; only rows alike in all three columns
+stay together.  Within a shard files roll when their compressed size reaches
+``roll_bytes``; one record never spans files.  Headers and digests are
+generated anew for every record.
+
+Each task writes to names with an id of the attempt and reports its files; when
+all are written, tasks move the files of successful attempts to their final
+names, and then the manifest is written, also by a move.  Readers take only files that the manifest
 lists, so a lost executor or a broken run leaves nothing that is read.
 
 Edge cases: null html is an empty payload; a null url leaves out the target; a
@@ -27,6 +29,7 @@ import io
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,9 +37,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, table
+from .common import prepare, scratch, table
 
-BUCKETS = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "manifest.json"
@@ -100,6 +102,37 @@ def records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]
         yield heads, block
 
 
+def _order(page: int | None, url: str | None, body: str) -> tuple:
+    """Sorts as Spark sorts: nulls first, texts by code points."""
+    return page is not None, page or 0, url is not None, url or "", body
+
+
+def shard_bounds(keyed: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The least record, by _order, of each shard but the first; as many rows come to the driver as there are shards and partitions."""
+    names = ["page_id", "url", "body"]
+    rows = keyed.select(*names, (F.octet_length("html") + 600).cast("long").alias("size"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *names).sortWithinPartitions(*names).withColumn("part", F.spark_partition_id())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            total = before + size.cumsum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), batch.column("part"), pa.array(total - size), pa.array(size)], [*names, "part", "before", "size"])
+            before = int(total[-1]) if len(total) else before
+
+    rows = table(rows.mapInArrow(summed, "page_id long, url string, body string, part int, before long, size long"), "order")
+    base, total = {}, 0
+    for r in rows.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect():
+        base[r["part"]], total = total, total + r["size"]
+    if total <= shard_bytes:
+        return []
+    offsets = F.broadcast(keyed.sparkSession.createDataFrame(list(base.items()), "part int, base long"))  # a row for each partition
+    first = rows.join(offsets, "part").groupBy(F.floor((F.col("base") + F.col("before")) / shard_bytes).alias("shard")).agg(F.min(F.struct(*names)).alias("k"))
+    return sorted({_order(*r["k"]) for r in first.collect()})[1:]
+
+
 def write_archive(pages: DataFrame, path: str, shard_bytes: int = 1 << 25, roll_bytes: int = 1 << 25, least_revisit: int = 0) -> list[dict]:
     """Writes a record for each row of pages below path, a folder that executors share; returns the manifest's files."""
     spark = pages.sparkSession
@@ -108,19 +141,15 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = 1 << 25, roll_
     keyed = rows.withColumn("body", F.sha2("html", 256))
     same = keyed.where(F.octet_length("html") >= least_revisit).groupBy("body").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     same = table(same.select("body", "first"), "payloads")
-    span = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (span[0] or 0, span[1] or 0)
-    width = (high - low) // BUCKETS + 1
-    bucket = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(width)), F.lit(0)).cast("int")
-    sizes = {r["bucket"]: r["size"] for r in rows.groupBy(bucket.alias("bucket")).agg(F.sum(F.octet_length("html") + 600).alias("size")).collect()}  # BUCKETS rows at most
-    shard_of, filled, shard = [], 0, 0
-    for b in sorted(sizes):
-        if filled and filled + sizes[b] > shard_bytes:
-            filled, shard = 0, shard + 1
-        filled += sizes[b]
-        shard_of.append((b, shard))
-    shards = F.broadcast(spark.createDataFrame(shard_of, "bucket int, shard int"))
-    dealt = keyed.withColumn("bucket", bucket).join(shards, "bucket").join(same, "body", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    bounds = shard_bounds(keyed, shard_bytes)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "body")), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(bounds, _order(*k)) for k in keys], pa.int32()), *batch.columns], ["shard", *batch.schema.names])
+
+    dealt = keyed.mapInArrow(deal, "shard int, page_id long, url string, html string, body string")
+    dealt = dealt.join(same, "body", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     dealt = dealt.select("shard", "page_id", "url", "html", "refers_to").repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +187,18 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = 1 << 25, roll_
 
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
-    files = sorted((r.asDict() for r in dealt.mapInArrow(write, "name string, temporary string, bytes long, records long, sha256 string").collect()), key=lambda f: f["name"])  # one row for each file
-    for f in files:
-        store.move(f"{folder}/{f.pop('temporary')}", f"{folder}/{f['name']}")
+    written = table(dealt.mapInArrow(write, "name string, temporary string, bytes long, records long, sha256 string"), "files")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, temporary in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if store.get_file_info(f"{folder}/{temporary}").type != fs.FileType.NotFound:  # else an attempt before this one has moved it
+                    store.move(f"{folder}/{temporary}", f"{folder}/{name}")
+            yield batch
+
+    moved = written.mapInArrow(move, written.schema).drop("temporary")
+    files = sorted((r.asDict() for r in moved.collect()), key=lambda f: f["name"])  # one row for each file
     with store.open_output_stream(f"{folder}/_{MANIFEST}") as out:
         out.write(json.dumps({"files": files}, indent=1).encode())
     store.move(f"{folder}/_{MANIFEST}", f"{folder}/{MANIFEST}")
@@ -201,6 +239,6 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as an archive in the shared folder and reads it back."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = scratch(pages.sparkSession, "warc")
     write_archive(pages, path)
     return read_archive(pages.sparkSession, path)
