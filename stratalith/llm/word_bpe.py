@@ -5,7 +5,9 @@ pattern.  Pieces not met before are encoded together: the symbols of all of
 them lie in one flat array, pairs of neighbours are looked up by binary search
 over the sorted keys of all merges, and each round merges in every piece the
 pair of lowest rank, until no piece has a pair that merges.  Finished pieces
-are remembered, so that frequent words cost one look-up.
+are remembered, so that frequent words cost one look-up.  A piece of over
+``LONG`` bytes has many rounds; in it only pairs beside a merge are looked up
+again, and places wait by rank, so its cost grows with its length alone.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text.
 Special tokens written out in a text are encoded as such.  Any length of text
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from .token_counts import vocabulary_path
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a task remembers, and texts' characters that are encoded together.
 REMEMBERED, TOGETHER = 1 << 20, 1 << 21
+LONG = 1024
 #: Letters below U+0250 have no marks to compose: normalising is lower case alone.
 _PLAIN = regex.compile("[\u0000-ɏ]*").fullmatch
 
@@ -66,7 +71,7 @@ class WordBPE:
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
         keys = np.array([(a << 32) | b for a, b, _ in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
+        self.keys, self.ranks, self.key_of = keys[order], order, keys
         self.merged = np.array([c for _, _, c in pairs], np.int64)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern, regex.VERSION0)
@@ -94,11 +99,13 @@ class WordBPE:
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and how many each piece has."""
         raw = [p.encode() for p in pieces]
+        long = {k: self.encode_long(np.frombuffer(r, np.uint8)) for k, r in enumerate(raw) if len(r) > LONG}
+        raw = [b"" if k in long else r for k, r in enumerate(raw)]
         sizes = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         owner = np.repeat(np.arange(len(raw)), sizes)
         symbol = self.inner[data]
-        ends = np.cumsum(sizes) - 1
+        ends = (np.cumsum(sizes) - 1)[sizes > 0]
         symbol[ends] = self.last[data[ends]]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         none = len(self.merged)
@@ -128,11 +135,54 @@ class WordBPE:
             keep = np.ones(len(symbol), bool)
             keep[place + 1] = False
             owner, symbol = owner[keep], symbol[keep]
+        done += [(np.full(len(x), k), x) for k, x in long.items()]
         owner = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int64)
         symbol = np.concatenate([d[1] for d in done]) if done else owner
         order = np.argsort(owner, kind="stable")
         return symbol[order], np.bincount(owner, minlength=len(raw)).astype(np.int64)
 
+    def encode_long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one long piece."""
+        n, symbol = len(data), self.inner[data]
+        symbol[-1:] = self.last[data[-1:]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        there, waiting, ranks = np.ones(n, bool), defaultdict(list), []
+
+        def wait(left: np.ndarray) -> None:
+            key = (symbol[left] << 32) | symbol[after[left]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            rank, left = self.ranks[at[hit]], left[hit]
+            order = np.argsort(rank, kind="stable")
+            rank, left = rank[order], left[order]
+            first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])[: len(rank)])
+            for r, places in zip(rank[first].tolist(), np.split(left, first[1:]), strict=False):
+                if r not in waiting:
+                    heappush(ranks, r)
+                waiting[r].append(places)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            rank = heappop(ranks)
+            place = np.unique(np.concatenate(waiting.pop(rank)))
+            place = place[there[place]]
+            place = place[after[place] < n]
+            place = place[((symbol[place] << 32) | symbol[after[place]]) == self.key_of[rank]]
+            if not len(place):
+                continue
+            fresh = np.append(True, after[place[:-1]] != place[1:])
+            at = np.arange(len(place))
+            place = place[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]  # of pairs that overlap every second one merges
+            symbol[place] = self.merged[rank]
+            gone = after[place]
+            there[gone] = False
+            after[place] = after[gone]
+            inside = after[place] < n
+            before[after[place][inside]] = place[inside]
+            left = before[place]
+            wait(np.unique(np.concatenate([place[inside], left[left >= 0]])))
+        return symbol[there]
+
     def remember(self, units: list[str]) -> None:
         """Encodes units, none of which is known, and keeps their ids."""
         split = [self.pieces(u) for u in units]
