@@ -3,14 +3,16 @@
 Lines are normalised (lower case, digits to 0, single blanks) and hashed.  For
 each host the distinct documents that hold a line are counted; texts that are
 equal count as one document, so that copies do not turn prose into
-boilerplate.  Lines found in more than ``max_docs`` documents and more than
-``max_share`` of the documents of their host are removed.  A document is
-rejected if it fails the base rules or if fewer than ``min_words`` words, or
-less than ``min_left`` of its words, are left.
+boilerplate.  Lines found in more than ``max_docs`` documents of their host are
+removed; the limit is the same for hosts of any size.  A document is rejected
+if it fails the base rules or if fewer than ``min_words`` words, or less than
+``min_left`` of its words, are left.
 
-Counts are partially aggregated before they are shuffled, so a line of a third
-of all documents is one row of each task; counting distinct documents deals by
-line and document first.
+Texts are read once: base columns and line hashes are written to a table, from
+which the rest is joined.  Counts are partially aggregated before they are
+shuffled, so a line of a third of all documents is one row of each task;
+counting distinct documents deals by line and document first.  What is joined
+by line or document is written first, so that Spark can split a hot key.
 
 Edge cases: a null text has no words and no lines and fails the base rules; a
 null source is a host of its own.  Repeated rows get the same result each.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, table
 
 WIDTH = 8
 
@@ -66,22 +68,37 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(low, SPACE + "+", " ")))
 
 
-def quality_rules(docs: DataFrame, max_docs: int = 100, max_share: float = 0.001, min_words: int = 20, min_left: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, the base columns, n_removed_words (in frequent lines), base_failed and kept."""
+def quality_rules(docs: DataFrame, max_docs: int = 5, min_words: int = 20, min_left: float = 0.5) -> DataFrame:
+    """One row per row of docs: doc_id, the base columns, n_removed_words (in frequent lines), base_failed, kept, and removed_lines (their numbers)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
     rows = rows.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "k2": F.xxhash64("text", "host")})
-    lines = rows.select("host", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("host", "k1", "k2", "at", line_hash(F.col("line")).alias("line"), F.size(F.array_remove(F.split("line", SPACE + "+"), "")).cast("long").alias("words")).where("words > 0")
-    hosts = rows.groupBy("host").agg(F.count_distinct("k2").alias("docs"))
-    often = lines.groupBy("host", "line").agg(F.count_distinct("k2").alias("n")).where(F.col("n") > max_docs)
-    often = often.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "line")
+    words = lambda line: F.size(F.array_remove(F.split(line, SPACE + "+"), "")).cast("long")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("line"), words(x).alias("words")))
+    rows = table(base_columns(rows.withColumn("lines", lines)).drop("text"), "lines")
+    lines = rows.select("host", "k1", "k2", F.posexplode("lines").alias("at", "x")).select("host", "k1", "k2", "at", "x.line", "x.words").where("words > 0")
+    often = table(lines.groupBy("host", "line").agg(F.count_distinct("k2").alias("n")).where(F.col("n") > max_docs).select("host", "line"), "often")
     found = lines.join(often, ["host", "line"]).groupBy("k1", "k2", "at").agg(F.max("words").alias("words"))
-    lost = found.groupBy("k1", "k2").agg(F.sum("words").alias("lost"))
-    out = base_columns(rows).join(lost, ["k1", "k2"], "left")
+    lost = table(found.groupBy("k1", "k2").agg(F.sum("words").alias("lost"), F.sort_array(F.collect_list("at")).alias("ats")), "lost")
+    out = rows.join(lost, ["k1", "k2"], "left")
     out = out.withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed",
-                      (~F.col("base_failed") & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"))
+                      (~F.col("base_failed") & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"),
+                      F.coalesce("ats", F.array().cast("array<int>")).alias("removed_lines"), "k2")
+
+
+def cleaned(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, all columns, without their frequent lines; n_chars, if there, is counted anew.
+
+    Rows that repeat an id and text are one row of the result.
+    """
+    rules = quality_rules(docs, **limits).where("kept").groupBy("doc_id", "k2").agg(F.first("removed_lines").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "k2": "_text"})
+    rows = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_key": F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))})
+    rows = rows.join(rules, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))).dropDuplicates(["_id", "_key"])
+    out = rows.withColumn("text", F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 #: With the parameters' defaults.
@@ -93,8 +110,7 @@ r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS
 c AS (SELECT rid, CAST(sum(least(8, i - coalesce(b, i - 8))) AS BIGINT) AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS b FROM r) GROUP BY rid),
 l AS (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
 m AS (SELECT rid, host, t, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-h AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-o AS (SELECT host, norm FROM m JOIN h USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT t) > 100 AND count(DISTINCT t) > 0.001 * docs),
+o AS (SELECT host, norm FROM m GROUP BY host, norm HAVING count(DISTINCT t) > 5),
 x AS (SELECT rid, CAST(sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS lost FROM m JOIN o USING (host, norm) GROUP BY rid),
 k AS (SELECT rid, count(*) - count(DISTINCT line) AS dup FROM m GROUP BY rid),
 f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

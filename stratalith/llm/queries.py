@@ -49,7 +49,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_documents(spark, sf_dir))
+    return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("k2", "removed_lines")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
