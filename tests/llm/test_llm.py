@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratalith.llm import common, exact_dedup, near_dedup, packing, quality_gam, quality_rules, substring_dedup, textkit, token_counts, toxicity, warc, word_bpe
+from stratalith.llm import common, exact_dedup, labels, near_dedup, packing, quality_gam, quality_rules, substring_dedup, textkit, token_counts, toxicity, warc, word_bpe
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,6 +174,52 @@ def test_pairs_in_a_crowd_that_is_not_linked(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
 
 
+def test_forest_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 64)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(9))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(250):  # one large group, small groups and lone texts
+        t = list(base) if i < 150 else [word() for _ in range(80)] if i % 3 or not rows else rows[-1][1].split(" ")
+        t[rnd.randrange(len(t))] = word()
+        rows.append((i, " ".join(t)))
+    docs, before, got = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "31"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sets = {i: shingles(t) for i, t in rows}
+    want = closure(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    assert got[0] == got[1] == want
+
+
+def test_regions_are_alike_in_one_chunk_and_in_many():
+    rnd = np.random.default_rng(3)
+    n = 600
+    keys = rnd.integers(0, 3, (n, near_dedup.DEPTH)).astype(np.uint16)
+    keys[:200] = 1
+    order = np.lexsort(keys.T[::-1])
+    rows = {"tree": np.zeros(n, np.int32), "keys": keys[order], "marks": np.zeros((n, near_dedup.MARKS), np.uint8), "sizes": np.full(n, 50), "rep": np.arange(n)}
+
+    def through(step):
+        regions, pairs, members = near_dedup.Regions(85), set(), {}
+        for k in range(0, n, step):
+            found, (rep, lead, _, _) = regions.chunk({c: v[k : k + step] for c, v in rows.items()}, k + step >= n)
+            pairs |= set(map(tuple, found.T.tolist()))
+            assert not set(rep.tolist()) & set(members)
+            members |= dict(zip(rep.tolist(), lead.tolist(), strict=True))
+        return pairs, members
+
+    whole, members = through(n)
+    for step in (1, 7, 50):
+        pairs, again = through(step)
+        assert again == members and len(members) >= 200
+        crowded = set(members)
+        assert {p for p in whole if not set(p) <= crowded} <= pairs  # the choice of pivots may differ
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -182,9 +228,8 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_id_filter_has_all(spark):
-    f = common.IdFilter(spark.range(0, 1000, 3).withColumnRenamed("id", "id"), bits=1 << 16)
-    places = np.array([r[0] for r in spark.range(1000).select(common.IdFilter.probes("id", 1 << 16)).collect()])
-    hit = f.has(places)
+    f = common.IdFilter(spark.range(0, 1000, 3), bits=1 << 16)
+    hit = f.has(np.arange(1000))
     assert hit[::3].all() and hit.mean() < 0.45
 
 
@@ -229,12 +274,36 @@ def test_passages_over_many_lines_are_found(spark, width):
     assert len(found) >= 76 and max(found) < 80
 
 
+def test_an_altered_word_is_no_way_out(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    texts = []
+    for _ in range(40):  # copies of 400 words in which every fiftieth word is another one
+        shared = [word() for _ in range(400)]
+        texts += [" ".join(shared), " ".join(word() if k % 50 == 25 else w for k, w in enumerate(shared))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = Counter()
+    for r in got:
+        gone[r["doc_id"]] += r["n_removed_words"]
+    assert all(gone[i] == 0 for i in range(0, 80, 2)) and all(gone[i] >= 150 for i in range(1, 80, 2))
+
+
+def test_texts_that_share_an_id_are_cut_apart(spark):
+    rnd = random.Random(22)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    shared, other = prose(80), prose(300)
+    rows = [(1, f"{prose(40)} {shared} {prose(40)}"), (2, f"{prose(40)} {shared} {prose(40)}"), (2, other), (2, other)]
+    got = [r["text"] for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got.count(other) == 2 and rows[0][1] in got and len(got) == 4 and rows[1][1] not in got
+
+
 def test_text_of_short_runs_from_many_documents_is_clean(spark):
     rnd = random.Random(6)
     sources = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(60)) for _ in range(40)]
     cut = substring_dedup.Paragraphs(*textkit.flat(pa.array(sources)))
     pieces = defaultdict(list)
-    for d, a, b, size in zip(cut.doc.tolist(), cut.first_char.tolist(), cut.last_char.tolist(), cut.size.tolist(), strict=True):
+    doc, first, last, _, _ = cut.spans(cut.begin, cut.end)
+    for d, a, b, size in zip(doc.tolist(), first.tolist(), last.tolist(), cut.size.tolist(), strict=True):
         if size < 18:
             pieces[d].append(sources[d][a:b])
     mosaic = " ".join(rnd.choice(pieces[d][1:-1] or pieces[d]) for d in pieces)
@@ -244,20 +313,23 @@ def test_text_of_short_runs_from_many_documents_is_clean(spark):
 
 
 def test_near_copies_in_crowded_bands_are_linked(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CROWD", 30, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 30)
     rnd = random.Random(4)
     words = list({"".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(120 + 60 * 42)})
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = textkit.words(data, np.array([0, len(data)]))
     rank = dict(zip(words, textkit.word_hashes(data, starts, ends).tolist(), strict=True))
     words.sort(key=rank.get)
-    common, rest, texts = words[:120], words[120:], []
+    shared_words, rest, texts = words[:120], words[120:], []
     rnd.shuffle(rest)
     for k in range(60):  # words in the order of their hashes make one paragraph
         own = sorted(rest[42 * k : 42 * k + 42], key=rank.get)
-        texts += [" ".join(common + own[:-1]), " ".join(common + own[:-2] + own[-1:])]
-    got = substring_dedup.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert len(got) == 120 and len({r["cluster"] for r in got}) == 60
+        texts += [" ".join(shared_words + own[:-1]), " ".join(shared_words + own[:-2] + own[-1:])]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_key long, text string")
+    bands = substring_dedup.tune_bands()
+    shared = substring_dedup._keys(docs, *bands, 22).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    got = substring_dedup._near_blocks(common.table(substring_dedup._hits(docs, shared, *bands, 22), "hits"), 80).collect()
+    assert len(got) == 120 and len({r["root"] for r in got}) == 60
 
 
 def test_cutting_keeps_clean_documents(docs):
@@ -285,7 +357,7 @@ def base_columns(t):
 
 
 def test_quality_rules(docs):
-    got = quality_rules.quality_rules(docs, max_docs=3, max_share=0.0).collect()
+    got = quality_rules.quality_rules(docs, max_docs=3).collect()
     texts = {i: t for i, t, *_ in corpus()}
     hosts = defaultdict(lambda: defaultdict(set))
     norm = lambda x: re.sub(SPACE + "+", " ", re.sub("[0-9]", "0", x.lower())).strip()
@@ -300,6 +372,22 @@ def test_quality_rules(docs):
         lost = sum(len(words_of(x)) for x in (texts[r["doc_id"]] or "").split("\n") if words_of(x) and len(hosts[source[r["doc_id"]]][norm(x)]) > 3)
         failed = n < 20 or 100 * rest[3] > 30 * n
         assert (r["n_removed_words"], r["base_failed"], r["kept"]) == (lost, failed, not failed and n - lost >= 20 and n - lost >= 0.5 * n)
+    kept, texts_left = {r["doc_id"] for r in got if r["kept"]}, defaultdict(list)
+    for r in quality_rules.cleaned(docs, max_docs=3).collect():
+        texts_left[r["doc_id"]].append(r["text"])
+    assert set(texts_left) == kept
+    for i, left in texts_left.items():
+        assert left == ["\n".join(x for x in texts[i].split("\n") if not (words_of(x) and len(hosts[source[i]][norm(x)]) > 3))]
+
+
+def test_line_limit_is_alike_for_hosts_of_any_size(spark):
+    rnd = random.Random(9)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    menu = {h: prose(6) for h in ("small", "hot")}
+    rows = [(i, f"{menu[h]}\n{prose(30)}" if k % 10 == 0 or h == "small" else prose(30), h) for i, (h, k) in enumerate([("small", k) for k in range(8)] + [("hot", k) for k in range(600)])]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t, h in rows:
+        assert got[i]["n_removed_words"] == (6 if t.startswith(menu[h]) else 0) and got[i]["kept"]
 
 
 def test_rules_plan_has_no_python(docs):
@@ -330,6 +418,14 @@ def test_bpe_of_odd_texts(text):
     assert mine.decode(ids, offsets)[0].decode() == t.decode(ids[: offsets[1]].tolist(), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["ab" * 3000 + "x", "a" * 2999, "日本語" * 700, "don't " * 3 + "qwertzuiopasdfghjklyxcvbnm" * 3000 + " end"])
+def test_bpe_of_very_long_words(text):
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path(word_bpe.VOCABULARY)
+    assert word_bpe.WordBPE(path).encode([text])[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts(docs):
     lengths = token_counts.token_lengths(docs)
     code = token_counts.encoder(token_counts.vocabulary_path(token_counts.VOCABULARY))
@@ -373,6 +469,62 @@ def test_packing(spark):
         packing.best_fit(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), ())
 
 
+def test_packing_deals_a_repeated_row_to_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 1000)
+    same = spark.range(6000).select(F.lit(7).alias("doc_id"), F.lit(100).alias("n_tokens"))
+    got = packing.best_fit(same, (512, 1024), shard_rows=2000)
+    assert all(1800 < r["count"] < 2200 for r in got.groupBy("shard").count().collect())
+    assert got.count() == 6000 and got.where("bin_used > bin_length").count() == 0
+
+
+def test_best_fit_by_brute_force():
+    rnd = random.Random(4)
+    lengths = (64, 128, 256)
+    sizes = sorted((rnd.randint(1, 256) for _ in range(200)), reverse=True)
+    where, offset, used, final = packing.pack(np.array(sizes), lengths)
+    open_, filled, rest = [], [], sum(sizes)
+    for size, b, at in zip(sizes, where.tolist(), offset.tolist(), strict=True):
+        rest -= size
+        room = [(length - n, k) for k, (length, n) in enumerate(zip(open_, filled, strict=True)) if length - n >= size]
+        if room:
+            assert b == min(room)[1]
+        else:
+            def cost(x, size=size, rest=rest):
+                return (x + 8 + x * x / 65536) / min(x - min(x - size, sizes[-1] / 2), size + rest)
+
+            assert b == len(open_)
+            open_.append(min((x for x in lengths if x >= size), key=cost))
+            filled.append(0)
+        assert at == filled[b]
+        filled[b] += size
+    assert used.tolist() == filled and final.tolist() == [min(x for x in lengths if x >= n) for n in filled]
+
+
+def test_extreme_ids(spark, tmp_path):
+    ids = [-(2**63), 2**63 - 1, 0, None]
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_duplicates(spark.createDataFrame([(i, "same") for i in ids], "doc_id long, text string")).collect()}
+    assert set(got.values()) == {-(2**63)}
+    pages = spark.createDataFrame([(i, "u", "<p>x</p>") for i in ids], "page_id long, url string, html string")
+    warc.write_archive(pages, f"file://{tmp_path}/x", shard_bytes=700)
+    assert sorted(r["page_id"] or 1 for r in warc.read_archive(spark, f"file://{tmp_path}/x").collect()) == sorted(i or 1 for i in ids)
+
+
+def test_shards_are_even_whatever_the_ids(spark, tmp_path):
+    page = "<p>" + "y" * 400 + "</p>"
+    rows = [(i, None, page + str(i)) for i in range(300)] + [(10**15, None, page)] + [(None, f"u{i}", page + str(-i)) for i in range(150)]
+    files = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/e", shard_bytes=50_000)
+    per_shard = Counter()
+    for f in files:
+        per_shard[f["name"][:6]] += f["records"]
+    assert len(per_shard) == 10 and max(per_shard.values()) <= 51
+
+
+def test_learning_rows_have_a_bound(spark):
+    docs = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).union(spark.range(40).select("id", F.lit("x")))
+    got = labels.learning_rows(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int"), "quality", 30).collect()
+    assert len(got) <= 30 and len({r["doc_id"] for r in got}) == len(got)
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "<p>b\r\n\r\nWARC/1.1</p>", "", None, "<p>é</p>"]
     rows = [(i, f"http://h/{i}\r\n" if i % 4 else None, html[i % 5]) for i in range(40)] + [(None, None, "<p>a</p>"), (None, "u", "alone")]
@@ -408,20 +560,20 @@ def test_warc_detects_damage(spark, tmp_path):
         warc.read_archive(spark, f"file://{tmp_path}/w").collect()
 
 
-def accuracy(df, labels, label):
-    rows = df.where("held_out").join(labels, "doc_id").select("predicted", label).collect()
+def accuracy(df, marks, label):
+    rows = df.where("held_out").join(marks, "doc_id").select("predicted", label).collect()
     return sum(r[0] == r[1] for r in rows) / len(rows)
 
 
 def test_quality_model(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    assert accuracy(quality_gam.quality_scores(docs, labels), labels, "quality") > 0.95
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    assert accuracy(quality_gam.quality_scores(docs, marks), marks, "quality") > 0.95
 
 
 def test_toxicity_model(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    got = toxicity.toxicity_scores(docs, labels)
-    assert accuracy(got, labels, "toxic") > 0.95
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity_scores(docs, marks)
+    assert accuracy(got, marks, "toxic") > 0.95
     text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     for r in got.where("n_toxic_sentences > 0").limit(20).collect():
         for s in r["sentences"]:
@@ -429,10 +581,10 @@ def test_toxicity_model(spark):
 
 
 def test_models_score_odd_rows_and_learn_from_nothing(spark, docs):
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for r in quality_gam.quality_scores(docs, labels).collect():
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for r in quality_gam.quality_scores(docs, none).collect():
         assert r["score"] == 0.5
-    for r in toxicity.toxicity_scores(docs, labels).collect():
+    for r in toxicity.toxicity_scores(docs, none).collect():
         assert r["score"] < 0.01 and r["predicted"] == 0
     some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     n = len(corpus())
@@ -451,10 +603,10 @@ def test_shapes_in_a_table():
 @pytest.mark.parametrize("name", ["exact", "near", "substring", "rules", "bpe", "lengths", "histogram", "pack", "warc", "gam", "toxic"])
 def test_empty_tables(spark, name):
     d = spark.createDataFrame([], SCHEMA)
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     run = {
         "exact": lambda: exact_dedup.exact_duplicates(d), "near": lambda: near_dedup.near_duplicates(d), "substring": lambda: substring_dedup.repeated_passages(d), "rules": lambda: quality_rules.quality_rules(d),
         "bpe": lambda: word_bpe.encode_decode(d), "lengths": lambda: token_counts.token_lengths(d), "histogram": lambda: token_counts.length_histogram(token_counts.token_lengths(d)), "pack": lambda: packing.best_fit(token_counts.token_lengths(d)),
-        "warc": lambda: warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")), "gam": lambda: quality_gam.quality_scores(d, labels), "toxic": lambda: toxicity.toxicity_scores(d, labels),
+        "warc": lambda: warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")), "gam": lambda: quality_gam.quality_scores(d, none), "toxic": lambda: toxicity.toxicity_scores(d, none),
     }
     assert run[name]().count() == 0
