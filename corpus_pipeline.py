@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import exact_dedup, near_dedup, packing, quality_gam, substring_dedup, token_counts
-from stratalith.llm.common import prepare, release, shared_dir
+from stratalith.llm.common import delete, prepare, release, shared_dir
+
+#: Similarity of shingle sets, in percent, from which documents are near duplicates in the pipeline.
+PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; rows that share an id are apart."""
     release(spark)
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept")
+    kept = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), PERCENT).where("kept")
     return rows.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
@@ -60,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a data folder; a stage's folder goes when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
