@@ -170,14 +170,17 @@ def intent(text: Column) -> Column:
     return best_class(text, INTENTS, "general")
 
 
-def usage_pattern(reads: Column, writes: Column) -> Column:
-    return (F.when((reads > 0) & (writes > 0) & (F.abs(reads - writes) <= 1), "BALANCED").when(reads > 2 * writes, "READ_MOSTLY").when(writes > 2 * reads, "WRITE_MOSTLY").otherwise("ACTIVE_FIELD"))
+def usage_pattern(defined: Column, reads: Column, writes: Column) -> Column:
+    """From whether a field is defined and how often it is read and written."""
+    return F.when(defined & ((reads > 0) | (writes > 0)), "ACTIVE_FIELD").when(reads > writes, "READ_MOSTLY").when(writes > reads, "WRITE_MOSTLY").otherwise("BALANCED_USAGE")
 
 
 def lifecycle_stage(kinds: Column) -> Column:
-    """From the set of a field's actions."""
-    has = {k: F.array_contains(kinds, k) for k in ("WRITE", "READ", "DEFINE")}
-    return F.when(has["WRITE"] & has["READ"], "ACTIVE").when(has["READ"] | has["WRITE"], "USED").when(has["DEFINE"], "DEFINED").otherwise("UNKNOWN")
+    """From the set of a field's operations."""
+    def has(*names: str) -> Column:
+        return F.arrays_overlap(kinds, F.array(*map(F.lit, names)))
+
+    return F.when(has("DEFINE") & has("WRITE", "UPDATE"), "ACTIVE").when(has("DEFINE"), "DEFINED").when(has("READ", "REFERENCE"), "USED").otherwise("UNKNOWN")
 
 
 def risk(programs: Column, critical: Column) -> Column:
@@ -219,3 +222,80 @@ def severity(value: Column, warning: Column, critical: Column) -> Column:
 def recommendations(rules: list[tuple[Column, str]]) -> Column:
     """The texts of all rules that hold, in order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))
+
+
+#: Words of the questions that the lighter chat knows, in the order they are looked for.
+CHAT_INTENTS = (
+    ("cics_lifecycle", ("cics", "transaction", "terminal", "map", "commarea")), ("db2_lifecycle", ("db2", "sql", "database", "table", "query", "cursor")),
+    ("complete_lifecycle", ("complete lifecycle", "full lifecycle", "system lifecycle", "end to end")), ("component_analysis", ("analyze", "analysis", "what does", "explain")),
+    ("field_lineage", ("lineage", "trace", "flow", "where is", "used by")), ("file_lifecycle", ("lifecycle", "created", "updated", "dependencies")), ("code_search", ("find", "search", "show me", "locate")),
+)
+#: The standard type of each spelling; anything else is cobol.
+COMPONENT_TYPES = {
+    "cbl": "cobol", "cob": "cobol", "cobol": "cobol", "program": "cobol", "copy": "copybook", "cpy": "copybook", "copybook": "copybook",
+    "jcl": "jcl", "job": "jcl", "proc": "jcl", "field": "field", "data_field": "field", "variable": "field",
+}
+#: Patterns of kinds of components, two of which have to be found, and what each kind is called; endings come first.
+COMPONENT_PATTERNS = (
+    ("PROGRAM", "COBOL", (r"IDENTIFICATION\s+DIVISION", r"PROGRAM-ID\s*\.", r"DATA\s+DIVISION", r"PROCEDURE\s+DIVISION")), ("JOB", "JCL", (r"^//\w+\s+JOB\s+", r"^//\w+\s+EXEC\s+PGM=", r"^//\w+\s+DD\s+")),
+    ("COPYBOOK", "COBOL", (r"^\s*\d+\s+\w+\s+PIC", r"^\s*\d+\s+FILLER", r"COPY\s+REPLACING")), ("TABLE", "DB2", (r"CREATE\s+TABLE", r"SELECT.*FROM", r"INSERT\s+INTO", r"EXEC\s+SQL")),
+    ("MAP", "CICS", ("DFHMSD", "DFHMDI", "DFHMDF")), ("FILE", "VSAM", (r"DEFINE\s+CLUSTER", r"DEFINE\s+AIX", "LISTCAT")),
+)
+COMPONENT_ENDINGS = (("PROGRAM", "COBOL", ("CBL", "COB", "COBOL")), ("JOB", "JCL", ("JCL", "JOB")), ("COPYBOOK", "COBOL", ("CPY", "COPY")), ("TABLE", "DB2", ("SQL", "DDL")))
+#: Sizes below and above which a source is easy or hard, by kind, and the weight of each word.
+EASY_HARD = {"db2_procedure": (500, 2000), "cobol_stored_procedure": (500, 2000), "mq_program": (1000, 3000), "cics": (1000, 3000)}
+EASY_HARD_DEFAULT = (800, 2500)
+EFFORT_WORDS = {"PERFORM": 1, "IF": 1, "EVALUATE": 2, "EXEC SQL": 1, "EXEC CICS": 1}
+
+
+def chat_intent(text: Column) -> Column:
+    """The first class one of whose words is contained."""
+    low, out = F.lower(text), F.when(F.lit(False), "")
+    for name, words in CHAT_INTENTS:
+        out = out.when(low.rlike("|".join(words)), name)
+    return out.otherwise("general")
+
+
+def component_type(name: Column) -> Column:
+    return mapped(F.lower(F.coalesce(name, F.lit(""))), COMPONENT_TYPES, "cobol")
+
+
+def component_kind(text: Column, name: Column) -> Column:
+    """type and subtype of a component: by its ending, else by two patterns of one kind; UNKNOWN otherwise."""
+    ending, u = F.upper(F.regexp_extract(name, r"[.]([^.]+)$", 1)), F.upper(F.coalesce(text, F.lit("")))
+
+    def struct(kind: str, subtype: str) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(subtype).alias("subtype"))
+
+    out = F.when(F.lit(False), struct("", ""))
+    for kind, subtype, endings in COMPONENT_ENDINGS:
+        out = out.when(ending.isin(*endings), struct(kind, subtype))
+    for kind, subtype, patterns in COMPONENT_PATTERNS:
+        out = out.when(sum((u.rlike("(?m)" + p).cast("int") for p in patterns), F.lit(0)) >= 2, struct(kind, subtype))
+    return out.otherwise(struct("UNKNOWN", "UNKNOWN"))
+
+
+def effort(text: Column, kind: Column) -> Column:
+    """low, medium or high, by the size of a source and words that make work."""
+    u, n = F.upper(text), F.length(text)
+    points = sum((occurrences(u, w) * k for w, k in EFFORT_WORDS.items()), F.lit(0))
+    easy, hard = (mapped(kind, {k: v[i] for k, v in EASY_HARD.items()}, EASY_HARD_DEFAULT[i]) for i in (0, 1))
+    return F.when((n < easy) & (points < 10), "low").when((n > hard) | (points > 25), "high").otherwise("medium")
+
+
+def integration_level(operations: Column) -> Column:
+    return F.when(operations == 0, "None").when(operations <= 2, "Low").when(operations <= 5, "Medium").otherwise("High")
+
+
+def exchange_risk(to_db2: Column, from_db2: Column) -> Column:
+    return (F.when((to_db2 > 0) & (from_db2 > 0), "High - Bidirectional sync").when((to_db2 > 2) | (from_db2 > 2), "Medium - Multiple operations")
+            .when((to_db2 > 0) | (from_db2 > 0), "Low - Simple integration").otherwise("None"))
+
+
+def component_advice(divisions: Column, has_storage: Column, unused: Column, lines: Column) -> Column:
+    """What to do about a component, in order; three general hints where nothing is wrong."""
+    found = F.array_compact(F.array(
+        F.when(divisions > 5, F.lit("Consider breaking down large procedure divisions into smaller, focused modules")), F.when(~has_storage, F.lit("No working storage section found - verify data definitions")),
+        F.when(unused > 5, F.concat(F.lit("Found "), unused.cast("string"), F.lit(" potentially unused fields - consider cleanup"))), F.when(lines > 1000, F.lit("Large component detected - consider modularization for better maintainability"))))
+    hints = F.array(*map(F.lit, ("Component structure appears well-organized", "Consider adding comprehensive error handling if not present", "Ensure proper documentation for business logic sections")))
+    return F.when(F.size(found) > 0, found).otherwise(hints)

@@ -140,15 +140,17 @@ def completeness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("user_id", F.array_join("ops", ",").alias("ops"), F.round(S.completeness(stages), 4).alias("completeness"))
 
 
-@query("""WITH c AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'N') AS reads, count(*) FILTER (l_returnflag = 'R') AS writes FROM lineitem GROUP BY 1)
- SELECT l_partkey, CASE WHEN reads > 0 AND writes > 0 AND abs(reads - writes) <= 1 THEN 'BALANCED' WHEN reads > 2 * writes THEN 'READ_MOSTLY' WHEN writes > 2 * reads THEN 'WRITE_MOSTLY' ELSE 'ACTIVE_FIELD' END AS pattern,
- CASE WHEN writes > 0 AND reads > 0 THEN 'ACTIVE' WHEN reads > 0 OR writes > 0 THEN 'USED' ELSE 'UNKNOWN' END AS stage, CASE WHEN reads + writes = 0 THEN 'dead' WHEN writes = 0 THEN 'read_only' ELSE 'active' END AS life FROM c""")
+@query("""WITH c AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'N') AS reads, count(*) FILTER (l_returnflag = 'R') AS writes, count(*) FILTER (l_linenumber = 1) > 0 AS defined FROM lineitem GROUP BY 1)
+ SELECT l_partkey, CASE WHEN defined AND reads + writes > 0 THEN 'ACTIVE_FIELD' WHEN reads > writes THEN 'READ_MOSTLY' WHEN writes > reads THEN 'WRITE_MOSTLY' ELSE 'BALANCED_USAGE' END AS pattern,
+ CASE WHEN defined AND writes > 0 THEN 'ACTIVE' WHEN defined THEN 'DEFINED' WHEN reads > 0 THEN 'USED' ELSE 'UNKNOWN' END AS stage, CASE WHEN reads + writes = 0 THEN 'dead' WHEN writes = 0 THEN 'read_only' ELSE 'active' END AS life FROM c""")
 def usage_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How fields are used, their stage, and which are dead or only read."""
+    """How fields are used, their stage, and which are dead or only read; first lines of orders stand for definitions."""
     kind = F.when(F.col("l_returnflag") == "N", "READ").when(F.col("l_returnflag") == "R", "WRITE")
-    c = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_if(kind == "READ").alias("reads"), F.count_if(kind == "WRITE").alias("writes"), F.collect_set(kind).alias("kinds"))
+    first = F.col("l_linenumber") == 1
+    c = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.count_if(kind == "READ").alias("reads"), F.count_if(kind == "WRITE").alias("writes"), F.bool_or(first).alias("defined"), F.concat(F.collect_set(kind), F.collect_set(F.when(first, "DEFINE"))).alias("kinds"))
     life = F.when(F.col("reads") + F.col("writes") == 0, "dead").when(F.col("writes") == 0, "read_only").otherwise("active")
-    return c.select("l_partkey", S.usage_pattern(F.col("reads"), F.col("writes")).alias("pattern"), S.lifecycle_stage(F.col("kinds")).alias("stage"), life.alias("life"))
+    return c.select("l_partkey", S.usage_pattern(F.col("defined"), F.col("reads"), F.col("writes")).alias("pattern"), S.lifecycle_stage(F.col("kinds")).alias("stage"), life.alias("life"))
 
 
 @query("""WITH c AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS p, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem GROUP BY 1)

@@ -116,6 +116,8 @@ def test_reach_ends_in_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "a int, b int")
     got = lineage.within(e, spark.createDataFrame([(1,)], "start int"), "a", "b", 10)
     assert sorted((r["node"], r["hops"]) for r in got.collect()) == [(2, 1), (3, 2), (4, 3)]
+    chain = spark.range(40).selectExpr("cast(id as int) a", "cast(id + 1 as int) b")
+    assert lineage.within(chain, spark.createDataFrame([(0,)], "start int"), "a", "b").count() == 40
 
 
 def test_top_k(spark):
@@ -170,6 +172,70 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     assert sorted(one(spark.read.parquet(path))) == [(1, 2, "c"), (2, 1, "b")]
 
 
+def test_a_broken_swap_is_undone(spark, tmp_path):
+    path = tmp_path / "t"
+    df = spark.createDataFrame([(1, 1, "a")], "k int, n int, v string")
+    files.save_latest(df, str(path), ["k"], [F.desc("n")])
+    path.rename(tmp_path / "t.old")  # as if the driver had died between the two moves
+    files.save_latest(spark.createDataFrame([(2, 1, "b")], df.schema), str(path), ["k"], [F.desc("n")])
+    assert sorted(one(spark.read.parquet(str(path)))) == [(1, 1, "a"), (2, 1, "b")]
+    assert not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+
+
+def test_retention_reads_what_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.sql("SELECT timestamp'2024-01-01' + make_dt_interval(n) AS ts, n FROM (SELECT explode(sequence(0, 9)) AS n)").write.parquet(path)
+    assert files.save_without_old(spark.read.parquet(path), path, "ts", 3) == 7
+    assert sorted(one(spark.read.parquet(path).select("n"))) == [(7,), (8,), (9,)]
+
+
+def test_tables_from_layouts(spark, tmp_path):
+    path, catalogue = str(tmp_path / "t"), str(tmp_path / "schemas")
+    columns = spark.createDataFrame([(0, "Cust Id", "INTEGER"), (1, "cust-id", "VARCHAR(5)"), (2, "SUM", "DECIMAL(9,2)")], "at int, column string, sql_type string")
+    files.create_table(spark, path, columns)
+    files.append(spark.createDataFrame([(1, "x", 2)], "a int, b string, c int").selectExpr("a as `Cust_Id`", "b as `cust_id_1`", "cast(c as decimal(9,2)) as SUM"), path)
+    assert spark.read.parquet(path).dtypes == [("Cust_Id", "int"), ("cust_id_1", "string"), ("SUM", "decimal(9,2)")] and spark.read.parquet(path).count() == 1
+    for version in (1, 2):
+        files.save_schema(spark, catalogue, "t", columns, version)
+    assert one(spark.read.parquet(catalogue).groupBy("version").count()) == [(2, 3)]
+
+
+@pytest.mark.parametrize(("data", "text"), [("cafe".encode("cp037") + "   ".encode("cp037"), "cafe   "), ("naïve ß".encode(), "naïve ß"), ("naïve".encode("cp1252"), "naïve"), (b"", ""), ("abc".encode("utf-16"), "abc"), (b"\xef\xbb\xbfhead", "head")])
+def test_codings(data, text):
+    assert files.decode(data) == text
+
+
+def test_files_alike_at_their_head_are_two(spark, tmp_path):
+    for folder, tail in (("a", "1"), ("b", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "p.cbl").write_text("X" * 500 + tail)
+    assert files.ingest(spark, str(tmp_path)).count() == 2
+
+
+def test_conditional_facts(spark):
+    text = "       PROCEDURE DIVISION.\n           IF A = 1\n             CALL 'IN1'\n           END-IF\n           CALL 'OUT1'\n           EVALUATE B\n             WHEN 1\n             CALL 'IN2'\n           END-EVALUATE\n           CALL 'OUT2'\n"
+    found = extract.facts(spark.createDataFrame([("P", text)], "p string, t string"), "p", "t", extract.COBOL)
+    assert {r["called"]: r["conditional"] for r in extract.calls(found, "p").collect()} == {"IN1": True, "OUT1": False, "IN2": True, "OUT2": False}
+
+
+def test_whole_text_facts_have_their_own_lines(spark):
+    text = "EXEC CICS RETURN END-EXEC\n* EXEC CICS ABEND END-EXEC\nEXEC SQL COMMIT\n END-EXEC\nEXEC CICS RETURN END-EXEC EXEC CICS RETURN END-EXEC"
+    found = extract.facts(spark.createDataFrame([("P", text)], "p string, t string"), "p", "t", extract.COBOL)
+    assert sorted((r["line"], r["a"]) for r in found.where("kind in ('cics', 'sql')").collect()) == [(1, "RETURN"), (3, "COMMIT"), (5, "RETURN"), (5, "RETURN")]
+
+
+def test_long_parts_are_chunks_of_their_own(spark):
+    text = "head\nIDENTIFICATION DIVISION.\n" + "x " * 4000 + "\nDATA DIVISION.\nA.\nPROCEDURE DIVISION.\nB."
+    got = extract.structured_chunks(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t", "cobol", 100).orderBy("k", "chunk").collect()
+    assert [(r["k"], r["first_line"], r["n_lines"], r["starts_with"]) for r in got] == [(1, 0, 1, None), (1, 1, 2, "division"), (1, 3, 4, "division"), (2, 0, 1, None)]
+    assert "\n".join(r["text"] for r in got if r["k"] == 1) == text
+
+
+def test_sharing_has_classes_instead_of_all_pairs(spark):
+    uses = spark.createDataFrame([(c, t) for c in range(1, 6) for t in ("hot",)] + [(6, "hot"), (6, "own"), (7, "own"), (None, "hot"), (8, None)], "c int, t string")
+    assert sorted(one(relations.sharing(uses, "c", "t"))) == [(1, 2, "same_targets"), (1, 3, "same_targets"), (1, 4, "same_targets"), (1, 5, "same_targets"), (1, 6, "shares"), (6, 7, "shares")]
+
+
 def test_line_chunks_like_a_loop(spark, sf_dir):
     from stratalith.plans import catalog
 
