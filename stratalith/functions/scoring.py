@@ -43,7 +43,8 @@ def complexity(text: Column) -> Column:
     them out and measures nesting.
     """
     decisions = word_count(text, "IF", "WHEN", "PERFORM", "UNTIL", "WHILE", "CASE")
-    nested = F.size(F.filter(F.split(text, "\n"), lambda x: word_count(x, "IF", "PERFORM") > 0))
+    by_line = F.replace(F.regexp_replace(F.upper(text), "[^A-Z0-9_\n]", "  "), F.lit("\n"), F.lit(" \n "))
+    nested = F.regexp_count(F.concat(F.lit(" "), by_line, F.lit(" ")), F.lit(" (?:IF|PERFORM) [^\n]*"))  # the first of a line, and what follows it there
     return F.least(F.lit(10.0), 1 + decisions + 0.5 * nested)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keep import kept
+
 NULL = "__NULL__"
 
 
@@ -113,10 +115,32 @@ def type_check(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(F.lit("data_type_check").alias("rule"), F.round(mixed * 1.0, 4).alias("pct"), score.alias("score"), F.when(mixed == 0, "PASS").otherwise("FAIL").alias("status"))
 
 
+def quartiles(long: DataFrame) -> DataFrame:
+    """column, q1, q3 and n of rows (column, v): exact, between two values in proportion.
+
+    Distinct values are counted and range-sorted; only sums of partitions and the values around the quartiles are gathered, so
+    no task holds a column.
+    """
+    counts = kept(long.groupBy("column", "v").agg(F.count("*").alias("n")).repartitionByRange("column", "v").sortWithinPartitions("column", "v").withColumn("part", F.spark_partition_id()))
+    sums = counts.groupBy("column", "part").agg(F.sum("n").alias("size"))  # a row for each column and partition
+    before = F.sum("size").over(Window.partitionBy("column").orderBy("part")) - F.col("size")
+    base = sums.select("column", "part", before.alias("before"), F.sum("size").over(Window.partitionBy("column")).alias("total"))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("column", "part").orderBy("v"))
+    ranked = counts.join(base, ["column", "part"]).select("column", "v", "n", "total", last.alias("last"))
+    at = {name: (F.col("total") - 1) * share for name, share in (("q1", 0.25), ("q3", 0.75))}
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((F.col("last") > rank) & (F.col("last") - F.col("n") <= rank), F.col("v")))
+
+    near = ranked.groupBy("column").agg(F.max("total").alias("n"), *[value(f(r)).alias(f"{q}_{f.__name__}") for q, r in at.items() for f in (F.floor, F.ceil)])
+    share = {q: (F.col("n") - 1) * s - F.floor((F.col("n") - 1) * s) for q, s in (("q1", 0.25), ("q3", 0.75))}
+    return near.select("column", *[(F.col(f"{q}_floor") * (1 - share[q]) + F.col(f"{q}_ceil") * share[q]).alias(q) for q in ("q1", "q3")], "n")
+
+
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """For each column the quartiles and the share of values beyond 1.5 times their distance; columns whose quartiles meet have none."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    q = long.groupBy("column").agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.75).alias("q3"), F.count("*").alias("n"))
+    q = quartiles(long)
     far = (F.col("q3") > F.col("q1")) & ((F.col("v") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("v") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     hits = long.join(F.broadcast(q), "column").groupBy("column").agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.count("*").alias("n"), F.count_if(far).alias("n_outliers"))
     return hits.select("column", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"), "n", "n_outliers", F.round(F.col("n_outliers") * 100.0 / F.col("n"), 4).alias("pct"))

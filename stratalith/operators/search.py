@@ -9,47 +9,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that go over the rows together; more queries take more passes.
+#: Query vectors of a block.
 BLOCK = 4096
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _packed(df: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) as blocks: ids and all vectors behind each other, some ``size`` rows of a batch in each; no shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                ids, v = part.column(0), part.column(1)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(v.flatten())], pa.int32()), v.flatten())], ["ids", "vs"])
+
+    return df.mapInArrow(run, "ids array<long>, vs array<double>")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", leave_self: bool = False, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): the k rows of greatest inner product for every query, least id first on ties of the rounded score.
 
-    The query set is stated by the caller and taken in blocks of BLOCK
-    vectors, which bounds what is sent to the tasks.  Every task keeps the
-    best k of its rows for each query before anything is shuffled.
+    The query set is stated by the caller.  Blocks of at most BLOCK queries meet blocks of rows, each pair in a task, and of a
+    pair only the best k for each query go on; neither the driver nor a task holds all queries.
     """
-    queries = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("q"), F.col(vector).alias("v"))
-    out = None
-    blocks = -(-queries.count() // BLOCK)
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)  # about BLOCK queries each
-        got = block.toArrow().sort_by("q")
-        ids, vectors = got.column("q").to_numpy(), _matrix(got.column("v"))
-
-        def scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 2048):
-                    part = batch.slice(start, 2048)
-                    mine = part.column(0).to_numpy()
-                    score = np.round(vectors @ _matrix(part.column(1)).T, digits)
-                    if leave_self:
-                        score[ids[:, None] == mine[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(mine, score.shape), -score), axis=1)[:, :k]
-                    best = np.take_along_axis(score, order, 1)
-                    keep = np.isfinite(best).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(mine[order].ravel()[keep]), pa.array(best.ravel()[keep])], ["query_id", "vec_id", "score"])
-
-        one = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(scored, "query_id long, vec_id long, score double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    asked = _packed(vectors(queries).repartition("id"), BLOCK).select(F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in range(batch.num_rows):
+                mine, vs, ids, qvs = (batch.column(c).slice(pair, 1).flatten().to_numpy() for c in range(4))
+                score = np.round(qvs.reshape(len(ids), -1) @ vs.reshape(len(mine), -1).T, digits)
+                if leave_self:
+                    score[ids[:, None] == mine[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(mine, score.shape), -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1)
+                keep = np.isfinite(best).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(mine[order].ravel()[keep]), pa.array(best.ravel()[keep])], ["query_id", "vec_id", "score"])
+
+    out = _packed(vectors(rows), 2048).crossJoin(asked).mapInArrow(scored, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
