@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import exact_dedup, near_dedup, packing, quality_gam, substring_dedup, token_counts
@@ -30,25 +30,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts; a row is named by its id, if any, and its text."""
     release(spark)
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    rows = rows.join(kept.withColumnRenamed("_sha", "_kept"), (F.col("_sha") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    def named(rows: DataFrame, sha: Column) -> DataFrame:
+        return rows.withColumns({"_stage_sha": sha, "_stage_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_stage_none": F.col("doc_id").isNull()})
+
+    key = ["_stage_sha", "_stage_id", "_stage_none"]
+    kept = named(exact_dedup.exact_duplicates(docs).where("kept"), F.col("text_sha256")).select(*key).distinct()
+    rows = named(docs, F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; rows that share an id are apart."""
     release(spark)
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), PERCENT).where("kept")
-    return rows.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    rows = docs.withColumn("_stage_row", F.xxhash64("doc_id", "text"))
+    kept = near_dedup.near_duplicates(rows.select(F.col("_stage_row").alias("doc_id"), "text"), PERCENT).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("_stage_row")).distinct(), "_stage_row", "left_semi").dropDuplicates(["_stage_row"]).select(*docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier documents have; one without an id is placed by a hash of its text."""
     release(spark)
-    rows = docs.withColumns({"_id": F.col("doc_id"), "doc_id": F.coalesce(F.col("doc_id"), F.xxhash64("text").cast(docs.schema["doc_id"].dataType))})
-    return substring_dedup.without_repeats(rows).withColumn("doc_id", F.col("_id")).select(*docs.columns)
+    rows = docs.withColumns({"_stage_id": F.col("doc_id"), "doc_id": F.coalesce(F.col("doc_id"), F.xxhash64("text").cast(docs.schema["doc_id"].dataType))})
+    return substring_dedup.without_repeats(rows).withColumn("doc_id", F.col("_stage_id")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
