@@ -58,12 +58,16 @@ def direction(explicit: Column, access: Column) -> Column:
     return F.when(explicit.isNotNull(), explicit).when(access == "READ", "db2_to_file").otherwise("file_to_db2")
 
 
-#: Weights of a device's metrics in its score.
-DEVICE_WEIGHTS = {"free_memory": 0.4, "idle": 0.3, "cool": 0.2, "few_tasks": 0.1}
-
-
-def device_score(**shares: Column) -> Column:
-    out = F.lit(0.0)
-    for name, c in shares.items():
-        out = out + DEVICE_WEIGHTS[name] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return out
+#: What each measure of a device adds to its score for a unit, and the levels that power, processes and success are measured from.
+DEVICE_WEIGHTS = {"free_gb": 25, "idle_percent": 0.8, "degrees_below_100": 0.3, "free_slots": 15, "processes_below_20": 2, "allocation_success": 0.1, "watts_below_400": 0.05, "success_over_50": 0.2, "priority": 2}
+DEVICE_NOT_FIRST = 20
+
+
+def device_score(free_gb: Column, utilization: Column, temperature: Column, workloads: Column, most_workloads: Column, processes: Column, allocation_success: Column, watts: Column, kind_success: Column, priority: Column, number: Column) -> Column:
+    """How well a device suits a piece of work, 0 at least; kind_success: share of such work that went well there, null if it never had any."""
+    w = DEVICE_WEIGHTS
+    parts = (
+        free_gb * w["free_gb"] + (100 - utilization) * w["idle_percent"] + (100 - temperature) * w["degrees_below_100"] + (most_workloads - workloads) * w["free_slots"]
+        + F.greatest(F.lit(0), (20 - processes) * w["processes_below_20"]) + allocation_success * w["allocation_success"] + F.when(watts > 0, F.greatest(F.lit(0.0), (400 - watts) * w["watts_below_400"])).otherwise(0.0)
+        + F.coalesce((kind_success - 50) * w["success_over_50"], F.lit(0.0)) + priority * w["priority"] + F.when(number > 0, DEVICE_NOT_FIRST).otherwise(0))
+    return F.greatest(F.lit(0.0), parts)

@@ -44,9 +44,12 @@ def db2_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", V.direction(marked, F.when(F.col("event_type") == "view", "READ").otherwise("WRITE")).alias("direction"))
 
 
-@query("""SELECT s_suppkey, round((0.4 * greatest(0.0, least(1.0, s_acctbal / 10000)) + 0.3 * (s_suppkey % 10) / 10.0 + 0.2 * (s_nationkey / 25.0) + 0.1 * 1.0)::DOUBLE, 4) AS score FROM supplier""")
+@query("""SELECT s_suppkey, round(greatest(0.0, (s_acctbal / 1000 * 25 + (100 - s_suppkey % 101) * 0.8 + (100 - s_nationkey) * 0.3 + (3 - s_suppkey % 4) * 15 + greatest(0, (20 - s_suppkey % 31) * 2) + (s_suppkey % 100) * 0.1
+ + CASE WHEN s_suppkey % 7 > 0 THEN greatest(0.0, (400 - 70 * (s_suppkey % 7)) * 0.05) ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE (s_suppkey % 90 - 50) * 0.2 END + 5 * 2 + CASE WHEN s_nationkey > 0 THEN 20 ELSE 0 END)::DOUBLE), 4)::DOUBLE AS score FROM supplier""")
 def device_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = V.device_score(free_memory=F.col("s_acctbal") / 10000, idle=(F.col("s_suppkey") % 10) / 10.0, cool=F.col("s_nationkey") / 25.0, few_tasks=F.lit(1.0))
+    """A report of how free devices are: suppliers stand for them."""
+    k = F.col("s_suppkey")
+    score = V.device_score(F.col("s_acctbal") / 1000, k % 101, F.col("s_nationkey"), k % 4, F.lit(3), k % 31, k % 100, 70 * (k % 7), F.when(k % 3 != 0, k % 90), F.lit(5), F.col("s_nationkey"))
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(score, 4).alias("score"))
 
 
