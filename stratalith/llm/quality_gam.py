@@ -10,8 +10,8 @@ feature and pair.
 The model is learnt on the driver from at most ``max_rows`` labelled documents
 (numbers only, no texts); every document is scored, in Arrow batches.
 
-Edge cases: a null or empty text has all numbers 0 and gets a score like any
-other.  Without labels of both kinds every score is the share of label 1,
+Edge cases: a null or empty text has one line and no words, all its other
+numbers are 0, and it gets a score like any other.  Without labels of both kinds every score is the share of label 1,
 or 0.5.  Rows that repeat an id get a row each.  Only doc_id and text are
 looked at.
 """

@@ -4,7 +4,8 @@ Texts are encoded with a public byte-level vocabulary.  The histogram has a row
 for each length that occurs; its suffix sums give, for that length as the
 context limit, the documents and tokens that fit, the tokens left when longer
 documents are cut, and whether the length is a quantile.  The histogram has as
-many rows as there are lengths, not documents.
+many rows as there are lengths, not documents: at most as many as the longest
+document has tokens, and they pass through one task for the suffix sums.
 
 Edge cases: a null text has no tokens; an empty table gives an empty
 histogram.  Columns other than doc_id and text are not looked at.
