@@ -23,7 +23,7 @@ class Rule:
     pattern: str
     whole: bool = False
     groups: int = 1
-    word: str = ""  # a cheap test, in upper case, that the text must pass first
+    word: str = ""  # a cheap test that the text must pass first: words in upper case, one of which it holds (with bars between)
 
 
 #: COBOL.  Lines with a star in column 7 or at their head are comments.
@@ -31,34 +31,34 @@ COBOL = (
     Rule("division", r"(?i)^\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION", word="DIVISION"),
     Rule("section", r"(?i)^\s*([A-Z0-9][A-Z0-9-]*)\s+SECTION\s*\.", word="SECTION"),
     Rule("program_id", r"(?i)^\s*PROGRAM-ID\s*\.\s*" + NAME, word="PROGRAM-ID"),
-    Rule("paragraph", r"(?i)^(?:\s{7}|\s{0,7})(?!END-|EXIT|STOP|GOBACK|CONTINUE|ELSE)([A-Z0-9][A-Z0-9-]*)\s*\.\s*$"),
+    Rule("paragraph", r"(?i)^(?:\s{7}|\s{0,7})(?!END-|EXIT|STOP|GOBACK|CONTINUE|ELSE)([A-Z0-9][A-Z0-9-]*)\s*\.\s*$", word="."),
     Rule("data_item", r"(?i)^\s*([0-9]{2})\s+" + NAME + r"(?:\s+(.*?))?\s*\.?\s*$", groups=3),
     Rule("select", r"(?i)^\s*SELECT\s+(?:OPTIONAL\s+)?" + NAME + r"\s+ASSIGN\s+(?:TO\s+)?" + QNAME, groups=2, word="SELECT"),
     Rule("fd", r"(?i)^\s*FD\s+" + NAME, word="FD"),
     Rule("open", r"(?i)\bOPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s+" + NAME, groups=2, word="OPEN"),
-    Rule("file_op", r"(?i)(?<![A-Z0-9-])(READ|WRITE|REWRITE|DELETE|CLOSE|START)\s+" + NAME, groups=2),
+    Rule("file_op", r"(?i)(?<![A-Z0-9-])(READ|WRITE|REWRITE|DELETE|CLOSE|START)\s+" + NAME, groups=2, word="READ|WRITE|DELETE|CLOSE|START"),
     Rule("call", r"(?i)(?<![A-Z0-9-])(CALL)\s+['\"]" + NAME + r"['\"](?:\s+USING\s+([A-Z0-9 ,-]+?))?\s*\.?\s*$", groups=3, word="CALL"),
     Rule("dynamic_call", r"(?i)(?<![A-Z0-9-])(CALL)\s+([A-Z][A-Z0-9-]*)", groups=2, word="CALL"),
     Rule("perform", r"(?i)(?<![A-Z0-9-])PERFORM\s+(?!UNTIL|VARYING|[0-9]+\s+TIMES)" + NAME + r"(?:\s+(?:THRU|THROUGH)\s+" + NAME + r")?(?:\s+(UNTIL|VARYING|TIMES)\b)?", groups=3, word="PERFORM"),
     Rule("perform_inline", r"(?i)(?<![A-Z0-9-])PERFORM\s+(UNTIL|VARYING|[0-9]+\s+TIMES)", word="PERFORM"),
-    Rule("decision", r"(?i)(?<![A-Z0-9-])(IF|EVALUATE|WHEN)\s+(.*?)\s*\.?\s*$", groups=2),
-    Rule("error_handling", r"(?i)(?<![A-Z0-9-])(NOT\s+ON\s+EXCEPTION|ON\s+EXCEPTION|ON\s+ERROR|INVALID\s+KEY|AT\s+END)(?![A-Z0-9-])"),
+    Rule("decision", r"(?i)(?<![A-Z0-9-])(IF|EVALUATE|WHEN)\s+(.*?)\s*\.?\s*$", groups=2, word="IF|EVALUATE|WHEN"),
+    Rule("error_handling", r"(?i)(?<![A-Z0-9-])(NOT\s+ON\s+EXCEPTION|ON\s+EXCEPTION|ON\s+ERROR|INVALID\s+KEY|AT\s+END)(?![A-Z0-9-])", word="EXCEPTION|ERROR|INVALID|END"),
     Rule("end_decision", r"(?i)(?<![A-Z0-9-])END-(IF|EVALUATE)", word="END-"),
     Rule("goto", r"(?i)(?<![A-Z0-9-])GO\s+TO\s+" + NAME, word="GO"),
     Rule("move", r"(?i)(?<![A-Z0-9-])MOVE\s+(\S+)\s+TO\s+" + NAME, groups=2, word="MOVE"),
     Rule("compute", r"(?i)(?<![A-Z0-9-])COMPUTE\s+" + NAME + r"(?:\s+ROUNDED)?\s*=\s*(.*?)\s*\.?\s*$", groups=2, word="COMPUTE"),
-    Rule("arithmetic", r"(?i)(?<![A-Z0-9-])(ADD|SUBTRACT|MULTIPLY|DIVIDE)\s+(\S+)\s+(?:TO|FROM|BY|INTO)\s+" + NAME, groups=3),
+    Rule("arithmetic", r"(?i)(?<![A-Z0-9-])(ADD|SUBTRACT|MULTIPLY|DIVIDE)\s+(\S+)\s+(?:TO|FROM|BY|INTO)\s+" + NAME, groups=3, word="ADD|SUBTRACT|MULTIPLY|DIVIDE"),
     Rule("copy", r"(?i)^\s*COPY\s+" + QNAME + r"(?:\s+REPLACING\s+(.*?))?\s*\.?\s*$", groups=2, word="COPY"),
     Rule("sql", r"(?is)EXEC\s+SQL\s+([A-Z]+)\b(.*?)END-EXEC", whole=True, groups=2, word="EXEC"),
     Rule("cics", r"(?is)EXEC\s+CICS\s+([A-Z]+)\b(.*?)END-EXEC", whole=True, groups=2, word="EXEC"),
-    Rule("transaction", r"(?i)(?<![A-Z0-9-])(COMMIT|ROLLBACK|SYNCPOINT)\b"),
+    Rule("transaction", r"(?i)(?<![A-Z0-9-])(COMMIT|ROLLBACK|SYNCPOINT)\b", word="COMMIT|ROLLBACK|SYNCPOINT"),
 )
 JCL = (
     Rule("job", r"^//([A-Z0-9#@$]+)\s+JOB\b", word="JOB"),
     Rule("step", r"^//([A-Z0-9#@$]+)\s+EXEC\s+(?:PGM=([A-Z0-9#@$]+)|(?:PROC=)?([A-Z0-9#@$]+))", groups=3, word="EXEC"),
     Rule("dd", r"^//([A-Z0-9#@$.]+)\s+DD\s+(.*)$", groups=2, word="DD"),
     Rule("proc", r"^//([A-Z0-9#@$]+)\s+PROC\b", word="PROC"),
-    Rule("control", r"^//(?:[A-Z0-9#@$]*)\s+(IF|ELSE|ENDIF)\b\s*(.*)$", groups=2),
+    Rule("control", r"^//(?:[A-Z0-9#@$]*)\s+(IF|ELSE|ENDIF)\b\s*(.*)$", groups=2, word="IF|ELSE|ENDIF"),
     Rule("cond", r"COND=(\([^)]*\)|[A-Z]+)", word="COND="),
 )
 BMS = (
@@ -76,34 +76,46 @@ DB2 = (
     Rule("declare", r"(?i)^\s*DECLARE\s+(?!CONTINUE\b|EXIT\b|UNDO\b)([A-Z0-9_]+)\s+((?!CURSOR|CONTINUE|EXIT|UNDO)[A-Z]+(?:\([0-9, ]+\))?)", groups=2, word="DECLARE"),
     Rule("cursor", r"(?is)DECLARE\s+([A-Z0-9_]+)\s+CURSOR\b.*?\bFOR\s+(.*?);", whole=True, groups=2, word="CURSOR"),
     Rule("handler", r"(?i)DECLARE\s+(CONTINUE|EXIT|UNDO)\s+HANDLER\s+FOR\s+([A-Z0-9_' ]+)", groups=2, word="HANDLER"),
-    Rule("db2_control", r"(?i)^\s*(IF|CASE|WHILE|FOR|REPEAT|LOOP)\b"),
-    Rule("dynamic_sql", r"(?i)\b(PREPARE|EXECUTE\s+IMMEDIATE|EXECUTE)\s+([A-Z0-9_]+)", groups=2),
-    Rule("statement", r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE|MERGE|FETCH|OPEN|CLOSE)\b"),
+    Rule("db2_control", r"(?i)^\s*(IF|CASE|WHILE|FOR|REPEAT|LOOP)\b", word="IF|CASE|WHILE|FOR|REPEAT|LOOP"),
+    Rule("dynamic_sql", r"(?i)\b(PREPARE|EXECUTE\s+IMMEDIATE|EXECUTE)\s+([A-Z0-9_]+)", groups=2, word="PREPARE|EXECUTE"),
+    Rule("statement", r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE|MERGE|FETCH|OPEN|CLOSE)\b", word="SELECT|INSERT|UPDATE|DELETE|MERGE|FETCH|OPEN|CLOSE"),
     Rule("whenever", r"(?i)WHENEVER\s+(SQLERROR|SQLWARNING|NOT\s+FOUND)\s+(.*?)(?:\s*END-EXEC.*)?$", groups=2, word="WHENEVER"),
     Rule("sqlca", r"(?i)\b(SQLCA|SQLDA|SQLCODE|SQLSTATE)\b", word="SQL"),
-    Rule("host_variable", r":([A-Z][A-Z0-9_-]*)"),
+    Rule("host_variable", r":([A-Z][A-Z0-9_-]*)", word=":"),
 )
 LANGUAGES = {"cobol": COBOL, "jcl": JCL, "bms": BMS, "mq": MQ, "db2": DB2}
 
 
+def only(rules: tuple[Rule, ...], *kinds: str) -> tuple[Rule, ...]:
+    """The rules of some kinds; facts that nobody asks for are not looked for."""
+    if unknown := set(kinds) - {r.kind for r in rules}:
+        raise ValueError(f"no such rules: {', '.join(sorted(unknown))}")
+    return tuple(r for r in rules if r.kind in kinds)
+
+
 def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     """A row for each match: key, line (from 1; of the match's first line for whole-text rules), kind, a, b, c (empty groups are null)."""
     def row(rule: Rule, line: Column, found: Column) -> Column:
         parts = [F.nullif(F.trim(F.regexp_extract(found, rule.pattern, g)), F.lit("")) if g <= rule.groups else F.lit(None).cast("string") for g in (1, 2, 3)]
         return F.struct(line.cast("int").alias("line"), F.lit(rule.kind).alias("kind"), *[p.alias(n) for p, n in zip(parts, "abc", strict=True)])
 
-    def matches(rule: Rule, line: Column, body: Column) -> Column:
+    def matches(rule: Rule, line: Column, body: Column, upper: Column) -> Column:
         found = F.transform(F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0)), lambda m: row(rule, line, m))
-        return F.when(F.contains(F.upper(body), F.lit(rule.word)), found).otherwise(F.array().cast(kind_of)) if rule.word else found
+        if not rule.word:
+            return found
+        holds = F.lit(False)
+        for word in rule.word.split("|"):
+            holds = holds | F.contains(upper, F.lit(word))
+        return F.when(holds, found).otherwise(F.array().cast(kind_of))
 
     kind_of = "array<struct<line:int,kind:string,a:string,b:string,c:string>>"
     lines = [r for r in rules if not r.whole]
     whole = [r for r in rules if r.whole]
     comment = r"^(\s*\*|.{6}\*|//\*)"
-    split = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.rtrim(x).alias("x"))), lambda s: ~s["x"].rlike(comment))
+    split = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.rtrim(x).alias("x"), F.upper(x).alias("u"))), lambda s: ~s["x"].rlike(comment))
     out = None
     if lines:
-        by_line = sources.select(key, F.explode(split).alias("s")).select(key, F.explode(F.flatten(F.array(*[matches(r, F.col("s.i"), F.col("s.x")) for r in lines]))).alias("f"))
+        by_line = sources.select(key, F.explode(split).alias("s")).select(key, F.explode(F.flatten(F.array(*[matches(r, F.col("s.i"), F.col("s.x"), F.col("s.u")) for r in lines]))).alias("f"))
         out = by_line.select(key, "f.*")
     if whole:
         def ends(x: Column) -> Column:
@@ -122,6 +134,14 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
     return out
 
 
+#: The facts that edges and the like are made of.
+CALL_KINDS = ("call", "dynamic_call", "cics", "decision", "end_decision")
+FILE_KINDS = ("select", "fd", "open", "file_op")
+FIELD_KINDS = ("move", "compute", "arithmetic", "decision")
+REACH_KINDS = ("division", "paragraph", "perform", "goto")
+LOGIC_KINDS = ("decision", "move", "compute", "perform", "perform_inline", "call", "dynamic_call", "open", "file_op", "arithmetic", "error_handling")
+
+
 def calls(found: DataFrame, key: str) -> DataFrame:
     """Call edges of COBOL, CICS and JCL facts: calling, called, call_type, line, parameters, conditional (see ``conditional``)."""
     target = F.when(F.col("kind").isin("call", "dynamic_call"), F.col("b")).when(F.col("kind") == "step", F.coalesce("b", "c")).when(

@@ -112,14 +112,14 @@ def _texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     return _rows(spark, sf_dir).select(F.col("k").alias("program"), made(template).alias("text"))
 
 
-def _cobol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.facts(_texts(spark, sf_dir, COBOL), "program", "text", X.COBOL)
+def _cobol(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return X.facts(_texts(spark, sf_dir, COBOL), "program", "text", X.only(X.COBOL, *kinds))
 
 
 @query("""SELECT p_partkey AS calling, 'P' || p_partkey // 3 AS called, 'COBOL_CALL' AS call_type, 20 AS line, 'FLD-' || p_partkey % 3 || ',TXT-' || p_partkey % 4 AS parameters, false AS conditional FROM part
  UNION ALL SELECT p_partkey, 'C' || p_partkey % 17, 'CICS_LINK', 25, NULL, true FROM part""")
 def cobol_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.calls(_cobol(spark, sf_dir), "program").withColumn("parameters", F.array_join("parameters", ","))
+    return X.calls(_cobol(spark, sf_dir, *X.CALL_KINDS), "program").withColumn("parameters", F.array_join("parameters", ","))
 
 
 @query("SELECT p_partkey AS calling, 'P' || p_partkey AS called, 'JCL_EXEC_PGM' AS call_type, 2 AS line FROM part UNION ALL SELECT p_partkey, 'BACK' || p_size % 3, 'JCL_EXEC_PROC', 5 FROM part")
@@ -137,12 +137,12 @@ def jcl_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT k, 9, 5, 'FLD-' || k % 3, '9(' || s % 9 + 1 || ')', 'INTEGER', 'REC-' || k % 5, NULL FROM p UNION ALL SELECT k, 10, 5, 'TXT-' || k % 4, 'X(' || s || ')', 'VARCHAR(' || s || ')', 'REC-' || k % 5, NULL FROM p
  UNION ALL SELECT k, 11, 5, 'TAB-A', NULL, NULL, 'REC-' || k % 5, NULL FROM p UNION ALL SELECT k, 12, 10, 'CELL', 'S9(7)V99', 'DECIMAL(9,2)', 'TAB-A', NULL FROM p UNION ALL SELECT k, 13, 5, 'ALT-B', 'X(4)', 'VARCHAR(4)', 'REC-' || k % 5, 'TXT-' || k % 4 FROM p""")
 def copybook_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.data_items(_cobol(spark, sf_dir), "program").select("program", "line", "level", "name", "picture", "sql_type", "parent", "redefines")
+    return X.data_items(_cobol(spark, sf_dir, "data_item"), "program").select("program", "line", "level", "name", "picture", "sql_type", "parent", "redefines")
 
 
 @query("SELECT p_partkey AS program, 'TXT-' || p_partkey % 4 AS original, 'ALT-B' AS variants, 1 AS n FROM part")
 def redefines_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.redefined(X.data_items(_cobol(spark, sf_dir), "program"), "program")
+    return V.redefined(X.data_items(_cobol(spark, sf_dir, "data_item"), "program"), "program")
 
 
 @query("""WITH f AS (SELECT 'FLD_' || p_partkey % 3 AS name, 'INTEGER' AS t, p_partkey AS k, p_size AS s FROM part UNION ALL SELECT 'TXT_' || p_partkey % 4, 'VARCHAR(' || p_size || ')', p_partkey, p_size FROM part UNION ALL SELECT 'CELL', 'DECIMAL(9,2)', p_partkey, p_size FROM part UNION ALL SELECT 'ALT_B', 'VARCHAR(4)', p_partkey, p_size FROM part),
@@ -150,7 +150,7 @@ def redefines_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT coalesce(l.name, c.name) AS name, l.t AS layout_type, c.t AS table_type, CASE WHEN c.t IS NULL THEN 'layout_only' WHEN l.t IS NULL THEN 'table_only' WHEN l.t = c.t THEN 'match' ELSE 'type_differs' END AS state FROM l FULL JOIN c ON l.name = c.name""")
 def layout_against_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of all layouts against the columns of a table."""
-    fields = X.data_items(_cobol(spark, sf_dir), "program").where("sql_type is not null").select("name", "sql_type").distinct()
+    fields = X.data_items(_cobol(spark, sf_dir, "data_item"), "program").where("sql_type is not null").select("name", "sql_type").distinct()
     table = spark.createDataFrame([("cell", "DECIMAL(9,2)"), ("txt_1", "VARCHAR(10)"), ("owner", "CHAR(8)")], "name string, sql_type string")
     return V.layout_match(fields, table)
 
@@ -181,37 +181,37 @@ def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS program, 'cics' AS kind, 'RETURN' AS command, unnest([24, 33]) AS line FROM part UNION ALL SELECT p_partkey, 'cics', 'LINK', 25 FROM part UNION ALL SELECT p_partkey, 'sql', 'SELECT', 28 FROM part""")
 def embedded_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL and CICS statements, those that occur twice with a line each, none out of comments."""
-    return _cobol(spark, sf_dir).where(F.col("kind").isin("cics", "sql")).select("program", "kind", F.col("a").alias("command"), "line")
+    return _cobol(spark, sf_dir, "cics", "sql").select("program", "kind", F.col("a").alias("command"), "line")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, 'F' || p_partkey % 7 || '-FILE' AS f, ['INPUT', 'OUTPUT', 'I-O'][CAST(p_size % 3 AS INTEGER) + 1] AS m, ['READ', 'WRITE'][CAST(p_size % 2 AS INTEGER) + 1] AS o FROM part)
  SELECT k AS program, f AS file, 'DD' || k % 11 AS physical, 'SELECT' AS access_type, NULL AS access_mode, 5 AS line FROM p UNION ALL SELECT k, f, NULL, 'FD', NULL, 7 FROM p UNION ALL SELECT k, f, NULL, 'OPEN', m, 18 FROM p
  UNION ALL SELECT k, f, NULL, o, m, 31 FROM p UNION ALL SELECT k, f, NULL, 'CLOSE', m, 32 FROM p""")
 def file_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.file_access(_cobol(spark, sf_dir), "program")
+    return X.file_access(_cobol(spark, sf_dir, *X.FILE_KINDS), "program")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, 'FLD-' || p_partkey % 3 AS f FROM part) SELECT k AS program, 21 AS line, f AS field, 'READ' AS "use" FROM p UNION ALL SELECT k, 21, 'LAST-' || k % 6, 'WRITE' FROM p
  UNION ALL SELECT p_partkey, 22, 'SUM-' || p_size % 4, 'TRANSFORM' FROM part UNION ALL SELECT k, 23, f, 'VALIDATE' FROM p""")
 def field_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.field_usage(_cobol(spark, sf_dir), "program")
+    return X.field_usage(_cobol(spark, sf_dir, *X.FIELD_KINDS), "program")
 
 
 @query("SELECT p_partkey AS program, 'PART-' || 1 - p_partkey % 2 AS paragraph, CASE p_partkey % 2 WHEN 0 THEN 37 ELSE 35 END AS line FROM part")
 def unreachable_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.unreachable(_cobol(spark, sf_dir), "program")
+    return X.unreachable(_cobol(spark, sf_dir, *X.REACH_KINDS), "program")
 
 
 @query("SELECT p_partkey AS program, 'CPY' || p_partkey % 13 AS copybook, 15 AS line FROM part")
 def copy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.copies(_cobol(spark, sf_dir), "program").select("program", "copybook", "line")
+    return X.copies(_cobol(spark, sf_dir, "copy"), "program").select("program", "copybook", "line")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, 'FLD-' || p_partkey % 3 AS f FROM part)
  SELECT k AS program, 'OPEN,PERFORM,CALL,MOVE,COMPUTE,' || ['READ', 'WRITE'][CAST(s % 2 AS INTEGER) + 1] AS operations, 'IF ' || f || ' > ' || s AS decisions, 'MOVE ' || f || ' TO LAST-' || k % 6 || ';COMPUTE SUM-' || s % 4 || ' = SUM * 2' AS transformations, 'AT END' AS error_handling FROM p""")
 def program_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations, decisions, transformations and error handling of each program, in order."""
-    out = X.logic(_cobol(spark, sf_dir), "program")
+    out = X.logic(_cobol(spark, sf_dir, *X.LOGIC_KINDS), "program")
     return out.select("program", F.array_join(F.array_remove("operations", "CLOSE"), ",").alias("operations"), F.array_join("decisions", ";").alias("decisions"), F.array_join("transformations", ";").alias("transformations"), F.array_join("error_handling", ",").alias("error_handling"))
 
 
@@ -226,7 +226,7 @@ def layout_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT program, v, 'TT', 'REC-A' FROM p WHERE v = 1 UNION ALL SELECT program, v, unnest(['AA', 'AB', 'AC']), 'REC-A' FROM p WHERE v = 2 UNION ALL SELECT program, v, 'ODD', 'REC-A' FROM p WHERE v = 3) SELECT program, record, field FROM f""")
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of each copybook with their fields, fillers numbered."""
-    return X.records(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.COBOL), "program"), "program").select("program", "record", "field")
+    return X.records(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.only(X.COBOL, "data_item")), "program"), "program").select("program", "record", "field")
 
 
 @query("""WITH p AS (SELECT p_partkey AS program, p_size % 4 AS v FROM part) SELECT program, unnest(['REC-TYPE', 'FILLER', 'NN', 'NN-NONE', 'FILLER']) AS name, unnest([5, 5, 5, 88, 5]) AS level FROM p UNION ALL SELECT program, unnest(['BB', 'FILLER']), 5 FROM p WHERE v = 0
@@ -238,7 +238,7 @@ def simple_layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS program, 'ODD' AS name, 'INVALID_LEVEL_NUMBER' AS rule FROM part WHERE p_size % 4 = 3")
 def level_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.level_violations(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.COBOL), "program"), "program").select("program", "name", "rule")
+    return X.level_violations(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.only(X.COBOL, "data_item")), "program"), "program").select("program", "name", "rule")
 
 
 @query("""WITH p AS (SELECT p_partkey AS program FROM part) SELECT program, unnest([0, 1, 2, 3]) AS chunk, unnest([0, 5, 13, 15]) AS first_line, unnest([5, 8, 2, 23]) AS n_lines, unnest(['division', 'division', 'section', 'division']) AS starts_with FROM p""")
@@ -300,7 +300,7 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS program, 'READ' AS command, 'M' || p_size AS file, 'K' || p_partkey % 5 AS ridfld, 'REC' AS into_area, NULL AS from_area FROM part UNION ALL SELECT p_partkey, 'REWRITE', 'M' || p_size, NULL, NULL, 'R' || p_size % 3 FROM part""")
 def vsam_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options of CICS file commands."""
-    found = X.facts(_texts(spark, sf_dir, VSAM), "program", "text", X.COBOL).where("kind = 'cics'")
+    found = X.facts(_texts(spark, sf_dir, VSAM), "program", "text", X.only(X.COBOL, "cics"))
 
     def option(names: str) -> Column:
         return F.nullif(F.regexp_extract("b", rf"(?i)\b(?:{names})\s*\(\s*'?([A-Za-z0-9-]+)", 1), F.lit(""))

@@ -50,20 +50,20 @@ def chunk_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS program, 3 AS n_cics, 1 AS n_sql, 'LINK,RETURN' AS cics_commands, 'SELECT' AS sql_commands, 'T' || p_partkey % 9 AS tables, 1 AS n_reads, 0 AS n_writes, true AS returns FROM part""")
 def online_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What CICS and DB2 statements of each program do."""
-    out = L.online_facts(_cobol(spark, sf_dir), "program")
+    out = L.online_facts(_cobol(spark, sf_dir, "cics", "sql"), "program")
     return out.select("program", "n_cics", "n_sql", *[F.array_join(c, ",").alias(c) for c in ("cics_commands", "sql_commands", "tables")], "n_reads", "n_writes", "returns")
 
 
 @query("SELECT p_partkey AS program, unnest(['P' || p_partkey // 3, 'C' || p_partkey % 17, 'CPY' || p_partkey % 13]) AS dependency FROM part")
 def dependency_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _cobol(spark, sf_dir)
+    found = _cobol(spark, sf_dir, *X.CALL_KINDS, "copy")
     return L.either_side(X.calls(found, "program"), X.copies(found, "program"))
 
 
 @query("SELECT DISTINCT kind FROM (SELECT unnest(['LINK', 'RETURN', 'SELECT']) AS kind) WHERE kind <> 'SELECT' OR EXISTS (SELECT 1 FROM part)")
 def common_pattern_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commands that programs with odd and with even numbers have in common."""
-    rows = _cobol(spark, sf_dir).where("kind in ('cics', 'sql')").select("program", F.col("a").alias("kind"))
+    rows = _cobol(spark, sf_dir, "cics", "sql").select("program", F.col("a").alias("kind"))
     return L.common_kinds(rows, "program", "kind", F.col("program") % 2 == 1, F.col("program") % 2 == 0)
 
 
