@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_repair, exact_dedup, near_dedup, packing, quality_gam, quality_rules, substring_dedup, token_counts, toxicity, warc, word_bpe
+from . import chat_repair, exact_dedup, near_dedup, packing, quality_gam, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, warc, word_bpe
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -56,9 +56,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.trial(_conversations(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_substring_dedup, op4_quality_classifier, op5_bpe, op6_minhash_near_dedup, op7_toxicity, op8_token_counts, op9_quality_rules, op10_exact_dedup, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_substring_dedup, op4_quality_classifier, op5_bpe, op6_minhash_near_dedup, op7_toxicity, op8_token_counts, op9_quality_rules, op10_exact_dedup, op12_simhash_near_dedup, op13_conversation_repair)}
 ORACLES = {"op6_minhash_near_dedup": near_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op13_conversation_repair": chat_repair.ORACLE}
