@@ -1,7 +1,9 @@
 """What the operators of this subpackage share: scratch tables and shipping.
 
 Scratch tables are Parquet folders below ``spark.checkpoint.dir``, which all
-executors see, so a lost executor never loses an intermediate result.
+executors see, so a lost executor never loses an intermediate result.  A table
+belongs to the result that reads it: ``settled`` writes a result and deletes
+what it was made from; whatever else is left goes when Python ends.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +28,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 _shipped: dict[str, bool] = {}
 _tables: list[str] = []
+_inner: ContextVar[list[str] | None] = ContextVar("_inner", default=None)  # the tables of the innermost settled()
 _own: list[str] = []
 
 
@@ -52,9 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder, which ``release`` deletes."""
-    _tables.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _tables[-1]
+    """A new folder in the shared folder, for as long as the result that is being made needs it."""
+    if not _tables:
+        atexit.unregister(_clear)
+        atexit.register(_clear)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = _inner.get()
+    (_tables if own is None else own).append(path)
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -64,12 +73,47 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make() as a table of their own; the tables that make() wrote are deleted, and no others."""
+    own: list[str] = []
+    outer = _inner.set(own)
+    try:
+        rows = make()
+        _inner.reset(outer)
+        outer = None
+        return table(rows, name)
+    finally:
+        if outer is not None:
+            _inner.reset(outer)
+        for path in own:
+            delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables made so far; call it when no result that reads them is still to run."""
+    """Deletes all tables that results made so far read; for when none of them is still to run."""
     while _tables:
         delete(spark, _tables.pop())
 
 
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
+    for folder in _own:
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of their letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

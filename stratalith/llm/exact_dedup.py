@@ -12,9 +12,11 @@ A hot text, however frequent, is one entry of a filter and, after the partial
 aggregation of the byte check, one row of each task.
 
 Edge cases: a null text is an empty text; all empty texts are equal to each
-other.  Rows that repeat a doc_id count as rows of their own, and a null
-doc_id stays only where no other row of its group has an id.  An empty table
-gives an empty result.  Columns other than doc_id and text are not looked at.
+other.  Of equal texts the longest stays, whitespace counted, of equally long
+ones the one with the smallest doc_id; a null doc_id counts as the greatest.
+Rows that repeat a doc_id count as rows of their own, and if they tie, one of
+them stays.  A text of any length is hashed and compared as a whole.  An empty
+table gives an empty result.  Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import SPACE, prepare, table
 
 #: Fingerprints that a task gathers before it emits their filters.
 CHUNK = 1 << 20
+#: Rows equal in id, length and text that one task writes out.
+COPIES = 1 << 16
 
 
 class CountingQuotientFilter:
@@ -148,21 +152,26 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = (
         rows.withColumn("fp", F.xxhash64("bytes")).join(candidates, "fp", "left_semi")
         .groupBy("fp", "bytes").agg(F.count("*").alias("n"), F.max(F.struct("size", F.bitwise_not("doc_id").alias("high"))).alias("best"))
-        .where("n > 1").select(F.sha2("bytes", 256).alias("text_sha256"), F.bitwise_not("best.high").alias("keep"), "n")
+        .where("n > 1").select(F.sha2("bytes", 256).alias("text_sha256"), "best", "n")
     )
-    groups = same.groupBy("text_sha256").agg(F.max("keep").alias("keep"), F.max("n").alias("n"), F.count("*").alias("texts")).select(
-        "text_sha256", "keep", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts have one SHA-256"))).alias("n"))
-    groups = table(groups, "groups")  # apart, so that Spark can split the join of a hot text
-    out = rows.select("doc_id", F.sha2("bytes", 256).alias("text_sha256")).join(groups, "text_sha256", "left")
+    groups = same.groupBy("text_sha256").agg(F.max("best").alias("best"), F.max("n").alias("n"), F.count("*").alias("texts")).select(
+        "text_sha256", "best.size", F.bitwise_not("best.high").alias("keep"), F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts have one SHA-256"))).alias("n"))
+    groups = table(groups.withColumnRenamed("size", "most"), "groups")  # apart, so that Spark can split the join of a hot text
+    # Rows that are equal in id, length and text are one row with their number until the end, so that one of them can stay.
+    out = rows.select("doc_id", "size", F.sha2("bytes", 256).alias("text_sha256")).groupBy("doc_id", "size", "text_sha256").agg(F.count("*").alias("copies"))
     alone = F.col("n").isNull()
-    return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("keep"))).alias("kept"), "text_sha256")
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("size") == F.col("most")))
+    out = out.join(groups, "text_sha256", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), stays.alias("stays"), "text_sha256", "copies")
+    one = out.where("copies = 1").withColumn("copy", F.lit(0).cast("long"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))  # so that no task makes all copies of a row
+    many = out.where("copies > 1").withColumn("part", part).repartition("doc_id", "text_sha256", "part")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1))).drop("part")
+    return one.union(many).select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 0)).alias("kept"), "text_sha256")
 
 
 ORACLE = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body FROM documents),
-g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY size DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY body) AS group_size FROM t WINDOW w AS (PARTITION BY body ORDER BY size DESC, doc_id))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """
