@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import documents, extract, ingest, lifecycle, lineage, monitor, ordered, program, recon, relations, reports, search, services, text  # noqa: F401
+    from . import copybooks, documents, extract, ingest, lifecycle, lineage, monitor, ordered, program, recon, relations, reports, search, services, text  # noqa: F401
 
 
 load()
