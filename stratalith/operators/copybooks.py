@@ -57,11 +57,10 @@ def replaced(text: Column, list_: Column) -> Column:
 
     def put(hit: Column) -> Column:
         plain = F.upper(F.regexp_replace(hit, r"\s+", " "))
-        return F.element_at(F.filter(some, lambda p: p["old"] == plain), 1)["new"]
+        return F.coalesce(F.get(F.filter(some, lambda p: p["old"] == plain), F.lit(0))["new"], F.lit(""))
 
-    hits, parts = F.regexp_extract_all(text, either, F.lit(0)), F.split(text, either)
-    whole = F.concat(F.array_join(F.transform(hits, lambda h, i: F.concat(F.get(parts, i), put(h))), ""), F.element_at(parts, -1))
-    return F.when(F.size(some) == 0, text).otherwise(whole)
+    each = F.arrays_zip(F.split(text, either).alias("part"), F.regexp_extract_all(text, either, F.lit(0)).alias("hit"))  # one part more than hits
+    return F.when(F.size(some) == 0, text).otherwise(F.array_join(F.transform(each, lambda z: F.concat(z["part"], put(z["hit"]))), ""))
 
 
 def _segments(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -69,10 +68,11 @@ def _segments(rows: DataFrame, keep: list[str]) -> DataFrame:
     def ends(x: Column) -> Column:
         return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
-    rows = rows.withColumns({"_h": F.regexp_extract_all("text", F.lit(COPY), F.lit(0)), "_p": F.split("text", COPY)})
-    rows = rows.withColumn("_s", F.flatten(F.transform("_p", lambda p, i: F.array(F.struct(F.lit(False).alias("is_copy"), p.alias("text")), F.struct(F.lit(True).alias("is_copy"), F.coalesce(F.get("_h", i), F.lit("")).alias("text"))))))
-    rows = rows.withColumn("_n", counted(F.transform("_s", lambda s: ends(s["text"]))))
-    each = F.transform("_s", lambda s, i: F.struct(i.alias("i"), s["is_copy"].alias("is_copy"), s["text"].alias("text"), (F.coalesce(F.get("_n", i - 1), F.lit(0)) + 1).alias("line")))
+    both = F.arrays_zip(F.split("text", COPY).alias("p"), F.regexp_extract_all("text", F.lit(COPY), F.lit(0)).alias("h"))
+    cut = F.flatten(F.transform(both, lambda z: F.array(F.struct(F.lit(False).alias("is_copy"), z["p"].alias("text")), F.struct(F.lit(True).alias("is_copy"), F.coalesce(z["h"], F.lit("")).alias("text")))))
+    sums = counted(F.transform(cut, lambda s: ends(s["text"])))
+    placed = F.arrays_zip(cut.alias("s"), F.concat(F.array(F.lit(0)), F.slice(sums, 1, F.size(sums) - 1)).alias("n"))
+    each = F.transform(placed, lambda z, i: F.struct(i.alias("i"), z["s"]["is_copy"].alias("is_copy"), z["s"]["text"].alias("text"), (z["n"] + 1).alias("line")))
     rows = rows.select(*keep, F.explode(F.filter(each, lambda s: s["text"] != "")).alias("s")).select(*keep, "s.*")
     is_copy = F.col("is_copy")
     return rows.withColumns({"name": F.when(is_copy, F.upper(F.regexp_extract("text", COPY, 1))), "list": F.when(is_copy, pairs(F.regexp_extract("text", COPY, 2)))})
@@ -125,9 +125,10 @@ def line_map(pieces: DataFrame, key: str) -> DataFrame:
 def replacing_groups(sources: DataFrame, key: str, text: str) -> DataFrame:
     """Parameters between double equal signs, grouped where fewer than GAP characters lie between their beginnings: key, group, n, kinds, values, first, last (positions from 0)."""
     def found(kind: str, pattern: str) -> Column:
-        hits, parts = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)), F.split("_t", pattern)
-        size = F.transform(hits, lambda h, i: F.length(F.get(parts, i)) + F.length(h))
-        return F.transform(F.arrays_zip(hits.alias("h"), counted(size).alias("e")), lambda z: F.struct((z["e"] - F.length(z["h"])).alias("at"), F.lit(kind).alias("kind"), F.regexp_extract(z["h"], pattern, 1).alias("value")))
+        hits = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
+        size = F.transform(F.arrays_zip(F.split("_t", pattern).alias("p"), hits.alias("h")), lambda z: F.length(z["p"]) + F.coalesce(F.length(z["h"]), F.lit(0)))
+        ends = F.filter(F.arrays_zip(hits.alias("h"), counted(size).alias("e")), lambda z: z["h"].isNotNull())
+        return F.transform(ends, lambda z: F.struct((z["e"] - F.length(z["h"])).alias("at"), F.lit(kind).alias("kind"), F.regexp_extract(z["h"], pattern, 1).alias("value")))
 
     rows = sources.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, F.explode(F.concat(*(found(*p) for p in PARAMETERS.items()))).alias("f")).select(key, "f.*")
     order = Window.partitionBy(key).orderBy("at", "kind")

@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .copybooks import counted
+from .program import tidy
+
 NAME = "([A-Za-z0-9][A-Za-z0-9_#@$-]*)"
 QNAME = "['\"]?" + NAME + "['\"]?"
 
@@ -112,7 +115,8 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
     lines = [r for r in rules if not r.whole]
     whole = [r for r in rules if r.whole]
     comment = r"^(\s*\*|.{6}\*|//\*)"
-    split = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.rtrim(x).alias("x"), F.upper(x).alias("u"))), lambda s: ~s["x"].rlike(comment))
+    source = tidy(F.col(text)) if set(rules) & set(COBOL) else F.coalesce(F.col(text), F.lit(""))
+    split = F.filter(F.transform(F.split(source, "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.rtrim(x).alias("x"), F.upper(x).alias("u"))), lambda s: ~s["x"].rlike(comment))
     out = None
     if lines:
         by_line = sources.select(key, F.explode(split).alias("s")).select(key, F.explode(F.flatten(F.array(*[matches(r, F.col("s.i"), F.col("s.x"), F.col("s.u")) for r in lines]))).alias("f"))
@@ -122,12 +126,14 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
             return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
         def found_by(rule: Rule) -> Column:
-            """Between the matches stand the parts of the split text, so a match's line is known from what stands before it."""
-            hits, parts = F.regexp_extract_all("_t", F.lit(rule.pattern), F.lit(0)), F.split("_t", rule.pattern)
-            before = F.transform(hits, lambda m, k: F.array_join(F.concat(F.slice(parts, 1, k + 1), F.slice(hits, 1, k)), ""))
-            return F.transform(F.arrays_zip(hits.alias("m"), before.alias("b")), lambda z: row(rule, ends(z["b"]) + 1, z["m"]))
-
-        bare = F.array_join(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(x.rlike(comment), "").otherwise(x)), "\n")
+            """Between the matches stand the parts of the split text, so a match's line is known from the lines of what stands before it."""
+            hits = F.regexp_extract_all("_t", F.lit(rule.pattern), F.lit(0))
+            parts = counted(F.transform(F.split("_t", rule.pattern), ends))
+            above = F.concat(F.array(F.lit(0)), counted(F.transform(hits, ends)))
+            each = F.filter(F.arrays_zip(hits.alias("m"), parts.alias("p"), above.alias("h")), lambda z: z["m"].isNotNull())
+            return F.transform(each, lambda z: row(rule, z["p"] + z["h"] + 1, z["m"]))
+
+        bare = F.array_join(F.transform(F.split(source, "\n"), lambda x: F.when(x.rlike(comment), "").otherwise(x)), "\n")
         found = [found_by(r) for r in whole]
         by_text = sources.select(key, bare.alias("_t")).select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
         out = by_text if out is None else out.unionByName(by_text)
