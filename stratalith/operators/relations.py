@@ -123,3 +123,16 @@ def present(rows: DataFrame, *columns: str) -> DataFrame:
     """Those of the columns that the table has, in this order; the others are left out (a table written by an older version)."""
     have = {c.lower() for c in rows.columns}
     return rows.select(*[c for c in columns if c.lower() in have])
+
+
+def filled(rows: DataFrame, columns: dict[str, object]) -> DataFrame:
+    """The columns in this order; what a table written by an older version lacks has its default (None: a null)."""
+    have = {c.lower() for c in rows.columns}
+    return rows.select(*[F.col(c).alias(c) if c.lower() in have else F.lit(default).alias(c) for c, default in columns.items()])
+
+
+def related(uses: DataFrame, component: str, target: str, calls: DataFrame, caller: str, called: str) -> DataFrame:
+    """sharing() with a row of kind calls for each component that calls another one of those that use anything."""
+    known = uses.select(F.col(component).alias("b")).distinct()
+    direct = calls.select(F.col(caller).alias("a"), F.col(called).alias("b")).where("a <> b").distinct().join(known, "b", "left_semi")
+    return sharing(uses, component, target).unionByName(direct.withColumn("kind", F.lit("calls")))
