@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .keep import kept
 
 NAME = "[A-Z0-9][A-Z0-9-]*"
+KEY = "_key"  # what the sources' key is called within
 #: The words that statements begin with.
 VERBS = (
     "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE COPY DELETE DISPLAY DIVIDE ELSE ENTRY EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MERGE MOVE MULTIPLY NEXT OPEN "
@@ -57,7 +58,8 @@ def statements(sources: DataFrame, key: str, text: str) -> DataFrame:
     Paragraphs and sections have rows of their own with the verbs LABEL and SECTION; the header's verb is PROCEDURE.  A
     paragraph's name stands alone with a period, below a period.  A statement is conditional if an IF, EVALUATE or SEARCH of its sentence is open before it; a period ends them all.
     """
-    lines = sources.select(key, F.posexplode(F.split(tidy(F.col(text)), "\n")).alias("line", "x"))
+    named, key = key, KEY
+    lines = sources.select(F.col(named).alias(key), F.posexplode(F.split(tidy(F.col(text)), "\n")).alias("line", "x"))
     parts = F.regexp_extract_all("x", F.lit(_LITERAL), F.lit(1))
     masked = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^['\"]"), F.translate(p, " .", _BLANK + _DOT)).otherwise(F.upper(p))), "")
     label, section = rf"^ {{0,7}}({NAME})\s*\.\s*$", rf"^ {{0,7}}({NAME})\s+SECTION(?:\s+[0-9]+)?\s*\."
@@ -85,7 +87,7 @@ def statements(sources: DataFrame, key: str, text: str) -> DataFrame:
     depth = F.coalesce(F.count_if(F.col("verb").isin("IF", "EVALUATE", "SEARCH")).over(open_), F.lit(0)) - F.coalesce(F.count_if(F.col("verb").isin("END-IF", "END-EVALUATE", "END-SEARCH")).over(open_), F.lit(0))
     last = {v: F.last(F.when(F.col("verb") == v, F.col("body")), ignorenulls=True).over(order) for v in ("LABEL", "SECTION")}
     return rows.withColumns({"section": last["SECTION"], "paragraph": last["LABEL"], "place": F.count_if(F.expr("verb = 'LABEL'")).over(order), "conditional": (depth > 0) & ~F.col("verb").isin("END-IF", "END-EVALUATE", "END-SEARCH")}).where(
-        "verb <> '.'").select(key, "n", "line", "section", "paragraph", "place", "sentence", "verb", "body", "conditional")
+        "verb <> '.'").select(F.col(key).alias(named), "n", "line", "section", "paragraph", "place", "sentence", "verb", "body", "conditional")
 
 
 def _flow(st: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -116,7 +118,8 @@ def control_flow(st: DataFrame, key: str) -> DataFrame:
     Control runs on from the entry through paragraphs and jumps until the range's last paragraph ends, a statement ends
     the program, or the source does.  What falls through is one interval of places, so a round follows a jump, not a paragraph.
     """
-    places, _, jumps, performs = _flow(st, key)
+    named, key = key, KEY
+    places, _, jumps, performs = _flow(st.withColumnRenamed(named, key), key)
     paths = performs.groupBy(key, "first", "last").agg(F.min("entry").alias("entry"))
     paths = kept(paths.withColumn("path", F.row_number().over(Window.partitionBy(key).orderBy("first", "last"))))
     stops = places.select(key, F.col("place").alias("start"), "stop")
@@ -142,7 +145,7 @@ def control_flow(st: DataFrame, key: str) -> DataFrame:
     result = paths.join(last, [key, "last"]).join(facts, [key, "path"]).join(called, [key, "path"], "left").join(back, [key, "path"], "left")
     calls = F.coalesce("called", F.array().cast("array<string>"))
     return result.select(
-        key, F.concat(F.lit("PATH_"), "path").alias("path_id"), F.col("entry").alias("entry_point"), "last_point", F.col("p.name").alias("paragraphs"), F.col("x.name").alias("exit_points"),
+        F.col(key).alias(named), F.concat(F.lit("PATH_"), "path").alias("path_id"), F.col("entry").alias("entry_point"), "last_point", F.col("p.name").alias("paragraphs"), F.col("x.name").alias("exit_points"),
         calls.alias("called_paragraphs"), "conditions", F.coalesce("loops", F.lit(False)).alias("loops"), F.size(calls).alias("complexity"))
 
 
@@ -168,6 +171,7 @@ def value_flow(st: DataFrame, key: str, names: DataFrame) -> DataFrame:
     names: key and name, what programs are called by.  Arguments go to the parameters of PROCEDURE DIVISION USING at the same
     position (kind P), and back from parameters that the called program changes (R).
     """
+    st, names, key = st.withColumnRenamed(key, KEY), names.select(F.col(key).alias(KEY), "name"), KEY
     rows = st.where(F.col("verb").isin(*FLOWS))
     bare = F.regexp_replace("body", r"'[^']*'|\"[^\"]*\"", "0")
     text = F.regexp_replace(F.regexp_replace(bare, r"\s+(?:NOT\s+)?ON\s+(?:SIZE|OVERFLOW).*$", ""), r"\s*\.$", "")
@@ -226,6 +230,7 @@ def message_sequences(calls: DataFrame, key: str, order: list[str], api: str) ->
     A sequence begins with a connection, or with a message after a unit of work; its type is the highest it reaches:
     general, connection, message, transaction.
     """
+    calls, named, key = calls.withColumnRenamed(key, KEY), key, KEY
     w = Window.partitionBy(key).orderBy(*order)
     name = F.upper(api)
     kind = F.when(name.isin(*CONNECTS), "c").when(name.isin(*MESSAGES), "m").when(name.isin(*UNITS), "t")
@@ -236,7 +241,7 @@ def message_sequences(calls: DataFrame, key: str, order: list[str], api: str) ->
     rows = rows.withColumn("_begins", F.coalesce(begins, F.lit(False))).withColumn("sequence", F.count_if(F.col("_begins")).over(w))
     found = rows.groupBy(key, "sequence").agg(F.array_sort(F.collect_list(F.struct("_at", "_api"))).alias("c"), F.max("_kind").alias("k"), F.min("_at").alias("first"), F.max("_at").alias("last"))
     kinds = F.when(F.col("k") == "t", "transaction_sequence").when(F.col("k") == "m", "message_sequence").when(F.col("k") == "c", "connection_sequence").otherwise("general_sequence")
-    return found.select(key, "sequence", kinds.alias("type"), F.col("c._api").alias("calls"), "first", "last")
+    return found.select(F.col(key).alias(named), "sequence", kinds.alias("type"), F.col("c._api").alias("calls"), "first", "last")
 
 
 def message_flows(calls: DataFrame, key: str, order: list[str], api: str) -> DataFrame:
@@ -245,7 +250,8 @@ def message_flows(calls: DataFrame, key: str, order: list[str], api: str) -> Dat
     Matches of a flow do not overlap; each begins at the first call that can begin it and ends at the first that ends it.
     MQPUT1 counts as an MQPUT, as its name begins with it.  An automaton of one step for each call runs over the source's calls.
     """
-    rows = calls.select(key, F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("at"), F.upper(api).alias("api"))
+    named, key = key, KEY
+    rows = calls.select(F.col(named).alias(key), F.row_number().over(Window.partitionBy(named).orderBy(*order)).alias("at"), F.upper(api).alias("api"))
     texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "api"))).alias("calls"))
     state = "struct<step:int,first:int,found:array<struct<first:int,last:int>>>"
 
@@ -263,4 +269,4 @@ def message_flows(calls: DataFrame, key: str, order: list[str], api: str) -> Dat
 
     each = F.array(*(F.struct(F.lit(flow).alias("flow"), matches(steps).alias("found")) for flow, steps in MESSAGE_FLOWS))
     out = texts.select(key, F.explode(each).alias("e")).select(key, "e.flow", F.posexplode("e.found").alias("match", "f"))
-    return out.select(key, "flow", (F.col("match") + 1).alias("match"), "f.first", "f.last")
+    return out.select(F.col(key).alias(named), "flow", (F.col("match") + 1).alias("match"), "f.first", "f.last")
