@@ -21,7 +21,10 @@ full sets, and links are closed to components.
 Edge cases: a null or blank text has an empty set, is linked with nothing and
 kept.  Fewer words than a shingle has make one shingle.  Rows that repeat a
 doc_id are one node.  Rows with a null doc_id are members of classes but never
-their smallest id; their component is null if no row of it has an id.
+their smallest id; their component is null if no row of it has an id.  A very
+long text is a block of its own; its set is compared as a whole.  Ties: a
+component is named by its smallest id.  An empty table gives an empty result.
+Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -15,8 +15,11 @@ and short ones attention.  When all pieces are placed, every bin is downsized to
 length that holds its contents.
 
 Edge cases: null and negative lengths count as 0, and documents without tokens
-get a row with no bin.  Rows that repeat an id are packed each.  An empty
-table gives an empty result.
+get a row with no bin.  Documents longer than the longest bin are cut into
+pieces.  Rows that repeat an id are packed each.  Ties: of pieces of one length
+the smaller id goes first, of bins with equal room the one opened first.  An empty
+table gives an empty result.  Columns other than the id and the length are not
+looked at.
 """
 
 from __future__ import annotations

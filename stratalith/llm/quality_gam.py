@@ -12,8 +12,9 @@ The model is learnt on the driver from at most ``max_rows`` labelled documents
 
 Edge cases: a null or empty text has one line and no words, all its other
 numbers are 0, and it gets a score like any other.  Without labels of both kinds every score is the share of label 1,
-or 0.5.  Rows that repeat an id get a row each.  Only doc_id and text are
-looked at.
+or 0.5.  Rows that repeat an id get a row each.  A very long text is a
+block of its own and read as a whole.  An empty table of documents gives an
+empty result.  Only doc_id and text are looked at.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ counting distinct documents deals by line and document first.  What is joined
 by line or document is written first, so that Spark can split a hot key.
 
 Edge cases: a null text has no words and no lines and fails the base rules; a
-null source is a host of its own.  Repeated rows get the same result each.
+null source is a host of its own.  Repeated rows get the same result each.  A
+text of any length is taken as a whole.  An empty table gives an empty result.
 Columns other than doc_id, text and source are not looked at.
 """
 

@@ -7,7 +7,8 @@ documents are cut, and whether the length is a quantile.  The histogram has as
 many rows as there are lengths, not documents: at most as many as the longest
 document has tokens, and they pass through one task for the suffix sums.
 
-Edge cases: a null text has no tokens; an empty table gives an empty
+Edge cases: a null text has no tokens; repeated rows count each; a text of any
+length is encoded as a whole; an empty table gives an empty
 histogram.  Columns other than doc_id and text are not looked at.
 """
 

@@ -10,7 +10,9 @@ features (at most ``max_features``) and where they occur in learning rows.
 
 Edge cases: a null or empty text has no sentences and scores 0.  Without
 labels of both kinds no feature is chosen and every score is 0.  Rows that
-repeat an id get a row each.  Only doc_id and text are looked at.
+repeat an id get a row each.  A very long text is a block of its own, all of its
+sentences count.  An empty table of documents gives an empty result.  Only
+doc_id and text are looked at.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Edge cases: null html is an empty payload; a null url leaves out the target; a
 null page id leaves out the id, and such a record is a revisit only if its
 payload has a record with an id.  Rows that repeat id and payload are all
 responses if their id is the largest.  An empty table gives an archive without
-files.  Columns other than page_id, url and html are not looked at.
+files.  A payload of any length is one record, held as a whole by the task that
+writes it.  Columns other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
