@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import copybooks, documents, extract, ingest, lifecycle, lineage, monitor, ordered, program, programs, recon, relations, reports, search, services, structures, summaries, text  # noqa: F401
+    from . import copybooks, documents, extract, ingest, lifecycle, lineage, monitor, ordered, program, programs, recon, relations, reports, search, sections, services, structures, summaries, text  # noqa: F401
 
 
 load()
