@@ -18,14 +18,18 @@ def test_a_pipeline_run_leaves_other_results_alone(spark):
 
 
 def test_settled_deletes_its_own_tables_alone(spark):
-    root = Path(common.shared_dir(spark).removeprefix("file://").removeprefix("file:"))
-    mine = common.table(spark.range(5), "mine")
-    before = {p.name for p in root.iterdir()}
-    inner = common.settled(spark, "inner", lambda: common.table(common.table(spark.range(3), "a").union(spark.range(2)), "b"))
-    assert {p.name.split("-")[0] for p in root.iterdir()} - {n.split("-")[0] for n in before} == {"inner"}
+    def there():
+        """What this test has made; others may use the folder, too."""
+        root = Path(common.shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+        return {p.name for p in root.iterdir() if p.name.split("-")[0] in ("settled_mine", "settled_a", "settled_b", "settled_c", "settled_inner")}
+
+    before = there()
+    mine = common.table(spark.range(5), "settled_mine")
+    inner = common.settled(spark, "settled_inner", lambda: common.table(common.table(spark.range(3), "settled_a").union(spark.range(2)), "settled_b"))
+    assert sorted(n.split("-")[0] for n in there() - before) == ["settled_inner", "settled_mine"]
     with pytest.raises(ZeroDivisionError):
-        common.settled(spark, "fails", lambda: common.table(spark.range(3), "c") and 1 / 0)
-    assert len(list(root.iterdir())) == len(before) + 1 and mine.count() == inner.count() == 5
+        common.settled(spark, "settled_fails", lambda: common.table(spark.range(3), "settled_c") and 1 / 0)
+    assert len(there() - before) == 2 and mine.count() == inner.count() == 5
 
 
 def test_one_of_repeated_rows_stays(spark):
