@@ -119,7 +119,8 @@ def control_flow(st: DataFrame, key: str) -> DataFrame:
     the program, or the source does.  What falls through is one interval of places, so a round follows a jump, not a paragraph.
     """
     named, key = key, KEY
-    places, _, jumps, performs = _flow(st.withColumnRenamed(named, key), key)
+    st = kept(st.select(F.col(named).alias(key), "n", "section", "paragraph", "place", "verb", "body", "conditional"))  # read four times
+    places, _, jumps, performs = _flow(st, key)
     paths = performs.groupBy(key, "first", "last").agg(F.min("entry").alias("entry"))
     paths = kept(paths.withColumn("path", F.row_number().over(Window.partitionBy(key).orderBy("first", "last"))))
     stops = places.select(key, F.col("place").alias("start"), "stop")
@@ -171,7 +172,8 @@ def value_flow(st: DataFrame, key: str, names: DataFrame) -> DataFrame:
     names: key and name, what programs are called by.  Arguments go to the parameters of PROCEDURE DIVISION USING at the same
     position (kind P), and back from parameters that the called program changes (R).
     """
-    st, names, key = st.withColumnRenamed(key, KEY), names.select(F.col(key).alias(KEY), "name"), KEY
+    used = F.col("verb").isin(*FLOWS, "CALL", "PROCEDURE")
+    st, names, key = kept(st.where(used).select(F.col(key).alias(KEY), "line", "verb", "body")), names.select(F.col(key).alias(KEY), "name"), KEY
     rows = st.where(F.col("verb").isin(*FLOWS))
     bare = F.regexp_replace("body", r"'[^']*'|\"[^\"]*\"", "0")
     text = F.regexp_replace(F.regexp_replace(bare, r"\s+(?:NOT\s+)?ON\s+(?:SIZE|OVERFLOW).*$", ""), r"\s*\.$", "")
