@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .keep import by_value
+
 _TOKEN = re.compile(r"""\s+|//[^\n]*|/\*.*?(?:\*/|$)|[{}\[\],:]|"(?:[^"\\]|\\.|\\$|"(?=\s*[A-Za-z_])(?!\s*(?:true|false|null)\b))*"?|'(?:[^'\\]|\\.|\\$|'(?=\s*[A-Za-z_])(?!\s*(?:true|false|null)\b))*'?|[^\s{}\[\],:"']+""", re.S)
 _NUMBER = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
 #: Words of other languages that JSON has by another name.
@@ -151,6 +153,8 @@ def repaired(text: str | None) -> str | None:
 
 def repair(rows: DataFrame, text: str, out: str = "repaired") -> DataFrame:
     """rows with the repaired JSON of a column in another one; null where Spark cannot parse it either."""
+    by_value(__name__)
+
     @pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

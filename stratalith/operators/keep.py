@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +32,8 @@ def kept(df: DataFrame) -> DataFrame:
     """df, written once; its lineage ends here."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def by_value(name: str) -> None:
+    """What a module defines goes to tasks with its code, so that executors need not have this package."""
+    register_pickle_by_value(sys.modules[name])

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keep import by_value
 from .reports import since
 
 #: Fixed value: what is said of a component of which nothing else can be said.
@@ -58,11 +59,13 @@ def averages(metrics: DataFrame, name: str, value: str, ts: str, hours: int = 6)
 def attempted(rows: DataFrame, key: str, work: Callable[[dict], object], seconds: float | None = None) -> DataFrame:
     """Applies a function to each row (a dict) in the tasks: key, status (success or error), result (as text) and error.
 
+    work goes to the tasks as Python pickles it: by name if its module can be imported, which executors must be able to do then.
     A failing row, one whose result is None, and one that takes longer than the given seconds (told when it ends) is a row with
     its error; others go on.
     """
     import time
 
+    by_value(__name__)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,16 +33,15 @@ def metric_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.averages(read(spark, sf_dir, "events"), "event_type", "value", "ts").withColumn("average", F.round("average", 6))
 
 
-def _checked(row: dict) -> object:
-    """Stands for the analysis of a source: fails for some, and finds nothing in others."""
-    size = row["p_size"]
-    return None if size % 5 == 0 else 100 // (size % 7)
-
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN p_size % 5 <> 0 AND p_size % 7 <> 0 THEN (100 // (p_size % 7))::VARCHAR END AS result,
  CASE WHEN p_size % 5 = 0 THEN 'no result' WHEN p_size % 7 = 0 THEN 'ZeroDivisionError' END AS error FROM part""")
 def batch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Y.attempted(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", _checked)
+    def checked(row: dict) -> object:
+        """Stands for the analysis of a source: fails for some, and finds nothing in others."""
+        return None if row["p_size"] % 5 == 0 else 100 // (row["p_size"] % 7)
+
+    found = Y.attempted(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", checked)
     return found.withColumn("error", F.substring_index("error", ":", 1))
 
 

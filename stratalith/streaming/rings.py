@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.keep import by_value
+
 CAPACITY, HOURS = 1000, 24
 SCHEMA = "key long, n int, oldest timestamp, newest timestamp, total double"
 
@@ -58,6 +60,7 @@ def ready(spark: SparkSession) -> None:
 def ring(df: DataFrame, key: str, ts: str, order: str, value: str, capacity: int = CAPACITY, hours: float = HOURS, watermark: str = "1 hour") -> DataFrame:
     """A row for each key of a stream whenever its buffer changes: see SCHEMA; n 0 when it is forgotten."""
     ready(df.sparkSession)
+    by_value(__name__)
     rows = _rows(df, key, ts, order, value).withWatermark("ts", watermark)
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Ring(capacity, hours), outputStructType=SCHEMA, outputMode="Update", timeMode="EventTime")
 
