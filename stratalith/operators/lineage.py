@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keep import kept
@@ -116,11 +116,11 @@ def usage_patterns(uses: DataFrame, field: str, program: str, use: Column) -> Da
 
 def journey(uses: DataFrame, file: str, program: str, order: list[str], access: Column) -> DataFrame:
     """The steps of each file in order, equal neighbours once: where it is created, updated, read and deleted, and by whom first and last."""
-    step = F.struct(*order, F.col(program).cast("string").alias("_program"), access_class(access, F.lit(None).cast("string")).alias("_class"))
-    steps = uses.groupBy(file).agg(F.array_sort(F.collect_list(step)).alias("s"))
-    kinds = F.transform("s", lambda x: x["_class"])
-    changes = F.filter(kinds, lambda x, i: (i == 0) | (x != F.get(kinds, i - 1)))
-    return steps.select(file, F.size("s").alias("n_steps"), F.element_at("s", 1)["_program"].alias("first_program"), F.element_at("s", -1)["_program"].alias("last_program"), F.array_join(changes, ">").alias("journey"))
+    rows = uses.select(F.col(file), F.struct(*order, F.col(program).cast("string").alias("_program"), access_class(access, F.lit(None).cast("string")).alias("_class")).alias("_s"))
+    before = F.lag("_s._class").over(Window.partitionBy(file).orderBy("_s"))
+    steps = rows.withColumn("_new", F.coalesce(before != F.col("_s._class"), F.lit(True))).groupBy(file).agg(
+        F.count("*").cast("int").alias("n_steps"), F.min("_s")["_program"].alias("first_program"), F.max("_s")["_program"].alias("last_program"), F.sort_array(F.collect_list(F.when(F.col("_new"), F.col("_s")))).alias("c"))
+    return steps.select(file, "n_steps", "first_program", "last_program", F.array_join(F.col("c._class"), ">").alias("journey"))
 
 
 def impact_chain(edges_: DataFrame, source: str, target: str) -> DataFrame:
