@@ -61,6 +61,12 @@ def maintainability(mean: Column, error_ratio: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), 8 - 0.5 * F.greatest(F.lit(0.0), mean - 3) + 2 * error_ratio))
 
 
+def variance(value: Column) -> Column:
+    """The population variance of whole numbers, from whole sums: the same however the rows are dealt to tasks, so a test against a bound is exact."""
+    n, total = F.count(value), F.sum(value)
+    return (n * F.sum(value * value) - total * total) / (n * n)
+
+
 def code_quality(comment_ratio: Column, mean: Column, variance: Column) -> Column:
     score = (
         F.lit(5.0) + F.when(comment_ratio > 0.1, F.least(F.lit(2.0), 5 * comment_ratio)).otherwise(0.0)

@@ -50,7 +50,7 @@ def code_line_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(greatest(0.0, least(10.0, 8 - 0.5 * greatest(0.0, m - 3) + 2 * r)), 4) AS maintainability FROM s""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("o_orderpriority") == "1-URGENT", 9.0).otherwise(F.col("o_orderkey") % 7)
-    s = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg(value).alias("m"), F.var_pop(F.col("o_orderkey") % 7).alias("v"), F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("r"))
+    s = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg(value).alias("m"), S.variance(F.col("o_orderkey") % 7).alias("v"), F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("r"))
     return s.select("o_custkey", F.round(S.code_quality(F.col("r"), F.col("m"), F.col("v")), 4).alias("quality"), F.round(S.maintainability(F.col("m"), F.col("r")), 4).alias("maintainability"))
 
 

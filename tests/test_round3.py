@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import scoring
 from stratalith.operators import lineage
+from stratalith.plans import catalog
 
 
 def test_journey_of_a_long_file_is_linear(spark):
@@ -14,3 +15,12 @@ def test_journey_of_a_long_file_is_linear(spark):
     got = lineage.journey(rows, "f", "o", ["o"], F.col("a")).collect()[0]
     assert time.monotonic() - start < 60
     assert (got["n_steps"], got["first_program"], got["last_program"], got["journey"]) == (60_000, "0", "59999", ">".join(["reader", "creator"] * 60))
+
+
+def test_variance_of_two_is_not_below_two(spark, tmp_path):
+    """The running mean of these keys' remainders gives 1.9999999999999998; the variance is 2, which earns nothing."""
+    rows = [(10 + k, 7 * k + x, "3-MEDIUM", "O") for k, x in enumerate([2, 6, 4, 2, 4, 5, 5])]
+    spark.createDataFrame([(1, *r[1:]) for r in rows], "o_custkey long, o_orderkey long, o_orderpriority string, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert catalog.QUERIES["quality_score"](spark, str(tmp_path)).first()["quality"] == 5.0
+    got = spark.createDataFrame([(x,) for x in [2, 6, 4, 2, 4, 5, 5]], "x long").repartition(3).agg(scoring.variance(F.col("x")).alias("v")).first()["v"]
+    assert got == 2.0
