@@ -114,11 +114,12 @@ def estimated_tokens(text: Column) -> Column:
     per = F.when(code, CHARACTERS_PER_TOKEN["code"]).when(signs(text, STRUCTURED_SIGNS) >= 2, CHARACTERS_PER_TOKEN["structured"]).otherwise(CHARACTERS_PER_TOKEN["prose"])
     blank = r"\s\x0B\x1C-\x1F\x85\p{Z}"
     words, letters, marks = (F.regexp_count(text, F.lit(x)) for x in (f"[^{blank}]+", r"[\p{L}\p{N}]", rf"[^\p{{L}}\p{{N}}{blank}]"))
-    more = (
-        F.when(marks / n > 0.1, marks * 0.3).otherwise(0.0) + F.when((words > 0) & (letters / words < 4), words * 0.1).otherwise(0.0) + occurrences(text, "\n") * 0.5
-        + sum((occurrences(text, x) * 0.5 for x in OPERATOR_SIGNS), F.lit(0.0))
+    # one sum from left to right, operators counted before they are weighed: the floor below tells sums apart that differ in their last bit
+    whole = (
+        n / per + F.when(marks / n > 0.1, marks * 0.3).otherwise(0.0) + F.when((words > 0) & (letters / words < 4), words * 0.1).otherwise(0.0) + occurrences(text, "\n") * 0.5
+        + sum((occurrences(text, x) for x in OPERATOR_SIGNS), F.lit(0)) * 0.5
     )
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10), F.least(F.floor(n / per + more), n))).cast("long")
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10), F.least(F.floor(whole), n))).cast("long")
 
 
 #: The first domain one of whose words occurs in a name wins.

@@ -24,3 +24,18 @@ def test_variance_of_two_is_not_below_two(spark, tmp_path):
     assert catalog.QUERIES["quality_score"](spark, str(tmp_path)).first()["quality"] == 5.0
     got = spark.createDataFrame([(x,) for x in [2, 6, 4, 2, 4, 5, 5]], "x long").repartition(3).agg(scoring.variance(F.col("x")).alias("v")).first()["v"]
     assert got == 2.0
+
+
+def test_token_estimate_sums_from_left_to_right(spark):
+    """Prose of 5,376 characters whose sum is an integer in one order and just below it in the other."""
+    n, words, marks, ends = 5376, 1068, 2069, 30
+    parts = ["!" for _ in range(words)]
+    parts[0] = "=="
+    left, letters = marks - words - 1, n - marks - 1500
+    parts[1], parts[2] = parts[1] + "!" * left, parts[2] + "a" * letters
+    gaps = ["\n"] * ends + [" "] * (words - 1 - ends)
+    text = "".join(p + g for p, g in zip(parts, [*gaps, " " * (1500 - words + 1)], strict=True))
+    assert (len(text), len(text.split()), text.count("\n")) == (n, words, ends)
+    want = int(n / 4.2 + marks * 0.3 + words * 0.1 + ends * 0.5 + 1 * 0.5)
+    assert want != int(n / 4.2 + (((marks * 0.3 + words * 0.1) + ends * 0.5) + 0.5))
+    assert spark.createDataFrame([(text,)], "t string").select(scoring.estimated_tokens(F.col("t"))).first()[0] == want
