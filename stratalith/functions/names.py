@@ -65,9 +65,9 @@ def pic_symbols(pic: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(F.contains(p, F.lit("(")), F.repeat(F.substring(p, 1, 1), F.regexp_extract(p, "\\(([0-9]+)\\)", 1).cast("int"))).otherwise(p)), "")
 
 
-def pic_type(pic: Column) -> Column:
+def pic_type(pic: Column, symbols: Column | None = None) -> Column:
     """The SQL type of a picture: DECIMAL(p,s) with a decimal point, INTEGER up to 9 digits, BIGINT up to 18, else VARCHAR(n)."""
-    s = pic_symbols(pic)
+    s = pic_symbols(pic) if symbols is None else symbols  # read many times: a column of its own, if given
     whole, fraction = F.split_part(s, F.lit("V"), F.lit(1)), F.split_part(s, F.lit("V"), F.lit(2))
     digits, decimals = F.regexp_count(whole, F.lit("[9Z]")), F.regexp_count(fraction, F.lit("[9Z]"))
     numeric = s.rlike("^S?[9Z]*V?[9Z]*$") & ((digits + decimals) > 0)

@@ -99,7 +99,7 @@ def only(rules: tuple[Rule, ...], *kinds: str) -> tuple[Rule, ...]:
 def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     """A row for each match: key, line (from 1; of the match's first line for whole-text rules), kind, a, b, c (empty groups are null)."""
     def row(rule: Rule, line: Column, found: Column) -> Column:
-        parts = [F.nullif(F.trim(F.regexp_extract(found, rule.pattern, g)), F.lit("")) if g <= rule.groups else F.lit(None).cast("string") for g in (1, 2, 3)]
+        parts = [F.regexp_extract(found, rule.pattern, g) if g <= rule.groups else F.lit(None).cast("string") for g in (1, 2, 3)]
         return F.struct(line.cast("int").alias("line"), F.lit(rule.kind).alias("kind"), *[p.alias(n) for p, n in zip(parts, "abc", strict=True)])
 
     def matches(rule: Rule, line: Column, body: Column, upper: Column) -> Column:
@@ -116,10 +116,10 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
     whole = [r for r in rules if r.whole]
     comment = r"^(\s*\*|.{6}\*|//\*)"
     source = tidy(F.col(text)) if set(rules) & set(COBOL) else F.coalesce(F.col(text), F.lit(""))
-    split = F.filter(F.transform(F.split(source, "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.rtrim(x).alias("x"), F.upper(x).alias("u"))), lambda s: ~s["x"].rlike(comment))
     out = None
     if lines:
-        by_line = sources.select(key, F.explode(split).alias("s")).select(key, F.explode(F.flatten(F.array(*[matches(r, F.col("s.i"), F.col("s.x"), F.col("s.u")) for r in lines]))).alias("f"))
+        each = sources.select(key, F.posexplode(F.split(source, "\n")).alias("_i", "_l")).select(key, (F.col("_i") + 1).alias("_i"), F.rtrim("_l").alias("_x"), F.upper("_l").alias("_u")).where(~F.col("_x").rlike(comment))
+        by_line = each.select(key, F.explode(F.flatten(F.array(*[matches(r, F.col("_i"), F.col("_x"), F.col("_u")) for r in lines]))).alias("f"))
         out = by_line.select(key, "f.*")
     if whole:
         def ends(x: Column) -> Column:
@@ -137,7 +137,7 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
         found = [found_by(r) for r in whole]
         by_text = sources.select(key, bare.alias("_t")).select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
         out = by_text if out is None else out.unionByName(by_text)
-    return out
+    return out.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in "abc"})
 
 
 #: The facts that edges and the like are made of.
@@ -195,19 +195,18 @@ def field_usage(found: DataFrame, key: str) -> DataFrame:
     return found.select(F.col(key).alias("program"), "line", F.explode(uses).alias("u")).select("program", "line", F.upper("u.field").alias("field"), "u.use").where(F.col("field").rlike("^[A-Z][A-Z0-9-]*$"))
 
 
-def data_items(found: DataFrame, key: str) -> DataFrame:
-    """Fields of a layout: level, name, picture, type, occurs, redefines, usage and the parent group."""
+def data_items(found: DataFrame, key: str, parent: bool = True) -> DataFrame:
+    """Fields of a layout: level, name, picture, type, occurs, redefines, usage and, if asked for, the parent group."""
     from ..functions import names as N
     from .ordered import parents
 
     items = found.where("kind = 'data_item'").select(key, "line", F.col("a").cast("int").alias("level"), F.upper("b").alias("name"), F.upper(F.coalesce("c", F.lit(""))).alias("rest"))
     pic = F.nullif(F.regexp_extract("rest", r"PIC(?:TURE)?\s+(?:IS\s+)?(\S+?)\.?(?:\s|$)", 1), F.lit(""))
     out = items.withColumns({
-        "picture": pic, "redefines": F.nullif(F.regexp_extract("rest", r"REDEFINES\s+([A-Z0-9-]+)", 1), F.lit("")), "occurs": N.occurs(F.col("rest")),
+        "picture": pic, "redefines": F.nullif(F.regexp_extract("rest", r"REDEFINES\s+([A-Z0-9-]+)", 1), F.lit("")), "occurs": F.when(F.contains(F.col("rest"), F.lit("OCCURS")), N.occurs(F.col("rest"))),
         "usage": F.nullif(F.regexp_extract("rest", r"(COMP(?:-[1-5])?|BINARY|PACKED-DECIMAL|DISPLAY|INDEX)\b", 1), F.lit(""))})
-    out = out.withColumn("sql_type", F.when(F.col("picture").isNotNull(), N.pic_type(F.col("picture"))))
-    above = parents(items.where("level not in (66, 88)"), [key], "line", "level", "name").select(key, "line", "parent")
-    return out.join(above, [key, "line"], "left").drop("rest")
+    out = out.withColumn("_symbols", N.pic_symbols(F.col("picture"))).withColumn("sql_type", F.when(F.col("picture").isNotNull(), N.pic_type(F.col("picture"), F.col("_symbols")))).drop("rest", "_symbols")
+    return parents(out, [key], "line", "level", "name", F.col("level").isin(66, 88)) if parent else out
 
 
 def dd_operation(rest: Column) -> Column:

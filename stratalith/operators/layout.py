@@ -7,18 +7,21 @@ that one does and adds nothing to its group; the group is as long as the longest
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 
+LAYOUTS = 256  # whose fields are Python values at a time
 SCHEMA = "line int, level int, name string, parent string, children array<string>, offset int, element_bytes int, bytes int, occurs int, depends_on string, path string"
 
 
-def elementary_bytes(picture: Column, usage: Column) -> Column:
+def elementary_bytes(picture: Column, usage: Column, length: Column | None = None) -> Column:
     """The bytes of an item: by its digits where it is binary or packed, by its characters else; a separate sign is not looked for."""
-    size = F.coalesce(N.pic_length(picture), F.lit(0))
+    size = F.coalesce(N.pic_length(picture) if length is None else length, F.lit(0))
     binary = F.when(size <= 4, 2).when(size <= 9, 4).otherwise(8)
     return (F.when(usage.isin("COMP", "COMP-4", "COMP-5", "BINARY"), binary).when(usage == "COMP-1", 4).when(usage == "COMP-2", 8).when(usage == "INDEX", 4)
             .when(usage.isin("COMP-3", "PACKED-DECIMAL"), F.floor(size / 2) + 1).otherwise(size)).cast("int")
@@ -27,15 +30,15 @@ def elementary_bytes(picture: Column, usage: Column) -> Column:
 def tree(items: DataFrame, key: str) -> DataFrame:
     """The fields of layouts with parents, children, offsets, lengths and paths (see SCHEMA); items as extract.data_items gives them.
 
-    A layout is one source's items; a stack goes through them in order, so a task holds one layout at a time.
+    A layout is one source's items; a stack goes through them in order, so a task holds the fields of a few layouts at a time.
     """
-    rows = items.where("level not in (66, 77, 88)").select(
-        F.col(key).alias("key"), "line", "level", "name", F.coalesce(F.when(F.col("picture").isNotNull() | F.col("usage").isNotNull(), elementary_bytes(F.col("picture"), F.coalesce("usage", F.lit("DISPLAY")))), F.lit(0)).alias("own"),
+    rows = items.where("level not in (66, 77, 88)").withColumn("_length", N.pic_length(F.col("picture"))).select(
+        F.col(key).alias("key"), "line", "level", "name", F.coalesce(F.when(F.col("picture").isNotNull() | F.col("usage").isNotNull(), elementary_bytes(F.col("picture"), F.coalesce("usage", F.lit("DISPLAY")), F.col("_length"))), F.lit(0)).alias("own"),
         F.coalesce("occurs.max", F.lit(1)).alias("occurs"), F.col("occurs.depending_on").alias("depends_on"), "redefines")
     kind = rows.schema["key"].dataType.simpleString()
+    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
-    def build(group: pa.Table) -> pa.Table:
-        fields = sorted(group.to_pylist(), key=lambda r: r["line"])
+    def build(fields: list[dict]) -> list[dict]:
         stack: list[dict] = []
         done: list[dict] = []
 
@@ -63,8 +66,16 @@ def tree(items: DataFrame, key: str) -> DataFrame:
             stack.append(f)
             done.append(f)
         close(0)
-        names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+        return done
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"children": pa.list_(pa.string()), **dict.fromkeys(("name", "parent", "depends_on", "path"), pa.string())}
-        return pa.table([pa.array([f["key"] for f in done], group.schema.field("key").type)] + [pa.array([f[n] for f in done], types.get(n, pa.int32())) for n in names], ["key", *names])
+        for batch in batches:
+            for at in range(0, batch.num_rows, LAYOUTS):
+                some = batch.slice(at, LAYOUTS)
+                built = [build(fields) for fields in some.column(1).to_pylist()]
+                of = pa.array([i for i, fields in enumerate(built) for _ in fields], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(of)] + [pa.array([f[n] for fields in built for f in fields], types.get(n, pa.int32())) for n in names], ["key", *names])
 
-    return rows.groupBy("key").applyInArrow(build, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+    held = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*(c for c in rows.columns if c != "key")))).alias("fields"))
+    return held.mapInArrow(trees, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)

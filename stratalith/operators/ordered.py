@@ -37,25 +37,33 @@ def numbered_names(df: DataFrame, keys: list[str], name: str, order: list[str],
     return df.withColumn(out, F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string"))))
 
 
-def parents(items: DataFrame, keys: list[str], order: str, level: str, name: str) -> DataFrame:
-    """Adds the nearest item before with a smaller level, by a fold over the items of a key.
+def above(items: Column) -> Column:
+    """For each of an array of items (l and n, in order) the name of the nearest one before with a smaller level; an item whose level is null is above none and below none.
 
-    The fold keeps the stack of open levels; the items of a key are one
-    record's layout, some thousand at most.
+    The fold keeps the stack of open levels; the items are one record's layout, some thousand at most.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(level).alias("l"), F.col(name).alias("n"))
-    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    kind = "struct<stack:array<struct<l:int,n:string>>,out:array<struct<o:int,l:int,n:string,p:string>>>"
+    kind = "struct<stack:array<struct<l:int,n:string>>,out:array<string>>"
     zero = F.from_json(F.lit('{"stack":[],"out":[]}'), kind)
 
     def step(acc: Column, x: Column) -> Column:
         stack = F.filter(acc["stack"], lambda s: s["l"] < x["l"])
-        p = F.when(F.size(stack) > 0, F.element_at(stack, -1)["n"])
-        one = F.array(F.struct(x["o"].cast("int").alias("o"), x["l"].cast("int").alias("l"), x["n"].alias("n"), p.alias("p")))
-        return F.struct(F.concat(stack, F.array(F.struct(x["l"].cast("int").alias("l"), x["n"].alias("n")))).alias("stack"), F.concat(acc["out"], one).alias("out")).cast(kind)
+        p = F.when(x["l"].isNotNull() & (F.size(stack) > 0), F.element_at(stack, -1)["n"])
+        one = F.struct(x["l"].cast("int").alias("l"), x["n"].alias("n"))
+        return F.struct(F.when(x["l"].isNull(), acc["stack"]).otherwise(F.concat(stack, F.array(one))).alias("stack"), F.concat(acc["out"], F.array(p)).alias("out")).cast(kind)
 
-    folded = rows.select(*keys, F.explode(F.aggregate("xs", zero, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select(*keys, F.col("x.o").alias(order), F.col("x.l").alias(level), F.col("x.n").alias(name), F.col("x.p").alias("parent"))
+    return F.aggregate(items, zero, step, lambda acc: acc["out"])
+
+
+def parents(items: DataFrame, keys: list[str], order: str, level: str, name: str, skip: Column | None = None) -> DataFrame:
+    """Adds parent, the nearest item before with a smaller level (see ``above``); all columns are kept.  Items for which skip holds neither have nor are one.
+
+    The items go through one aggregation of their key and are joined with nothing: sizes of made rows are not known beforehand, and a join might be broadcast.
+    """
+    open_ = F.col(level) if skip is None else F.when(~skip, F.col(level))
+    item = F.struct(F.col(order).alias("_o"), open_.alias("l"), F.col(name).alias("n"), *(F.col(c) for c in items.columns if c not in keys))
+    rows = items.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs")).select(*keys, "xs", above(F.col("xs")).alias("ps"))
+    rows = rows.select(*keys, F.explode(F.arrays_zip(F.col("xs").alias("x"), F.col("ps").alias("p"))).alias("z"))
+    return rows.select(*(F.col(c) if c in keys else F.col(f"z.x.{c}").alias(c) for c in items.columns), F.col("z.p").alias("parent"))
 
 
 def deepest(marks: Column) -> Column:

@@ -35,28 +35,35 @@ def fixed_chunks(sources: DataFrame, key: str, text: str, size: int = GENERIC) -
     return out.select(F.col("_key").alias(key), "chunk", (F.col("a") + 1).alias("first"), (F.col("b") + 1).alias("last"), "content")
 
 
-def packed(rows: DataFrame, keys: list[str], at: str, weight: Column, limit: int, most: int | None = None) -> DataFrame:
-    """Rows in order as chunks: keys, at and chunk; a chunk ends before the row with which its weight would pass the limit, or after so many rows.
+def packed(rows: DataFrame, keys: list[str], at: str, weight: Column, limit: int, most: int | None = None, whole: bool = False) -> DataFrame:
+    """Rows in order with their chunk, all columns kept; a chunk ends before the row with which its weight would pass the limit, or after so many rows.
 
-    A fold over the rows of a key, which are the lines of one text.
+    whole: rows of a key that weigh no more than the limit together are one chunk, however many they are.  A fold over the rows of
+    a key, which are the lines of one text; it takes the columns along, so that nothing is joined.
     """
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("int").alias("at"), weight.cast("int").alias("w")))).alias("_x"))
-    state = "struct<chunk:int,w:int,n:int,out:array<struct<at:int,chunk:int>>>"
+    rest = [c for c in rows.columns if c not in keys and c != at]
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at), weight.cast("int").alias("_w"), *rest))).alias("_r"))
+    state = "struct<chunk:int,w:long,n:int,out:array<int>>"
 
     def put(s: Column, x: Column) -> Column:
-        new = (s["n"] > 0) & ((s["w"] + x["w"] > limit) | (F.lit(False) if most is None else s["n"] >= most))
+        new = (s["n"] > 0) & ((s["w"] + x > limit) | (F.lit(False) if most is None else s["n"] >= most))
         chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, x["w"]).otherwise(s["w"] + x["w"]).alias("w"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), chunk.alias("chunk")))).alias("out")).cast(state)
+        return F.struct(chunk.alias("chunk"), F.when(new, x).otherwise(s["w"] + x).alias("w"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out")).cast(state)
 
-    begin = F.struct(F.lit(1).alias("chunk"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.array().cast("array<struct<at:int,chunk:int>>").alias("out")).cast(state)
-    return held.select(*keys, F.explode(F.aggregate("_x", begin, put, lambda s: s["out"])).alias("_o")).select(*keys, F.col("_o.at").alias(at), "_o.chunk")
+    begin = F.struct(F.lit(1).alias("chunk"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")).cast(state)
+    weights = F.col("_r._w")
+    chunks = F.aggregate(weights, begin, put, lambda s: s["out"])
+    if whole:
+        chunks = F.when(F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + x) <= limit, F.array_repeat(F.lit(1), F.size("_r"))).otherwise(chunks)
+    each = F.arrays_zip(F.col("_r").alias("r"), chunks.alias("c"))
+    return held.select(*keys, F.explode(each).alias("_z")).select(*keys, *(F.col(f"_z.r.{c}").alias(c) for c in (at, *rest)), F.col("_z.c").alias("chunk"))
 
 
 def token_chunks(sources: DataFrame, key: str, text: str, budget: int = 600, instructions: int = 400) -> DataFrame:
     """Lines as chunks within a budget of tokens that instructions have a share in: key, chunk, first, last, n_tokens."""
-    lines = _lines(sources, key, text).withColumn("_t", tokens(F.col("_x")))
+    lines = _lines(sources, key, text).select("_key", "_i", tokens(F.col("_x")).alias("_t"))
     found = packed(lines, ["_key"], "_i", F.col("_t"), budget - instructions)
-    return lines.join(found, ["_key", "_i"]).groupBy("_key", "chunk").agg((F.min("_i") + 1).alias("first"), (F.max("_i") + 1).alias("last"), F.sum("_t").alias("n_tokens")).withColumnRenamed("_key", key)
+    return found.groupBy("_key", "chunk").agg((F.min("_i") + 1).alias("first"), (F.max("_i") + 1).alias("last"), F.sum("_t").alias("n_tokens")).withColumnRenamed("_key", key)
 
 
 def sections(sources: DataFrame, key: str, text: str, budget: int = TOKENS, lines: int = LINES) -> DataFrame:
@@ -75,11 +82,9 @@ def sections(sources: DataFrame, key: str, text: str, budget: int = TOKENS, line
         found = F.when(test, F.struct(F.lit(kind).alias("type"), F.regexp_extract(u, pattern, 1).alias("name"))).otherwise(found)
     order = Window.partitionBy("_key").orderBy("_i")
     rows = rows.withColumn("_above", above).withColumn("_b", found).withColumns({"_n": F.count_if(F.col("_b").isNotNull()).over(order), "_s": F.last("_b", ignorenulls=True).over(order), "_t": tokens(F.col("_x"))})
-    wide = Window.partitionBy("_key", "_n")
-    rows = rows.withColumn("_sum", F.sum("_t").over(wide))
-    cut = packed(rows.where(F.col("_sum") > budget), ["_key", "_n"], "_i", F.col("_t"), budget, lines).withColumnRenamed("chunk", "_c")
-    rows = rows.join(cut, ["_key", "_n", "_i"], "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
-    out = rows.groupBy("_key", "_n", "_c").agg(F.first("_s").alias("s"), (F.min("_i") + 1).alias("first"), (F.max("_i") + 1).alias("last"), F.sum("_t").alias("n_tokens"), F.max(F.trim("_x") != "").alias("some")).where("some")
+    rows = rows.select("_key", "_n", "_i", "_s", "_t", (F.trim("_x") != "").alias("_some"))
+    rows = packed(rows, ["_key", "_n"], "_i", F.col("_t"), budget, lines, whole=True).withColumnRenamed("chunk", "_c")
+    out = rows.groupBy("_key", "_n", "_c").agg(F.first("_s").alias("s"), (F.min("_i") + 1).alias("first"), (F.max("_i") + 1).alias("last"), F.sum("_t").alias("n_tokens"), F.max("_some").alias("some")).where("some")
     return out.select(F.col("_key").alias(key), F.coalesce("s.type", F.lit("CHUNK")).alias("type"), F.coalesce("s.name", F.lit("")).alias("name"), F.col("_c").alias("part"), "first", "last", "n_tokens")
 
 

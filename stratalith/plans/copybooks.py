@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import copybooks as C
-from .catalog import query, read
+from .catalog import query, read, spread
 
 # Supplier k is a book that copies the book of k div 6 (0 is none), with its tag replaced; one in forty copies itself.
 _BOOK = """concat('01  :TAG:-REC-', k, '.\n    05  X', k, '-:TAG: PIC X(', k % 9 + 1, ').\n    COPY S', IF(k % 40 = 7, k, k div 6), IF(k % 3 = 0, '', concat('\n      REPLACING ==:TAG:== BY\n  ==', IF(k % 3 = 1, ':TAG:', 'FIX'), '-', k, '==')), '.\n    05  PRE-END PIC 9.')"""
@@ -15,7 +15,7 @@ _SOURCE = """concat('       COPY S', p_partkey % 100 + 1, ' REPLACING ==:TAG:==
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.expr("s_suppkey as k")).select("name", F.expr(_BOOK).alias("text"))
-    sources = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("program"), F.expr(_SOURCE).alias("source"))
+    sources = spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("program"), F.expr(_SOURCE).alias("source"))
     return C.segments(sources, "program", "source", books)
 
 
@@ -55,5 +55,5 @@ def copy_line_map(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT program, "group", count(*) AS n, string_agg(kind, ',' ORDER BY kind) AS kinds, string_agg(value, ',' ORDER BY place) AS values, min(place) AS first, max(place) AS last FROM g GROUP BY program, "group" """)
 def replacing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat('COPY ==A', p_partkey, '== BY ==', p_size, '==', repeat('  AND ', p_size), IF(p_size % 2 = 0, '==PIC X(9)==', '==usage COMP=='))")
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("program"), text.alias("source"))
+    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("program"), text.alias("source"))
     return C.replacing_groups(rows, "program", "source").withColumns({c: F.array_join(c, ",") for c in ("kinds", "values")})

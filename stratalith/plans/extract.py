@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import extract as X
 from ..operators import services as V
-from .catalog import query, read
+from .catalog import query, read, spread
 
 def made(template: str) -> Column:
     """A text with the SQL expressions in braces put in."""
@@ -104,7 +104,7 @@ LAYOUT = """01  REC-A.
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
 
 
 def _texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
@@ -142,7 +142,7 @@ def copybook_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS program, 'TXT-' || p_partkey % 4 AS original, 'ALT-B' AS variants, 1 AS n FROM part")
 def redefines_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.redefined(X.data_items(_cobol(spark, sf_dir, "data_item"), "program"), "program")
+    return V.redefined(X.data_items(_cobol(spark, sf_dir, "data_item"), "program", parent=False), "program")
 
 
 @query("""WITH f AS (SELECT 'FLD_' || p_partkey % 3 AS name, 'INTEGER' AS t, p_partkey AS k, p_size AS s FROM part UNION ALL SELECT 'TXT_' || p_partkey % 4, 'VARCHAR(' || p_size || ')', p_partkey, p_size FROM part UNION ALL SELECT 'CELL', 'DECIMAL(9,2)', p_partkey, p_size FROM part UNION ALL SELECT 'ALT_B', 'VARCHAR(4)', p_partkey, p_size FROM part),
@@ -150,7 +150,7 @@ def redefines_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT coalesce(l.name, c.name) AS name, l.t AS layout_type, c.t AS table_type, CASE WHEN c.t IS NULL THEN 'layout_only' WHEN l.t IS NULL THEN 'table_only' WHEN l.t = c.t THEN 'match' ELSE 'type_differs' END AS state FROM l FULL JOIN c ON l.name = c.name""")
 def layout_against_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of all layouts against the columns of a table."""
-    fields = X.data_items(_cobol(spark, sf_dir, "data_item"), "program").where("sql_type is not null").select("name", "sql_type").distinct()
+    fields = X.data_items(_cobol(spark, sf_dir, "data_item"), "program", parent=False).where("sql_type is not null").select("name", "sql_type").distinct()
     table = spark.createDataFrame([("cell", "DECIMAL(9,2)"), ("txt_1", "VARCHAR(10)"), ("owner", "CHAR(8)")], "name string, sql_type string")
     return V.layout_match(fields, table)
 
@@ -226,7 +226,7 @@ def layout_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT program, v, 'TT', 'REC-A' FROM p WHERE v = 1 UNION ALL SELECT program, v, unnest(['AA', 'AB', 'AC']), 'REC-A' FROM p WHERE v = 2 UNION ALL SELECT program, v, 'ODD', 'REC-A' FROM p WHERE v = 3) SELECT program, record, field FROM f""")
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of each copybook with their fields, fillers numbered."""
-    return X.records(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.only(X.COBOL, "data_item")), "program"), "program").select("program", "record", "field")
+    return X.records(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.only(X.COBOL, "data_item")), "program", parent=False), "program").select("program", "record", "field")
 
 
 @query("""WITH p AS (SELECT p_partkey AS program, p_size % 4 AS v FROM part) SELECT program, unnest(['REC-TYPE', 'FILLER', 'NN', 'NN-NONE', 'FILLER']) AS name, unnest([5, 5, 5, 88, 5]) AS level FROM p UNION ALL SELECT program, unnest(['BB', 'FILLER']), 5 FROM p WHERE v = 0
@@ -238,7 +238,7 @@ def simple_layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS program, 'ODD' AS name, 'INVALID_LEVEL_NUMBER' AS rule FROM part WHERE p_size % 4 = 3")
 def level_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.level_violations(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.only(X.COBOL, "data_item")), "program"), "program").select("program", "name", "rule")
+    return X.level_violations(X.data_items(X.facts(_texts(spark, sf_dir, LAYOUT), "program", "text", X.only(X.COBOL, "data_item")), "program", parent=False), "program").select("program", "name", "rule")
 
 
 @query("""WITH p AS (SELECT p_partkey AS program FROM part) SELECT program, unnest([0, 1, 2, 3]) AS chunk, unnest([0, 5, 13, 15]) AS first_line, unnest([5, 8, 2, 23]) AS n_lines, unnest(['division', 'division', 'section', 'division']) AS starts_with FROM p""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import program as S
 from ..operators import programs as P
 from ..operators import relations as J
-from .catalog import query, read
+from .catalog import query, read, spread
 
 # A program for each order in two overlapping sections; a line for each line item, by its part key.
 _LINE = """CASE l_partkey % 7 WHEN 0 THEN concat('           COPY B', l_suppkey % 20, '.') WHEN 1 THEN concat('           call "P', l_partkey, '" USING A') WHEN 2 THEN concat('           EXEC CICS READ DATASET(''F', l_suppkey % 9, ''') END-EXEC')
@@ -92,7 +92,7 @@ def structure_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = """concat('       PROCEDURE DIVISION.\n       A-1.\n           EXEC SQL CALL PR', p_size, ' (:A,\n             :B-', p_partkey % 7, ') END-EXEC\n           EXEC SQL ASSOCIATE ', IF(p_size % 3 = 0, 'RESULT SET ', ''), 'LOCATORS (:L1, :L2)\n', IF(p_size % 2 = 0, concat('             WITH PROCEDURE PR', p_size), ''),
       ' END-EXEC EXEC SQL COMMIT END-EXEC\n           exec sql allocate C', p_partkey % 5, ' cursor for result set :L1 END-EXEC\n      * EXEC SQL CALL GONE END-EXEC\n           MOVE ''EXEC SQL CALL NO'' TO X.')"""
-    sources = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("program"), F.expr(text).alias("source"))
+    sources = spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("program"), F.expr(text).alias("source"))
     return P.procedure_calls(S.statements(sources, "program", "source"), "program").withColumn("parameters", F.array_join("parameters", ","))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import sections as S
-from .catalog import query, read
+from .catalog import query, read, spread
 
 # A source for each part: p_size % 5 + 1 paragraphs of p_size % 9 + 1 lines with ten tokens each; some have text before the first boundary.
 _SOURCE = """concat(IF(p_size % 2 = 0, '* NOTE\n           X = Y\n', ''), '       PROCEDURE DIVISION.\n       MAIN-', p_partkey, ' SECTION.\n', array_join(transform(sequence(1, p_size % 5 + 1), i -> concat('       PARA-', i, '.\n', repeat('           DISPLAY ''A TEXT THAT FOLLOWS''.\n', p_size % 9 + 1))), ''))"""
@@ -22,7 +22,7 @@ _SOURCE = """concat(IF(p_size % 2 = 0, '* NOTE\n           X = Y\n', ''), '
   (CASE WHEN m * 10 + 3 <= 45 THEN m * 10 + 3 ELSE (least(c * 4, m + 1) - (c - 1) * 4 - CASE WHEN c = 1 THEN 1 ELSE 0 END) * 10 + CASE WHEN c = 1 THEN 3 ELSE 0 END END)::BIGINT FROM c""")
 def source_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of at most 45 tokens and four lines a part."""
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("program"), F.expr(_SOURCE).alias("source"))
+    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("program"), F.expr(_SOURCE).alias("source"))
     return S.sections(rows, "program", "source", 45, 4)
 
 
@@ -44,8 +44,8 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS program, 'REC-' || p_size AS field, 'definition' AS operation, 'group' AS data_type, 1 AS line FROM part UNION ALL SELECT p_partkey, 'FLD-' || p_partkey % 7, 'definition', CASE WHEN p_size % 2 = 0 THEN 'INTEGER' ELSE 'VARCHAR(' || p_size || ')' END, 2 FROM part""")
 def definition_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat('       01  REC-', p_size, '.\n           05  FLD-', p_partkey % 7, IF(p_size % 2 = 0, ' PIC 9(5).', concat(' PIC X(', p_size, ').')), '\n             88  IS-SET VALUE 1.\n           05  FILLER PIC X.')")
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("program"), text.alias("source"))
-    return S.definitions(X.data_items(X.facts(rows, "program", "source", X.only(X.COBOL, "data_item")), "program"), "program")
+    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("program"), text.alias("source"))
+    return S.definitions(X.data_items(X.facts(rows, "program", "source", X.only(X.COBOL, "data_item")), "program", parent=False), "program")
 
 
 @query("""WITH p AS (SELECT l_suppkey AS s, l_partkey AS d, min(l_returnflag) AS r FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2), b AS (SELECT d AS component, 'upstream' AS side, s AS neighbour, r FROM p UNION ALL SELECT s, 'downstream', d, r FROM p),

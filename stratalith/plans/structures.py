@@ -11,7 +11,7 @@ from ..operators.keep import fresh
 from ..sources import buckets, catalogue
 from ..streaming import rings
 from ..streaming.windows import run_once, stream_of
-from .catalog import query, read
+from .catalog import query, read, spread
 
 # Each event as an analysis: numbers, texts, lists of either, and a key whose type changes from event to event.
 _PROPS = """concat('{"k": ', get_json_object(props, '$.k'), ', "kind": "', event_type, '", "tags": ["', event_type, '", "u', user_id % 3, '"], "seen": [', event_id % 5, ', ', event_id % 7, '.5], "mixed": ',
@@ -58,8 +58,8 @@ _LAYOUT = """concat('000100 01  REC-A.\n000200     05  HEAD.\n000300         10
  UNION ALL SELECT program, 'RATE', 'TAB', '', (tab + s)::INTEGER, 8, 1, NULL FROM r UNION ALL SELECT program, 'ALT', 'REC-A', 'WIDE', tab::INTEGER, (s * 2)::INTEGER, 1, NULL FROM r
  UNION ALL SELECT program, 'WIDE', 'ALT', '', tab::INTEGER, (s * 2)::INTEGER, 1, NULL FROM r UNION ALL SELECT program, 'LAST-PART', 'REC-A', '', last::INTEGER, 3, 1, NULL FROM r""")
 def layout_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("program"), F.expr(_LAYOUT).alias("source"))
-    fields = layout.tree(X.data_items(X.facts(sources, "program", "source", X.only(X.COBOL, "data_item")), "program"), "program")
+    sources = spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("program"), F.expr(_LAYOUT).alias("source"))
+    fields = layout.tree(X.data_items(X.facts(sources, "program", "source", X.only(X.COBOL, "data_item")), "program", parent=False), "program")
     return fields.select("program", "name", "parent", F.array_join("children", ",").alias("children"), "offset", "bytes", "occurs", "depends_on")
 
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from stratalith.functions import scoring
-from stratalith.operators import lineage
+from stratalith.operators import lineage, ordered
 from stratalith.plans import catalog
 
 
@@ -39,3 +39,24 @@ def test_token_estimate_sums_from_left_to_right(spark):
     want = int(n / 4.2 + marks * 0.3 + words * 0.1 + ends * 0.5 + 1 * 0.5)
     assert want != int(n / 4.2 + (((marks * 0.3 + words * 0.1) + ends * 0.5) + 0.5))
     assert spark.createDataFrame([(text,)], "t string").select(scoring.estimated_tokens(F.col("t"))).first()[0] == want
+
+
+def test_layouts_and_sections_are_joined_with_nothing(spark, sf_dir):
+    """Spark would broadcast one side of such a join by the size of the part table's file, and the driver would hold all made rows."""
+    for name in ("layout_tree", "source_sections", "copybook_fields", "token_chunks"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan, name
+
+
+def test_sources_of_a_small_table_go_to_many_tasks(spark, sf_dir):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("embedded_commands", "layout_tree", "source_sections", "field_references_by_operation", "cobol_calls"):
+        df = catalog.QUERIES[name](spark, sf_dir)
+        assert df.rdd.getNumPartitions() >= parts and df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() == parts, name
+
+
+def test_parents_keep_columns_and_skip(spark):
+    rows = [("p", 1, 1, "A", "x"), ("p", 2, 5, "B", "y"), ("p", 3, 88, "C", "z"), ("p", 4, 10, "D", None), ("p", 5, 5, "E", "w")]
+    items = spark.createDataFrame(rows, "k string, at int, level int, name string, more string")
+    got = ordered.parents(items, ["k"], "at", "level", "name", F.col("level") == 88).orderBy("at").collect()
+    assert [tuple(r) for r in got] == [(*r, p) for r, p in zip(rows, [None, "A", None, "B", "A"], strict=True)]
