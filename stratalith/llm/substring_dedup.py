@@ -13,7 +13,7 @@ runs of words.  There are two kinds of them:
   in five agree, and both together must have ``min_words`` words.  So a passage
   of sixty words is found with two or three of its words altered, wherever
   they stand, and what is removed ends where the texts part.
-* Blocks, if asked for: a text is cut before every word whose hash is the least among its
+* Blocks, unless switched off: a text is cut before every word whose hash is the least among its
   ``RADIUS`` neighbours on either side and among ``BLOCK_RADIUS`` of them for
   blocks, some fifty words (of equal words the first, and never at a word that
   only repeats the one before).  Blocks get MinHash bands over their five-word
@@ -46,6 +46,7 @@ not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,8 @@ CROWD = 16  # blocks of a band value, up to which each is paired with each
 WINDOW, SIDE, SHIFT = 12, 16, 2  # shingles of a short paragraph; words beside a seed; words that one side may run ahead
 COST = 5  # of an altered word in words, so that one in five may be altered
 PASSAGES = "doc_id long, text_key long, start long, end long, n_words long, n_removed_words long, removed boolean, clusters array<long>, cuts array<struct<start: long, end: long>>"
-#: A paragraph of a text that may repeat.  Seeds have a key, a name of what is around them, the number of words before them there, and bytes with each word's gap
-#: and length; blocks have the keys of their bands, a fingerprint and their shingles.
+#: A paragraph of a text that may repeat.  Seeds have a key, a name of what is around them, the number of words before them there, and bytes with each word's length
+#: and gap; blocks have the keys of their bands, a fingerprint and their shingles.
 HIT = "doc_id long, text_key long, start long, end long, first_word long, last_word long, key long, around long, at int, steps binary, keys array<long>, fp long, shingles array<long>"
 _rng = np.random.Generator(np.random.PCG64(11))
 _FACTOR = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,14 +83,25 @@ def tune_bands(percent: int = PERCENT, recall: float = RECALL, unlike: int = 20,
 
 
 class Paragraphs:
-    """The pieces, seeds and blocks of a block of texts, as ranges of its words."""
+    """The seeds and blocks of a batch of texts, as ranges of its words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         low = textkit.LOWER[data]
         self.starts, self.ends, self.first = textkit.words(low, offsets)
         n = len(self.starts)
         self.hashes = textkit.word_hashes(low, self.starts, self.ends)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        self.offsets = offsets
+        self.power, self.inverse = textkit._power(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hashes * self.power[:n], out=self.sums[1:])
+        self.shingles = textkit.windows(self.hashes, WORDS)
+
+    @cached_property
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of pieces and those of blocks; worked out only where they are asked for."""
+        n = len(self.starts)
+        doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
         never = np.uint64(0xFFFFFFFFFFFFFFFF)
         value = self.hashes.copy()  # that a word is cut by: one that repeats the word before it is never least
         value[1:][(self.hashes[1:] == self.hashes[:-1]) & (doc[1:] == doc[:-1])] = never
@@ -99,24 +111,31 @@ class Paragraphs:
             least[k:] &= apart | (value[k:] < value[:-k])
             least[:-k] &= apart | (value[:-k] <= value[k:])  # of equal words the first
         least[self.first[:-1][np.diff(self.first) > 0]] = True
-        self.begin = np.flatnonzero(least)
-        self.end = np.append(self.begin[1:], n) if n else self.begin
-        self.doc, self.size = doc[self.begin], self.end - self.begin
-        wide = np.ones(len(self.begin), bool)  # of cuts, which are least among more neighbours
+        begin = np.flatnonzero(least)
+        doc = doc[begin]
+        wide = np.ones(len(begin), bool)  # of cuts, which are least among more neighbours
         for k in range(RADIUS + 1, BLOCK_RADIUS + 1):
-            for other, tie in ((self.begin - k, False), (self.begin + k, True)):
-                inside = (other >= self.first[self.doc]) & (other < self.first[self.doc + 1])
-                mine, its = value[self.begin[inside]], value[other[inside]]
+            for other, tie in ((begin - k, False), (begin + k, True)):
+                inside = (other >= self.first[doc]) & (other < self.first[doc + 1])
+                mine, its = value[begin[inside]], value[other[inside]]
                 wide[inside] &= (mine < its) | (tie & (mine == its))
-        wide[np.append(True, self.doc[1:] != self.doc[:-1])[: len(wide)]] = True
-        self.block_begin = self.begin[wide]
-        self.block_end = np.append(self.block_begin[1:], n) if n else self.block_begin
-        self.chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.offsets = offsets
-        self.power, self.inverse = textkit._power(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * self.power[:n], out=self.sums[1:])
-        self.shingles = textkit.windows(self.hashes, WORDS)
+        wide[np.append(True, doc[1:] != doc[:-1])[: len(wide)]] = True
+        return begin, begin[wide]
+
+    def _behind(self, begin: np.ndarray) -> np.ndarray:
+        return np.append(begin[1:], len(self.starts)) if len(self.starts) else begin
+
+    @property
+    def begin(self) -> np.ndarray:
+        return self.cuts[0]
+
+    @property
+    def end(self) -> np.ndarray:
+        return self._behind(self.begin)
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.end - self.begin
 
     def named(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """A hash of the words of each range."""
@@ -164,13 +183,21 @@ class Paragraphs:
         return seeds[whole], first[whole], last[whole]
 
     def steps(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
-        """For each range its words' gaps to the word before and lengths, a byte each."""
+        """For each range the lengths of its words, a byte each, and then, unless all are 1, their gaps to the word before."""
         at, to = self.chars[self.starts], self.chars[self.ends]
-        both = np.empty((len(at), 2), np.uint8)
-        both[:, 0], both[:, 1] = np.append(0, at[1:] - to[:-1]) if len(at) else at, to - at
         size = last - first
-        word = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return _bytes(both[word], np.concatenate([[0], np.cumsum(2 * size)]))
+        row, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        word = first[row] - begin[row] + np.arange(len(row))
+        gap = (np.append(0, at[1:] - to[:-1]) if len(at) else at)[word]
+        gap[begin[size > 0]] = 1  # lies before the range
+        odd = np.zeros(len(size), bool)
+        odd[row[gap != 1]] = True
+        offsets = np.concatenate([[0], np.cumsum(size * (1 + odd))])
+        place = offsets[row] - begin[row] + np.arange(len(row))
+        out, more = np.empty(offsets[-1], np.uint8), odd[row]
+        out[place] = (to - at)[word]
+        out[place[more] + size[row[more]]] = gap[more]
+        return _bytes(out, offsets)
 
     def sides(self, seeds: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Four bytes for each of the SIDE words to the left of each seed, the nearest first, and to its right; zeros where there is none."""
@@ -185,8 +212,10 @@ class Paragraphs:
 
     def blocks(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         """The blocks of min_words words or more, and of enough words for a shingle."""
-        long = self.block_end - self.block_begin >= max(min_words, WORDS)
-        return self.block_begin[long], self.block_end[long]
+        begin = self.cuts[1]
+        end = self._behind(begin)
+        long = end - begin >= max(min_words, WORDS)
+        return begin[long], end[long]
 
     def bands(self, first: np.ndarray, last: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """A key for each band (axis 0) of each range."""
@@ -388,7 +417,7 @@ def _alike(nodes: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
 
 def _repeated(hits: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """around, at, cluster, low (the least document of the cluster), and left and right, the words beside a seed that repeat."""
-    words = (F.length("steps") / 2).cast("long")
+    words = F.col("last_word") - F.col("first_word")
     nodes = table(hits.where("key is not null").groupBy("around", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").cast("long").alias("at"), F.min(words).alias("words")), "seeds")
     links = table(_alike(nodes, docs, min_words), "alike")
     roots = components(links.select(F.col("around").alias("a"), F.col("head").alias("b")))
@@ -410,12 +439,17 @@ def _spans(seeds: DataFrame) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textkit.flat(batch.column("steps"))
-            ahead = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
-            start, first, at, left, right = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "first_word", "at", "left", "right"))
+            start, first, last, at, left, right = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "first_word", "last_word", "at", "left", "right"))
             begin, end = at - left, at + WORDS + right  # words from the first one of the surroundings
-            zero = ahead[offsets[:-1] + 1]  # the first word's gap lies before it
+            size = last - first
+            row, zero = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            place = offsets[row] - zero[row] + np.arange(len(row))
+            length, gap, odd = data[place].astype(np.int64), np.ones(len(row), np.int64), (np.diff(offsets) > size)[row]
+            gap[odd] = data[place[odd] + size[row[odd]]]
+            behind = np.cumsum(length + gap)  # each word's end
+            ahead = behind - length
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(start + ahead[offsets[:-1] + 2 * begin + 1] - zero), pa.array(start + ahead[offsets[:-1] + 2 * end] - zero),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(start + ahead[zero + begin] - ahead[zero]), pa.array(start + behind[zero + end - 1] - ahead[zero]),
                  pa.array(first + begin), pa.array(first + end), batch.column("cluster"), batch.column("goes")], [x.split()[0] for x in schema.split(", ")])
 
     return seeds.mapInArrow(place, schema)
@@ -446,7 +480,7 @@ def _passages(docs: DataFrame, percent: int, recall: float, min_words: int, bloc
     shared = table(shared, "shared")
     hits = table(_hits(docs, shared, bands, rows, min_words, blocks), "hits")
     span = ["doc_id", "text_key", "start", "end", "first_word", "last_word"]
-    seeds = hits.where("key is not null").select("doc_id", "text_key", "start", "first_word", "at", "steps", "around").join(_repeated(hits, docs, min_words), "around")
+    seeds = hits.where("key is not null").select("doc_id", "text_key", "start", "first_word", "last_word", "at", "steps", "around").join(_repeated(hits, docs, min_words), "around")
     runs = _spans(seeds.withColumn("goes", F.col("doc_id") > F.col("low"))).withColumn("near", F.lit(False))
     if blocks:
         near = hits.where("fp is not null").select(*span, "fp").join(_near_blocks(hits, percent).withColumnRenamed("node", "fp"), "fp")
@@ -516,7 +550,7 @@ def _passages(docs: DataFrame, percent: int, recall: float, min_words: int, bloc
     return found.mapInArrow(joined, PASSAGES)
 
 
-def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, blocks: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, blocks: bool = True) -> DataFrame:
     """A row for each passage that repeats across documents.
 
     doc_id, start, end (characters), n_words, n_removed_words, removed (whether

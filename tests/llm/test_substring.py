@@ -116,3 +116,32 @@ def test_chains_do_not_hang_on_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got[0] == got[1] and {i for i, *_ in got[0]} <= set(range(400)) and len({i for i, *_, gone in got[0] if gone}) >= 395
+
+
+def test_paragraphs_in_another_order_are_found_by_their_bands(spark):
+    """Two runs of 21 words change places: each is too short around a seed, but four shingles in five of the whole paragraph agree."""
+    rnd, texts = random.Random(11), []
+    for _ in range(12):
+        some = words(rnd, 41)
+        data, starts, ends = _placed(some)
+        some = [some[k] for k in np.argsort(textkit.word_hashes(data, starts, ends))]
+        least, rest = some[0], some[1:]  # the least word begins the text, so that it is one paragraph
+        left, right = [least, *rest[::2]], [least, *rest[1::2]]
+        texts += [" ".join(left + right), " ".join(right + left)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert S.repeated_passages(docs, blocks=False).count() == 0
+    found = {r["doc_id"] for r in S.repeated_passages(docs).where("removed").collect()}
+    assert len(found) >= 11 and all(k % 2 for k in found)
+
+
+def _placed(some):
+    data = np.frombuffer(" ".join(some).encode(), np.uint8)
+    starts, ends, _ = textkit.words(data, np.array([0, len(data)]))
+    return data, starts, ends
+
+
+def test_gaps_between_words_are_kept_where_they_are_wide():
+    texts = ["aa bb  cc\n\n\nd eeeee", "x y z w v"]
+    p = S.Paragraphs(*textkit.flat(pa.array(texts)))
+    got = p.steps(np.array([0, 1, 5]), np.array([5, 3, 10])).to_pylist()
+    assert [list(x) for x in got] == [[2, 2, 2, 1, 5, 1, 1, 2, 3, 1], [2, 2, 1, 2], [1] * 5]
