@@ -560,7 +560,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = R
     return _passages(docs, percent, recall, min_words, blocks).drop("text_key")
 
 
-def cuts(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, blocks: bool = False) -> DataFrame:
+def cuts(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, blocks: bool = True) -> DataFrame:
     """doc_id, text_key and the spans that go (cuts) of each text of which anything goes; see without()."""
     return _passages(docs, percent, recall, min_words, blocks).where("removed").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
@@ -594,6 +594,6 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-def without_repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, blocks: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, blocks: bool = True) -> DataFrame:
     """docs with the repeated passages cut out; see without()."""
     return without(docs, cuts(docs, percent, recall, min_words, blocks))

@@ -132,6 +132,7 @@ def test_paragraphs_in_another_order_are_found_by_their_bands(spark):
     assert S.repeated_passages(docs, blocks=False).count() == 0
     found = {r["doc_id"] for r in S.repeated_passages(docs).where("removed").collect()}
     assert len(found) >= 11 and all(k % 2 for k in found)
+    assert {r["doc_id"] for r in S.cuts(docs).collect()} == found
 
 
 def _placed(some):
