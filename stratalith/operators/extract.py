@@ -133,7 +133,7 @@ def facts(sources: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> D
             each = F.filter(F.arrays_zip(hits.alias("m"), parts.alias("p"), above.alias("h")), lambda z: z["m"].isNotNull())
             return F.transform(each, lambda z: row(rule, z["p"] + z["h"] + 1, z["m"]))
 
-        bare = F.array_join(F.transform(F.split(source, "\n"), lambda x: F.when(x.rlike(comment), "").otherwise(x)), "\n")
+        bare = F.regexp_replace(source, r"(?md)^(?:[^\S\n]*\*|[^\n\r\u0085\u2028\u2029]{6}\*|//\*)[^\n]*", "")
         found = [found_by(r) for r in whole]
         by_text = sources.select(key, bare.alias("_t")).select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
         out = by_text if out is None else out.unionByName(by_text)

@@ -10,6 +10,8 @@ A target that a program does not have leads nowhere.  Loops are followed once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,26 +36,37 @@ def tidy(text: Column) -> Column:
 
     A line is in fixed form if six digits stand before column 7, or six blanks with eight digits from column 73 on.
     """
-    # In this order, each in one pass over the whole text; nothing is done line by line in a lambda.
-    steps = (
-        (r"\r\n", "\n"),
+    # In this order, each in one pass over the whole text; nothing is done line by line in a lambda.  What is looked at more than once is
+    # bound by _with, or Spark would work it out again for each use; continued lines are looked for by regular expression only where there are any.
+    fixed = (
         (r"(?md)^[0-9]{6}(?=[ *\-/\n]|\z)(.{0,66}).*$", "      $1"),
         (r"(?md)^( {6}[ *\-/].{65})[0-9]{8}[^\S\n]*$", "$1"),
         (r"(?md)^(?:[^\S\n]*\*|.{6}[*/]|//\*).*$", ""),
-        (r"\n {6}- *['\"]", _JOIN),
-        (r" *\n {6}- *+(?!['\"])", _JOIN),
     )
-    joined = F.coalesce(text, F.lit(""))
-    for pattern, new in steps:
-        joined = F.regexp_replace(joined, pattern, new)
+    continued = ((r"\n {6}- *['\"]", _JOIN), (r" *\n {6}- *+(?!['\"])", _JOIN))
+
+    def passed(x: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+        for pattern, new in steps:
+            x = F.regexp_replace(x, pattern, new)
+        return x
 
     def whole(x: Column) -> Column:
         bare = F.replace(x, F.lit(_JOIN), F.lit(""))
         return F.concat(bare, F.repeat(F.lit("\n"), F.length(x) - F.length(bare)))  # lines below keep their numbers
 
-    more = rf"[^\n]*{_JOIN}[^\n]*"
-    parts = F.arrays_zip(F.split(joined, more).alias("p"), F.regexp_extract_all(joined, F.lit(more), F.lit(0)).alias("h"))
-    return F.when(F.contains(joined, F.lit(_JOIN)), F.array_join(F.transform(parts, lambda z: F.concat(z["p"], F.coalesce(whole(z["h"]), F.lit("")))), "")).otherwise(joined)
+    def joined(x: Column) -> Column:
+        more = rf"[^\n]*{_JOIN}[^\n]*"
+        parts = F.arrays_zip(F.split(x, more).alias("p"), F.regexp_extract_all(x, F.lit(more), F.lit(0)).alias("h"))
+        return F.array_join(F.transform(parts, lambda z: F.concat(z["p"], F.coalesce(whole(z["h"]), F.lit("")))), "")
+
+    free = passed(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), fixed)
+    has = [lambda x, mark=mark: F.contains(x, F.lit(mark)) for mark in ("\n      -", _JOIN)]
+    return _with(free, lambda x: F.when(has[0](x) | has[1](x), _with(passed(x, continued), lambda y: F.when(has[1](y), joined(y)).otherwise(y))).otherwise(x))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def statements(sources: DataFrame, key: str, text: str) -> DataFrame:

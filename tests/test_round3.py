@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from stratalith.functions import scoring
-from stratalith.operators import lineage, ordered
+from stratalith.operators import lineage, ordered, program
 from stratalith.plans import catalog
 
 
@@ -60,3 +60,9 @@ def test_parents_keep_columns_and_skip(spark):
     items = spark.createDataFrame(rows, "k string, at int, level int, name string, more string")
     got = ordered.parents(items, ["k"], "at", "level", "name", F.col("level") == 88).orderBy("at").collect()
     assert [tuple(r) for r in got] == [(*r, p) for r, p in zip(rows, [None, "A", None, "B", "A"], strict=True)]
+
+
+def test_a_source_is_tidied_once(spark):
+    """Each pass over the text stands once in the plan: what uses its result does not work it out again."""
+    plan = spark.range(1).select(program.tidy(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("regexp_replace(") <= 5
