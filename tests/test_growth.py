@@ -37,3 +37,17 @@ def test_sources_of_orders_are_made_behind_the_shuffle(spark, sf_dir):
         df = catalog.QUERIES[name](spark, sf_dir)
         lines = plan(df).splitlines()
         assert sum("Exchange" in x for x in lines) == 1 and any("REPARTITION_BY_NUM" in x for x in lines), name
+
+
+def test_control_flow_shuffles_numbers_once(spark, sf_dir):
+    """Sources that are dealt by their key are followed where they are; nothing is joined or written in between."""
+    df = catalog.QUERIES["control_flow_paths"](spark, sf_dir)
+    got = plan(df)
+    assert sum("Exchange" in x for x in got.splitlines()) == 1 and "Join" not in got and "Scan ExistingRDD" not in got
+
+
+def test_paragraph_before_section_of_one_name(spark):
+    text = "PROCEDURE DIVISION.\nX SECTION.\nA.\n PERFORM B THRU X PERFORM NONE PERFORM X.\nB.\n GO TO X.\nC.\n PERFORM C THRU NONE.\nB.\n EXIT.\nA SECTION.\nX.\n GO TO B, NONE DEPENDING ON I.\nD.\n STOP RUN."
+    st = program.statements(spark.createDataFrame([("p", text)], "k string, t string"), "k", "t")
+    got = [(r["path_id"], r["entry_point"], r["last_point"], r["paragraphs"], r["exit_points"], r["called_paragraphs"], r["loops"]) for r in program.control_flow(st, "k").orderBy("path_id").collect()]
+    assert got == [("PATH_1", "B", "X", ["B", "X"], ["X"], [], True), ("PATH_2", "C", "C", ["C"], ["C"], ["C"], False), ("PATH_3", "X", "X", ["B", "X"], ["X"], [], True)]
