@@ -94,7 +94,8 @@ def sharing(uses: DataFrame, component: str, target: str) -> DataFrame:
     sets = uses.groupBy("c").agg(F.count("*").alias("n"), of(1), of(2))
     classes = sets.groupBy("n", "h1", "h2").agg(F.min("c").alias("a"))
     members = sets.join(classes, ["n", "h1", "h2"]).select("a", F.col("c").alias("b"))
-    own = uses.join(classes.select(F.col("a").alias("c")), "c", "left_semi")
+    # pairs are many times as large as uses, so uses are dealt to four times as many tasks as a shuffle has, which Spark does not join by their small size
+    own = uses.join(classes.select(F.col("a").alias("c")), "c", "left_semi").repartition(4 * int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t")
     pairs = own.select(F.col("c").alias("a"), "t").join(own.select(F.col("c").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
     return members.where("a <> b").withColumn("kind", F.lit("same_targets")).unionByName(pairs.withColumn("kind", F.lit("shares")))
 

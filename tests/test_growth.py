@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stratalith.operators import program
+from stratalith.operators import program, programs, relations
 from stratalith.plans import catalog
 
 
@@ -51,3 +51,29 @@ def test_paragraph_before_section_of_one_name(spark):
     st = program.statements(spark.createDataFrame([("p", text)], "k string, t string"), "k", "t")
     got = [(r["path_id"], r["entry_point"], r["last_point"], r["paragraphs"], r["exit_points"], r["called_paragraphs"], r["loops"]) for r in program.control_flow(st, "k").orderBy("path_id").collect()]
     assert got == [("PATH_1", "B", "X", ["B", "X"], ["X"], [], True), ("PATH_2", "C", "C", ["C"], ["C"], ["C"], False), ("PATH_3", "X", "X", ["B", "X"], ["X"], [], True)]
+
+
+def test_relations_of_a_report_are_found_once(spark, sf_dir):
+    got = plan(catalog.QUERIES["program_reports"](spark, sf_dir))
+    assert got.count("[l_orderkey#") and sum("Scan parquet" in x and "l_orderkey" in x for x in got.splitlines()) == 1 and "REPARTITION_BY_NUM" in got
+
+
+def test_report_of_a_program_that_needs_nothing(spark):
+    rows = [("p", "sql", "T", 0.8), ("p", "field", "F", 0.9), ("q", "call", "x", 0.8), ("q", "call", "X", 0.8), ("q", "copybook", "X", 0.9)]
+    df = spark.createDataFrame(rows, "k string, category string, target string, confidence double")
+    some = spark.createDataFrame([("x",)], "name string")
+    got = {r["k"]: r for r in programs.program_report(df, "k", some, some.where("false")).collect()}
+    assert (got["p"]["n_sql"], got["p"]["n_field"], got["p"]["called_programs"], got["p"]["has_missing"], got["p"]["confidence"]) == (1, 1, [], False, 0.85)
+    assert (got["q"]["n_call"], got["q"]["called_programs"], got["q"]["missing_programs"], got["q"]["required_copybooks"], got["q"]["missing_copybooks"]) == (2, ["X"], ["X"], ["X"], [])
+
+
+def test_targets_are_dealt_to_many_tasks(spark):
+    """Pairs are made in tasks that Spark does not join by the small size of the uses."""
+    uses = spark.range(3000).select((F.col("id") % 300).alias("c"), (F.col("id") * 7 % 100).alias("t"))
+    assert plan(relations.sharing(uses, "c", "t")).count("REPARTITION_BY_NUM") >= 1
+
+
+def test_layouts_go_to_many_tasks(spark, sf_dir):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("record_fields", "level_violations"):
+        assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= parts, name
