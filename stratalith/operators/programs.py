@@ -54,15 +54,13 @@ def program_report(relations: DataFrame, key: str, books: DataFrame, programs: D
 
     books and programs: names (column name) that there are.
     """
-    counts = relations.groupBy(key).agg(*(F.count_if(F.col("category") == c).alias(f"n_{c}") for c in CONFIDENCE), F.round(F.avg("confidence"), 4).alias("confidence"))
-    wanted = relations.where(F.col("category").isin("copybook", "call", "cics_program")).select(key, F.when(F.col("category") == "copybook", "book").otherwise("program").alias("kind"), F.upper("target").alias("name")).distinct()
+    # Relations are found once: those that need nothing stay beside the others, with a kind that nothing has and names that go to all tasks.
+    kind = F.when(F.col("category") == "copybook", "book").when(F.col("category").isin("call", "cics_program"), "program").otherwise("")
+    rows = relations.select(key, "category", "confidence", kind.alias("kind"), F.when(kind == "", F.col(key).cast("string")).otherwise(F.upper("target")).alias("name"))
     known = books.select(F.lit("book").alias("kind"), F.upper("name").alias("name")).union(programs.select(F.lit("program"), F.upper("name"))).distinct().withColumn("known", F.lit(True))
-    needs = wanted.join(known, ["kind", "name"], "left").groupBy(key).agg(*(
-        F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.lit(True) if every else F.col("known").isNull()), F.col("name")))).alias(out)
-        for kind, every, out in (("book", True, "required_copybooks"), ("program", True, "called_programs"), ("book", False, "missing_copybooks"), ("program", False, "missing_programs"))))
-    none = F.array().cast("array<string>")
-    out = counts.join(needs, key, "left").withColumns({c: F.coalesce(c, none) for c in ("required_copybooks", "called_programs", "missing_copybooks", "missing_programs")})
-    return out.withColumn("has_missing", (F.size("missing_copybooks") > 0) | (F.size("missing_programs") > 0))
+    return rows.join(known, ["kind", "name"], "left").groupBy(key).agg(*(F.count_if(F.col("category") == c).alias(f"n_{c}") for c in CONFIDENCE), F.round(F.avg("confidence"), 4).alias("confidence"), *(
+        F.array_sort(F.collect_set(F.when((F.col("kind") == kind) & (F.lit(True) if every else F.col("known").isNull()), F.col("name")))).alias(out)
+        for kind, every, out in (("book", True, "required_copybooks"), ("program", True, "called_programs"), ("book", False, "missing_copybooks"), ("program", False, "missing_programs")))).withColumn("has_missing", (F.size("missing_copybooks") > 0) | (F.size("missing_programs") > 0))
 
 
 #: Calls, structures and beginnings of constants of message queues.

@@ -9,6 +9,7 @@ from ..operators import program as S
 from ..operators import programs as P
 from ..operators import relations as J
 from .catalog import query, read, spread
+from .program import each, items
 
 # A program for each order in two overlapping sections; a line for each line item, by its part key.
 _LINE = """CASE l_partkey % 7 WHEN 0 THEN concat('           COPY B', l_suppkey % 20, '.') WHEN 1 THEN concat('           call "P', l_partkey, '" USING A') WHEN 2 THEN concat('           EXEC CICS READ DATASET(''F', l_suppkey % 9, ''') END-EXEC')
@@ -16,8 +17,7 @@ _LINE = """CASE l_partkey % 7 WHEN 0 THEN concat('           COPY B', l_suppkey
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_partkey", "l_linenumber", "l_suppkey", F.expr(_LINE).alias("t")).alias("p"))
-    whole = rows.groupBy(F.col("l_orderkey").alias("program")).agg(F.array_sort(F.collect_list("p"))["t"].alias("lines"))
+    whole = items(spark, sf_dir, "l_partkey", "l_linenumber", "l_suppkey").select("program", each(_LINE).alias("lines"))
     half = F.greatest(F.lit(1), F.floor(F.size("lines") / 2)).cast("int")
     both = F.array(F.struct(F.lit(1).alias("first"), F.array_join("lines", "\n").alias("text")), F.struct(half.alias("first"), F.array_join(F.slice("lines", half, F.size("lines")), "\n").alias("text")))
     return whole.select("program", F.explode(both).alias("s")).select("program", "s.*")
