@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keep import kept
+from .program import bound
 
 _WORD = "[A-Z0-9-]"
 _OPERAND = r"(?:==.*?==|'[^']*'|\"[^\"]*\"|[^\s=.'\"]+)"
@@ -52,15 +53,18 @@ def replaced(text: Column, list_: Column) -> Column:
         behind = F.when(p["kind"] == "LEADING", f"(?={_WORD})").when((p["kind"] == "TRAILING") | p["old"].rlike(f"{_WORD}$"), f"(?!{_WORD})").otherwise("")
         return F.concat(F.lit("(?i:"), before, body, behind, F.lit(")"))
 
-    some = F.filter(list_, lambda p: p["old"] != "")
-    either = F.array_join(F.transform(some, pattern), "|")
+    def passed(some: Column) -> Column:
+        def put(hit: Column) -> Column:
+            return bound(F.upper(F.regexp_replace(hit, r"\s+", " ")), lambda plain: F.coalesce(F.get(F.filter(some, lambda p: p["old"] == plain), F.lit(0))["new"], F.lit("")))
 
-    def put(hit: Column) -> Column:
-        plain = F.upper(F.regexp_replace(hit, r"\s+", " "))
-        return F.coalesce(F.get(F.filter(some, lambda p: p["old"] == plain), F.lit(0))["new"], F.lit(""))
+        def by(either: Column) -> Column:
+            each = F.arrays_zip(F.split(text, either).alias("part"), F.regexp_extract_all(text, either, F.lit(0)).alias("hit"))  # one part more than hits
+            return F.array_join(F.transform(each, lambda z: F.concat(z["part"], F.when(z["hit"].isNull(), "").otherwise(put(z["hit"])))), "")
 
-    each = F.arrays_zip(F.split(text, either).alias("part"), F.regexp_extract_all(text, either, F.lit(0)).alias("hit"))  # one part more than hits
-    return F.when(F.size(some) == 0, text).otherwise(F.array_join(F.transform(each, lambda z: F.concat(z["part"], put(z["hit"]))), ""))
+        return F.when(F.size(some) == 0, text).otherwise(bound(F.array_join(F.transform(some, pattern), "|"), by))
+
+    # A pattern of its own for each text is dear, so only what the text can have is looked for.
+    return bound(F.upper(text), lambda u: bound(F.filter(list_, lambda p: (p["old"] != "") & F.contains(u, F.substring_index(p["old"], " ", 1))), passed))
 
 
 def _segments(rows: DataFrame, keep: list[str]) -> DataFrame:

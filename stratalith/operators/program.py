@@ -38,7 +38,7 @@ def tidy(text: Column) -> Column:
     A line is in fixed form if six digits stand before column 7, or six blanks with eight digits from column 73 on.
     """
     # In this order, each in one pass over the whole text; nothing is done line by line in a lambda.  What is looked at more than once is
-    # bound by _with, or Spark would work it out again for each use; continued lines are looked for by regular expression only where there are any.
+    # bound by bound, or Spark would work it out again for each use; continued lines are looked for by regular expression only where there are any.
     fixed = (
         (r"(?md)^[0-9]{6}(?=[ *\-/\n]|\z)(.{0,66}).*$", "      $1"),
         (r"(?md)^( {6}[ *\-/].{65})[0-9]{8}[^\S\n]*$", "$1"),
@@ -62,10 +62,10 @@ def tidy(text: Column) -> Column:
 
     free = passed(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), fixed)
     has = [lambda x, mark=mark: F.contains(x, F.lit(mark)) for mark in ("\n      -", _JOIN)]
-    return _with(free, lambda x: F.when(has[0](x) | has[1](x), _with(passed(x, continued), lambda y: F.when(has[1](y), joined(y)).otherwise(y))).otherwise(x))
+    return bound(free, lambda x: F.when(has[0](x) | has[1](x), bound(passed(x, continued), lambda y: F.when(has[1](y), joined(y)).otherwise(y))).otherwise(x))
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), for which value is worked out once."""
     return F.transform(F.array(value), use)[0]
 
@@ -101,7 +101,7 @@ def _cut(text: Column) -> Column:
         return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^['\"]"), F.translate(p, " .", _BLANK + _DOT)).otherwise(F.upper(p))), "")
 
     # a quote before a paragraph's or section's name keeps verbs from being found in it
-    x = _with(text, lambda t: F.when(F.contains(t, F.lit("'")) | F.contains(t, F.lit('"')), masked(t)).otherwise(F.upper(t)))
+    x = bound(text, lambda t: F.when(F.contains(t, F.lit("'")) | F.contains(t, F.lit('"')), masked(t)).otherwise(F.upper(t)))
     gap, no_name = r"[^\S\n]", rf"(?!(?:{'|'.join(ALONE)})(?![A-Z0-9-])|END-)"
     x = F.regexp_replace(x, rf"(?md)(\A(?: *\n)*|\. *\n(?: *\n)*) {{0,7}}{no_name}({NAME})(?={gap}*\.{gap}*$)", f"$1{_PART}'$2")
     x = F.regexp_replace(x, rf"(?md)^ {{0,7}}({NAME}){gap}+SECTION(?:{gap}+[0-9]+)?{gap}*\.[^\n]*", f"{_WING}'$1.")
@@ -115,7 +115,7 @@ def _cut(text: Column) -> Column:
         inner = F.regexp_replace(F.regexp_replace(F.substr(t, F.lit(2)), rf"{_STOP}[0-9]+{_HEAD}", "\n.\n"), rf"{marks}[0-9]+{_HEAD}'?", "\n")
         return F.concat(F.substr(t, F.lit(1), F.lit(1)), inner)
 
-    x = _with(x, lambda t: F.when(F.contains(t, F.lit(_HEAD + "EXEC")), swapped(t, exec_, lambda h: F.when(h != "", whole(h)).otherwise(h))).otherwise(t))
+    x = bound(x, lambda t: F.when(F.contains(t, F.lit(_HEAD + "EXEC")), swapped(t, exec_, lambda h: F.when(h != "", whole(h)).otherwise(h))).otherwise(t))
     x = within(x, _STOP, lambda t, i: F.regexp_replace(t, f"({marks})", F.concat(F.lit("$1"), i.cast("string"), F.lit(","))), _STOP)
     x = F.regexp_extract(x, rf"(?s){_EDGE}[0-9]+,[0-9]+{_HEAD}PROCEDURE(?= +DIVISION).*", 0)
     opens, ends = (rf"(?<={_EDGE}{{tail}}{_HEAD}{e}(?:IF|EVALUATE|SEARCH)){over}" for e in ("", "END-"))
@@ -145,7 +145,7 @@ def _cut(text: Column) -> Column:
     def plain(section: Column, paragraph: Column, place: Column) -> Callable[[Column], Column]:
         def one(t: Column) -> Column:
             said = F.trim(F.regexp_replace(F.substring_index(F.substring_index(t, _STOP, 1), _HEAD, -1), r" *(?:\n *)+", " "))
-            return _with(said, lambda s: _with(F.regexp_extract(s, r"^(\S+)", 1), lambda verb: _with(head(t), lambda h: row(
+            return bound(said, lambda s: bound(F.regexp_extract(s, r"^(\S+)", 1), lambda verb: bound(head(t), lambda h: row(
                 h, verb, F.trim(F.regexp_replace(F.translate(s, _BLANK + _DOT, " ."), r"^\S+", "")), section, paragraph, place,
                 (F.get(h, F.lit(1)).cast("int") > F.get(h, F.lit(0)).cast("int")) & ~verb.isin("END-IF", "END-EVALUATE", "END-SEARCH")))))
         return one
@@ -159,7 +159,7 @@ def _cut(text: Column) -> Column:
     def part(section: Column, before: Column, base: Column) -> Callable[[Column, Column], Column]:
         def one(t: Column, i: Column) -> Column:
             place = (base + i).cast("long")
-            return F.when(i == 0, pieces(t, section, before, place)).otherwise(_with(name(t), lambda n: F.concat(F.array(row(head(t), "LABEL", n, section, n, place)), pieces(t, section, n, place))))
+            return F.when(i == 0, pieces(t, section, before, place)).otherwise(bound(name(t), lambda n: F.concat(F.array(row(head(t), "LABEL", n, section, n, place)), pieces(t, section, n, place))))
         return one
 
     def wing(t: Column, i: Column) -> Column:
@@ -168,9 +168,9 @@ def _cut(text: Column) -> Column:
 
         def other(h: Column) -> Column:
             before, base = F.nullif(F.get(h, F.lit(1)), F.lit("")), F.get(h, F.lit(0)).cast("int")
-            return _with(name(t), lambda n: F.concat(F.array(row(h, "SECTION", n, n, before, base.cast("long"), F.get(h, F.lit(3)).cast("int") > F.get(h, F.lit(2)).cast("int"))), F.flatten(F.transform(F.split(t, _PART), part(n, before, base)))))
+            return bound(name(t), lambda n: F.concat(F.array(row(h, "SECTION", n, n, before, base.cast("long"), F.get(h, F.lit(3)).cast("int") > F.get(h, F.lit(2)).cast("int"))), F.flatten(F.transform(F.split(t, _PART), part(n, before, base)))))
 
-        return F.when(i == 0, first).otherwise(_with(head(t), other))
+        return F.when(i == 0, first).otherwise(bound(head(t), other))
 
     return F.flatten(F.transform(F.split(x, _WING), wing))
 
@@ -194,7 +194,7 @@ def _flow(st: DataFrame, key: str) -> DataFrame:
 
     def place(all_: Column) -> Column:
         at = F.array_position(F.transform(all_, lambda s: s["leaves"]), True)  # nothing behind it is reached
-        return _with(F.when(at > 0, F.slice(all_, F.lit(1), at.cast("int"))).otherwise(all_), lambda alive: F.struct(
+        return bound(F.when(at > 0, F.slice(all_, F.lit(1), at.cast("int"))).otherwise(all_), lambda alive: F.struct(
             F.col("place"), F.col("name"), F.array_max(F.transform(alive, lambda s: s["section"])).alias("section"), F.exists(alive, lambda s: s["leaves"]).alias("barrier"), F.exists(alive, lambda s: s["ends"]).alias("ends"),
             F.size(F.filter(alive, lambda s: s["condition"])).cast("long").alias("conditions"), F.flatten(F.transform(F.filter(alive, lambda s: s["jumps"].isNotNull()), lambda s: s["jumps"])).alias("jumps"),
             F.transform(F.filter(alive, lambda s: s["performs"].isNotNull()), lambda s: s["performs"]).alias("performs")))
@@ -215,9 +215,9 @@ def _labels(places: Column) -> Column:
     def entry(label: Column, first: Column, last: Column) -> Column:
         return F.struct(label.alias("label"), F.struct(first.alias("first"), last.alias("last")).alias("span"))
 
-    spans = _with(of("name"), lambda x: F.map_from_entries(F.transform(bounds(x, -1), lambda z: entry(z["label"], z["place"], z["place"]))))
-    wide = _with(of("section"), lambda x: F.transform(F.arrays_zip(bounds(x, -1).alias("a"), bounds(x, 1).alias("b")), lambda z: entry(z["a"]["label"], z["a"]["place"], z["b"]["place"])))
-    return _with(spans, lambda s: F.map_concat(s, F.map_from_entries(F.filter(wide, lambda z: F.try_element_at(s, z["label"]).isNull()))))
+    spans = bound(of("name"), lambda x: F.map_from_entries(F.transform(bounds(x, -1), lambda z: entry(z["label"], z["place"], z["place"]))))
+    wide = bound(of("section"), lambda x: F.transform(F.arrays_zip(bounds(x, -1).alias("a"), bounds(x, 1).alias("b")), lambda z: entry(z["a"]["label"], z["a"]["place"], z["b"]["place"])))
+    return bound(spans, lambda s: F.map_concat(s, F.map_from_entries(F.filter(wide, lambda z: F.try_element_at(s, z["label"]).isNull()))))
 
 
 def control_flow(st: DataFrame, key: str) -> DataFrame:
@@ -231,7 +231,7 @@ def control_flow(st: DataFrame, key: str) -> DataFrame:
         """The paragraphs with the places of their jumps and the ranges that they perform, and where falling through from each ends."""
         def known(p: Column) -> Column:
             jumps = F.array_distinct(F.transform(F.filter(F.transform(p["jumps"], lambda j: F.try_element_at(labels, j)), lambda z: z.isNotNull()), lambda z: z["first"]))
-            ranges = F.transform(p["performs"], lambda f: _with(F.try_element_at(labels, f["label"]), lambda z: F.when(
+            ranges = F.transform(p["performs"], lambda f: bound(F.try_element_at(labels, f["label"]), lambda z: F.when(
                 z.isNotNull(), F.struct(z["first"].alias("first"), F.coalesce(F.try_element_at(labels, f["thru"])["last"], z["last"]).alias("last"), f["label"].alias("entry")))))
             return F.struct(p["name"].alias("name"), p["place"].alias("place"), p["barrier"].alias("barrier"), p["ends"].alias("ends"), p["conditions"].alias("conditions"), jumps.alias("jumps"), F.array_compact(ranges).alias("ranges"))
 
@@ -258,7 +258,7 @@ def control_flow(st: DataFrame, key: str) -> DataFrame:
 
             def further(s: Column, _: Column) -> Column:
                 to = F.array_distinct(F.flatten(F.transform(s["front"], lambda f: F.flatten(F.transform(F.slice(places, f.cast("int") + 1, (end(f) - f).cast("int") + 1), lambda p: p["jumps"])))))
-                return F.when(F.size(s["front"]) == 0, s).otherwise(_with(F.array_except(to, s["seen"]), lambda new: F.struct(new.alias("front"), F.concat(s["seen"], new).alias("seen"))))
+                return F.when(F.size(s["front"]) == 0, s).otherwise(bound(F.array_except(to, s["seen"]), lambda new: F.struct(new.alias("front"), F.concat(s["seen"], new).alias("seen"))))
 
             begin = F.struct(F.array(r["first"]).alias("front"), F.array(r["first"]).alias("seen"))
             rounds = F.sequence(F.lit(0), F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: p["jumps"])))))
@@ -272,12 +272,12 @@ def control_flow(st: DataFrame, key: str) -> DataFrame:
                 return F.struct(F.concat(F.lit("PATH_"), (number + 1).cast("string")).alias("path_id"), r["entry"].alias("entry_point"), at(places, r["last"])["name"].alias("last_point"), F.transform(here, lambda p: p["name"]).alias("paragraphs"),
                                 F.transform(out, lambda p: p["name"]).alias("exit_points"), called.alias("called_paragraphs"), F.aggregate(here, F.lit(0).cast("long"), lambda n, p: n + p["conditions"]).alias("conditions"), back.alias("loops"), F.size(called).alias("complexity"))
 
-            return _with(F.array_sort(F.array_distinct(F.flatten(F.transform(seen, run)))), told)
+            return bound(F.array_sort(F.array_distinct(F.flatten(F.transform(seen, run)))), told)
 
-        firsts = _with(ranges, lambda x: F.filter(x, lambda r, i: F.coalesce((F.get(x, i - 1)["first"] != r["first"]) | (F.get(x, i - 1)["last"] != r["last"]), F.lit(True))))
+        firsts = bound(ranges, lambda x: F.filter(x, lambda r, i: F.coalesce((F.get(x, i - 1)["first"] != r["first"]) | (F.get(x, i - 1)["last"] != r["last"]), F.lit(True))))
         return F.transform(firsts, path)
 
-    all_ = _with(F.col("places"), lambda x: _with(_labels(x), lambda labels: _with(resolved(x, labels), lambda places: _with(until(places), lambda stops: paths(places, stops)))))
+    all_ = bound(F.col("places"), lambda x: bound(_labels(x), lambda labels: bound(resolved(x, labels), lambda places: bound(until(places), lambda stops: paths(places, stops)))))
     sources = _flow(st.withColumnRenamed(key, KEY), KEY)
     return sources.select(F.col(KEY).alias(key), F.explode(all_).alias("p")).select(key, "p.*")
 

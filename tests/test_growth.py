@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stratalith.operators import program, programs, relations
+from stratalith.operators import copybooks, program, programs, relations
 from stratalith.plans import catalog
 
 
@@ -77,3 +77,9 @@ def test_layouts_go_to_many_tasks(spark, sf_dir):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("record_fields", "level_violations"):
         assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= parts, name
+
+
+def test_a_replacement_list_is_looked_through_once(spark):
+    """The patterns stand once in the plan, and are made only of what the text has."""
+    df = spark.range(1).select(copybooks.replaced(F.lit("A :T: B"), copybooks.pairs(F.lit("REPLACING ==:T:== BY ==X== A  BY C NONE BY D"))).alias("t"))
+    assert df._jdf.queryExecution().analyzed().toString().count("(?i:") == 1 and df.first()["t"] == "C X B"
