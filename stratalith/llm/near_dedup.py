@@ -273,8 +273,22 @@ def similar_pairs(values: np.ndarray, sizes: np.ndarray, root: np.ndarray, perce
     return np.nonzero(np.triu(near & (root[:, None] != root[None, :]), 1))
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a, b) as stars: each node that is not the least of its component, and the least one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while (apart := least[i] != least[j]).any():
+        i, j = i[apart], j[apart]
+        np.minimum.at(least, np.maximum(least[i], least[j]), np.minimum(least[i], least[j]))
+        while (least[least] != least).any():
+            least = least[least]
+    more = least != np.arange(len(nodes))
+    return nodes[more], nodes[least[more]]
+
+
 def crowd_links(members: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b) between different roots (root_a, root_b) within the large regions.
+    """Different roots (root_a, root_b) that are linked within the large regions, a star for each component of two blocks, so that they are no more than the roots there.
 
     members: rep, size, tree and lead, the last two naming the region; roots: node and root of what is linked already;
     sets_of: gives doc_id and shingles of the ids (column id) at least.
@@ -302,18 +316,16 @@ def crowd_links(members: DataFrame, roots: DataFrame, sets_of: Callable[[DataFra
     with_top = to(q, q + F.col("p"), lambda j: F.struct(rest.alias("x"), j.alias("y")))
     of_top = to(F.lit(0), q, lambda j: F.struct(j.alias("x"), top.alias("y")))
     pair = F.when(F.col("root") == F.col("top"), of_top).otherwise(F.concat(with_rest, with_top))
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*region, "rep", "root", "shingles", F.explode(pair).alias("k")).select(*region, "k.x", "k.y", "rep", "root", "shingles")
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*region, "root", "shingles", F.explode(pair).alias("k")).select(*region, "k.x", "k.y", "root", "shingles")
 
     def linked(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         lists = group.column("shingles").combine_chunks()
-        rep, root = group.column("rep").to_numpy(), group.column("root").to_numpy()
+        root = group.column("root").to_numpy()
         i, j = similar_pairs(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), root, percent)
-        high = rep[i] > rep[j]
-        i, j = np.where(high, i, j), np.where(high, j, i)
-        return pa.table({"a": rep[i], "b": rep[j], "root_a": root[i], "root_b": root[j]})
+        return pa.table(spanning(root[i], root[j]), ["root_a", "root_b"])
 
-    return rows.groupBy(*region, "x", "y").applyInArrow(linked, "a long, b long, root_a long, root_b long").distinct()
+    return rows.groupBy(*region, "x", "y").applyInArrow(linked, "root_a long, root_b long").distinct()
 
 
 def closed(pairs: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -324,7 +336,7 @@ def closed(pairs: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame],
         return roots
     more = table(crowd_links(members, roots, sets_of, percent), "more")
     whole = components(more, "root_a", "root_b").select(F.col("node").alias("part"), F.col("root").alias("whole"))
-    parts = roots.union(more.select(F.explode(F.array("root_a", "root_b")).alias("node")).distinct().select("node", F.col("node").alias("root"))).distinct()
+    parts = roots.union(whole.select("part", F.col("part").alias("root"))).distinct()
     return table(parts.join(whole, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root")), "roots")
 
 

@@ -55,12 +55,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import IdFilter, components, fresh, prepare, table
+from .common import IdFilter, fresh, prepare, table
 from .near_dedup import closed
 
 WORDS, PERCENT, RADIUS, BLOCK_RADIUS, MIN_WORDS, RECALL = 5, 80, 4, 24, 22, 0.99
 CROWD = 16  # blocks of a band value, up to which each is paired with each
 WINDOW, SIDE, SHIFT = 12, 16, 2  # shingles of a short paragraph; words beside a seed; words that one side may run ahead
+GATHER, PARTS = 1 << 20, 11  # keys that a task sorts together; bits of a key by which they are dealt
 COST = 5  # of an altered word in words, so that one in five may be altered
 PASSAGES = "doc_id long, text_key long, start long, end long, n_words long, n_removed_words long, removed boolean, clusters array<long>, cuts array<struct<start: long, end: long>>"
 #: A paragraph of a text that may repeat.  Seeds have a key, a name of what is around them, the number of words before them there, and bytes with each word's length
@@ -255,29 +256,76 @@ def _kind(keys: np.ndarray, kind: np.uint64) -> np.ndarray:
     return ((keys & ~np.uint64(1)) | kind).view(np.int64)
 
 
+def _named(batches: Iterator[pa.RecordBatch], bands: int, rows: int, min_words: int, blocks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """key and id of all seeds and bands, a run of texts at a time; id is a seed's document or a band's block."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for first, last, data, offsets in textkit.blocks(batch.column("text")):
+            p = Paragraphs(data, offsets)
+            at = p.seeds()
+            doc, key = np.searchsorted(p.first, at, "right") - 1, _kind(p.shingles[at], SEED)
+            yield key, ids[first:last][doc]
+            if not blocks:
+                continue
+            a, b = p.blocks(min_words)
+            once = np.sort(np.unique(p.named(a, b), return_index=True)[1])  # bands() takes ranges in their order
+            a, b = a[once], b[once]
+            fp, keys = p.named(a, b).view(np.int64), p.bands(a, b, bands, rows)
+            yield _kind(keys.ravel(), BAND), np.tile(fp, bands)
+
+
 def _keys(docs: DataFrame, bands: int, rows: int, min_words: int, blocks: bool = True) -> DataFrame:
-    """(key, id) of all seeds and bands; id is a seed's document or a band's block."""
+    """(key, id) of all seeds and bands, a row each; see _named."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for first, last, data, offsets in textkit.blocks(batch.column("text")):
-                p = Paragraphs(data, offsets)
-                at = p.seeds()
-                doc, key = np.searchsorted(p.first, at, "right") - 1, _kind(p.shingles[at], SEED)
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[: len(key)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(ids[first:last][doc[new]])], ["key", "id"])
-                if not blocks:
-                    continue
-                a, b = p.blocks(min_words)
-                keys, fp = p.bands(a, b, bands, rows), p.named(a, b).view(np.int64)
-                fp, once = np.unique(fp, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_kind(keys[:, once].ravel(), BAND)), pa.array(np.tile(fp, bands))], ["key", "id"])
+        for key, id_ in _named(batches, bands, rows, min_words, blocks):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], ["key", "id"])
 
     return docs.mapInArrow(run, "key long, id long")
 
 
+def extremes(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key with its least id, and once more with its greatest if that is another; sorted by key as an unsigned number."""
+    order = np.lexsort((id_, key.view(np.uint64)))
+    key, id_ = key[order], id_[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    last = np.append(new[1:], True)[: len(key)]
+    begin = np.flatnonzero(new)
+    other = np.zeros(len(key), bool)
+    other[last] = id_[last] != id_[begin]
+    keep = new | other
+    return key[keep], id_[keep]
+
+
+def _shared(docs: DataFrame, bands: int, rows: int, min_words: int, blocks: bool = True) -> DataFrame:
+    """key: the keys of _keys that have two ids.
+
+    Most keys have one, and a row for each costs more than all else; so tasks sort some GATHER of them, keep two ids of each at most, and send them
+    in ranges of keys, as bytes.
+    """
+    def packed(some: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, id_ = extremes(*(np.concatenate(x) for x in zip(*some)))
+        part, begin = np.unique(key.view(np.uint64) >> np.uint64(64 - PARTS), return_index=True)
+        offsets = np.append(begin, len(key)) * 8
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), _bytes(key, offsets), _bytes(id_, offsets)], ["part", "keys", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for pair in _named(batches, bands, rows, min_words, blocks):
+            some.append(pair)
+            n += len(pair[0])
+            if n >= GATHER:
+                yield packed(some)
+                some, n = [], 0
+        if n:
+            yield packed(some)
+
+    def met(part: pa.Table) -> pa.Table:
+        key, _ = extremes(*(textkit.flat(part.column(c))[0].view(np.int64) for c in ("keys", "ids")))
+        return pa.table({"key": key[1:][key[1:] == key[:-1]]})
+
+    return docs.mapInArrow(run, "part int, keys binary, ids binary").groupBy("part").applyInArrow(met, "key long")
+
+
 def _hits(docs: DataFrame, shared: DataFrame, bands: int, rows: int, min_words: int, blocks: bool = True) -> DataFrame:
     """The seeds and blocks that have a key in shared, and a few others; see HIT."""
     wanted = IdFilter(shared.select("key"))
@@ -388,9 +436,10 @@ def _chained(rows: DataFrame, by: str, min_words: int) -> DataFrame:
 
 
 def _alike(nodes: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """around, head, left_n, right_n: surroundings (see _around) of a seed that are like others, and how many words on either side; alike ones share a head or are linked by others.
+    """around, root, left, right: surroundings (see _around) of a seed that are like others, a name that alike ones share, and how many words on either side repeat.
 
-    nodes: around and key, each once.
+    nodes: around and key, each once.  Every one has a chain by the words to the right, and that chain's head one by the words to the left,
+    whose head is the root: two steps, so nothing is left to close.
     """
     crowded = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     some = table(nodes.join(crowded, "key").select("around", "key"), "compared")
@@ -411,25 +460,28 @@ def _alike(nodes: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     words = words.join(some, "around").dropDuplicates(["around"])
     by_right = table(_chained(words, "right", min_words), "chains")
     heads = by_right.where("left is not null").select("key", "around", "left", "right")
-    both = by_right.union(_chained(heads, "left", min_words)).where("left_n + right_n > 0")
-    return both.select("around", "head", "left_n", "right_n")
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("around").agg(F.min("head").alias("head"), F.max("left_n").alias("left"), F.max("right_n").alias("right"))
+
+    by_left = table(once(_chained(heads, "left", min_words)).select(F.col("around").alias("head"), F.col("head").alias("root"), F.col("left").alias("left_n"), F.col("right").alias("right_n")), "heads")
+    own = F.col("around") == F.col("head")
+    both = once(by_right).join(by_left, "head").select("around", "root", *(F.greatest(c, F.when(own, F.col(f"{c}_n"))).alias(c) for c in ("left", "right")))
+    return both.where("left + right > 0")
 
 
 def _repeated(hits: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """around, at, cluster, low (the least document of the cluster), and left and right, the words beside a seed that repeat."""
     words = F.col("last_word") - F.col("first_word")
     nodes = table(hits.where("key is not null").groupBy("around", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").cast("long").alias("at"), F.min(words).alias("words")), "seeds")
-    links = table(_alike(nodes, docs, min_words), "alike")
-    roots = components(links.select(F.col("around").alias("a"), F.col("head").alias("b")))
-    wide = links.groupBy(F.col("around").alias("node")).agg(F.max("left_n").alias("left"), F.max("right_n").alias("right"))
-    linked = table(roots.join(wide, "node"), "linked")
+    linked = table(_alike(nodes, docs, min_words), "alike")
     whole = (F.col("low") < F.col("high")) & (F.col("words") >= min_words)  # the same words around it in two documents
-    all_ = nodes.join(linked.withColumnRenamed("node", "around"), "around", "left").where(whole | F.col("root").isNotNull()).select(
+    all_ = nodes.join(linked, "around", "left").where(whole | F.col("root").isNotNull()).select(
         "around", F.coalesce("root", "around").alias("cluster"), "low", "high", F.when(whole, F.col("at")).otherwise(F.col("left")).alias("left"),
         F.when(whole, F.col("words") - F.col("at") - WORDS).otherwise(F.col("right")).alias("right"))
     all_ = table(all_, "nodes")
-    lies = all_.groupBy("cluster").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("cluster", "least")
-    return table(all_.join(lies, "cluster").select("around", "cluster", F.col("least").alias("low"), "left", "right"), "repeated")
+    lies = all_.groupBy("cluster").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.min("around").alias("name")).where("least < most").select("cluster", "least", "name")
+    return table(all_.join(lies, "cluster").select("around", F.col("name").alias("cluster"), F.col("least").alias("low"), "left", "right"), "repeated")
 
 
 def _spans(seeds: DataFrame) -> DataFrame:
@@ -471,13 +523,35 @@ def _near_blocks(hits: DataFrame, percent: int) -> DataFrame:
     return closed(table(pairs.distinct(), "pairs"), members, lambda ids: sets, percent)
 
 
+def _changes(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The rows, but for the first, at which another text (the first two columns) begins."""
+    doc, text = (rows.column(k).to_numpy() for k in (0, 1))
+    return np.flatnonzero((doc[1:] != doc[:-1]) | (text[1:] != text[:-1])) + 1
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in runs of whole texts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = _changes(batch)
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in (0, 1)):
+            ends = np.append(0, ends)
+        if len(ends):
+            yield pa.Table.from_batches([*held, batch.slice(0, ends[-1])])
+            held, batch = [], batch.slice(ends[-1])
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _passages(docs: DataFrame, percent: int, recall: float, min_words: int, blocks: bool) -> DataFrame:
     """See PASSAGES; text_key tells the texts of a doc_id apart."""
     prepare(docs.sparkSession)
     bands, rows = tune_bands(percent, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key")).where("doc_id is not null")
-    shared = _keys(docs, bands, rows, min_words, blocks).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    shared = table(shared, "shared")
+    shared = table(_shared(docs, bands, rows, min_words, blocks), "shared")
     hits = table(_hits(docs, shared, bands, rows, min_words, blocks), "hits")
     span = ["doc_id", "text_key", "start", "end", "first_word", "last_word"]
     seeds = hits.where("key is not null").select("doc_id", "text_key", "start", "first_word", "last_word", "at", "steps", "around").join(_repeated(hits, docs, min_words), "around")
@@ -486,7 +560,8 @@ def _passages(docs: DataFrame, percent: int, recall: float, min_words: int, bloc
         near = hits.where("fp is not null").select(*span, "fp").join(_near_blocks(hits, percent).withColumnRenamed("node", "fp"), "fp")
         lies = near.groupBy("root").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
         runs = runs.union(near.join(table(lies, "lies"), "root").select(*span, F.col("root").alias("cluster"), (F.col("doc_id") > F.col("low")).alias("goes"), F.lit(True).alias("near")))
-    found = runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_word", "last_word", "start", "end", "cluster", "goes", "near")).alias("p"))
+    text = ["doc_id", "text_key"]
+    found = runs.select(*text, "first_word", "last_word", "start", "end", "cluster", "goes", "near").repartition(*text).sortWithinPartitions(*text)
 
     def merged(first: np.ndarray, last: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Where new unions of ranges that touch begin, of ranges sorted by text and first."""
@@ -519,12 +594,10 @@ def _passages(docs: DataFrame, percent: int, recall: float, min_words: int, bloc
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_type = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
-            p, count = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy().astype(np.int64)
-            if not count.sum():
-                continue
-            first, last, start, end, cluster = (p.field(k).to_numpy() for k in range(5))
-            goes, near, text = p.field(5).to_numpy(zero_copy_only=False), p.field(6).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(count)), count)
+        for batch in _whole(batches):
+            first, last, start, end, cluster, goes, near = (batch.column(k).to_numpy() for k in range(2, 9))
+            begin = np.append(0, _changes(batch))
+            text = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, batch.num_rows)))
             order = np.lexsort((last, first, text))
             first, last, start, end, cluster, goes, near, text = (x[order] for x in (first, last, start, end, cluster, goes, near, text))
             new = np.flatnonzero(merged(first, last, text))
@@ -541,9 +614,9 @@ def _passages(docs: DataFrame, percent: int, recall: float, min_words: int, bloc
             removed = np.bincount(cut_island, weights=cut_words, minlength=len(new)).astype(np.int64)
             names = np.unique(np.stack([island, cluster]), axis=1)
             own = np.searchsorted(names[0], np.arange(len(new) + 1)).astype(np.int32)
-            of = pa.array(text[new])
+            of = pa.array(begin[text[new]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(start[new]), pa.array(np.maximum.reduceat(end, new)), pa.array(np.maximum.reduceat(last, new) - first[new]), pa.array(removed), pa.array(np.diff(cuts) > 0),
+                [*(batch.column(k).combine_chunks().take(of) for k in (0, 1)), pa.array(start[new]), pa.array(np.maximum.reduceat(end, new)), pa.array(np.maximum.reduceat(last, new) - first[new]), pa.array(removed), pa.array(np.diff(cuts) > 0),
                  pa.ListArray.from_arrays(own, pa.array(names[1])), pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(cut_start), pa.array(cut_end)], fields=list(cut_type)))],
                 ["doc_id", "text_key", "start", "end", "n_words", "n_removed_words", "removed", "clusters", "cuts"])
 

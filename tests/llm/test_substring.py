@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from stratalith.llm import near_dedup, textkit
 from stratalith.llm import substring_dedup as S
-from stratalith.llm import textkit
 
 CASES = [(60, []), (60, [30]), (60, [10]), (60, [5, 55]), (60, [20, 40]), (60, [15, 30, 45]), (50, [17, 34]), (200, [28, 57, 85, 114, 142, 171])]
 
@@ -146,3 +146,62 @@ def test_gaps_between_words_are_kept_where_they_are_wide():
     p = S.Paragraphs(*textkit.flat(pa.array(texts)))
     got = p.steps(np.array([0, 1, 5]), np.array([5, 3, 10])).to_pylist()
     assert [list(x) for x in got] == [[2, 2, 2, 1, 5, 1, 1, 2, 3, 1], [2, 2, 1, 2], [1] * 5]
+
+
+@pytest.mark.parametrize("blocks", [True, False])
+def test_shared_keys_are_those_with_two_ids(spark, blocks):
+    rnd = random.Random(12)
+    passages = [words(rnd, 60) for _ in range(5)]
+    texts = [" ".join(words(rnd, 40) + rnd.choice(passages) + words(rnd, 60)) for _ in range(60)] + ["", None, "short", "b a " * 200]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    bands = S.tune_bands()
+    ids = {}
+    for r in S._keys(docs, *bands, 22, blocks).collect():
+        ids.setdefault(r["key"], set()).add(r["id"])
+    got = [r["key"] for r in S._shared(docs, *bands, 22, blocks).collect()]
+    assert len(got) == len(set(got)) and set(got) == {k for k, x in ids.items() if len(x) > 1} and got
+
+
+def test_extremes_keep_two_ids_of_a_key():
+    rnd = random.Random(13)
+    rows = [(rnd.randint(-9, 9), rnd.randint(-3, 3)) for _ in range(200)] + [(99, 4)] * 5
+    key, id_ = S.extremes(*(np.array(x, np.int64) for x in zip(*rows)))
+    want = {k: {i for j, i in rows if j == k} for k, _ in rows}
+    assert sorted(zip(key.tolist(), id_.tolist())) == sorted((k, i) for k, x in want.items() for i in {min(x), max(x)})
+    assert all(len(x) == 0 for x in S.extremes(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_texts_are_whole_however_batches_fall(size):
+    rnd = random.Random(size)
+    rows = sorted((rnd.randint(0, 4), rnd.randint(0, 2)) for _ in range(40))
+    table = pa.table({"doc_id": [r[0] for r in rows], "text_key": [r[1] for r in rows], "n": range(40)})
+    runs = [t.to_pydict() for t in S._whole(iter([table.to_batches()[0].slice(0, 0), *table.to_batches(max_chunksize=size)]))]
+    assert [n for t in runs for n in t["n"]] == list(range(40)) and all(t["n"] for t in runs)
+    seen = [set(zip(t["doc_id"], t["text_key"])) for t in runs]
+    assert sum(len(x) for x in seen) == len(set(rows))
+
+
+def test_links_in_a_crowd_do_not_grow_with_its_square(spark):
+    """All of a crowd are alike: its blocks give a link for each member, not for each pair."""
+    n = 300
+    members = spark.createDataFrame([(k, 5, 0, 100) for k in range(n)], "rep long, lead long, tree int, size long")
+    sets = spark.createDataFrame([(k, list(range(99)) + [1000 + k]) for k in range(n)], "doc_id long, shingles array<long>")
+    none = spark.createDataFrame([], "node long, root long")
+    links = near_dedup.crowd_links(members, none, lambda ids: sets, 80).collect()
+    assert len(links) == n - 1
+    pairs = spark.createDataFrame([], "a long, b long")
+    got = near_dedup.closed(pairs, members, lambda ids: sets, 80).collect()
+    assert {(r["node"], r["root"]) for r in got} == {(k, 0) for k in range(n)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stars_have_the_components_of_their_links(seed):
+    rnd = random.Random(seed)
+    links = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
+    root = {x: x for p in links for x in p}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    node, least = near_dedup.spanning(*(np.array(x) for x in zip(*links)))
+    assert dict(zip(node.tolist(), least.tolist())) == {x: r for x, r in root.items() if x != r}
