@@ -103,23 +103,36 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
+def one_case(text: Column) -> Column:
+    """Upper case of the letters that have an ASCII one, a character for a character as SQL has it: upper() makes SS of a sharp s and finds CLASS where no such word is."""
+    small = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(text, small + "\u0131\u017f", small.upper() + "IS")
+
+
 def estimated_tokens(text: Column) -> Column:
     """Characters by those to a token of code, structured text or prose, with additions for marks, short words, line ends and operators.
 
     Between a tenth of the length (1 at least) and the length; 0 for no text.
     """
-    text = F.coalesce(text, F.lit(""))
-    upper, n = F.upper(text), F.length(text)
-    code = (signs(upper, tuple(w.upper() for w in CODE_SIGNS)) >= 3) | (signs(upper, SURE_CODE_SIGNS) > 0)
-    per = F.when(code, CHARACTERS_PER_TOKEN["code"]).when(signs(text, STRUCTURED_SIGNS) >= 2, CHARACTERS_PER_TOKEN["structured"]).otherwise(CHARACTERS_PER_TOKEN["prose"])
+    from ..operators.program import bound
+
     blank = r"\s\x0B\x1C-\x1F\x85\p{Z}"
-    words, letters, marks = (F.regexp_count(text, F.lit(x)) for x in (f"[^{blank}]+", r"[\p{L}\p{N}]", rf"[^\p{{L}}\p{{N}}{blank}]"))
-    # one sum from left to right, operators counted before they are weighed: the floor below tells sums apart that differ in their last bit
-    whole = (
-        n / per + F.when(marks / n > 0.1, marks * 0.3).otherwise(0.0) + F.when((words > 0) & (letters / words < 4), words * 0.1).otherwise(0.0) + occurrences(text, "\n") * 0.5
-        + sum((occurrences(text, x) for x in OPERATOR_SIGNS), F.lit(0)) * 0.5
-    )
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10), F.least(F.floor(whole), n))).cast("long")
+
+    def counted(t: Column, upper: Column) -> Column:
+        code = (signs(upper, tuple(w.upper() for w in CODE_SIGNS)) >= 3) | (signs(upper, SURE_CODE_SIGNS) > 0)
+        per = F.when(code, CHARACTERS_PER_TOKEN["code"]).when(signs(t, STRUCTURED_SIGNS) >= 2, CHARACTERS_PER_TOKEN["structured"]).otherwise(CHARACTERS_PER_TOKEN["prose"])
+        patterns = {"words": f"[^{blank}]+", "letters": r"[\p{L}\p{N}]", "marks": rf"[^\p{{L}}\p{{N}}{blank}]"}
+        return F.struct(F.length(t).alias("n"), per.alias("per"), *(F.regexp_count(t, F.lit(x)).alias(k) for k, x in patterns.items()),
+                        occurrences(t, "\n").alias("ends"), sum((occurrences(t, x) for x in OPERATOR_SIGNS), F.lit(0)).alias("operators"))
+
+    def weighed(c: Column) -> Column:
+        # one sum from left to right, operators counted before they are weighed: the floor below tells sums apart that differ in their last bit
+        n, words, marks = c["n"], c["words"], c["marks"]
+        whole = n / c["per"] + F.when(marks / n > 0.1, marks * 0.3).otherwise(0.0) + F.when((words > 0) & (c["letters"] / words < 4), words * 0.1).otherwise(0.0) + c["ends"] * 0.5 + c["operators"] * 0.5
+        return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10), F.least(F.floor(whole), n))).cast("long")
+
+    # each is bound, or Spark would work the text's case and counts out again for each use
+    return bound(F.coalesce(text, F.lit("")), lambda t: bound(one_case(t), lambda upper: bound(counted(t, upper), weighed)))
 
 
 #: The first domain one of whose words occurs in a name wins.
