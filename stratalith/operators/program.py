@@ -298,6 +298,11 @@ def _fields(text: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: w.rlike("[A-Z]") & ~w.isin(*NO_FIELD))
 
 
+def sorted_(rows: DataFrame) -> DataFrame:
+    """One side of a join that is sorted, not broadcast: Spark takes rows made of a small file's for as small as the file, and the driver would hold them all."""
+    return rows.hint("merge")
+
+
 def value_flow(st: DataFrame, key: str, names: DataFrame) -> DataFrame:
     """program, source, to_program, target, kind, line: values that go from field to field, within a program and through CALL USING.
 
@@ -322,11 +327,11 @@ def value_flow(st: DataFrame, key: str, names: DataFrame) -> DataFrame:
     using = F.regexp_extract("body", r"(?:^|\s)USING\s+(.*?)(?:\s+RETURNING.*|\s*\.)?$", 1)
     listed = F.filter(F.split(F.regexp_replace(F.regexp_replace(using, r"'[^']*'|\"[^\"]*\"", "-"), r"\([^()]*\)", ""), r"[\s,]+"), lambda w: ~w.isin("", "BY", "REFERENCE", "CONTENT", "VALUE"))
     calls = st.where("verb = 'CALL'").select(F.col(key).alias("program"), "line", F.upper(F.regexp_extract("body", r"^['\"]?([^'\"\s]+)", 1)).alias("name"), F.posexplode(listed).alias("position", "argument")).where(F.col("argument").rlike("[A-Z]"))
-    params = st.where("verb = 'PROCEDURE'").select(key, F.posexplode(listed).alias("position", "parameter")).join(names.select(key, F.upper("name").alias("name")), key)
-    met = calls.join(params.withColumnRenamed(key, "called"), ["name", "position"])
+    params = st.where("verb = 'PROCEDURE'").select(key, F.posexplode(listed).alias("position", "parameter")).join(sorted_(names.select(key, F.upper("name").alias("name"))), key)
+    met = calls.join(sorted_(params.withColumnRenamed(key, "called")), ["name", "position"])
     there = met.select("program", F.col("argument").alias("source"), F.col("called").alias("to_program"), F.col("parameter").alias("target"), F.lit("P").alias("kind"), "line")
     changed = rows.select(F.col(key).alias("called"), F.explode("t").alias("parameter")).distinct()
-    back = met.join(changed, ["called", "parameter"], "left_semi").select(F.col("called").alias("program"), F.col("parameter").alias("source"), F.col("program").alias("to_program"), F.col("argument").alias("target"), F.lit("R").alias("kind"), "line")
+    back = met.join(sorted_(changed), ["called", "parameter"], "left_semi").select(F.col("called").alias("program"), F.col("parameter").alias("source"), F.col("program").alias("to_program"), F.col("argument").alias("target"), F.lit("R").alias("kind"), "line")
     return own.union(there).union(back).distinct()
 
 
@@ -337,15 +342,15 @@ def lineage(flows: DataFrame, starts: DataFrame | None = None, max_hops: int | N
     """
     steps = kept(flows.groupBy("program", F.col("source").alias("field"), "to_program", F.col("target").alias("to_field")).agg(F.min("kind").alias("kind")))
     ends = steps.select(F.col("to_program").alias("program"), F.col("to_field").alias("field")).distinct()
-    starts = steps.select("program", "field").distinct().join(ends, ["program", "field"], "left_anti") if starts is None else starts.select("program", "field").distinct()
+    starts = steps.select("program", "field").distinct().join(sorted_(ends), ["program", "field"], "left_anti") if starts is None else starts.select("program", "field").distinct()
     name, here = ["program", "field"], ["to_program", "to_field"]
     front = kept(starts.select(*name, F.col("program").alias("to_program"), F.col("field").alias("to_field"), F.lit("").alias("kinds")))
     known, hop = front.withColumn("hops", F.lit(0)), 0
     links = steps.select(F.col("program").alias("to_program"), F.col("field").alias("to_field"), F.col("to_program").alias("p"), F.col("to_field").alias("f"), "kind")
     while not front.isEmpty() and (max_hops is None or hop < max_hops):
         hop += 1
-        more = front.join(links, here).select(*name, F.col("p").alias("to_program"), F.col("f").alias("to_field"), F.concat("kinds", "kind").alias("kinds")).groupBy(*name, *here).agg(F.min("kinds").alias("kinds"))
-        front = kept(more.join(known, [*name, *here], "left_anti"))
+        more = front.join(sorted_(links), here).select(*name, F.col("p").alias("to_program"), F.col("f").alias("to_field"), F.concat("kinds", "kind").alias("kinds")).groupBy(*name, *here).agg(F.min("kinds").alias("kinds"))
+        front = kept(more.join(sorted_(known), [*name, *here], "left_anti"))
         known = known.unionByName(front.withColumn("hops", F.lit(hop)))
     return known.where("hops > 0").select(*name, *here, "hops", "kinds")
 
